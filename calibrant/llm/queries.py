@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from calibrant.llm.bpe import encode_bpe
 from calibrant.llm.common import table
+from calibrant.llm.exact_dedup import exact_dedup
+from calibrant.llm.warc import read_warc, write_warc
 
 #: Where the vocabulary files lie on every executor.
 TOKENIZERS = os.environ.get("CALIBRANT_TOKENIZERS", "/opt/tokenizers")
@@ -20,6 +22,45 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(table(spark, sf_dir, "documents"), BYTE_BPE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of documents; the largest doc_id of each stays."""
+    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC archives and read all records back through the index."""
+    records = read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op10_warc": op10_warc,
+}
+
+ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, {ASCII_LOWER.format("text")} AS t FROM documents)
+        SELECT doc_id,
+               max(doc_id) OVER (PARTITION BY t) AS keep_id,
+               count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
+               sha256(t) AS text_sha256
+        FROM d""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        k AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS keep,
+                     CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p)
+        SELECT page_id,
+               CAST(strlen(h) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+                     + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+                     + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+        FROM k""",
+}
