@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from calibrant.llm.bpe import encode_bpe
 from calibrant.llm.common import table
 from calibrant.llm.exact_dedup import exact_dedup
+from calibrant.llm.sharding import kd_shards
 from calibrant.llm.warc import read_warc, write_warc
 
 #: Where the vocabulary files lie on every executor.
@@ -27,6 +28,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put all documents into 24 shards of equal bytes."""
+    return kd_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives and read all records back through the index."""
     records = read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
@@ -36,6 +42,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_sharding": op7_sharding,
     "op10_warc": op10_warc,
 }
 
