@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from calibrant.llm.bpe import encode_bpe
 from calibrant.llm.common import table
 from calibrant.llm.exact_dedup import exact_dedup
+from calibrant.llm.near_dedup import near_components
 from calibrant.llm.sharding import kd_shards
 from calibrant.llm.warc import read_warc, write_warc
 
@@ -23,6 +24,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(table(spark, sf_dir, "documents"), BYTE_BPE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_components(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of documents; the largest doc_id of each stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -41,6 +47,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
     "op10_warc": op10_warc,
