@@ -6,9 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from calibrant.llm.bpe import encode_bpe
 from calibrant.llm.common import table
+from calibrant.llm.decontaminate import contamination
 from calibrant.llm.exact_dedup import exact_dedup
 from calibrant.llm.near_dedup import near_components
 from calibrant.llm.sharding import kd_shards
@@ -39,6 +41,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 13-word windows of benchmark items."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=13)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives and read all records back through the index."""
     records = read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
@@ -50,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
     "op10_warc": op10_warc,
 }
 
