@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrant.llm.bpe import encode_bpe
-from calibrant.llm.common import table
+from calibrant.llm.common import learning_rows, table
 from calibrant.llm.decontaminate import contamination
 from calibrant.llm.exact_dedup import exact_dedup
 from calibrant.llm.near_dedup import near_components
+from calibrant.llm.quality import quality
 from calibrant.llm.sharding import kd_shards
+from calibrant.llm.toxicity import toxicity
 from calibrant.llm.warc import read_warc, write_warc
 
 #: Where the vocabulary files lie on every executor.
@@ -26,6 +28,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(table(spark, sf_dir, "documents"), BYTE_BPE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxicity severity of every document; labels.toxic of the held-out quarter is not learned from."""
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), where=learning_rows())
+    return scored.select("doc_id", (~learning_rows()).alias("held_out"), "expected_severity", "grade", "p_toxic", "toxic")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_components(table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -47,6 +55,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels.quality of the held-out quarter is not learned from."""
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (~learning_rows()).alias("held_out"), "score", "predicted")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives and read all records back through the index."""
     records = read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
@@ -55,10 +69,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 
