@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibrant.llm import token_counts as tc
 from calibrant.llm.bpe import encode_bpe
-from calibrant.llm.common import learning_rows, table
+from calibrant.llm.common import learning_rows, shared_path, stored, table
 from calibrant.llm.decontaminate import contamination
 from calibrant.llm.exact_dedup import exact_dedup
+from calibrant.llm.licences import licence_scan
 from calibrant.llm.near_dedup import near_components
 from calibrant.llm.quality import quality
 from calibrant.llm.sharding import kd_shards
@@ -34,6 +36,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learning_rows()).alias("held_out"), "expected_severity", "grade", "p_toxic", "toxic")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over documents: counts of two tokenizer versions are inserted, version 1 is revised
+    to leave out words of signs alone, and copies of a text but the one with the largest id are deleted. Two batches
+    are sent again, which changes nothing."""
+    docs = table(spark, sf_dir, "documents")
+    counts = [tc.count_matches(docs["text"], p).alias(n) for n, p in (("v1", tc.WORD), ("v1_new", tc.SPOKEN_WORD), ("v2", tc.WORD_OR_SIGN))]
+    rows = stored(docs.select("doc_id", "source", "lang", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"), *counts), "token-counts")
+    copies = rows.groupBy("sha").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep")
+    gone = stored(rows.join(copies, "sha").where("doc_id < keep").select("source", "lang", "v1_new", "v2"), "token-gone")
+    ledger = tc.TokenLedger(spark, shared_path(spark, "token-ledger"))
+    version_2, revised = tc.inserts(rows, "words@2", "v2"), tc.revisions(rows, "words@1", "v1", "v1_new")
+    ledger.commit("1-insert", tc.inserts(rows, "words@1", "v1"))
+    ledger.commit("2-insert", version_2)
+    ledger.commit("3-revise", revised)
+    ledger.commit("2-insert", version_2)
+    ledger.commit("4-delete", tc.deletes(gone, "words@1", "v1_new").union(tc.deletes(gone, "words@2", "v2")))
+    ledger.commit("3-revise", revised)
+    return ledger.totals()
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_components(table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -44,6 +66,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every document by its paragraphs."""
+    return licence_scan(table(spark, sf_dir, "documents")).withColumn("families", F.concat_ws(",", "families"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put all documents into 24 shards of equal bytes."""
     return kd_shards(table(spark, sf_dir, "documents"), shards=24)
@@ -70,8 +97,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_licences": op6_licences,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
@@ -81,6 +110,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_token_counts": rf"""
+        WITH d AS (SELECT source, lang, doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS stays,
+                          len(regexp_extract_all(coalesce(text, ''), '{tc.SPOKEN_WORD}')) AS v1,
+                          len(regexp_extract_all(coalesce(text, ''), '{tc.WORD_OR_SIGN}')) AS v2 FROM documents)
+        SELECT source, lang, 'words@1' AS tokenizer, count(*) AS n_docs, CAST(sum(v1) AS BIGINT) AS n_tokens FROM d WHERE stays GROUP BY source, lang
+        UNION ALL
+        SELECT source, lang, 'words@2', count(*), CAST(sum(v2) AS BIGINT) FROM d WHERE stays GROUP BY source, lang""",
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {ASCII_LOWER.format("text")} AS t FROM documents)
         SELECT doc_id,
