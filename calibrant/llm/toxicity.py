@@ -144,6 +144,18 @@ def score_severity(docs: DataFrame, model: Severity, reject_at: float = REJECT_A
     return rows.mapInArrow(run, "doc_id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
 
 
+def drop_toxic(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose texts aren't toxic (p_toxic < reject_at)."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.at_least(t.as_py() or "")[0] < reject_at for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where: Column | None = None, label: str = "toxic") -> DataFrame:
     """Fit on at most so many labelled rows (those that where admits) and score all of docs."""
     return score_severity(docs, fit_severity(labelled_sample(docs, labels, label, rows, where=where)))
