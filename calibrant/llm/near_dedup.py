@@ -5,10 +5,12 @@ sets are one node. Of documents with Jaccard similarity of the threshold or
 more, the sketches share at least min_overlap values (but for a chance of under
 MISS a pair), so it is enough to keep inverted lists of each sketch's
 size - min_overlap + 1 rarest values: what is common to many documents, such as
-a passage, leaves the lists. A first round links every list's members with one
-member drawn for the list; a second one takes the pairs of a list that are
-still in different components. Pairs pass bounds on sizes, the estimate of the
-union sketch and the exact Jaccard similarity of the full sets.
+a passage, leaves the lists. A first round links every list's members with two
+of them, one drawn by chance and the one that is in most company; a second one
+takes the pairs of a list that are still in different components, unless too
+much of a member's full set is its own alone to be shared with anyone. Pairs
+pass bounds on sizes, the estimate of the union sketch and the exact Jaccard
+similarity of the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from calibrant.llm.components import components
 
 K = 64
 MISS = 1e-9
+#: Buckets of the bound on what two full sets can share.
+BUCKETS = 64
 #: Odd factors that tell a shingle's places apart; powers of one odd number.
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -113,6 +117,19 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, k:
     return common.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
+def _shareable(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(rep_id, shareable, spread): how many shingles of each member's full set another member has too, in all and
+    by BUCKETS buckets of the hash. The smaller counts of two members, summed over buckets, bound what they share."""
+    ids = stored(members.select(F.col("rep_id").alias("doc_id")).distinct(), "near-ids")
+    each = _sets(with_ids(docs, ids, "left_semi"), words).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep_id"), F.explode("shingles").alias("shingle"))
+    bucket = F.pmod("shingle", F.lit(BUCKETS)).alias("bucket")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep_id").alias("rep_id")).where("c = 1").groupBy("rep_id", bucket).agg(F.count("*").alias("alone"))
+    counts = each.groupBy("rep_id", bucket).agg(F.count("*").alias("c")).join(alone, ["rep_id", "bucket"], "left").select("rep_id", "bucket", (F.col("c") - F.coalesce("alone", F.lit(0))).cast("int").alias("c"))
+    held = counts.groupBy("rep_id").agg(F.sum("c").alias("shareable"), F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("by"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("by", b.cast("bigint")), F.lit(0)))
+    return held.select("rep_id", "shareable", spread.alias("spread"))
+
+
 def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -130,18 +147,29 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     reps = stored(one.select("sig", F.col("r.doc_id").alias("rep_id"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch"), "copies"), "near-reps")
     lists = stored(_lists(reps, k, percent), "near-lists")
 
-    drawn = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("rep_id", "value").alias("draw"), F.col("rep_id").alias("head"), F.col("n").alias("head_n"))).alias("h"), F.count("*").alias("members")).where("members > 1")
-    first = lists.join(drawn.select("value", "h.head", "h.head_n"), "value").where((F.col("rep_id") != F.col("head")) & _close(F.col("n"), F.col("head_n"), percent))
+    company = lists.join(lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1"), "value")
+    popular = company.groupBy("rep_id").agg(F.sum("members").alias("company"))
+    company = stored(company.join(popular, "rep_id"), "near-company")
+    member = lambda *by: F.min(F.struct(*by, F.col("rep_id").alias("head"), F.col("n").alias("head_n")))
+    heads = company.groupBy("value").agg(F.array(member(F.xxhash64("rep_id", "value").alias("by")), member((-F.col("company")).alias("by"))).alias("heads"))
+    first = company.join(heads.select("value", F.explode("heads").alias("h")), "value").select("rep_id", "n", "h.head", "h.head_n").where((F.col("rep_id") != F.col("head")) & _close(F.col("n"), F.col("head_n"), percent))
     pairs = stored(first.select(F.least("rep_id", "head").alias("a"), F.greatest("rep_id", "head").alias("b")).distinct(), "near-pairs")
     links = stored(_verified(pairs, reps, rows, words, k, percent), "near-links")
     roots = components(links)
 
     # Lists whose members are in several components still: every pair across components, but for those already seen.
-    placed = lists.join(roots.select(F.col("node").alias("rep_id"), "root"), "rep_id", "left").withColumn("root", F.coalesce("root", "rep_id"))
+    placed = company.join(roots.select(F.col("node").alias("rep_id"), "root"), "rep_id", "left").withColumn("root", F.coalesce("root", "rep_id"))
     open_lists = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value")
-    left = stored(placed.join(open_lists, "value"), "near-open")
+    left = stored(placed.join(open_lists, "value").select("value", "rep_id", "n", "root"), "near-open")
+    left = left.join(_shareable(rows, left, words), "rep_id").where(F.col("shareable") * 100 >= F.col("n") * percent)
+    own = left.groupBy("rep_id").agg(F.collect_list("value").alias("mine"))
+    left = stored(left.join(own, "rep_id"), "near-open")
     x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep_id") < F.col("y.rep_id")) & (F.col("x.root") != F.col("y.root")) & _close(F.col("x.n"), F.col("y.n"), percent))
+    needed = (F.col("x.n") + F.col("y.n")) * percent
+    enough = F.least("x.shareable", "y.shareable") * (100 + percent) >= needed
+    here = F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("x.value")  # of the lists that have both, one compares them
+    overlap = F.aggregate(F.zip_with("x.spread", "y.spread", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+    across = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.rep_id") < F.col("y.rep_id")) & (F.col("x.root") != F.col("y.root")) & enough & here & (overlap * (100 + percent) >= needed))
     more = stored(across.select(F.col("x.rep_id").alias("a"), F.col("y.rep_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     roots = components(links.union(_verified(more, reps, rows, words, k, percent)))
 
