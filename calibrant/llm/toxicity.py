@@ -8,9 +8,9 @@ rows; scoring reads every text whole.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from calibrant.llm.common import labelled_sample
 TRAIN_ROWS = 12_000
 FEATURES = 8_192
 MIN_ROWS = 3
+#: Features are hashed into so many places.
+SPACE = 1 << 22
 PREFIXES = (5, 7)
 GRADES = 4
 PENALTY = 2e-3
@@ -36,44 +38,43 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().translate(TABLE).split()
 
 
-def features(ws: set[bytes]) -> set[bytes]:
-    """Words, and beginnings of longer words, marked by a leading dash."""
-    return ws | {b"-" + w[:n] for w in ws for n in PREFIXES if len(w) > n}
+def features(ws: list[bytes]) -> set[int]:
+    """Hashes of the words, and of the beginnings of longer words, which are marked by a leading dash."""
+    own = {*ws}
+    return {crc32(f) & (SPACE - 1) for f in own | {b"-" + w[:n] for w in own for n in PREFIXES if len(w) > n}}
 
 
 @dataclass
 class Severity:
     """A fitted model: weights by feature, thresholds in ascending order."""
 
-    weights: dict[bytes, float]
+    weights: dict[int, float]
     thresholds: np.ndarray
 
     def at_least(self, text: str) -> np.ndarray:
         """P(grade >= k) for k = 1 on."""
         get = self.weights.get
-        eta = sum(get(f, 0.0) for f in features({*words(text)}))
+        eta = sum(get(f, 0.0) for f in features(words(text)))
         return 1 / (1 + np.exp(np.clip(self.thresholds - eta, -60, 60)))
 
 
-def association(rows: list[set[bytes]], toxic: np.ndarray, size: int) -> list[tuple[bytes, float]]:
-    """The features that tell toxic rows from others most, with their z score."""
-    inside, outside = Counter(), Counter()
+def association(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features that tell toxic rows from others most, and their z scores. Memory is SPACE counts, whatever the rows."""
+    inside, outside = np.zeros(SPACE, np.float32), np.zeros(SPACE, np.float32)
     for fs, t in zip(rows, toxic.tolist()):
-        (inside if t else outside).update(fs)
-    n1, n0 = int(toxic.sum()), len(rows) - int(toxic.sum())
-    found = []
-    for f in {*inside, *outside}:
-        a, b = inside[f], outside[f]
-        if a + b < MIN_ROWS:
-            continue
-        p = (a + b + 0.5) / (n1 + n0 + 1)
-        found.append((f, (a / max(n1, 1) - b / max(n0, 1)) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)))
-    return sorted(found, key=lambda x: (-abs(x[1]), x[0]))[:size]
-
-
-def severity_grades(texts: list[str], toxic: np.ndarray, lexicon: set[bytes], grades: int = GRADES) -> np.ndarray:
+        (inside if t else outside)[fs] += 1  # a row's features are distinct
+    n1, n0 = max(1, int(toxic.sum())), max(1, len(rows) - int(toxic.sum()))
+    seen = np.flatnonzero(inside + outside >= MIN_ROWS)
+    a, b = inside[seen].astype(float), outside[seen].astype(float)
+    p = (a + b + 0.5) / (n1 + n0 + 1)
+    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    best = np.lexsort((seen, -np.abs(z)))[:size]
+    return seen[best], z[best]
+
+
+def severity_grades(texts: list[str], toxic: np.ndarray, lexicon: set[int], grades: int = GRADES) -> np.ndarray:
     """Labels say toxic or not; toxic rows are graded 1 on by quantiles of the share of lexicon words in the text."""
-    share = np.array([np.mean([w in lexicon for w in words(t)] or [0.0]) for t in texts])
+    share = np.array([np.mean([crc32(w) & (SPACE - 1) in lexicon for w in words(t)] or [0.0]) if x else 0.0 for t, x in zip(texts, toxic)])
     out = np.zeros(len(texts), int)
     if toxic.any():
         cuts = np.quantile(share[toxic == 1], [k / (grades - 1) for k in range(1, grades - 1)])
@@ -81,13 +82,14 @@ def severity_grades(texts: list[str], toxic: np.ndarray, lexicon: set[bytes], gr
     return out
 
 
-def fit_ordinal(rows: list[set[bytes]], grades: np.ndarray, vocabulary: list[bytes], n_grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS) -> Severity:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, vocabulary: np.ndarray, n_grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS) -> Severity:
     """Penalised maximum likelihood by gradient steps with per-parameter rates (Adam). Thresholds are the first one
     and positive gaps, so they stay in order. Deterministic."""
-    place = {f: k for k, f in enumerate(vocabulary)}
-    cells = [(i, place[f]) for i, fs in enumerate(rows) for f in fs if f in place]
-    r = np.array([c[0] for c in cells], np.int64)
-    c = np.array([c[1] for c in cells], np.int64)
+    place = np.full(SPACE, -1, np.int32)
+    place[vocabulary] = np.arange(len(vocabulary))
+    kept = [(p := place[fs])[p >= 0] for fs in rows]
+    r = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
+    c = np.concatenate([*kept, np.zeros(0, np.int32)]).astype(np.int64)
     n, m, k = len(rows), len(vocabulary), n_grades - 1
     share = np.array([max((grades >= j).mean(), 1e-3) for j in range(1, n_grades)]) if n else np.full(k, 0.01)
     start = np.log((1 - np.minimum(share, 0.999)) / np.minimum(share, 0.999))
@@ -110,18 +112,19 @@ def fit_ordinal(rows: list[set[bytes]], grades: np.ndarray, vocabulary: list[byt
         grad = np.concatenate([np.bincount(c, g_eta[r], m) / n + penalty * w / max(1, np.sqrt(m) / 16), [g_th.sum()], g_gap])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         p = p - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    weights = {f: float(p[j]) for f, j in place.items() if abs(p[j]) > 1e-4}
+    weights = {int(f): float(x) for f, x in zip(vocabulary, p) if abs(x) > 1e-4}
     return Severity(weights, p[m] + np.concatenate([[0], np.cumsum(np.exp(p[m + 1 :]))]))
 
 
 def fit_severity(sample: list[tuple[int, str, int]], size: int = FEATURES, n_grades: int = GRADES) -> Severity:
     """Fit on (id, text, toxic 0 or 1) rows. Without toxic rows every score is near 0."""
-    rows = [features({*words(t)}) for _, t, _ in sample]
+    rows = [np.fromiter(features(words(t)), np.int32) for _, t, _ in sample]
     toxic = np.array([x for _, _, x in sample], int)
-    ranked = association(rows, toxic, size)
-    lexicon = {f for f, z in ranked if z > 4 and not f.startswith(b"-")}
+    vocabulary, z = association(rows, toxic, size)
+    whole_words = {crc32(w) & (SPACE - 1) for _, t, x in sample if x for w in words(t)}
+    lexicon = {f for f, score in zip(vocabulary.tolist(), z.tolist()) if score > 4} & whole_words
     grades = severity_grades([t for _, t, _ in sample], toxic, lexicon, n_grades)
-    return fit_ordinal(rows, grades, [f for f, _ in ranked], n_grades)
+    return fit_ordinal(rows, grades, vocabulary, n_grades)
 
 
 def score_severity(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, id: str = "doc_id", text: str = "text") -> DataFrame:
