@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -233,3 +235,337 @@ def _moved(steps: int) -> str:
 )
 def single_step_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.single_step(user_scores(spark, sf_dir), ["series"], ALPHA, 4, False, 0.05, 20).select(*THR)
+
+
+# Metrics and summaries -------------------------------------------------------------------------------------------
+
+from calibrant.operators import folds as fd  # noqa: E402
+from calibrant.operators import reports as rp  # noqa: E402
+from calibrant.plans import evaluate as ev  # noqa: E402
+
+_IV = f"{sql.scored('user', 'abs')}, {sql.split_thr()}, {sql.bounded('abs')}, {sql.marked()}"
+_NATIVE = f"{sql.panel('user')}, nt AS (SELECT *, q10 AS lo, q90 AS hi FROM panel WHERE split = 'test'), {sql.marked('nt', name='mk')}"
+_JOINT_COVERAGE = "jc AS (SELECT avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY series, w))"
+
+
+def split_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.marks(interval(cp.split_cp(user_scores(spark, sf_dir), KEYS, ALPHA), "abs"), ALPHA)
+
+
+@register("native_metrics", f"WITH {_NATIVE}, {sql.horizon_metrics()} SELECT h, {sql.rounded('coverage, avg_width, winkler_score')} FROM mh")
+def native_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.by_horizon(mt.marks(mt.native(ps.user_panel(spark, sf_dir), ALPHA), ALPHA)).drop("frac_infinite")
+
+
+@register("native_metrics_missing", f"WITH {sql.panel('hourly')}, nt AS (SELECT *, q10 AS lo, q90 AS hi FROM panel WHERE split = 'test'), {sql.marked('nt', name='mk')}, {sql.horizon_metrics()} SELECT h, {sql.rounded('coverage, avg_width, winkler_score')} FROM mh")
+def native_metrics_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.by_horizon(mt.marks(mt.native(ps.hourly_panel(spark, sf_dir), ALPHA), ALPHA)).drop("frac_infinite")
+
+
+@register("metrics_by_horizon", f"WITH {_IV}, {sql.horizon_metrics()} SELECT h, {sql.rounded('coverage, avg_width, winkler_score')} FROM mh")
+def metrics_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.by_horizon(split_intervals(spark, sf_dir)).drop("frac_infinite")
+
+
+@register("joint_coverage", f"WITH {_IV}, {_JOINT_COVERAGE} SELECT round(joint_coverage, 6) AS joint_coverage FROM jc")
+def joint_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.joint_coverage(split_intervals(spark, sf_dir))
+
+
+@register("winkler", f"WITH {_IV} SELECT series, w, h, {sql.rounded('covered, width, winkler')} FROM mk")
+def winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_intervals(spark, sf_dir).select("series", "w", "h", "covered", "width", "winkler")
+
+
+@register("rolling_metrics", f"WITH {_IV} SELECT series, w, h, round(avg(covered) OVER f, 6) AS rolling_coverage, round(avg(width) OVER f, 6) AS rolling_width FROM mk WINDOW f AS (PARTITION BY series, h ORDER BY w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.rolling(split_intervals(spark, sf_dir), KEYS, size=5).select("series", "w", "h", "rolling_coverage", "rolling_width")
+
+
+@register("burnin", f"WITH {_IV}, bi AS (SELECT * FROM mk QUALIFY row_number() OVER (PARTITION BY series, h ORDER BY w) > 2), {sql.horizon_metrics('bi')} SELECT h, {sql.rounded('coverage, avg_width, winkler_score')} FROM mh")
+def burnin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.by_horizon(mt.burn_in(split_intervals(spark, sf_dir), KEYS, 2)).drop("frac_infinite")
+
+
+_COMPARE = f"""{sql.scored("user", "abs")}, {sql.split_thr()},
+    fr AS (SELECT *, list_sort(list(s) OVER (PARTITION BY series, h ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS xs FROM scored),
+    iv AS (SELECT 'Native' AS method, series, w, h, y, q10 AS lo, q90 AS hi FROM base WHERE split = 'test'
+        UNION ALL SELECT 'SplitCP', series, w, h, y, yhat - thr, yhat + thr FROM thr
+        UNION ALL SELECT 'TrailingWindow', series, w, h, y, yhat - {sql.quantile("xs", ALPHA, False)}, yhat + {sql.quantile("xs", ALPHA, False)} FROM fr WHERE split = 'test'),
+    {sql.marked()}, {sql.horizon_metrics(by="method")},
+    jc AS (SELECT method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY method),
+    su AS (SELECT method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY method),
+    nv AS (SELECT avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
+    SELECT method, {sql.rounded("coverage, avg_width, winkler_score, joint_coverage")}, round(avg_width / CASE WHEN nw > 1e-8 THEN nw ELSE 1 END, 6) AS scaled_width, round(winkler_score / CASE WHEN nk > 1e-8 THEN nk ELSE 1 END, 6) AS scaled_winkler
+    FROM su JOIN jc USING (method), nv"""
+
+
+@register("compare_methods", f"WITH {_COMPARE}")
+def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.run(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("SplitCP", "TrailingWindow"), window=20))
+
+
+_WEEKLY = f"""{sql.scored("weekly", "abs")}, {sql.split_thr()},
+    iv AS (SELECT 'Native' AS method, series, w, h, y, q10 AS lo, q90 AS hi FROM base WHERE split = 'test' UNION ALL SELECT 'SplitCP', series, w, h, y, yhat - thr, yhat + thr FROM thr),
+    {sql.marked()}, {sql.horizon_metrics(by="method")},
+    jc AS (SELECT method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY method),
+    su AS (SELECT method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY method),
+    nv AS (SELECT avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
+    SELECT method, {sql.rounded("coverage, avg_width, winkler_score, joint_coverage", 3)}, round(avg_width / nw, 3) AS scaled_width, round(winkler_score / nk, 3) AS scaled_winkler FROM su JOIN jc USING (method), nv"""
+
+
+@register("summary_scaled", f"WITH {_WEEKLY}", digits=3)
+def summary_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: weekly revenue of nations, split conformal intervals against the forecast's own."""
+    return ev.run(ps.weekly_panel(spark, sf_dir), ev.EvalConfig(methods=("SplitCP",)))
+
+
+# Cross-sectional and joint methods -------------------------------------------------------------------------------
+
+
+def _series(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names in the order of a stable hash: what the seeded permutation is applied to."""
+    return [r[0] for r in ps.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("s")).distinct().orderBy(F.md5("s")).collect()]
+
+
+@register("kfold_splitcp", f"""WITH {sql.scored("user", "abs")}, fl AS (SELECT series, (row_number() OVER (ORDER BY md5(series)) - 1) % 5 AS fold FROM (SELECT DISTINCT series FROM base)),
+    p AS (SELECT scored.*, fold FROM scored JOIN fl USING (series)), t AS (SELECT g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT DISTINCT fold FROM fl) g ON g.fold <> p.fold GROUP BY g.fold, h)
+    SELECT series, w, p.h, CAST(p.fold AS INT) AS fold, round({sql.quantile("xs", ALPHA)}, 6) AS thr FROM p JOIN t ON p.fold = t.fold AND p.h = t.h""")
+def kfold_splitcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_scores(spark, sf_dir)
+    names = [r[0] for r in rows.select("series").distinct().orderBy(F.md5("series")).collect()]
+    dealt = spark.createDataFrame([(s, i % 5) for i, s in enumerate(names)], "series string, fold int")
+    return fd.split_cp_folds(rows, dealt, ALPHA, 5).select("series", "w", "h", "fold", "thr")
+
+
+@register("kfold_shuffled")
+def kfold_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded shuffle's folds; no SQL has its generator."""
+    names = _series(spark, sf_dir)
+    n = fd.fold_count(ps.USER["cal"], 12, len(names))
+    return fd.split_cp_folds(user_scores(spark, sf_dir), fd.kfold(spark, names, n), ALPHA, n).select("series", "w", "h", "fold", "thr")
+
+
+@register("covariate_strategy", f"WITH {sql.panel('hourly')} SELECT series, count(*) AS n FROM panel WHERE series = (SELECT min(series) FROM panel) GROUP BY series")
+def covariate_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fd.chosen_series(ps.hourly_panel(spark, sf_dir), "targets_only").groupBy("series").agg(F.count("*").alias("n"))
+
+
+_R = f"{sql.panel('user')}, r AS (SELECT *, abs(y - yhat) AS r FROM panel), cal AS (SELECT * FROM r WHERE split = 'cal')"
+
+
+@register("joint_cfrnn", f"WITH {_R}, x AS (SELECT h, list_sort(list(r)) AS xs FROM cal GROUP BY h) SELECT h, round({sql.quantile('xs', ALPHA / 4)}, 6) AS radius FROM x")
+def joint_cfrnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jp.joint_cfrnn(ps.user_panel(spark, sf_dir), ALPHA, 4)
+
+
+@register("normmax", f"""WITH {_R}, sg AS (SELECT h, CASE WHEN avg(r) >= 1e-8 THEN avg(r) ELSE 1 END AS sigma FROM cal GROUP BY h),
+    m AS (SELECT list_sort(list(m)) AS xs FROM (SELECT max(r / sigma) AS m FROM cal JOIN sg USING (h) GROUP BY series, w)) SELECT h, round(sigma * {sql.quantile("xs", ALPHA)}, 6) AS radius FROM sg, m""")
+def normmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jp.norm_max(ps.user_panel(spark, sf_dir), ALPHA)
+
+
+@register("copula_bisect", f"""WITH {_R}, po AS (SELECT series, w, row_number() OVER (ORDER BY w, series) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT series, w FROM cal)),
+    lo AS (SELECT cal.*, pos, n FROM cal JOIN po USING (series, w)), e AS (SELECT h, list_sort(list(r)) AS es FROM lo WHERE pos < floor(0.6 * n) GROUP BY h),
+    u AS (SELECT pos, max(len(list_filter(es, lambda x: x <= r)) / len(es)) AS u FROM lo JOIN e USING (h) WHERE pos >= floor(0.6 * n) GROUP BY pos, n),
+    th AS (SELECT list_sort(list(u))[CAST(ceil(count(*) * 0.8::DOUBLE) AS INT)] AS theta FROM u),
+    k AS (SELECT h, es, theta * (len(es) - 1) AS pos FROM e, th)
+    SELECT h, round(es[1 + CAST(floor(pos) AS INT)] + (es[least(2 + CAST(floor(pos) AS INT), len(es))] - es[1 + CAST(floor(pos) AS INT)]) * (pos - floor(pos)), 6) AS radius FROM k""")
+def copula_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jp.copula_bisection(ps.user_panel(spark, sf_dir), ALPHA)
+
+
+@register("joint_metrics", f"""WITH {_R}, x AS (SELECT h, list_sort(list(r)) AS xs FROM cal GROUP BY h), rad AS (SELECT h, {sql.quantile('xs', ALPHA / 4)} AS radius FROM x),
+    iv AS (SELECT p.*, yhat - radius AS lo, yhat + radius AS hi FROM panel p JOIN rad USING (h) WHERE split = 'test'), {sql.marked()}, {_JOINT_COVERAGE}, {sql.horizon_metrics()}
+    SELECT round(avg(coverage), 6) AS coverage, round(avg(avg_width), 6) AS avg_width, round(avg(winkler_score), 6) AS winkler_score, round(any_value(joint_coverage), 6) AS joint_coverage FROM mh, jc""")
+def joint_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = ps.user_panel(spark, sf_dir)
+    marked = mt.marks(jp.with_radii(panel, jp.joint_cfrnn(panel, ALPHA, 4)), ALPHA).withColumn("method", F.lit("JointCFRNN"))
+    return mt.summary(marked, ["method"]).drop("method")
+
+
+@register("cafht_aci")
+def cafht_aci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jp.cafht(ps.user_panel(spark, sf_dir), ALPHA, ps.USER["cal"])
+
+
+@register("cafht_pid")
+def cafht_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jp.cafht(ps.user_panel(spark, sf_dir), ALPHA, ps.USER["cal"], jp.pid_path)
+
+
+# Reports ---------------------------------------------------------------------------------------------------------
+
+_RES = f"""{sql.panel("user")}, nseries AS (SELECT 't' || CAST(CAST(series AS INT) % 4 AS VARCHAR) AS task, count(DISTINCT series) AS n_series FROM panel GROUP BY 1),
+    mo AS (SELECT 'mean' AS model, series, w, h, y, yhat AS p, q10, q90, split FROM panel UNION ALL SELECT 'median', series, w, h, y, q50, q10, q90, split FROM panel),
+    ms AS (SELECT *, abs(y - p) AS s, 't' || CAST(CAST(series AS INT) % 4 AS VARCHAR) AS task FROM mo),
+    mf AS (SELECT *, list_sort(list(s) FILTER (WHERE split = 'cal') OVER (PARTITION BY model, series, h)) AS cal, list_sort(list(s) OVER (PARTITION BY model, series, h ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS past FROM ms),
+    mt AS (SELECT *, {sql.quantile("cal", ALPHA)} AS a, {sql.quantile("cal", ALPHA / 4)} AS b, {sql.quantile("past", ALPHA, False)} AS c FROM mf WHERE split = 'test'),
+    iv AS (SELECT task, model, 'Native' AS method, series, w, h, y, q10 AS lo, q90 AS hi FROM mt UNION ALL SELECT task, model, 'SplitCP', series, w, h, y, p - a, p + a FROM mt
+        UNION ALL SELECT task, model, 'CFRNN', series, w, h, y, p - b, p + b FROM mt UNION ALL SELECT task, model, 'TrailingWindow', series, w, h, y, p - c, p + c FROM mt),
+    {sql.marked()}, {sql.horizon_metrics(by="task, model, method")},
+    jc AS (SELECT task, model, method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT task, model, method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY ALL),
+    res AS (SELECT task, model, method, avg(coverage) AS coverage, any_value(joint_coverage) AS joint_coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score, any_value(n_series) AS n_series
+        FROM mh JOIN jc USING (task, model, method) JOIN nseries USING (task) GROUP BY task, model, method)"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.results(ps.user_panel(spark, sf_dir), ALPHA)
+
+
+def report(name: str, query: str, digits: int = 6) -> Callable[[Callable[[DataFrame], DataFrame]], None]:
+    def add(f: Callable[[DataFrame], DataFrame]) -> None:
+        register(name, f"WITH {_RES} {query}", digits)(lambda spark, sf_dir: f(results(spark, sf_dir)))
+
+    return add
+
+
+_M = "coverage, joint_coverage, avg_width, winkler_score"
+report("results", f"SELECT task, model, method, {sql.rounded(_M)}, n_series FROM res")(lambda r: r)
+report("rollup_mean_median", "SELECT model, method, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(median({m}), 6) AS {m}_median" for m in _M.split(", ")) + ", CAST(sum(n_series) AS BIGINT) AS n_series FROM res GROUP BY model, method")(lambda r: rp.mean_median(r, ["model", "method"]))
+report("series_weighted", "SELECT model, method, " + ", ".join(f"round(sum({m} * n_series) / sum(n_series), 6) AS {m}" for m in _M.split(", ")) + " FROM res GROUP BY model, method")(lambda r: rp.series_weighted(r, ["model", "method"], rp.METRICS))
+report("weighted_median", "SELECT model, method, round(min(avg_width) FILTER (WHERE run >= total / 2), 6) AS avg_width FROM (SELECT *, sum(n_series) OVER (PARTITION BY model, method ORDER BY avg_width) AS run, sum(n_series) OVER (PARTITION BY model, method) AS total FROM res) GROUP BY model, method")(lambda r: rp.weighted_median(r, ["model", "method"], "avg_width", "n_series"))
+report("best_method", "SELECT task, model, arg_min(method, {'m': winkler_score, 'n': method}) AS method, round(min(winkler_score), 6) AS winkler_score FROM res GROUP BY task, model")(lambda r: rp.best(r, ["task", "model"]))
+report("closest_coverage", "SELECT task, model, arg_min(method, {'m': round(abs(coverage - 0.8::DOUBLE), 9), 'n': method}) AS method, round(min(abs(coverage - 0.8::DOUBLE)), 6) AS gap FROM res GROUP BY task, model")(lambda r: rp.closest(r, ["task", "model"], 0.8))
+report("top5", "SELECT model, task, method, round(winkler_score, 6) AS winkler_score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(winkler_score, 9), method || task) AS rank FROM res) WHERE rank <= 5")(lambda r: rp.top(r.withColumn("k", F.concat("method", "task")).withColumn("o", F.round("winkler_score", 9)), ["model"], "o", 5, tie="k").select("model", "task", "method", "winkler_score", "rank"))
+report("relational_division", "SELECT task, count(*) AS n FROM res WHERE task IN (SELECT task FROM res GROUP BY task HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM res)) GROUP BY task")(lambda r: rp.with_all(r, "task", "model").groupBy("task").agg(F.count("*").alias("n")))
+report("cross_model_width", "SELECT task, model, method, round(avg_width / nullif(avg(avg_width) FILTER (WHERE method = 'Native') OVER (PARTITION BY task), 0), 6) AS width_ratio FROM res")(lambda r: rp.normalised_width(r).select("task", "model", "method", "width_ratio"))
+report("coverage_deviation", "SELECT model, method, round(sum(abs(coverage - 0.8::DOUBLE) * n_series) / sum(n_series), 6) AS deviation FROM res GROUP BY model, method")(lambda r: rp.coverage_deviation(r, ["model", "method"], 0.8))
+report("horizon_category", "SELECT CASE WHEN n_series <= 30 THEN 'short' WHEN n_series <= 90 THEN 'medium' ELSE 'long' END AS category, count(*) AS n FROM res GROUP BY 1")(lambda r: r.groupBy(rp.horizon_category("n_series").alias("category")).agg(F.count("*").alias("n")))
+report("union_padded", "SELECT task, method, round(coverage, 6) AS coverage, NULL::DOUBLE AS avg_width FROM res WHERE model = 'mean' UNION ALL SELECT task, method, NULL, round(avg_width, 6) FROM res WHERE model = 'median'")(lambda r: rp.union_padded([r.where("model = 'mean'").select("task", "method", "coverage"), r.where("model = 'median'").select("task", "method", "avg_width")]))
+report("totals_cube", f"SELECT model, method, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _M.split(', '))} FROM res GROUP BY CUBE (model, method)")(lambda r: rp.totals(r))
+report("filter_search", f"SELECT task, model, method, round(coverage, 6) AS coverage FROM res WHERE model = 'mean' AND coverage >= 0.5 AND (lower(task) LIKE '%split%' OR lower(model) LIKE '%split%' OR lower(method) LIKE '%split%')")(lambda r: rp.filtered(r, "Split", ("task", "model", "method"), model="mean", coverage__ge=0.5).select("task", "model", "method", "coverage"))
+report("page", "SELECT task, model, method FROM res ORDER BY task || model || method NULLS LAST LIMIT 7 OFFSET 7")(lambda r: rp.page(r.withColumn("k", F.concat("task", "model", "method")), "k", 2, 7, "method").select("task", "model", "method"))
+report("distinct_values", "SELECT count(DISTINCT task) AS tasks, count(DISTINCT model) AS models, count(DISTINCT method) AS methods FROM res")(lambda r: r.agg(*[F.countDistinct(c).alias(f"{c}s") for c in ("task", "model", "method")]))
+report("metadata_join", "SELECT task, model, method, n_series, n_series * 2 AS n_series_meta FROM res")(lambda r: rp.with_metadata(r.select("task", "model", "method", "n_series"), r.select("task", (F.col("n_series") * 2).alias("n_series")).distinct()))
+report("prefer_summary", "SELECT task, model, method, round(coalesce(CASE WHEN coverage > 0.8 THEN coverage END, m), 6) AS coverage FROM res JOIN (SELECT method, avg(coverage) AS m FROM res GROUP BY method) USING (method)")(lambda r: rp.prefer_summary(r.withColumn("coverage", F.when(F.col("coverage") > 0.8, F.col("coverage"))), r.groupBy("method").agg(F.avg("coverage").alias("coverage")), ["method"], ("coverage",)).select("task", "model", "method", "coverage"))
+
+
+@register("param_grid", "SELECT a.alpha, s.score, c.cal FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) a(alpha), (VALUES ('abs'), ('cqr')) s(score), (VALUES (5::BIGINT), (10::BIGINT)) c(cal)")
+def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.grid(spark, alpha=[0.1, 0.2], score=["abs", "cqr"], cal=[5, 10])
+
+
+# NumPy kernels ---------------------------------------------------------------------------------------------------
+
+from calibrant.operators import kernels as kn  # noqa: E402
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ps.user_panel(spark, sf_dir).withColumn("e", F.col("y") - F.col("yhat"))
+
+
+@register("agaci")
+def agaci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.online(user_scores(spark, sf_dir), KEYS, ALPHA, ("AgACI",), size=20)
+
+
+@register("dtaci")
+def dtaci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.online(user_scores(spark, sf_dir), KEYS, ALPHA, ("DtACI",), size=20)
+
+
+@register("adaptive_cqr_kernels")
+def adaptive_cqr_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.online(user_scores(spark, sf_dir, "cqr"), KEYS, ALPHA, ("AgACI", "DtACI"), size=20, options={"DtACI": {"mean": True}})
+
+
+@register("spci_short")
+def spci_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.spci_bounds(_errors(spark, sf_dir), KEYS, ALPHA, w=100)
+
+
+@register("spci_forest")
+def spci_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.spci_bounds(_errors(spark, sf_dir).where("h = 0"), KEYS, ALPHA, w=5, bins=5)
+
+
+@register("acmcp")
+def acmcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.acmcp_bounds(_errors(spark, sf_dir), ["series"], ALPHA)
+
+
+@register("copula_adam")
+def copula_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.copula_radii(ps.user_panel(spark, sf_dir), ALPHA)
+
+
+# Sources, splits, forecasters and streams ------------------------------------------------------------------------
+
+from calibrant.functions import forecasters as fc  # noqa: E402
+from calibrant.sources import datasets as dt  # noqa: E402
+from calibrant.streaming.online import online_aci, run_available  # noqa: E402
+
+_USER_ARRAYS = "SELECT CAST(user_id AS VARCHAR) AS item_id, min(ts) AS start, list(value ORDER BY ts, event_id) AS target FROM events GROUP BY user_id"
+
+
+def user_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw dataset: a row per user with all values in order."""
+    ev_ = ps.table(spark, sf_dir, "events")
+    target = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
+    return ev_.groupBy("user_id").agg(F.min("ts").alias("start"), target.alias("target")).select(F.col("user_id").cast("string").alias("item_id"), "start", F.lit("H").alias("freq"), "target")
+
+
+@register("to_long_explode", f"WITH a AS ({_USER_ARRAYS}), e AS (SELECT item_id, start, target, unnest(range(1, len(target) + 1)) AS t FROM a) SELECT item_id AS series, CAST(t AS INT) AS t, start + to_hours(CAST(t - 1 AS INT)) AS ts, round(target[t], 6) AS target FROM e")
+def to_long_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.to_long(dt.to_fev(user_arrays(spark, sf_dir), "H"))
+
+
+@register("multivariate_split", "SELECT CAST(vec_id AS VARCHAR) || '_dim' || CAST(k AS VARCHAR) AS item_id, [CAST(embedding[k + 1] AS DOUBLE)] AS target FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS k FROM embeddings)")
+def multivariate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = ps.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("item_id"), F.transform("embedding", lambda v: F.array(v.cast("double"))).alias("target"))
+    return dt.univariate(raw)
+
+
+@register("rolling_split", f"WITH a AS ({_USER_ARRAYS}), w AS (SELECT item_id, target, unnest(range(0, 3)) AS w FROM a) SELECT item_id, CAST(w AS INT) AS w, len(target) - 4 * (3 - w) AS n_input, round(list_sum(target[len(target) - 4 * (3 - w) + 1 : len(target) - 4 * (3 - w) + 4]), 6) AS label_sum FROM w WHERE len(target) - 4 * (3 - w) > 0")
+def rolling_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, test = dt.splits(user_arrays(spark, sf_dir), 4, 3)
+    return test.select("item_id", "w", F.size("input").cast("bigint").alias("n_input"), F.aggregate("label", F.lit(0.0), lambda s, v: s + v).alias("label_sum"))
+
+
+@register("cal_test_split", f"WITH {sql.panel('user')} SELECT CASE WHEN w >= 5 THEN 'test' WHEN w >= 2 THEN 'cal' ELSE 'skip' END AS split, count(*) AS n FROM panel GROUP BY 1")
+def cal_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ps.user_panel(spark, sf_dir).groupBy(ps.split_of("w", 5, 3).alias("split")).agg(F.count("*").alias("n"))
+
+
+@register("dataset_stats", f"WITH a AS ({_USER_ARRAYS}) SELECT count(*) AS series, 1 AS dims, CAST(min(len(target)) AS INT) AS min_length, CAST(sum(len(target)) AS BIGINT) AS sum_length, 4 AS prediction_length, CAST(least(greatest(1, ceil(min(len(target)) * 0.1::DOUBLE / 4)), 20) AS INT) AS windows FROM a")
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.statistics(user_arrays(spark, sf_dir), 4)
+
+
+@register("window_count_rule", f"WITH a AS ({_USER_ARRAYS}) SELECT item_id, CAST(least(greatest(1, ceil(len(target) * 0.1::DOUBLE / 2)), 20) AS INT) AS windows FROM a")
+def window_count_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_arrays(spark, sf_dir).select("item_id", dt.window_count(F.size("target"), 2).alias("windows"))
+
+
+@register("context_truncation", f"WITH a AS ({_USER_ARRAYS}) SELECT item_id, round(list_sum(target[greatest(len(target) - 15, 1) : len(target)]), 6) AS context_sum FROM a")
+def context_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_arrays(spark, sf_dir).select("item_id", F.aggregate(dt.truncate(F.col("target"), 16), F.lit(0.0), lambda s, v: s + v).alias("context_sum"))
+
+
+def _forecast_sql(point: str) -> str:
+    return f"WITH a AS ({_USER_ARRAYS}), s AS (SELECT *, unnest(range(0, 4)) AS h, len(target) AS n FROM a) SELECT item_id, CAST(h AS INT) AS h, round({point}, 6) AS yhat FROM s"
+
+
+for _name, _point in {"last": "target[n]", "seasonal_naive": "CASE WHEN n >= 24 THEN target[n - 24 + h % 24 + 1] ELSE target[n] END", "moving_average": "list_sum(target) / n", "drift": "target[n] + (h + 1) * coalesce((target[n] - target[1]) / nullif(n - 1, 0), 0)"}.items():
+    register(f"forecast_{_name}", _forecast_sql(_point))(lambda s, d, n=_name: fc.predict(user_arrays(s, d).withColumnRenamed("target", "past"), n, 4).select("item_id", "h", "yhat"))
+
+
+@register("error_metrics", f"WITH {sql.panel('user')} SELECT h, round(sum(abs(y - yhat)) / nullif(sum(abs(y)), 0), 6) AS wape, round(sum(2 * {sql.pinball('y')}) / nullif(sum(abs(y)), 0), 6) AS wql FROM panel WHERE split = 'test' GROUP BY h")
+def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fc.error_metrics(ps.user_panel(spark, sf_dir).where("split = 'test'"), ["h"])
+
+
+def _stream(spark: SparkSession, sf_dir: str, gamma: float) -> DataFrame:
+    """Scores as a file stream, four files of windows, through the online state; the result as it was written."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calibrant-")).rstrip("/")
+    base = f"{base}/stream-{uuid.uuid4().hex[:12]}"
+    scores = user_scores(spark, sf_dir).where("h = 0").select("series", F.col("w").cast("bigint").alias("w"), "s")
+    scores.repartition(4, "w").write.parquet(f"{base}/in")
+    source = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 100).parquet(f"{base}/in")
+    out = online_aci(source, ["series"], ALPHA, gamma, 20, test_from=ps.USER["cal"])
+    return run_available(out, f"{base}/out", f"{base}/state").select("series", F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
+
+
+for _name, _gamma in {"stream_aci": 0.05, "stream_trailing": 0.0}.items():
+    register(_name, _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t") + " WHERE h = 0")(lambda s, d, g=_gamma: _stream(s, d, g))
