@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibrant.llm.common import in_batches
+
 # Fixed value: the public byte-level pre-tokeniser pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -244,7 +246,7 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, text: str = "text", keys: t
                     [*(part.column(k) for k in keys), *(pa.array([m[o] for m in made], OUTPUTS[o]) for o in outputs)], names=[*keys, *outputs]
                 )
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows).mapInArrow(run, schema)
 
 
 def decode_bpe(tokens: DataFrame, tokenizer_path: str, ids: str = "token_ids", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

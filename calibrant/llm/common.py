@@ -13,6 +13,8 @@ LOWER = UPPER.lower()
 
 #: Ids that may be broadcast at once; 16 MB as longs. Beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
+#: Rows with whole texts that pass to Python at once.
+ARROW_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def in_batches(rows: DataFrame) -> DataFrame:
+    """rows, with the session's Arrow batches held to ARROW_ROWS rows: whole texts pass through both the JVM's and
+    Python's buffers, whose size is that of a batch."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return rows
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import ascii_lower, stored, with_ids
+from calibrant.llm.common import ascii_lower, in_batches, stored, with_ids
 
 MEMTABLE_ROWS = 16_384
 MEMTABLE_BYTES = 32 << 20
@@ -214,7 +214,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: s
     last = -(1 << 63) if largest else (1 << 63) - 1  # stands for a null id
     rows = docs.select(F.coalesce(docs[id].cast("bigint"), F.lit(last)).alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     runs = stored(
-        rows.mapInArrow(lambda b: memtables(b, largest), RUN_SCHEMA),
+        in_batches(rows).mapInArrow(lambda b: memtables(b, largest), RUN_SCHEMA),
         "dedup-runs",
     )
     reps = runs.where("is_rep").select("digest", "rep_id", "n")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from calibrant.llm.common import BROADCAST_IDS, stored, with_ids
+from calibrant.llm.common import BROADCAST_IDS, in_batches, stored, with_ids
 from calibrant.llm.components import components
 
 K = 64
@@ -66,10 +66,10 @@ def _sketches(rows: DataFrame, words: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (shingle_hashes(t.as_buffer().to_pybytes(), words) for t in batch.column("text"))
-            made = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[:k]) for s in sets]
+            made = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[:k].copy()) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, sig binary, sketch array<bigint>")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, n bigint, sig binary, sketch array<bigint>")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -79,7 +79,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(start, 500)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_hashes(t.as_buffer().to_pybytes(), words) for t in part.column("text")], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return rows.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import labelled_sample, learning_rows
+from calibrant.llm.common import in_batches, labelled_sample, learning_rows
 
 SAMPLE_ROWS = 6_000
 AXES = 48
@@ -140,7 +140,7 @@ def score_quality(docs: DataFrame, model: Neighbours, predict_at: float = PREDIC
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= predict_at).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(docs[id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "quality", where: Column | None = None) -> DataFrame:

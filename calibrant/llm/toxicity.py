@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import labelled_sample
+from calibrant.llm.common import in_batches, labelled_sample
 
 TRAIN_ROWS = 12_000
 FEATURES = 8_192
@@ -144,7 +144,7 @@ def score_severity(docs: DataFrame, model: Severity, reject_at: float = REJECT_A
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     rows = docs.select(docs[id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
+    return in_batches(rows).mapInArrow(run, "doc_id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, text: str = "text") -> DataFrame:
@@ -156,7 +156,7 @@ def drop_toxic(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, t
         for batch in batches:
             yield batch.filter(pa.array([m.at_least(t.as_py() or "")[0] < reject_at for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where: Column | None = None, label: str = "toxic") -> DataFrame:

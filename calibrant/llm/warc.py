@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import BROADCAST_IDS, shared_path, stored
+from calibrant.llm.common import BROADCAST_IDS, in_batches, shared_path, stored
 
 ARCHIVE_BYTES = 64 << 20
 #: Ranges closer than GAP are read at once, up to SPAN bytes.
@@ -126,7 +126,7 @@ def write_warc(pages: DataFrame, id: str = "page_id", url: str = "url", payload:
         if out is not None:
             out.close()
 
-    return stored(marked.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(write, INDEX_SQL), "warc-index")
+    return stored(in_batches(marked.select("page_id", "url", "payload", "sha1", "refers_to")).mapInArrow(write, INDEX_SQL), "warc-index")
 
 
 def ranges(records: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, int, int]]:
