@@ -434,7 +434,7 @@ report("coverage_deviation", "SELECT model, method, round(sum(abs(coverage - 0.8
 report("horizon_category", "SELECT CASE WHEN n_series <= 30 THEN 'short' WHEN n_series <= 90 THEN 'medium' ELSE 'long' END AS category, count(*) AS n FROM res GROUP BY 1")(lambda r: r.groupBy(rp.horizon_category("n_series").alias("category")).agg(F.count("*").alias("n")))
 report("union_padded", "SELECT task, method, round(coverage, 6) AS coverage, NULL::DOUBLE AS avg_width FROM res WHERE model = 'mean' UNION ALL SELECT task, method, NULL, round(avg_width, 6) FROM res WHERE model = 'median'")(lambda r: rp.union_padded([r.where("model = 'mean'").select("task", "method", "coverage"), r.where("model = 'median'").select("task", "method", "avg_width")]))
 report("totals_cube", f"SELECT model, method, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _M.split(', '))} FROM res GROUP BY CUBE (model, method)")(lambda r: rp.totals(r))
-report("filter_search", f"SELECT task, model, method, round(coverage, 6) AS coverage FROM res WHERE model = 'mean' AND coverage >= 0.5 AND (lower(task) LIKE '%split%' OR lower(model) LIKE '%split%' OR lower(method) LIKE '%split%')")(lambda r: rp.filtered(r, "Split", ("task", "model", "method"), model="mean", coverage__ge=0.5).select("task", "model", "method", "coverage"))
+report("filter_search", f"SELECT task, model, method, round(coverage, 6) AS coverage FROM res WHERE task IN ('t0', 't1') AND coverage >= 0.5 AND (lower(task) LIKE '%split%' OR lower(model) LIKE '%split%' OR lower(method) LIKE '%split%')")(lambda r: rp.filtered(r, "Split", ("task", "model", "method"), task=("t0", "t1"), coverage__ge=0.5).select("task", "model", "method", "coverage"))
 report("page", "SELECT task, model, method FROM res ORDER BY task || model || method NULLS LAST LIMIT 7 OFFSET 7")(lambda r: rp.page(r.withColumn("k", F.concat("task", "model", "method")), "k", 2, 7, "method").select("task", "model", "method"))
 report("distinct_values", "SELECT count(DISTINCT task) AS tasks, count(DISTINCT model) AS models, count(DISTINCT method) AS methods FROM res")(lambda r: r.agg(*[F.countDistinct(c).alias(f"{c}s") for c in ("task", "model", "method")]))
 report("metadata_join", "SELECT task, model, method, n_series, n_series * 2 AS n_series_meta FROM res")(lambda r: rp.with_metadata(r.select("task", "model", "method", "n_series"), r.select("task", (F.col("n_series") * 2).alias("n_series")).distinct()))

@@ -6,12 +6,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from calibrant.functions.scores import slug
 from calibrant.functions.stats import FIELDS, LEVELS
 
-PANEL = T.StructType.fromDDL("task string, model string, series string, w int, h int, y double, yhat double, q struct<" + ", ".join(f"{f}: double" for f in FIELDS) + ">, split string")
+PANEL = ("task string, model string, series string, w int, h int, y double, yhat double, q struct<" + ", ".join(f"{f}: double" for f in FIELDS) + ">, split string")
 RESERVED = ("predictions", "target", "item_id", "id", "timestamp", "start", "freq", "series", "w")
 
 
