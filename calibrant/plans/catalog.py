@@ -434,7 +434,7 @@ report("coverage_deviation", "SELECT model, method, round(sum(abs(coverage - 0.8
 report("horizon_category", "SELECT CASE WHEN n_series <= 30 THEN 'short' WHEN n_series <= 90 THEN 'medium' ELSE 'long' END AS category, count(*) AS n FROM res GROUP BY 1")(lambda r: r.groupBy(rp.horizon_category("n_series").alias("category")).agg(F.count("*").alias("n")))
 report("union_padded", "SELECT task, method, round(coverage, 6) AS coverage, NULL::DOUBLE AS avg_width FROM res WHERE model = 'mean' UNION ALL SELECT task, method, NULL, round(avg_width, 6) FROM res WHERE model = 'median'")(lambda r: rp.union_padded([r.where("model = 'mean'").select("task", "method", "coverage"), r.where("model = 'median'").select("task", "method", "avg_width")]))
 report("totals_cube", f"SELECT model, method, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _M.split(', '))} FROM res GROUP BY CUBE (model, method)")(lambda r: rp.totals(r))
-report("filter_search", f"SELECT task, model, method, round(coverage, 6) AS coverage FROM res WHERE task IN ('t0', 't1') AND coverage >= 0.5 AND (lower(task) LIKE '%split%' OR lower(model) LIKE '%split%' OR lower(method) LIKE '%split%')")(lambda r: rp.filtered(r, "Split", ("task", "model", "method"), task=("t0", "t1"), coverage__ge=0.5).select("task", "model", "method", "coverage"))
+report("filter_rows", "SELECT task, model, method, round(coverage, 6) AS coverage FROM res WHERE task IN ('t0', 't1') AND coverage >= 0.5")(lambda r: rp.filtered(r, task=("t0", "t1"), coverage__ge=0.5).select("task", "model", "method", "coverage"))
 report("page", "SELECT task, model, method FROM res ORDER BY task || model || method NULLS LAST LIMIT 7 OFFSET 7")(lambda r: rp.page(r.withColumn("k", F.concat("task", "model", "method")), "k", 2, 7, "method").select("task", "model", "method"))
 report("distinct_values", "SELECT count(DISTINCT task) AS tasks, count(DISTINCT model) AS models, count(DISTINCT method) AS methods FROM res")(lambda r: r.agg(*[F.countDistinct(c).alias(f"{c}s") for c in ("task", "model", "method")]))
 report("metadata_join", "SELECT task, model, method, n_series, n_series * 2 AS n_series_meta FROM res")(lambda r: rp.with_metadata(r.select("task", "model", "method", "n_series"), r.select("task", (F.col("n_series") * 2).alias("n_series")).distinct()))
@@ -569,3 +569,34 @@ def _stream(spark: SparkSession, sf_dir: str, gamma: float) -> DataFrame:
 
 for _name, _gamma in {"stream_aci": 0.05, "stream_trailing": 0.0}.items():
     register(_name, _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t") + " WHERE h = 0")(lambda s, d, g=_gamma: _stream(s, d, g))
+
+
+# Runners over several methods ------------------------------------------------------------------------------------
+
+
+@register("run_kernels")
+def run_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.run(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("AgACI", "DtACI", "SPCI", "AcMCP"), window=20))
+
+
+@register("run_joint")
+def run_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=ev.JOINT), ps.USER["cal"])
+
+
+@register("joint_cv", f"""WITH {sql.scored("user", "abs")}, fl AS (SELECT series, CAST((row_number() OVER (ORDER BY md5(series)) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT series FROM base)),
+    p AS (SELECT scored.*, fold FROM scored JOIN fl USING (series)), t AS (SELECT g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT DISTINCT fold FROM fl) g ON g.fold <> p.fold GROUP BY g.fold, h),
+    iv AS (SELECT p.*, yhat - {sql.quantile("xs", ALPHA / 4)} AS lo, yhat + {sql.quantile("xs", ALPHA / 4)} AS hi FROM p JOIN t ON p.fold = t.fold AND p.h = t.h), {sql.marked()}, {sql.horizon_metrics(by="fold")},
+    jc AS (SELECT fold, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT fold, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY fold)
+    SELECT fold, round(avg(coverage), 4) AS coverage, round(avg(avg_width), 4) AS avg_width, round(avg(winkler_score), 4) AS winkler_score, round(any_value(joint_coverage), 4) AS joint_coverage FROM mh JOIN jc USING (fold) GROUP BY fold""", digits=4)
+def joint_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = ps.user_panel(spark, sf_dir)
+    names = [r[0] for r in panel.select("series").distinct().orderBy(F.md5("series")).collect()]
+    dealt = spark.createDataFrame([(s, i % 5) for i, s in enumerate(names)], "series string, fold int")
+    return ev.run_joint_folds(panel, dealt, 5, ALPHA)
+
+
+@register("pid_asym")
+def pid_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sc.scored(ps.user_panel(spark, sf_dir), "cqr", ALPHA, KEYS[:1], asymmetric=True)
+    return cp.both_tails(cp.pid, rows, KEYS, ALPHA, size=20)

@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 from calibrant.functions.scores import Score, check, resolve
 from calibrant.functions.stats import conformal_quantile
 from calibrant.operators import calibrate as cp
+from calibrant.operators import folds as fd
+from calibrant.operators import joint as jp
+from calibrant.operators import kernels as kn
 from calibrant.operators import metrics as mt
 from calibrant.operators import scales as sc
 
@@ -72,14 +75,15 @@ def classify(methods: tuple[str, ...]) -> tuple[list[str], list[str]]:
 
 
 def run(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",)) -> DataFrame:
-    """Summary of each marginal plan method and Native: coverage, joint_coverage, avg_width, winkler_score, scaled.
+    """Summary of each marginal method and Native: coverage, joint_coverage, avg_width, winkler_score, scaled.
 
-    Scores are stored once; each method is one shuffle by (keys, h). Kernel methods are in operators.kernels.
+    Each method is one shuffle by (keys, h); the kernels that follow a threshold share one pass.
     """
     by = [*keys, "h"]
     kind = Score(config.score, config.alpha)
     rows = sc.scored(panel, config.score, config.alpha, [*keys], config.asymmetric)
     parts = [mt.marks(mt.native(panel, config.alpha), config.alpha).withColumn("method", F.lit("Native"))]
+    parts += [mt.marks(p, config.alpha) for p in _by_kernels(rows, config, [*keys])]
     for name in classify(config.methods)[0]:
         if name in KERNELS:
             continue
@@ -107,30 +111,88 @@ def run(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",
     return mt.scaled(mt.summary(every, ["method"]))
 
 
+def _by_kernels(rows: DataFrame, config: EvalConfig, keys: list[str]) -> list[DataFrame]:
+    """Test rows with method, lo and hi for the kernel methods of config. AgACI and DtACI take any score; SPCI and
+    AcMCP have two tails of their own over the residual."""
+    by, alpha = [*keys, "h"], config.alpha
+    test = rows.where("split = 'test'")
+    kind = Score(config.score, alpha)
+    out = []
+    if online := tuple(m for m in config.methods if m in kn.ONLINE):
+        options = {m: config.options.get(m, {}) for m in online}
+        if config.asymmetric:
+            tails = F.inline(F.array(F.struct(F.lit("lo").alias("tail"), F.col("s_lo").alias("s")), F.struct(F.lit("up").alias("tail"), F.col("s_up").alias("s"))))
+            long = rows.select(*by, "w", "split", tails)
+            thr = kn.online(long, [*by, "tail"], alpha / 2, online, size=config.window, options=options)
+            pick = lambda t: F.max(F.when(F.col("tail") == t, F.col("thr")))
+            thr = thr.groupBy(*by, "w", "method").agg(pick("lo").alias("q_lo"), pick("up").alias("q_up"))
+        else:
+            thr = kn.online(rows, by, alpha, online, size=config.window, options=options).withColumn("q_lo", F.col("thr")).withColumn("q_up", F.col("thr"))
+        lo, hi = kind.bounds("q_lo", "q_up", config.asymmetric)
+        out.append(test.join(thr, [*by, "w"]).withColumn("lo", lo).withColumn("hi", hi))
+    errors = rows.withColumn("e", F.col("y") - F.col("yhat"))
+    if "SPCI" in config.methods:
+        got = kn.spci_bounds(errors, by, alpha, **{"w": config.window, **config.options.get("SPCI", {})})
+        out.append(test.join(got, [*by, "w"]).withColumn("lo", F.col("yhat") + F.col("q_lo")).withColumn("hi", F.col("yhat") + F.col("q_up")).withColumn("method", F.lit("SPCI")))
+    if "AcMCP" in config.methods:
+        got = kn.acmcp_bounds(errors, keys, alpha, **config.options.get("AcMCP", {}))
+        out.append(test.join(got, [*by, "w"]).withColumn("lo", F.col("yhat") - F.col("q_lo")).withColumn("hi", F.col("yhat") + F.col("q_up")).withColumn("method", F.lit("AcMCP")))
+    return out
+
+
+def run_joint(panel: DataFrame, config: EvalConfig, cal_windows: int) -> DataFrame:
+    """Summary of the joint methods of config: coverage, joint_coverage, avg_width, winkler_score by method."""
+    horizon = panel.agg(F.max("h") + 1).first()[0]
+    parts = []
+    for name in classify(config.methods)[1]:
+        if name in ("CAFHT", "CAFHT_PID"):
+            own = jp.cafht(panel, config.alpha, cal_windows, jp.pid_path if name == "CAFHT_PID" else jp.aci_path, **config.options.get(name, {}))
+            radii = own.select("series", "w", F.posexplode("radii").alias("h", "radius"))
+            rows = panel.where("split = 'test'").join(radii, ["series", "w", "h"])
+            rows = rows.withColumn("lo", F.col("yhat") - F.col("radius")).withColumn("hi", F.col("yhat") + F.col("radius"))
+        else:
+            made = {"JointCFRNN": lambda: jp.joint_cfrnn(panel, config.alpha, horizon), "NormMaxCP": lambda: jp.norm_max(panel, config.alpha), "CopulaCPTS": lambda: jp.copula_bisection(panel, config.alpha)}
+            rows = jp.with_radii(panel, made[name]())
+        parts.append(mt.marks(rows, config.alpha).select("series", "w", "h", "covered", "width", "winkler", "infinite", F.lit(name).alias("method")))
+    if not parts:
+        raise ValueError("no joint method")
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return mt.summary(every, ["method"])
+
+
+def run_joint_folds(panel: DataFrame, folds: DataFrame, n_folds: int, alpha: float) -> DataFrame:
+    """JointCFRNN across series: each fold's trajectories against the other folds' errors; one row per fold."""
+    horizon = panel.agg(F.max("h") + 1).first()[0]
+    rows = fd.split_cp_folds(panel.withColumn("s", F.abs(F.col("y") - F.col("yhat"))), folds, alpha / horizon, n_folds)
+    marked = mt.marks(rows.withColumn("lo", F.col("yhat") - F.col("thr")).withColumn("hi", F.col("yhat") + F.col("thr")), alpha)
+    return mt.summary(marked, ["fold"])
+
+
 def results(panel: DataFrame, alpha: float, tasks: int = 4, window: int = 20) -> DataFrame:
     """A result frame as reports read it: (task, model, method, coverage, joint_coverage, avg_width, winkler_score,
     n_series). Series are dealt into tasks; the models are the panel's mean and median forecasts. All methods'
-    thresholds come from one sort of each (task, model, series, h)."""
+    thresholds come from one sort of each (series, h)."""
     number = F.pmod(F.xxhash64("series"), F.lit(tasks)) if dict(panel.dtypes)["series"] != "string" else F.pmod(F.col("series").cast("int"), F.lit(tasks))
-    task = F.concat(F.lit("t"), number.cast("string")).alias("task")
-    # Not a plain literal: filters on a literal that is also a window key break the optimizer's plan.
-    of = lambda model, p: panel.select("series", "w", "h", "y", "q", "split", task, F.when(F.col("w") >= 0, F.lit(model)).alias("model"), F.col(p).alias("yhat"))
-    rows = of("mean", "yhat").union(of("median", "q.q50"))
-    rows = rows.withColumn("s", F.abs(F.col("y") - F.col("yhat")))
-    by = Window.partitionBy("task", "model", "series", "h")
-    cal = F.array_sort(F.collect_list(F.when(F.col("split") == "cal", F.col("s"))).over(by))
-    past = F.array_sort(F.collect_list("s").over(by.orderBy("w").rowsBetween(-window, -1)))
-    rows = rows.withColumn("cal", cal).withColumn("past", past).where("split = 'test'")
-    around = lambda name, q: F.struct(F.lit(name).alias("method"), (F.col("yhat") - q).alias("lo"), (F.col("yhat") + q).alias("hi"))
-    horizon = 4
-    made = F.inline(
-        F.array(
-            F.struct(F.lit("Native").alias("method"), F.col("q.q10").alias("lo"), F.col("q.q90").alias("hi")),
-            around("SplitCP", conformal_quantile(F.col("cal"), alpha)),
-            around("CFRNN", conformal_quantile(F.col("cal"), alpha / horizon)),
-            around("TrailingWindow", conformal_quantile(F.col("past"), alpha, False)),
-        )
-    )
-    each = mt.marks(rows.select("task", "model", "series", "w", "h", "y", made), alpha)
+    by = Window.partitionBy("series", "h")
+    rows = panel.select("series", "w", "h", "y", "yhat", "q", "split", F.concat(F.lit("t"), number.cast("string")).alias("task"))
+    points = {"mean": F.col("yhat"), "median": F.col("q.q50")}
+    for model, p in points.items():
+        s = F.abs(F.col("y") - p)
+        rows = rows.withColumn(f"cal_{model}", F.array_sort(F.collect_list(F.when(F.col("split") == "cal", s)).over(by)))
+        rows = rows.withColumn(f"past_{model}", F.array_sort(F.collect_list(s).over(by.orderBy("w").rowsBetween(-window, -1))))
+    rows, horizon, made = rows.where("split = 'test'"), 4, []
+    for model, p in points.items():
+        around = lambda name, q: (name, p - q, p + q)  # noqa: B023, E731
+        cal = F.col(f"cal_{model}")
+        for name, lo, hi in (
+            ("Native", F.col("q.q10"), F.col("q.q90")),
+            around("SplitCP", conformal_quantile(cal, alpha)),
+            around("CFRNN", conformal_quantile(cal, alpha / horizon)),
+            around("TrailingWindow", conformal_quantile(F.col(f"past_{model}"), alpha, False)),
+        ):
+            made.append(F.struct(F.lit(model).alias("model"), F.lit(name).alias("method"), lo.alias("lo"), hi.alias("hi")))
+    each = mt.marks(rows.select("task", "series", "w", "h", "y", F.inline(F.array(*made))), alpha)
     count = panel.select("series", F.concat(F.lit("t"), number.cast("string")).alias("task")).groupBy("task").agg(F.countDistinct("series").alias("n_series"))
     return mt.summary(each, ["task", "model", "method"]).join(F.broadcast(count), "task")

@@ -239,3 +239,15 @@ def test_run(spark, config):
     some = [r for r in rows if r["method"] != "WeightedCP"]
     assert all(0 <= r["coverage"] <= 1 and r["avg_width"] > 0 for r in some)
     assert next(r for r in rows if r["method"] == "Native")["scaled_width"] == 1
+
+
+def test_filters(spark):
+    from calibrant.operators import reports as rp
+
+    rows = spark.createDataFrame([("t1", "m", "SplitCP", 0.8), ("t2", "m", "ACI", 0.9), ("split", None, "ACI", 0.7)], "task string, model string, method string, coverage double")
+    names = lambda df: sorted(r["task"] for r in df.collect())
+    assert names(rp.filtered(rows, "SPLIT", ("task", "model", "method"))) == ["split", "t1"]
+    assert names(rp.filtered(rows, coverage__ge=0.8, coverage__le=0.85)) == ["t1"]
+    assert names(rp.filtered(rows, method="ACI", task=("t2", "t3"))) == ["t2"]
+    tidy = rp.tidy(rows.withColumn("runtime", F.lit(1.0)).withColumn("z", F.lit(0.0625)), {"alpha": 0.2}, drop=("model",))
+    assert tidy.columns == ["task", "method", "coverage", "z", "alpha", "runtime"] and tidy.first()["z"] == 0.062
