@@ -138,4 +138,24 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
         FROM k""",
+    "op4_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, ws[k : k + 3] AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m)
+        SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op8_decontamination": r"""
+        WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        w AS (SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM t),
+        win AS (SELECT DISTINCT id AS item, ws[s : s + least(len(ws), 13) - 1] AS g FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS s FROM w WHERE kind = 'i' AND len(ws) > 0)),
+        lens AS (SELECT DISTINCT len(g) AS n FROM win),
+        grams AS (SELECT id AS doc_id, s, n, ws[s : s + n - 1] AS g FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, lens WHERE kind = 'd' AND len(ws) >= n)),
+        hit AS (SELECT doc_id, s, n, item FROM grams JOIN win USING (g)),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item AS VARCHAR))) AS ids FROM hit GROUP BY doc_id)
+        SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+               sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM w LEFT JOIN pos ON pos.doc_id = w.id LEFT JOIN its ON its.doc_id = w.id WHERE kind = 'd'""",
 }
