@@ -556,19 +556,23 @@ def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fc.error_metrics(ps.user_panel(spark, sf_dir).where("split = 'test'"), ["h"])
 
 
-def _stream(spark: SparkSession, sf_dir: str, gamma: float) -> DataFrame:
-    """Scores as a file stream, four files of windows, through the online state; the result as it was written."""
+def _stream(spark: SparkSession, sf_dir: str, gamma: float, keys: list[str]) -> DataFrame:
+    """Scores as a file stream, four files of windows, through the online state; the result as it was written. A state
+    is a series' and step's; with the series alone as key, the first step's rows are taken."""
     base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calibrant-")).rstrip("/")
     base = f"{base}/stream-{uuid.uuid4().hex[:12]}"
-    scores = user_scores(spark, sf_dir).where("h = 0").select("series", F.col("w").cast("bigint").alias("w"), "s")
+    rows = user_scores(spark, sf_dir)
+    scores = (rows if "h" in keys else rows.where("h = 0")).select(*keys, F.col("w").cast("bigint").alias("w"), "s")
     scores.repartition(4, "w").write.parquet(f"{base}/in")
     source = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 100).parquet(f"{base}/in")
-    out = online_aci(source, ["series"], ALPHA, gamma, 20, test_from=ps.USER["cal"])
-    return run_available(out, f"{base}/out", f"{base}/state").select("series", F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
+    out = online_aci(source, keys, ALPHA, gamma, 20, test_from=ps.USER["cal"])
+    return run_available(out, f"{base}/out", f"{base}/state").select(*keys, F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
 
 
 for _name, _gamma in {"stream_aci": 0.05, "stream_trailing": 0.0}.items():
-    register(_name, _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t") + " WHERE h = 0")(lambda s, d, g=_gamma: _stream(s, d, g))
+    register(_name, _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t") + " WHERE h = 0")(lambda s, d, g=_gamma: _stream(s, d, g, KEYS[:1]))
+    # The SQL above is of the first step; these take every step of the panel.
+    register(f"{_name}_steps", _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, h, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t"))(lambda s, d, g=_gamma: _stream(s, d, g, KEYS))
 
 
 # Runners over several methods ------------------------------------------------------------------------------------
