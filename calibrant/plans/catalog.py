@@ -477,7 +477,7 @@ def spci_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("spci_forest")
 def spci_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kn.spci_bounds(_errors(spark, sf_dir).where("h = 0"), KEYS, ALPHA, w=5, bins=5)
+    return kn.spci_bounds(_errors(spark, sf_dir), KEYS, ALPHA, w=5, bins=5)
 
 
 @register("acmcp")
