@@ -19,6 +19,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from calibrant.llm.common import stored
 from calibrant.llm.decontaminate import NO_ID, word_list
@@ -31,6 +32,8 @@ COMMON = 0.0005
 PROBABLE = 0.5
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRMED = 0.6
+#: A notice's first and last line are apart at most so many times the words of the longest template.
+REACH = 1.5
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)
 
 # Usual notices of the licence families.
@@ -187,10 +190,48 @@ def _hash_pairs(spark: SparkSession, grams_: list[str]) -> list[int]:
     return [r[0] for r in df.select(F.xxhash64(F.xxhash64(F.get("w", 0)), F.xxhash64(F.get("w", 1)))).collect()]
 
 
+def _hits(docs: DataFrame, grams_: DataFrame) -> DataFrame:
+    """(doc_id, row, pos, line, until, g, own) for each place of a listed pair or triple; line and until are the lines
+    it starts and ends in. A line without words is a row of its own, with an empty g, and no pair or triple crosses it."""
+    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.transform(F.split("text", "\n"), word_list).alias("lines"))
+    nothing = F.lit(None).cast("string")
+    placed = F.transform("lines", lambda ws, i: F.when(F.size(ws) > 0, F.transform(ws, lambda w: F.struct(w.alias("w"), i.alias("line")))).otherwise(F.array(F.struct(nothing.alias("w"), i.alias("line")))))
+    words = lines.select("doc_id", "row", F.flatten(placed).alias("v"))
+    runs = words.select("doc_id", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.struct(F.get("v", i).alias("a"), F.get("v", i + 1).alias("b"), F.get("v", i + 2).alias("c")))).alias("pos", "r"))
+    pair = F.concat("r.a.w", F.lit(" "), "r.b.w")
+    here = F.array(
+        F.struct(F.when(F.col("r.a.w").isNull(), "").otherwise(pair).alias("g"), F.coalesce("r.b.line", "r.a.line").alias("until")),
+        F.struct(F.concat(pair, F.lit(" "), "r.c.w").alias("g"), F.col("r.c.line").alias("until")),
+    )
+    each = runs.select("doc_id", "row", "pos", F.col("r.a.line").alias("line"), F.explode(here).alias("x")).select("doc_id", "row", "pos", "line", "x.until", "x.g")
+    return each.join(F.broadcast(grams_), "g").select("doc_id", "row", "pos", "line", "until", "g", "own").distinct()
+
+
+def _windows(hits: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, row, paragraph, until, grams): each line, and each run of lines of a block between lines without words,
+    with the listed pairs and triples inside; at least one is the model's. The last one of a run's first line and the
+    first one of its last line are at most `reach` words apart."""
+    row = ["doc_id", "row"]
+    block = F.sum(F.when(F.col("g") == "", 1).otherwise(0)).over(Window.partitionBy(*row).orderBy("pos"))
+    inside = hits.withColumn("block", block).where("g != ''")
+    item = F.struct("until", "g", "own")
+    lines = inside.groupBy(*row, "block", "line").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set(item).alias("items"), F.max("own").alias("own"))
+    whole = Window.partitionBy(*row, "block")
+    lines = lines.withColumn("any", F.max("own").over(whole)).where("any")
+    near = lines.withColumn("near", F.collect_list(F.struct("line", "first", "items")).over(whole.orderBy("line").rangeBetween(0, reach)))
+    near = near.select(*row, F.col("line").alias("paragraph"), F.filter("near", lambda x: x["first"] - F.col("last") <= reach).alias("near"))
+    pool = F.flatten(F.transform("near", lambda x: x["items"])).alias("pool")
+    ends = F.array_distinct(F.concat(F.transform("near", lambda x: x["line"]), F.flatten(F.transform("near", lambda x: F.transform(x["items"], lambda i: i["until"])))))
+    runs = near.select(*row, "paragraph", pool, F.explode(ends).alias("until"))
+    runs = runs.select(*row, "paragraph", "until", F.filter("pool", lambda i: i["until"] <= F.col("until")).alias("items")).where(F.exists("items", lambda i: i["own"]))
+    return runs.select(*row, "paragraph", "until", F.array_distinct(F.transform("items", lambda i: i["g"])).alias("grams"))
+
+
 def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, row, paragraph, family, probability, similarity, confirmed) for each paragraph with a feature whose
-    probable class (the likeliest but for unknown, at PROBABLE or more) is a family; row is a hash of id and text,
-    a null id is NO_ID."""
+    """(doc_id, row, paragraph, family, confirmed, until, probability, similarity) for each paragraph with a feature
+    whose probable class (the likeliest but for unknown, at PROBABLE or more) is a family. A paragraph is a line or,
+    as notices are wrapped, a run of lines without a line without words in it: lines `paragraph` to `until`, the fewest
+    that give the family; runs that overlap count once. row is a hash of id and text, a null id is NO_ID."""
     spark = docs.sparkSession
     templates = templates or TEMPLATES
     known = [k for k, c in enumerate(model.classes) if c != UNKNOWN]
@@ -198,28 +239,49 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", te
     worded = plain.select("doc_id", "text", word_list(F.col("text")).alias("ws"))
     wanted = F.array(*[F.lit(h) for h in sorted(_hash_pairs(spark, [g for g, _ in model.weights]))])
     some = worded.where(F.arrays_overlap(_pair_hashes(F.col("ws")), wanted))
-    paras = some.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "para"))
-    ws = paras.select("doc_id", "row", "paragraph", word_list(F.col("para")).alias("ws"))
-    held = stored(ws.select("doc_id", "row", "paragraph", F.explode(grams(F.col("ws"))).alias("g")).distinct(), "licence-grams")
+    texts = spark.createDataFrame([(c, i, t) for c, ts in templates.items() if c != UNKNOWN for i, t in enumerate(ts)], "family string, template int, t string")
+    whole = texts.select("family", "template", F.explode(F.filter(grams(word_list(F.col("t"))), lambda g: F.size(F.split(g, " ")) == 2)).alias("g"))
     weights = F.broadcast(spark.createDataFrame(model.weights, "g string, w array<double>"))
-    key = ["doc_id", "row", "paragraph"]
+    mark = spark.createDataFrame([("", False)], "g string, own boolean")
+    listed = weights.select("g", F.lit(True).alias("own")).union(whole.select("g", F.lit(False))).union(mark).groupBy("g").agg(F.max("own").alias("own"))
+    hits = stored(_hits(some, listed), "licence-hits")
+    longest = texts.agg(F.max(F.size(word_list(F.col("t"))))).first()[0]
+    runs = stored(_windows(hits, int(REACH * longest)), "licence-grams")
+    key = ["doc_id", "row", "paragraph", "until"]
+    held = runs.select(*key, F.explode("grams").alias("g"))
     sums = held.join(weights, "g").groupBy(*key).agg(*[F.sum(F.get("w", k)).alias(f"s{k}") for k in range(len(model.classes))])
     logits = F.array(*[(F.col(f"s{k}") + F.lit(model.intercepts[k])) / F.lit(model.temperature) for k in range(len(model.classes))])
     scored = sums.select(*key, logits.alias("l")).select(*key, "l", _log_sum(F.col("l")).alias("z"))
     best = F.array_max(F.array(*[F.struct(F.exp(F.get("l", k) - F.col("z")).alias("p"), F.lit(model.classes[k]).alias("family")) for k in known]))
     likely = scored.select(*key, best.alias("b")).where(F.col("b.p") >= PROBABLE).select(*key, F.col("b.family").alias("family"), F.col("b.p").alias("probability"))
-    texts = spark.createDataFrame([(c, i, t) for c, ts in templates.items() if c != UNKNOWN for i, t in enumerate(ts)], "family string, template int, t string")
-    whole = texts.select("family", "template", F.explode(F.filter(grams(word_list(F.col("t"))), lambda g: F.size(F.split(g, " ")) == 2)).alias("g"))
     sized = F.broadcast(whole.join(whole.groupBy("family", "template").agg(F.count("*").alias("n")), ["family", "template"]))
     shared = likely.join(held, key).join(sized, ["family", "g"]).groupBy(*key, "template").agg((F.count("*") / F.first("n")).alias("s")).groupBy(*key).agg(F.max("s").alias("similarity"))
     out = likely.join(shared, key, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    return out.withColumn("confirmed", F.col("similarity") >= CONFIRMED)
+    return _fewest(_fitting(out.withColumn("confirmed", F.col("similarity") >= CONFIRMED), int(REACH * longest)))
+
+
+def _fitting(found: DataFrame, reach: int) -> DataFrame:
+    """Without the runs of several lines that are a part of another family's notice: a run around them fits that one better."""
+    near = Window.partitionBy("doc_id", "row").orderBy("paragraph").rangeBetween(-reach, 0)
+    around = F.collect_list(F.when(F.col("confirmed"), F.struct("until", "family", "similarity"))).over(near)
+    better = F.exists("around", lambda x: (x["until"] >= F.col("until")) & (x["family"] != F.col("family")) & (x["similarity"] > F.col("similarity")))
+    return found.withColumn("around", around).where((F.col("until") == F.col("paragraph")) | ~better).drop("around")
+
+
+def _fewest(found: DataFrame) -> DataFrame:
+    """Of each family's runs those that hold no other one, confirmed or not by themselves; of overlapping ones the first."""
+    by = ["doc_id", "row", "family", "confirmed"]
+    short = found.groupBy(*by, "paragraph").agg(F.min(F.struct("until", "probability", "similarity")).alias("b")).select(*by, "paragraph", "b.*")
+    later = Window.partitionBy(*by).orderBy(F.desc("paragraph")).rowsBetween(Window.unboundedPreceding, -1)
+    least = short.withColumn("inner", F.min("until").over(later)).where("inner IS NULL OR inner > until").drop("inner")
+    before = F.lag("until").over(Window.partitionBy(*by).orderBy("paragraph"))
+    return least.withColumn("before", before).where("before IS NULL OR before < paragraph").drop("before")
 
 
 def licence_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, licence, families, n_paragraphs, paragraph, probability, similarity.
 
-    Paragraphs are lines of whole texts. licence is the family of the confirmed paragraph of the highest probability
+    Paragraphs are lines of whole texts and runs of lines, see scan_paragraphs. licence is the family of the confirmed paragraph of the highest probability
     (ties: the first paragraph); unknown where a paragraph speaks of a licence that no template confirms; none
     otherwise, null and empty texts included. families are all confirmed ones, sorted; n_paragraphs counts confirmed
     paragraphs; paragraph, probability and similarity are of the one that decides, null for none. Ids may be null

@@ -1,12 +1,13 @@
 """Held-out accuracy of the trained operators, and their edge cases."""
 
+import textwrap
 import zlib
 
 import numpy as np
 import pytest
 
 from calibrant.llm.common import table
-from calibrant.llm.licences import TEMPLATES, licence_scan
+from calibrant.llm.licences import TEMPLATES, UNKNOWN, licence_scan
 from calibrant.llm.quality import quality
 from calibrant.llm.queries import op2_toxicity, op9_quality
 from calibrant.llm.toxicity import Severity, fit_ordinal, score_severity, toxicity
@@ -72,3 +73,18 @@ def test_licence_edges(spark, messy, empty):
     assert by[70][0]["licence"] == "BSD" and by[70][0]["paragraph"] == 1
     assert [r["n_paragraphs"] for r in by[72]] == [5, 5] and list(by[72][0]["families"]) == sorted(LICENCES)
     assert licence_scan(empty).count() == 0
+
+
+@pytest.mark.parametrize("width", [40, 75])
+def test_wrapped_notices(spark, width):
+    notices = [(100 * k + i, f, n) for k, (f, ns) in enumerate(TEMPLATES.items()) if f != UNKNOWN for i, n in enumerate(ns) if len(n) > 75]
+    texts = [(i, "intro of the text\n\n# " + "\n# ".join(textwrap.wrap(n, width)) + "\n\nmore of it") for i, _, n in notices]
+    rows = {r["doc_id"]: r for r in licence_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert len({f for _, f, _ in notices}) >= 8
+    for i, family, _ in notices:
+        assert rows[i]["licence"] == family and family in rows[i]["families"] and rows[i]["similarity"] >= 0.6
+
+
+def test_notice_does_not_cross_an_empty_line(spark):
+    docs = spark.createDataFrame([(1, "we have all\n\nrights reserved"), (2, "we have all\nrights reserved")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["licence"] for r in licence_scan(docs).collect()} == {1: "none", 2: "Proprietary"}
