@@ -18,11 +18,12 @@ def horizon_category(h: Column | str) -> Column:
 def mean_median(rows: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Mean and median of each metric that rows have, and n_series summed over tasks (one value a task)."""
     have = [m for m in metrics if m in rows.columns]
-    out = rows.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in have for n, f in (("mean", F.avg), ("median", F.median))])
+    made = [f(m).alias(f"{m}_{n}") for m in have for n, f in (("mean", F.avg), ("median", F.median))]
     if "n_series" in rows.columns:
-        per = rows.groupBy(*by, "task").agg(F.max("n_series").alias("n")).groupBy(*by).agg(F.sum("n").alias("n_series"))
-        out = out.join(per, by)
-    return out
+        first = F.row_number().over(Window.partitionBy(*by, "task").orderBy(F.desc("n_series"))) == 1
+        rows = rows.withColumn("__n", F.when(first, F.col("n_series")))
+        made.append(F.sum("__n").alias("n_series"))
+    return rows.groupBy(*by).agg(*made)
 
 
 def series_weighted(rows: DataFrame, by: list[str], metrics: tuple[str, ...], weight: str = "n_series") -> DataFrame:

@@ -410,7 +410,7 @@ _RES = f"""{sql.panel("user")}, nseries AS (SELECT 't' || CAST(CAST(series AS IN
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.results(ps.user_panel(spark, sf_dir), ALPHA)
+    return ev.results(ps.user_panel(spark, sf_dir), ALPHA, ps.USER["horizon"], F.concat(F.lit("t"), F.pmod(F.col("series").cast("int"), F.lit(4)).cast("string")))
 
 
 def report(name: str, query: str, digits: int = 6) -> Callable[[Callable[[DataFrame], DataFrame]], None]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -170,19 +170,20 @@ def run_joint_folds(panel: DataFrame, folds: DataFrame, n_folds: int, alpha: flo
     return mt.summary(marked, ["fold"])
 
 
-def results(panel: DataFrame, alpha: float, tasks: int = 4, window: int = 20) -> DataFrame:
+def results(panel: DataFrame, alpha: float, horizon: int, task: Column | None = None, tasks: int = 4, window: int = 20) -> DataFrame:
     """A result frame as reports read it: (task, model, method, coverage, joint_coverage, avg_width, winkler_score,
-    n_series). Series are dealt into tasks; the models are the panel's mean and median forecasts. All methods'
-    thresholds come from one sort of each (series, h)."""
-    number = F.pmod(F.xxhash64("series"), F.lit(tasks)) if dict(panel.dtypes)["series"] != "string" else F.pmod(F.col("series").cast("int"), F.lit(tasks))
+    n_series). task says where a row belongs (None: series are dealt by hash); the models are the panel's mean and median
+    forecasts. All methods' thresholds come from one sort of each (series, h)."""
+    if task is None:
+        task = F.concat(F.lit("t"), F.pmod(F.xxhash64("series"), F.lit(tasks)).cast("string"))
     by = Window.partitionBy("series", "h")
-    rows = panel.select("series", "w", "h", "y", "yhat", "q", "split", F.concat(F.lit("t"), number.cast("string")).alias("task"))
+    rows = panel.select("series", "w", "h", "y", "yhat", "q", "split", task.alias("task"))
     points = {"mean": F.col("yhat"), "median": F.col("q.q50")}
     for model, p in points.items():
         s = F.abs(F.col("y") - p)
         rows = rows.withColumn(f"cal_{model}", F.array_sort(F.collect_list(F.when(F.col("split") == "cal", s)).over(by)))
         rows = rows.withColumn(f"past_{model}", F.array_sort(F.collect_list(s).over(by.orderBy("w").rowsBetween(-window, -1))))
-    rows, horizon, made = rows.where("split = 'test'"), 4, []
+    rows, made = rows.where("split = 'test'"), []
     for model, p in points.items():
         around = lambda name, q: (name, p - q, p + q)  # noqa: B023, E731
         cal = F.col(f"cal_{model}")
@@ -192,7 +193,8 @@ def results(panel: DataFrame, alpha: float, tasks: int = 4, window: int = 20) ->
             around("CFRNN", conformal_quantile(cal, alpha / horizon)),
             around("TrailingWindow", conformal_quantile(F.col(f"past_{model}"), alpha, False)),
         ):
-            made.append(F.struct(F.lit(model).alias("model"), F.lit(name).alias("method"), lo.alias("lo"), hi.alias("hi")))
-    each = mt.marks(rows.select("task", "series", "w", "h", "y", F.inline(F.array(*made))), alpha)
-    count = panel.select("series", F.concat(F.lit("t"), number.cast("string")).alias("task")).groupBy("task").agg(F.countDistinct("series").alias("n_series"))
+            made.append(F.struct(F.col("task"), F.lit(model).alias("model"), F.lit(name).alias("method"), lo.alias("lo"), hi.alias("hi")))
+    # A generator's own columns: a filter on task, model or method then stays above it, and the grouping is by one set of columns.
+    each = mt.marks(rows.select("series", "w", "h", "y", F.inline(F.array(*made))), alpha)
+    count = panel.select("series", task.alias("task")).groupBy("task").agg(F.countDistinct("series").alias("n_series"))
     return mt.summary(each, ["task", "model", "method"]).join(F.broadcast(count), "task")

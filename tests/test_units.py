@@ -251,3 +251,14 @@ def test_filters(spark):
     assert names(rp.filtered(rows, method="ACI", task=("t2", "t3"))) == ["t2"]
     tidy = rp.tidy(rows.withColumn("runtime", F.lit(1.0)).withColumn("z", F.lit(0.0625)), {"alpha": 0.2}, drop=("model",))
     assert tidy.columns == ["task", "method", "coverage", "z", "alpha", "runtime"] and tidy.first()["z"] == 0.062
+
+
+@pytest.mark.parametrize("condition", ["model = 'mean'", "method = 'SplitCP'", "task = 't1'", "model = 'mean' AND method = 'Native'"])
+def test_filters_right_on_results(spark, condition):
+    from calibrant.plans import catalog
+
+    rows = catalog.results(spark, SF)
+    every = [r.asDict() for r in rows.collect()]
+    wanted = {c.split(" = ")[0]: c.split("'")[1] for c in condition.split(" AND ")}
+    kept = [(r["task"], r["model"], r["method"]) for r in every if all(r[k] == v for k, v in wanted.items())]
+    assert kept and sorted((r["task"], r["model"], r["method"]) for r in rows.where(condition).collect()) == sorted(kept)
