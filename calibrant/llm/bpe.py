@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import in_batches
+from calibrant.llm.common import arrow_map
 
 # Fixed value: the public byte-level pre-tokeniser pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Characters of text whose pieces are held at once, and pieces that a worker remembers.
+#: Characters of text that pass at once; pieces of a long text that do.
 BLOCK_CHARS = 4_000_000
 LONG_PIECES = 200_000
-CACHE_PIECES = 400_000
+#: Pieces that a worker remembers within a task, the characters of them and their ids, and pieces that it keeps for the next task.
+CACHE_PIECES = 200_000
+CACHE_CHARS = 16 << 20
+KEPT_PIECES = 50_000
 
 OUTPUTS = {
     "token_ids": pa.list_(pa.int32()),
@@ -72,14 +75,20 @@ class PairIndexBPE:
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.ids: dict[str, str] = {t: str(i) for t, i in self.special.items()}
-        self.raw: dict[str, bytes] = {t: self.bytes_of[i] for t, i in self.special.items()}
+        self.odd: dict[str, bytes] = {}  # pieces whose ids decode to other bytes than their own: in a byte alphabet none do
+        self.held = 0  # characters of the remembered pieces and their ids
 
-    def _forget(self) -> None:
-        """Of a full memory, keep the half that was learned first: common pieces come early."""
-        if len(self.ids) > CACHE_PIECES:
-            for known in (self.ids, self.raw):
-                for piece in [*islice(known, CACHE_PIECES // 2, None)]:
-                    del known[piece]
+    def forget(self, kept: int) -> None:
+        """Keep so many of the pieces that were learned first: common ones come early."""
+        for piece in [*islice(self.ids, max(kept, len(self.special)), None)]:
+            self.held -= len(piece) + len(self.ids.pop(piece))
+            self.odd.pop(piece, None)
+
+    def _within_bounds(self) -> None:
+        if len(self.ids) > CACHE_PIECES or self.held > CACHE_CHARS:
+            self.forget(min(len(self.ids), CACHE_PIECES) // 2)
+        if self.held > CACHE_CHARS:
+            self.forget(0)
 
     def merge(self, pieces: list[str]) -> list[list[int]]:
         """Token ids of each piece; the pieces are merged together in one index. sym ends every piece with -1 and marks merged-away positions with -2."""
@@ -157,15 +166,18 @@ class PairIndexBPE:
             else:
                 yield from (m[0] for m in self.pattern.finditer(part))
 
-    def learn(self, pieces: list[list[str]]) -> None:
-        """Put the pieces that aren't known yet through the index."""
-        new = list(set().union(*pieces).difference(self.ids))
+    def learn(self, new: list[str]) -> None:
+        """Put pieces that aren't known through the index; remember their ids, and decode them."""
         for piece, ids in zip(new, self.merge(new)):
-            self.ids[piece] = ",".join(map(str, ids))
-            self.raw[piece] = b"".join([self.bytes_of[i] for i in ids])
+            run = ",".join(map(str, ids))
+            self.ids[piece] = run
+            self.held += len(piece) + len(run)
+            if (raw := b"".join([self.bytes_of[i] for i in ids])) != piece.encode():
+                self.odd[piece] = raw
 
-    def joined(self, pieces: list[str]) -> tuple[bytes, str]:
-        return b"".join(map(self.raw.__getitem__, pieces)), ",".join(map(self.ids.__getitem__, pieces))
+    def decoded(self, pieces: list[str], whole: str) -> bytes:
+        """Bytes of the ids of pieces, which were decoded as they were learned; whole is the pieces' text."""
+        return b"".join([self.odd.get(p) or p.encode() for p in pieces]) if self.odd else whole.encode()
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.blocks([text]) for _, run in p for i in run.split(",") if i]
@@ -173,31 +185,42 @@ class PairIndexBPE:
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
-    def blocks(self, texts: list[str]) -> Iterator[Iterator[tuple[bytes, str]]]:
-        """For each text, runs of (decoded bytes, ids joined by commas). A long text has several runs."""
-        held: list[list[str]] = []
+    def blocks(self, texts: Iterable) -> Iterator[Iterator[tuple[bytes, str]]]:
+        """For each text (a string, or an Arrow one), runs of (decoded bytes, ids joined by commas). A long text has
+        several runs. Of the texts of a block only the ids of known pieces are held, and the pieces that are new."""
+        held: list[tuple[str, list[str | None], list[str]]] = []
+        new: dict[str, None] = {}
         chars = 0
-        for text in [*texts, None]:
+        for text in chain(texts, [None]):
+            text = text.as_py() if isinstance(text, pa.Scalar) else text
             if held and (text is None or chars + len(text) > BLOCK_CHARS):
-                self.learn(held)
-                for ps in held:
-                    yield iter([self.joined(ps)])
-                held, chars = [], 0
-                self._forget()
+                self.learn([*new])
+                for whole, known, unknown in held:
+                    rest = iter(unknown)
+                    run = ",".join([self.ids[next(rest)] if k is None else k for k in known] if unknown else known)
+                    yield iter([(self.decoded(self.pieces(whole) if self.odd else [], whole), run)])
+                held, new, chars = [], {}, 0
+                self._within_bounds()
             if text is None:
                 return
             if len(text) > BLOCK_CHARS:
                 yield self.long(text)
             else:
-                held.append(self.pieces(text))
+                pieces = self.pieces(text)
+                if sum(map(len, pieces)) != len(text):
+                    raise ValueError("the pieces of a text don't make it up")
+                known = [*map(self.ids.get, pieces)]
+                unknown = [p for p, k in zip(pieces, known) if k is None] if None in known else []
+                new.update(dict.fromkeys(unknown))
+                held.append((text, known, unknown))
                 chars += len(text)
 
     def long(self, text: str) -> Iterator[tuple[bytes, str]]:
         rest = self.stream(text)
         while ps := list(islice(rest, LONG_PIECES)):
-            self._forget()
-            self.learn([ps])
-            yield self.joined(ps)
+            self.learn([*{*ps}.difference(self.ids)])
+            yield self.decoded(ps, "".join(ps)), ",".join(map(self.ids.__getitem__, ps))
+            self._within_bounds()
 
 
 @lru_cache(maxsize=2)
@@ -239,14 +262,11 @@ def encode_bpe(docs: DataFrame, tokenizer_path: str, text: str = "text", keys: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 4000):
-                part = batch.slice(start, 4000)
-                made = [_columns(r, outputs) for r in bpe.blocks(part.column("__text").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keys), *(pa.array([m[o] for m in made], OUTPUTS[o]) for o in outputs)], names=[*keys, *outputs]
-                )
+            made = [_columns(r, outputs) for r in bpe.blocks(batch.column("__text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([m[o] for m in made], OUTPUTS[o]) for o in outputs)], names=[*keys, *outputs])
+        bpe.forget(KEPT_PIECES)
 
-    return in_batches(rows).mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def decode_bpe(tokens: DataFrame, tokenizer_path: str, ids: str = "token_ids", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -259,4 +279,4 @@ def decode_bpe(tokens: DataFrame, tokenizer_path: str, ids: str = "token_ids", k
             texts = [None if x is None else bpe.decode(x) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.string())], names=[*keys, "decoded"])
 
-    return tokens.select(*[tokens[k] for k in keys], tokens[ids].alias("__ids")).mapInArrow(run, schema)
+    return arrow_map(tokens.select(*[tokens[k] for k in keys], tokens[ids].alias("__ids")), run, schema)

@@ -1,10 +1,13 @@
-"""Helpers that the operators share: the shared folder, id filters and text folding."""
+"""Helpers that the operators share: the shared folder, Arrow batches, id filters and text folding."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,14 @@ ARROW_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session, as in tests, gets
+    one of our own; on a cluster that is an error, for executors couldn't read a folder of the driver's machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not local_master(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="calibrant-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -36,6 +42,31 @@ def in_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def local_master(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers are used again by later stages, which shouldn't carry it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of ARROW_ROWS rows; a task's worker gives back its memory at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return in_batches(rows).mapInArrow(task, schema)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -46,7 +77,24 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     path = shared_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that stored() wrote, once nothing reads them any more."""
+    for df in frames:
+        hadoop_path(df.sparkSession, df._stored_at, delete=True)
+
+
+def hadoop_path(spark: SparkSession, path: str, delete: bool = False):
+    """(file system, path) by Hadoop, so that any store that Spark reads will do."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if delete:
+        fs.delete(p, True)
+    return fs, p
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

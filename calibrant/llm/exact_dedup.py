@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import ascii_lower, in_batches, stored, with_ids
+from calibrant.llm.common import arrow_map, ascii_lower, stored, with_ids
 
 MEMTABLE_ROWS = 16_384
 MEMTABLE_BYTES = 32 << 20
@@ -214,13 +214,13 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: s
     last = -(1 << 63) if largest else (1 << 63) - 1  # stands for a null id
     rows = docs.select(F.coalesce(docs[id].cast("bigint"), F.lit(last)).alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     runs = stored(
-        in_batches(rows).mapInArrow(lambda b: memtables(b, largest), RUN_SCHEMA),
+        arrow_map(rows, lambda b: memtables(b, largest), RUN_SCHEMA),
         "dedup-runs",
     )
     reps = runs.where("is_rep").select("digest", "rep_id", "n")
     buckets = max(1, -(-reps.count() // BUCKET_ROWS))
     hits = stored(
-        reps.repartition(buckets, F.substring("digest", 1, 4)).mapInArrow(lambda b: merge_bucket(b, memtable_rows, largest), HIT_SCHEMA),
+        arrow_map(reps.repartition(buckets, F.substring("digest", 1, 4)), lambda b: merge_bucket(b, memtable_rows, largest), HIT_SCHEMA),
         "dedup-hits",
     )
     # Where a digest's bytes are all equal, the tree's answer stands; else each text is a group of its own.
