@@ -112,19 +112,18 @@ def with_ids(df: DataFrame, ids: DataFrame, how: str, col: str = "doc_id", rows:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, col, how)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id: str = "doc_id", text: str = "text", where: Column | None = None) -> list[tuple[int, str, int]]:
-    """(id, text, label) of at most so many labelled rows, the ones whose ids hash lowest; a bounded training set.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
+    """(id, text, label) of at most so many labelled rows, the ones whose ids hash lowest; a bounded training set, whose
+    texts stay on the executors: operators reduce them to features there.
 
     Rows of labels with a null id or label don't count; of several labels of an id the largest does; where is a
-    condition on labels' id. Ids without a document are left out.
+    condition on labels' id. Ids without a document are left out; of the rows of a repeated id all are in.
     """
     own = labels.where(labels[id].isNotNull() & labels[label].isNotNull())
     own = own.where(where) if where is not None else own
     one = own.groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     drawn = one.orderBy(F.xxhash64("id"), "id").limit(rows)
-    pairs = docs.select(docs[id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text")).join(F.broadcast(drawn), "id")
-    got = {r["id"]: (r["id"], r["text"], r["label"]) for r in pairs.toLocalIterator(prefetchPartitions=True)}
-    return [got[k] for k in sorted(got)]
+    return docs.select(docs[id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text")).join(F.broadcast(drawn), "id").select("id", "text", "label")
 
 
 def learning_rows(id: str = "doc_id") -> Column:

@@ -1,23 +1,25 @@
 """Text quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are pairs of neighbouring character classes, counted over the
-whole text, and a few bins of how words repeat. A bounded sample of labelled
-rows gives the term weights, the latent axes (singular vectors) and the labelled
-vectors, which are broadcast: their size is SAMPLE_ROWS * AXES floats. Every
-document is compared with all of them, in blocks of exact cosine products.
+A text's terms are its words, in hashed places, pairs of neighbouring character
+classes, and a few bins of how words repeat, all counted over the whole text. A
+bounded sample of labelled rows gives the term weights, the latent axes
+(singular vectors) and the labelled vectors, which are broadcast: their size is
+SAMPLE_ROWS * AXES floats. Every document is compared with all of them, in blocks
+of exact cosine products. Of equally near vectors those of the smaller ids count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import in_batches, labelled_sample, learning_rows
+from calibrant.llm.common import arrow_map, labelled_sample, learning_rows
 
 SAMPLE_ROWS = 6_000
 AXES = 48
@@ -29,7 +31,10 @@ PREDICT_AT = 0.7
 
 CLASSES = 64
 BINS = 8
-TERMS = CLASSES * CLASSES + 3 * BINS
+WORDS = 2048
+BINNED = CLASSES * CLASSES
+WORDED = BINNED + 3 * BINS
+TERMS = WORDED + WORDS
 
 
 def _classes() -> np.ndarray:
@@ -67,14 +72,17 @@ def counts(text: str) -> np.ndarray:
         again = sum(map(bytes.__eq__, ws[1:], ws[:-1])) / n
         new = len({*ws}) / n
         for k, x in enumerate((again, new, min(1.0, np.log2(n + 1) / 14))):
-            out[CLASSES * CLASSES + k * BINS + min(BINS - 1, int(x * BINS))] = 0.25 * len(kinds)
+            out[BINNED + k * BINS + min(BINS - 1, int(x * BINS))] = 0.25 * len(kinds)
+        out[WORDED:] = np.bincount(np.fromiter(map(crc32, data.lower().split()), np.int64, n) & (WORDS - 1), minlength=WORDS)
     return out
 
 
 def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit rows of damped, weighted counts; an empty text stays 0."""
-    x = np.sqrt(rows) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    """Unit rows of damped, weighted counts, in place; an empty text stays 0."""
+    np.sqrt(rows, out=rows)
+    rows *= idf
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    return rows
 
 
 @dataclass
@@ -87,28 +95,39 @@ class Neighbours:
     base: float
 
     def project(self, rows: np.ndarray) -> np.ndarray:
+        """Unit vectors on the axes; rows (counts) are used up."""
+        empty = ~rows.any(axis=1)
         z = (weighted(rows, self.idf) - self.mean) @ self.axes
-        z[~rows.any(axis=1)] = 0
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        z[empty] = 0
+        return unit(z)
 
     def vote(self, z: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, by similarity; without any similar one, the base rate."""
+        """Share of label 1 among the nearest labelled vectors, by similarity; without any similar one, the base rate.
+        Of the vectors as near as the last one that counts, those that come first do."""
         if not len(self.labels):
             return np.full(len(z), self.base)
         sims = z @ self.vectors.T
         k = min(neighbours, sims.shape[1])
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(sims, near, axis=1), 0).astype(np.float64) ** SHARPNESS
+        last = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+        near = sims >= last
+        for i in np.flatnonzero(near.sum(axis=1) > k):
+            ties = np.flatnonzero(sims[i] == last[i])
+            near[i, ties[k - (sims[i] > last[i]).sum() :]] = False
+        at = np.nonzero(near)[1].reshape(len(z), k)
+        w = np.maximum(np.take_along_axis(sims, at, axis=1), 0).astype(np.float64) ** SHARPNESS
         total = w.sum(axis=1)
-        return np.where(total > 1e-9, (w * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), self.base)
+        return np.where(total > 1e-9, (w * self.labels[at]).sum(axis=1) / np.maximum(total, 1e-9), self.base)
 
 
-def fit_neighbours(sample: list[tuple[int, str, int]], axes: int = AXES, seed: int = 7) -> Neighbours:
-    """Latent axes by a randomised singular value decomposition of the sample's weighted counts."""
-    if not sample:
+def unit(z: np.ndarray) -> np.ndarray:
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+
+
+def fit_neighbours(rows: np.ndarray, labels: np.ndarray, axes: int = AXES, seed: int = 7) -> Neighbours:
+    """Latent axes by a randomised singular value decomposition of the sample's weighted counts, which are used up."""
+    if not len(rows):
         return Neighbours(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    rows = np.stack([counts(t) for _, t, _ in sample])
-    labels = np.array([y for *_, y in sample], np.float64)
+    empty = ~rows.any(axis=1)
     idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 0.1
     x = weighted(rows, idf)
     mean = x.mean(axis=0)
@@ -117,9 +136,29 @@ def fit_neighbours(sample: list[tuple[int, str, int]], axes: int = AXES, seed: i
     for _ in range(4):
         q, _ = np.linalg.qr(x @ (x.T @ np.linalg.qr(q)[0]))
     _, _, vt = np.linalg.svd(q.T @ x, full_matrices=False)
-    model = Neighbours(idf, mean, np.ascontiguousarray(vt[:axes].T), np.zeros((0, 1), np.float32), labels, float(labels.mean()))
-    model.vectors = model.project(rows)
-    return model
+    basis = np.ascontiguousarray(vt[:axes].T)
+    z = x @ basis
+    z[empty] = 0
+    return Neighbours(idf, mean, basis, unit(z), labels.astype(np.float64), float(labels.mean()))
+
+
+def sample_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Term counts, by row, and labels of a labelled sample, in order of ids. Texts are counted on the executors; a row
+    that comes to the driver has TERMS entries at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [counts(t.as_py()) for t in batch.column("text")]
+            at = [np.flatnonzero(r).astype(np.int32) for r in rows]
+            made = [pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(rows, at)], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *made], names=["id", "label", "at", "n"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    got = arrow_map(sample, run, f"id {kind}, label int, at array<int>, n array<float>").toArrow().sort_by("id")
+    out = np.zeros((got.num_rows, TERMS), np.float32)
+    for i, (at, n) in enumerate(zip(got.column("at"), got.column("n"))):
+        out[i, at.values.to_numpy()] = n.values.to_numpy()
+    return out, got.column("label").to_numpy()
 
 
 def score_quality(docs: DataFrame, model: Neighbours, predict_at: float = PREDICT_AT, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,10 +179,10 @@ def score_quality(docs: DataFrame, model: Neighbours, predict_at: float = PREDIC
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= predict_at).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(docs[id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return arrow_map(rows, run, "doc_id bigint, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "quality", where: Column | None = None) -> DataFrame:
     """Fit on at most so many labelled rows (by default of those that may be learned from) and score all of docs."""
     where = learning_rows() if where is None else where
-    return score_quality(docs, fit_neighbours(labelled_sample(docs, labels, label, rows, where=where)))
+    return score_quality(docs, fit_neighbours(*sample_counts(labelled_sample(docs, labels, label, rows, where=where))))

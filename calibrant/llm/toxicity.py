@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import in_batches, labelled_sample
+from calibrant.llm.common import arrow_map, labelled_sample
 
 TRAIN_ROWS = 12_000
 FEATURES = 8_192
@@ -58,6 +58,16 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.thresholds - eta, -60, 60)))
 
 
+@dataclass
+class Row:
+    """A labelled text: hashes of its features, and of its words with their counts."""
+
+    toxic: int
+    features: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+
+
 def association(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The features that tell toxic rows from others most, and their z scores. Memory is SPACE counts, whatever the rows."""
     inside, outside = np.zeros(SPACE, np.float32), np.zeros(SPACE, np.float32)
@@ -72,10 +82,19 @@ def association(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> tuple[n
     return seen[best], z[best]
 
 
-def severity_grades(texts: list[str], toxic: np.ndarray, lexicon: set[int], grades: int = GRADES) -> np.ndarray:
-    """Labels say toxic or not; toxic rows are graded 1 on by quantiles of the share of lexicon words in the text."""
-    share = np.array([np.mean([crc32(w) & (SPACE - 1) in lexicon for w in words(t)] or [0.0]) if x else 0.0 for t, x in zip(texts, toxic)])
-    out = np.zeros(len(texts), int)
+def severity_grades(rows: list[Row], size: int = FEATURES, grades: int = GRADES) -> np.ndarray:
+    """Labels say toxic or not; toxic rows are graded 1 on by quantiles of the share of words that go with toxicity. Which
+    words do is learned from the other half of the sample, so that no row grades itself."""
+    toxic = np.array([r.toxic for r in rows], int)
+    share = np.zeros(len(rows))
+    for half in (0, 1):
+        others = [r for i, r in enumerate(rows) if i % 2 != half]
+        vocabulary, z = association([r.features for r in others], np.array([r.toxic for r in others], int), size)
+        lexicon = vocabulary[z > 4]
+        for i, r in enumerate(rows):
+            if i % 2 == half and r.toxic and r.counts.sum():
+                share[i] = r.counts[np.isin(r.words, lexicon)].sum() / r.counts.sum()
+    out = np.zeros(len(rows), int)
     if toxic.any():
         cuts = np.quantile(share[toxic == 1], [k / (grades - 1) for k in range(1, grades - 1)])
         out[toxic == 1] = 1 + np.searchsorted(cuts, share[toxic == 1], side="right")
@@ -116,15 +135,33 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, vocabulary: np.ndarr
     return Severity(weights, p[m] + np.concatenate([[0], np.cumsum(np.exp(p[m + 1 :]))]))
 
 
-def fit_severity(sample: list[tuple[int, str, int]], size: int = FEATURES, n_grades: int = GRADES) -> Severity:
-    """Fit on (id, text, toxic 0 or 1) rows. Without toxic rows every score is near 0."""
-    rows = [np.fromiter(features(words(t)), np.int32) for _, t, _ in sample]
-    toxic = np.array([x for _, _, x in sample], int)
-    vocabulary, z = association(rows, toxic, size)
-    whole_words = {crc32(w) & (SPACE - 1) for _, t, x in sample if x for w in words(t)}
-    lexicon = {f for f, score in zip(vocabulary.tolist(), z.tolist()) if score > 4} & whole_words
-    grades = severity_grades([t for _, t, _ in sample], toxic, lexicon, n_grades)
-    return fit_ordinal(rows, grades, vocabulary, n_grades)
+def sample_features(sample: DataFrame) -> list[Row]:
+    """Features and word counts of a labelled sample, in order of ids. Texts are read on the executors; what comes to the
+    driver is hashes, SPACE a row at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
+        for batch in batches:
+            made: list[list[np.ndarray]] = [[], [], []]
+            for t in batch.column("text"):
+                ws = words(t.as_py())
+                at, n = np.unique(np.fromiter(map(crc32, ws), np.int64, len(ws)) & (SPACE - 1), return_counts=True)
+                for out, x in zip(made, (np.fromiter(features(ws), np.int32), at, n)):
+                    out.append(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *(pa.array(m, ints) for m in made)], names=["id", "label", "features", "words", "counts"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    got = arrow_map(sample, run, f"id {kind}, label int, features array<int>, words array<int>, counts array<int>").toArrow().sort_by("id")
+    cols = [got.column(c) for c in ("label", "features", "words", "counts")]
+    return [Row(y.as_py(), *(x.values.to_numpy() for x in xs)) for y, *xs in zip(*cols)]
+
+
+def fit_severity(sample: DataFrame, size: int = FEATURES, n_grades: int = GRADES) -> Severity:
+    """Fit on a labelled sample (id, text, label: toxic 0 or 1). Without toxic rows every score is near 0."""
+    rows = sample_features(sample)
+    found = [r.features for r in rows]
+    vocabulary, _ = association(found, np.array([r.toxic for r in rows], int), size)
+    return fit_ordinal(found, severity_grades(rows, size, n_grades), vocabulary, n_grades)
 
 
 def score_severity(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,7 +181,7 @@ def score_severity(docs: DataFrame, model: Severity, reject_at: float = REJECT_A
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
     rows = docs.select(docs[id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
+    return arrow_map(rows, run, "doc_id bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, text: str = "text") -> DataFrame:
@@ -156,7 +193,7 @@ def drop_toxic(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, t
         for batch in batches:
             yield batch.filter(pa.array([m.at_least(t.as_py() or "")[0] < reject_at for t in batch.column(place)], pa.bool_()))
 
-    return in_batches(docs).mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where: Column | None = None, label: str = "toxic") -> DataFrame:
