@@ -3,10 +3,11 @@
 The narrow table of rows (id, size, coordinates) is split recursively. Each
 node takes its widest metadata dimension and counts bytes in a histogram over
 it; the bin that holds the weighted quantile is divided again until it weighs
-next to nothing, and the node is cut there. A coordinate is the value in a
-dimension followed by bits of the text's and the id's digest: ties are cut too,
-and equal texts of equal metadata lie side by side. The driver sees a row per
-node, never rows of data.
+next to nothing, and the node is cut there. A coordinate is the value's place in
+a dimension followed by bits of digests, so that ties are cut too. Rows of equal
+texts are one group with one set of coordinates, so no cut parts them, unless the
+group weighs more than GROUP_SHARE of a leaf: then its rows are cut like others.
+The driver sees a row per node, never rows of data.
 """
 
 from __future__ import annotations
@@ -24,29 +25,54 @@ BINS = 4096
 TOLERANCE = 0.001
 #: Rows of a shard that are numbered in one task, about.
 SLOT_ROWS = 50_000
-#: A coordinate's bits: value, text digest, id digest.
+#: A group of equal texts stays whole up to this share of a leaf's bytes.
+GROUP_SHARE = 0.04
+#: A coordinate's bits: the value's place, text digest, id digest.
 VALUE_BITS, TEXT_BITS, ID_BITS = 24, 20, 18
-#: A string dimension of up to so many values is placed by rank, a larger one by its first three bytes.
-RANKED_VALUES = 1 << 20
+#: Ranks that may be broadcast at once, by the bytes of their values.
+BROADCAST_BYTES = 16 << 20
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 NODE = "shard int, leaves int, dim int, lo bigint, width bigint, before bigint, goal bigint"
 
 
-def _coordinate(value: Column, text: Column, ident: Column) -> Column:
-    top = F.least(F.greatest(F.coalesce(value.cast("bigint"), F.lit(0)), F.lit(0)), F.lit((1 << VALUE_BITS) - 1))
+def _coordinate(value: Column, lo: float, hi: float, text: Column, ident: Column) -> Column:
+    """The value's place between lo and hi (null: lo), then bits of the digests."""
+    places = (1 << VALUE_BITS) - 1
+    top = F.floor((F.coalesce(value.cast("double"), F.lit(float(lo))) - float(lo)) * (places / max(float(hi) - float(lo), 1e-300))).cast("bigint") if hi > lo else F.lit(0).cast("bigint")
     low = F.shiftleft(F.shiftrightunsigned(text, 64 - TEXT_BITS), ID_BITS) + F.shiftrightunsigned(ident, 64 - ID_BITS)
-    return F.shiftleft(top, TEXT_BITS + ID_BITS) + low
+    return F.shiftleft(F.least(top, F.lit(places).cast("bigint")), TEXT_BITS + ID_BITS) + low
 
 
 def _ranked(df: DataFrame, name: str) -> DataFrame:
-    """Replace the string column by its place among all values: 1 on, null 0."""
+    """Replace the string column by its place among all values: 1 on, null 0. The values are sorted by ranges: a rank is
+    the place in its range and the values of the ranges before, so no task sees more than a range."""
     values = df.select(name).where(F.col(name).isNotNull()).distinct()
-    if values.limit(RANKED_VALUES + 1).count() > RANKED_VALUES:
-        place = F.conv(F.hex(F.rpad(F.substring(F.encode(name, "utf-8"), 1, 3), 3, F.lit(b"\0"))), 16, 10)
-        return df.withColumn(name, F.coalesce(place.cast("bigint"), F.lit(0)))
-    ranks = values.select(name, F.row_number().over(Window.orderBy(name)).cast("bigint").alias("__rank"))
-    return df.join(F.broadcast(ranks), name, "left").withColumn(name, F.coalesce("__rank", F.lit(0))).drop("__rank")
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = stored(values.repartitionByRange(parts, name).select(name, F.spark_partition_id().alias("__range")), "kd-values")
+    inside = placed.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(name)))
+    counts = {r["__range"]: r["n"] for r in placed.groupBy("__range").agg(F.count("*").alias("n")).collect()}  # a row a range
+    starts, before = [], 0
+    for r in sorted(counts):
+        starts.append((r, before))
+        before += counts[r]
+    if not starts:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    begin = F.broadcast(spark.createDataFrame(starts, "__range int, __start bigint"))
+    ranks = inside.join(begin, "__range").select(name, (F.col("__start") + F.col("__place")).cast("bigint").alias("__rank"))
+    weight = placed.agg(F.sum(F.octet_length(name) + 24)).first()[0] or 0
+    return df.join(F.broadcast(ranks) if weight <= BROADCAST_BYTES else ranks, name, "left").withColumn(name, F.coalesce("__rank", F.lit(0))).drop("__rank")
+
+
+def _grouped(base: DataFrame, names: list[str], most: int) -> DataFrame:
+    """base, in which the rows of a text that weighs up to `most` bytes in all have one set of metadata, the least
+    of theirs, and no id (`unit`); rows of heavier groups and single rows keep their own."""
+    several = base.groupBy("t", "size").agg(F.count("*").alias("n"), *[F.min(c).alias(f"g_{c}") for c in names]).where("n > 1")
+    groups = stored(several.where(F.col("n") * F.col("size") <= most).drop("n"), "kd-groups")
+    few = groups.count() <= 100_000  # 8 MB: hashes, sizes and ranks or numbers
+    out = base.join((F.broadcast(groups) if few else groups).withColumn("unit", F.lit(True)), ["t", "size"], "left")
+    return out.withColumns({c: F.when(F.col("unit"), F.col(f"g_{c}")).otherwise(F.col(c)) for c in names}).withColumn("unit", F.coalesce("unit", F.lit(False))).drop(*[f"g_{c}" for c in names])
 
 
 def _cuts(spark: SparkSession, rows: DataFrame, leaves: dict[int, int], dims: int, spread: list[int], light: int) -> list[tuple[int, int, int, int]]:
@@ -82,10 +108,11 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | No
 
     Nodes are split until their leaves reach target_bytes, or are as many as shards. size is the text's UTF-8 bytes
     plus 8; a null text has none (size 8, the crc32 of nothing). dims are "size" or metadata columns: numbers by
-    value (below 0 as 0, over 2^24 as 2^24), strings by rank; null is lowest. Ids may be null or repeat: every row
-    is placed by itself. An empty table gives no rows. The shards' bytes are equal up to the rows at their cuts; with
-    fewer rows than shards some stay empty. slot numbers a shard's rows without gaps from 0. Other columns aren't
-    read. Levels are written to the shared folder.
+    value, strings by rank, both scaled to their range in 2^24 places; null is lowest. Equal texts (null and empty are
+    equal) go to one shard, placed by the least of their metadata, as long as they weigh up to GROUP_SHARE of a shard;
+    heavier groups are cut like other rows. Ids may be null or repeat. An empty table gives no rows. The shards' bytes
+    are equal up to the groups at their cuts; with fewer rows than shards some stay empty. slot numbers a shard's rows
+    without gaps from 0. Other columns aren't read. Levels are written to the shared folder.
     """
     if (target_bytes is None) == (shards is None):
         raise ValueError("give target_bytes or shards")
@@ -98,12 +125,16 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | No
     for d in named:
         if not isinstance(base.schema[f"m_{d}"].dataType, NUMBERS):
             base = _ranked(base.withColumn(f"m_{d}", F.col(f"m_{d}").cast("string")), f"m_{d}")
-    axes = [_coordinate(F.col("size" if d == "size" else f"m_{d}"), F.col("t"), F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k, d in enumerate(dims)]
+    columns = ["size" if d == "size" else f"m_{d}" for d in dims]
+    seen = base.agg(F.sum("size").alias("bytes"), *[f(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    count = shards or max(1, -(-(seen["bytes"] or 0) // target_bytes))
+    base = _grouped(base, [f"m_{d}" for d in named], int(GROUP_SHARE * (seen["bytes"] or 0) / count))
+    own = lambda i: F.when(F.col("unit"), F.xxhash64("t", F.lit(i))).otherwise(F.xxhash64("doc_id", F.lit(i)))
+    axes = [_coordinate(F.col(c), seen[f"lo{i}"] or 0, seen[f"hi{i}"] or 0, F.col("t"), own(i)).alias(f"x{i}") for i, c in enumerate(columns)]
     rows = stored(base.select("doc_id", "size", "text_crc32", *axes, F.lit(0).alias("shard")), "kd-level")
     k = range(len(dims))
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *[(F.max(f"x{i}") - F.min(f"x{i}")).alias(f"s{i}") for i in k]).first()
     size_all = total["bytes"] or 0
-    count = shards or max(1, -(-size_all // target_bytes))
     leaves = {0: count}
     spread = [max(1, total[f"s{i}"] or 0) for i in k]
     while total["n"] and max(leaves.values()) > 1:

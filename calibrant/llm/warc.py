@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import BROADCAST_IDS, in_batches, shared_path, stored
+from calibrant.llm.common import BROADCAST_IDS, arrow_map, shared_path, stored
 
 ARCHIVE_BYTES = 64 << 20
 #: Ranges closer than GAP are read at once, up to SPAN bytes.
@@ -86,7 +86,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 def write_warc(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES, revisit_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write a record per row of pages into archives in the shared folder; returns the stored index of them.
 
-    The payload is the column in UTF-8, null an empty one. Of rows with equal payloads of revisit_bytes or more, the
+    The payload is the column in UTF-8, null an empty one. Payloads are equal when their SHA-256 digests are; the records
+    carry SHA-1, as is usual, of which collisions are known. Of rows with equal payloads of revisit_bytes or more, the
     one with the largest id is the response and the others revisit it; a row with a null id is a response. A
     repeated row gives a record each time; where it has the largest id, each is a response. Blanks and control
     characters of a URL are percent-encoded, a null or empty URL is urn:none (the index has the URL as it was).
@@ -94,13 +95,15 @@ def write_warc(pages: DataFrame, id: str = "page_id", url: str = "url", payload:
     """
     spark = pages.sparkSession
     rows = pages.select(pages[id].cast("bigint").alias("page_id"), pages[url].cast("string").alias("url"), F.coalesce(pages[payload], F.lit("")).alias("payload"))
-    narrow = stored(rows.select("page_id", F.unhex(F.sha1(F.encode("payload", "utf-8"))).alias("sha1"), F.octet_length("payload").alias("size")), "warc-digests")
+    sha1, sha256 = F.unhex(F.sha1(F.encode("payload", "utf-8"))), F.unhex(F.sha2(F.encode("payload", "utf-8"), 256))
+    narrow = stored(rows.select("page_id", sha256.alias("sha"), F.octet_length("payload").alias("size")), "warc-digests")
     large = narrow.where(F.col("size") >= revisit_bytes)
-    keep = large.groupBy("sha1", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = stored(large.join(keep, ["sha1", "size"]).where("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct(), "warc-revisits")
-    if revisits.count() <= BROADCAST_IDS:
+    keep = stored(large.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-keep")
+    n_keep = keep.count()
+    revisits = stored(large.join(F.broadcast(keep) if n_keep <= BROADCAST_IDS // 4 else keep, "sha").where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct(), "warc-revisits")
+    if revisits.count() <= BROADCAST_IDS // 4:  # 25 MB
         revisits = F.broadcast(revisits)
-    marked = rows.withColumn("sha1", F.unhex(F.sha1(F.encode("payload", "utf-8")))).join(revisits, ["page_id", "sha1"], "left")
+    marked = rows.withColumn("sha", sha256).withColumn("sha1", sha1).join(revisits, ["page_id", "sha"], "left")
     where = shared_path(spark, "warc-archives")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +129,7 @@ def write_warc(pages: DataFrame, id: str = "page_id", url: str = "url", payload:
         if out is not None:
             out.close()
 
-    return stored(in_batches(marked.select("page_id", "url", "payload", "sha1", "refers_to")).mapInArrow(write, INDEX_SQL), "warc-index")
+    return stored(arrow_map(marked.select("page_id", "url", "payload", "sha1", "refers_to"), write, INDEX_SQL), "warc-index")
 
 
 def ranges(records: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, int, int]]:
@@ -174,4 +177,4 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(made, schema=READ)
                 start = stop
 
-    return wanted.repartition(parts, "archive").sortWithinPartitions("archive", "offset").mapInArrow(read, READ_SQL)
+    return arrow_map(wanted.repartition(parts, "archive").sortWithinPartitions("archive", "offset"), read, READ_SQL)

@@ -38,6 +38,32 @@ def test_copies_of_a_third_are_cut_too(spark):
     assert max(sizes.values()) < 1.02 * min(sizes.values())
 
 
+def test_groups_of_equal_texts_stay_whole(spark):
+    """But for groups that weigh more than a share of a shard."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    rows = kd_shards(docs, shards=24).collect()
+    groups, sizes = {}, {}
+    for r in rows:
+        groups.setdefault((r["size"], r["text_crc32"]), []).append(r)
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    leaf = sum(sizes.values()) / 24
+    several = [g for g in groups.values() if len(g) > 1]
+    light = [g for g in several if sum(r["size"] for r in g) <= 0.04 * leaf]
+    assert len(several) > 500 and len(light) > 0.9 * len(several) and all(len({r["shard"] for r in g}) == 1 for g in light)
+    assert max(sizes.values()) < 1.05 * leaf and min(sizes.values()) > 0.95 * leaf
+
+
+def test_many_values_and_numbers_of_any_size(spark):
+    """Ranks of many strings, and numbers far apart, below 0, null and NaN."""
+    rows = [(i, f"text {i}", f"http://host/{i % 900:05d}", float("nan") if i % 50 == 0 else None if i % 51 == 0 else (i - 1000) * 1e12) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, url string, at double")
+    sizes = check(kd_shards(docs, shards=8, dims=("url", "at")).collect(), docs.collect(), 8)
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+    placed = {r["doc_id"]: r["shard"] for r in kd_shards(docs, shards=2, dims=("url",)).collect()}
+    below = max(r[2] for r in rows if placed[r[0]] == 0)
+    assert below <= min(r[2] for r in rows if placed[r[0]] == 1)
+
+
 def test_target_bytes_and_empty(messy, empty):
     total = sum(len((r["text"] or "").encode()) + 8 for r in messy.collect())
     assert kd_shards(messy, target_bytes=total // 3, dims=("size",)).select("shard").distinct().count() <= 4
