@@ -105,6 +105,15 @@ def test_a_group_of_edited_copies_by_brute_force(spark):
     assert sorted(got, key=repr) == brute(df.collect(), 4, 80)
 
 
+def test_rows_of_one_id_with_other_texts_are_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (3, b + " tail"), (9, a + " tail"), (None, a), (5, a), (2, "c d"), (2, "e f g h i j")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in near_components(df, words=4).collect()]
+    assert sorted(got, key=repr) == brute(df.collect(), 4, 80)
+    assert {(i, c) for i, _, c, _ in got if i in (5, 9, 3)} == {(5, 5), (5, 3), (3, 3), (9, 5)}
+
+
 def test_bounds():
     assert 0 < min_overlap(64, 80) < 0.8 * 64 and min_overlap(64, 80) < min_overlap(64, 90)
     assert len(shingle_hashes(b"a b c", 4)) == 1 and len(shingle_hashes(b" ", 4)) == 0
