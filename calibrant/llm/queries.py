@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrant.llm import token_counts as tc
 from calibrant.llm.bpe import encode_bpe
-from calibrant.llm.common import learning_rows, shared_path, stored, table
+from calibrant.llm.common import BROADCAST_IDS, learning_rows, shared_path, stored, table
 from calibrant.llm.decontaminate import contamination
 from calibrant.llm.exact_dedup import exact_dedup
 from calibrant.llm.licences import licence_scan
@@ -20,9 +20,9 @@ from calibrant.llm.sharding import kd_shards
 from calibrant.llm.toxicity import toxicity
 from calibrant.llm.warc import read_warc, write_warc
 
-#: Where the vocabulary files lie on every executor.
-TOKENIZERS = os.environ.get("CALIBRANT_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Vocabulary files, which lie at one path on every executor.
+BYTE_BPE = vocabulary("byte_bpe_50k.json")
+VERSIONS = {"v1": vocabulary("byte_bpe_50k.tiktoken"), "v2": vocabulary("byte_bpe_multi_50k.tiktoken")}
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,21 +37,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches over documents: counts of two tokenizer versions are inserted, version 1 is revised
-    to leave out words of signs alone, and copies of a text but the one with the largest id are deleted. Two batches
-    are sent again, which changes nothing."""
-    docs = table(spark, sf_dir, "documents")
-    counts = [tc.count_matches(docs["text"], p).alias(n) for n, p in (("v1", tc.WORD), ("v1_new", tc.SPOKEN_WORD), ("v2", tc.WORD_OR_SIGN))]
-    rows = stored(docs.select("doc_id", "source", "lang", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"), *counts), "token-counts")
-    copies = rows.groupBy("sha").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep")
-    gone = stored(rows.join(copies, "sha").where("doc_id < keep").select("source", "lang", "v1_new", "v2"), "token-gone")
+    """Totals after four batches over documents: tokens of two vocabularies are inserted, those of the first with an
+    end-of-text token a document; the first are revised to leave it out; copies of a text but the one with the largest id
+    are deleted. Two batches are sent again, which changes nothing."""
+    docs = table(spark, sf_dir, "documents").withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    counted = tc.token_counts(docs, VERSIONS, keys=("doc_id", "source", "lang", "sha"))
+    rows = stored(counted.withColumn("v1_end", F.col("v1") + 1), "token-counts")
+    copies = stored(rows.groupBy("sha").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha", "keep"), "token-copies")
+    few = copies.count() <= BROADCAST_IDS // 4  # 20 MB
+    gone = stored(rows.join(F.broadcast(copies) if few else copies, "sha").where("doc_id < keep").select("source", "lang", "v1", "v2"), "token-gone")
     ledger = tc.TokenLedger(spark, shared_path(spark, "token-ledger"))
-    version_2, revised = tc.inserts(rows, "words@2", "v2"), tc.revisions(rows, "words@1", "v1", "v1_new")
-    ledger.commit("1-insert", tc.inserts(rows, "words@1", "v1"))
+    version_2, revised = tc.inserts(rows, "byte_bpe_multi@1", "v2"), tc.revisions(rows, "byte_bpe@1", "v1_end", "v1")
+    ledger.commit("1-insert", tc.inserts(rows, "byte_bpe@1", "v1_end"))
     ledger.commit("2-insert", version_2)
     ledger.commit("3-revise", revised)
     ledger.commit("2-insert", version_2)
-    ledger.commit("4-delete", tc.deletes(gone, "words@1", "v1_new").union(tc.deletes(gone, "words@2", "v2")))
+    ledger.fold()
+    ledger.commit("4-delete", tc.deletes(gone, "byte_bpe@1", "v1").union(tc.deletes(gone, "byte_bpe_multi@1", "v2")))
     ledger.commit("3-revise", revised)
     return ledger.totals()
 
@@ -110,13 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_token_counts": rf"""
-        WITH d AS (SELECT source, lang, doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS stays,
-                          len(regexp_extract_all(coalesce(text, ''), '{tc.SPOKEN_WORD}')) AS v1,
-                          len(regexp_extract_all(coalesce(text, ''), '{tc.WORD_OR_SIGN}')) AS v2 FROM documents)
-        SELECT source, lang, 'words@1' AS tokenizer, count(*) AS n_docs, CAST(sum(v1) AS BIGINT) AS n_tokens FROM d WHERE stays GROUP BY source, lang
-        UNION ALL
-        SELECT source, lang, 'words@2', count(*), CAST(sum(v2) AS BIGINT) FROM d WHERE stays GROUP BY source, lang""",
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {ASCII_LOWER.format("text")} AS t FROM documents)
         SELECT doc_id,
