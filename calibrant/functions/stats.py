@@ -32,11 +32,21 @@ def order_stat(sorted_values: Column, level: Column) -> Column:
     return F.get(sorted_values, F.ceil(F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0)) * (n - 1)).cast("int"))
 
 
-def conformal_quantile(sorted_values: Column, alpha: Column | float, correction: bool = True) -> Column:
-    """Threshold over sorted finite scores: no scores give infinity. alpha may be a column (adaptive methods)."""
+def conformal_rank(n: Column, alpha: Column | float, correction: bool = True) -> Column:
+    """Place, from 1, of the conformal quantile among n sorted scores."""
+    level = conformal_level(n, alpha) if correction else 1 - col(alpha)
+    return F.ceil(F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0)) * (n - 1)) + 1
+
+
+def conformal_quantile(sorted_values: Column, alpha: Column | float, correction: bool = True, min_guard: bool = False) -> Column:
+    """Threshold over sorted finite scores: no scores give infinity. alpha may be a column (adaptive methods). min_guard:
+    without correction, infinity while there are fewer than 1 / alpha scores too."""
     n = F.size(sorted_values)
     level = conformal_level(n, alpha) if correction else 1 - col(alpha)
-    return F.when(n > 0, order_stat(sorted_values, level)).otherwise(F.lit(INF))
+    enough = n > 0
+    if min_guard and not correction:
+        enough = enough & (n >= F.ceil(1 / F.greatest(col(alpha), F.lit(1e-9))))
+    return F.when(enough, order_stat(sorted_values, level)).otherwise(F.lit(INF))
 
 
 def guarded_quantile(sorted_values: Column, alpha: Column, q0: Column | float) -> Column:
@@ -48,11 +58,16 @@ def guarded_quantile(sorted_values: Column, alpha: Column, q0: Column | float) -
     return F.when(n < F.ceil(1 / a), col(q0)).otherwise(F.get(sorted_values, k))
 
 
-def weighted_quantile(values: Column, target: Column | float, decay: float, test_weight: float) -> Column:
-    """Quantile of values in order of age, the newest last, with weights decay ** age: the first sorted value whose
-    cumulative share reaches target, infinity if none does. The unseen test point has test_weight."""
+def weighted_quantile(values: Column, target: Column | float, decay: float, test_weight: float, weights: tuple[float, ...] | None = None) -> Column:
+    """Quantile of values in order of age, the newest last, with weights decay ** age, or the last ones of weights (no
+    weight before them): the first sorted value whose cumulative share reaches target, infinity if none does. The unseen
+    test point has test_weight."""
     n = F.size(values)
-    pairs = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.pow(F.lit(float(decay)), (n - 1 - i).cast("double")).alias("p")))
+    weigh = lambda age: F.pow(F.lit(float(decay)), age.cast("double"))
+    if weights is not None:
+        newest_first = F.array(*[F.lit(float(x)) for x in reversed(weights)])
+        weigh = lambda age: F.coalesce(F.get(newest_first, age), F.lit(0.0))
+    pairs = F.transform(values, lambda v, i: F.struct(v.alias("v"), weigh(n - 1 - i).alias("p")))
     total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["p"]) + F.lit(float(test_weight))
     start = F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("q"))
 

@@ -8,6 +8,8 @@ any state.
 
 from __future__ import annotations
 
+from inspect import signature
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,9 +43,9 @@ def trailing(rows: DataFrame, keys: list[str], alpha: float, size: int | None =
     return with_past(rows, keys, order, s, size).withColumn(out, conformal_quantile(F.array_sort("buf"), alpha, correction)).drop("buf").where("split = 'test'")
 
 
-def weighted(rows: DataFrame, keys: list[str], alpha: float, size: int = 100, decay: float = 0.99, test_weight: float = 1.0, s: str = "s", order: str = "w", out: str = "thr") -> DataFrame:
-    """Quantile of the last `size` scores with weights decay ** age."""
-    return with_past(rows, keys, order, s, size).withColumn(out, weighted_quantile(F.col("buf"), 1 - alpha, decay, test_weight)).drop("buf").where("split = 'test'")
+def weighted(rows: DataFrame, keys: list[str], alpha: float, size: int = 100, decay: float = 0.99, test_weight: float = 1.0, weights: tuple[float, ...] | None = None, s: str = "s", order: str = "w", out: str = "thr") -> DataFrame:
+    """Quantile of the last `size` scores with weights decay ** age, or with the given ones, the newest score's last."""
+    return with_past(rows, keys, order, s, size).withColumn(out, weighted_quantile(F.col("buf"), 1 - alpha, decay, test_weight, weights)).drop("buf").where("split = 'test'")
 
 
 def _sequence(rows: DataFrame, keys: list[str], order: str, fields: list[Column]) -> DataFrame:
@@ -55,7 +57,7 @@ def _folded(keys: list[str], folded: DataFrame) -> DataFrame:
     return folded.select(*keys, F.explode("out").alias("o")).select(*keys, "o.*")
 
 
-def aci(rows: DataFrame, keys: list[str], alpha: float, gamma: float = 0.005, size: int = 100, s: str = "s", order: str = "w", carry: tuple[str, ...] = ()) -> DataFrame:
+def aci(rows: DataFrame, keys: list[str], alpha: float, gamma: float = 0.005, size: int = 100, s: str = "s", order: str = "w", carry: tuple[str, ...] = (), correction: bool = True, min_guard: bool = False) -> DataFrame:
     """Adaptive conformal inference: keys, order, carried columns, s, thr and alpha_t of test rows.
 
     alpha_t starts at alpha and moves by gamma * (alpha - missed), within 0 and 1. The trailing scores depend on
@@ -70,7 +72,7 @@ def aci(rows: DataFrame, keys: list[str], alpha: float, gamma: float = 0.005, si
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["a"]
-        q = conformal_quantile(x["buf"], a)
+        q = conformal_quantile(x["buf"], a, correction, min_guard)
         made = F.struct(x["t"].alias("t"), x["s"].alias("s"), q.alias("thr"), a.alias("alpha_t"), *[x[c].alias(c) for c in carry])
         moved = F.least(F.greatest(a + gamma * (alpha - F.when(x["s"] > q, 1.0).otherwise(0.0)), F.lit(0.0)), F.lit(1.0))
         return F.struct(F.when(x["s"].isNull(), a).otherwise(moved).alias("a"), F.concat(acc["out"], F.array(made)).alias("out"))
@@ -117,10 +119,8 @@ def both_tails(calibrator, rows: DataFrame, keys: list[str], alpha: float, carry
     key. Returns keys, order, carried columns, q_lo and q_up of the test rows."""
     tails = F.explode(F.array(F.struct(F.lit("lo").alias("tail"), F.col("s_lo").alias("s")), F.struct(F.lit("up").alias("tail"), F.col("s_up").alias("s"))))
     long = rows.select(*keys, order, "split", *carry, tails.alias("x")).select(*keys, order, "split", *carry, "x.tail", "x.s")
-    if calibrator in (aci, pid):
-        options["carry"] = carry
-    if calibrator is not split_cp:
-        options["order"] = order
+    takes = signature(calibrator).parameters
+    options |= {k: v for k, v in (("carry", carry), ("order", order)) if k in takes}
     thr = calibrator(long, [*keys, "tail"], alpha / 2, **options)
     pick = lambda t: F.max(F.when(F.col("tail") == t, F.col("thr")))
     return thr.groupBy(*keys, order).agg(pick("lo").alias("q_lo"), pick("up").alias("q_up"), *[F.first(c).alias(c) for c in carry])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from math import ceil
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.functions.stats import conformal_quantile
+from calibrant.functions.stats import INF, conformal_rank
+from calibrant.operators.pooled import order_statistics
 
 
 def fold_count(cal_windows: int, windows: int, series: int) -> int:
@@ -20,22 +20,25 @@ def fold_count(cal_windows: int, windows: int, series: int) -> int:
     return max(2, min(5, series) if needed <= 5 else min(needed, series))
 
 
-def kfold(spark: SparkSession, series: list[str], folds: int, seed: int = 42) -> DataFrame:
-    """(series, fold): a seeded shuffle cut into folds, the first of which get one more where it doesn't divide.
-    Names of series come to the driver, as a permutation needs them in one place."""
-    order = np.arange(len(series))
-    np.random.RandomState(seed).shuffle(order)
-    parts = np.array_split(order, folds)
-    return spark.createDataFrame([(series[i], k) for k, part in enumerate(parts) for i in part.tolist()], "series string, fold int")
+def hash_fold(series: Column, folds: int, seed: int = 42) -> Column:
+    """A series' fold, from 0: the remainder of a seeded hash. It depends on the name alone, so no one needs to see all
+    names, and a series that is added moves no other."""
+    digest = F.substring(F.md5(F.concat(series.cast("string"), F.lit(f":{seed}"))), 1, 15)
+    return F.pmod(F.conv(digest, 16, 10).cast("bigint"), F.lit(folds)).cast("int")
 
 
-def split_cp_folds(rows: DataFrame, folds: DataFrame, alpha: float, n_folds: int) -> DataFrame:
+def for_other_folds(rows: DataFrame, n_folds: int) -> DataFrame:
+    """Each row once for every fold but its own, in for_fold."""
+    return rows.withColumn("for_fold", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.array(F.col("fold")))))
+
+
+def split_cp_folds(rows: DataFrame, alpha: float, n_folds: int, seed: int = 42) -> DataFrame:
     """rows (series, w, h, s, ..) with fold and thr: the conformal quantile of all scores of the step in other folds.
-    A score goes to all folds but its own, so one aggregation by (fold, h) serves every fold."""
-    placed = rows.join(F.broadcast(folds), "series")
-    others = placed.withColumn("for_fold", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_folds - 1)), F.array(F.col("fold")))))
-    thr = others.groupBy(F.col("for_fold").alias("fold"), "h").agg(F.array_sort(F.collect_list("s")).alias("xs")).select("fold", "h", conformal_quantile(F.col("xs"), alpha).alias("thr"))
-    return placed.join(F.broadcast(thr), ["fold", "h"])
+    A score counts for all folds but its own, so one order statistic by (fold, h) serves every fold."""
+    placed = rows.withColumn("fold", hash_fold(F.col("series"), n_folds, seed))
+    others = for_other_folds(placed.select("fold", "h", "s"), n_folds).select(F.col("for_fold").alias("fold"), "h", "s")
+    thr = order_statistics(others, ["fold", "h"], "s", {"thr": lambda n: conformal_rank(n, alpha)}).drop("n")
+    return placed.join(F.broadcast(thr), ["fold", "h"], "left").withColumn("thr", F.coalesce("thr", F.lit(INF)))
 
 
 def chosen_series(panel: DataFrame, strategy: str = "all") -> DataFrame:
@@ -50,4 +53,4 @@ def chosen_series(panel: DataFrame, strategy: str = "all") -> DataFrame:
     stats = names.agg(F.bool_or(named).alias("has"), F.min("series").alias("first"))
     marked = names.crossJoin(F.broadcast(stats)).withColumn("is_target", F.when(F.col("has"), named).otherwise(F.col("series") == F.col("first")))
     keep = marked.where("is_target" if strategy == "targets_only" else "NOT is_target").select("series")
-    return panel.join(F.broadcast(keep), "series", "left_semi")
+    return panel.join(keep, "series", "left_semi")

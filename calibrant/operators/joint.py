@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from calibrant.functions.stats import conformal_quantile, guarded_quantile, linear_percentile
+from calibrant.functions.stats import conformal_rank, guarded_quantile
+from calibrant.operators.pooled import order_statistics
 
 GAMMAS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5)  # fixed value: the usual learning-rate grid
 
@@ -20,17 +21,19 @@ def residuals(panel: DataFrame) -> DataFrame:
 def joint_cfrnn(panel: DataFrame, alpha: float, horizon: int) -> DataFrame:
     """(h, radius): each step's conformal quantile at alpha / horizon, over series and windows."""
     cal = residuals(panel.where("split = 'cal'"))
-    return cal.groupBy("h").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("h", conformal_quantile(F.col("rs"), alpha / horizon).alias("radius"))
+    return order_statistics(cal, ["h"], "r", {"radius": lambda n: conformal_rank(n, alpha / horizon)}).drop("n")
 
 
-def norm_max(panel: DataFrame, alpha: float, normalise: bool = True) -> DataFrame:
-    """(h, radius): steps are divided by their mean absolute error (under 1e-8: 1); the conformal quantile of a
-    trajectory's largest share, times the step's error. The quantile is a single row, so it is joined by broadcast."""
+def norm_max(panel: DataFrame, alpha: float, normalise: bool = True, sigma: DataFrame | None = None) -> DataFrame:
+    """(h, radius): steps are divided by their mean absolute error (under 1e-8: 1), or by sigma (h, sigma) where it is
+    given; the conformal quantile of a trajectory's largest share, times the step's error. The quantile is a single row,
+    and sigma a row per step, so they are joined by broadcast."""
     cal = residuals(panel.where("split = 'cal'"))
-    mae = F.avg("r") if normalise else F.lit(1.0)
-    sigma = cal.groupBy("h").agg(F.when(mae >= 1e-8, mae).otherwise(1.0).alias("sigma"))
+    if sigma is None:
+        mae = F.avg("r") if normalise else F.lit(1.0)
+        sigma = cal.groupBy("h").agg(F.when(mae >= 1e-8, mae).otherwise(1.0).alias("sigma"))
     top = cal.join(F.broadcast(sigma), "h").groupBy("series", "w").agg(F.max(F.col("r") / F.col("sigma")).alias("m"))
-    c = top.agg(F.array_sort(F.collect_list("m")).alias("ms")).select(conformal_quantile(F.col("ms"), alpha).alias("c"))
+    c = order_statistics(top, [], "m", {"c": lambda n: conformal_rank(n, alpha)})
     return sigma.crossJoin(F.broadcast(c)).select("h", (F.col("sigma") * F.col("c")).alias("radius"))
 
 
@@ -78,11 +81,12 @@ def cafht(panel: DataFrame, alpha: float, cal_windows: int, path=aci_path, gamma
     grid = panel.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double")
     violation = F.array_max(F.zip_with("r", "qs", lambda r, q: F.greatest(r - q, F.lit(0.0)) / F.greatest(q, F.lit(1e-8))))
     stage1 = paths.where((F.col("split") == "cal") & (F.col("w") < first)).crossJoin(F.broadcast(grid)).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
-    tried = stage1.groupBy("gamma").agg(F.array_sort(F.collect_list(violation)).alias("v"), F.avg(F.aggregate("qs", F.lit(0.0), lambda s, q: s + q) / F.size("qs")).alias("mean_q"))
-    band = tried.select("gamma", ((1 + conformal_quantile(F.col("v"), alpha)) * 2 * F.col("mean_q")).alias("band"))
+    stage1 = stage1.select("gamma", violation.alias("v"), (F.aggregate("qs", F.lit(0.0), lambda s, q: s + q) / F.size("qs")).alias("q"))
+    tried = order_statistics(stage1, ["gamma"], "v", {"c": lambda n: conformal_rank(n, alpha)}).join(stage1.groupBy("gamma").agg(F.avg("q").alias("mean_q")), "gamma")
+    band = tried.select("gamma", ((1 + F.col("c")) * 2 * F.col("mean_q")).alias("band"))
     best = band.agg(F.min_by("gamma", F.struct(F.round("band", 9), "gamma")).alias("gamma"))
     stage2 = paths.where((F.col("split") == "cal") & (F.col("w") >= first)).crossJoin(F.broadcast(best)).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
-    eps = stage2.groupBy("gamma").agg(F.array_sort(F.collect_list(violation)).alias("v")).select("gamma", conformal_quantile(F.col("v"), alpha).alias("eps"))
+    eps = order_statistics(stage2.select("gamma", violation.alias("v")), ["gamma"], "v", {"eps": lambda n: conformal_rank(n, alpha)}).drop("n")
     test = paths.where("split = 'test'").crossJoin(F.broadcast(eps)).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
     return test.select("series", "w", "gamma", "eps", F.transform("qs", lambda q: (1 + F.col("eps")) * q).alias("radii"))
 
@@ -94,19 +98,33 @@ def copula_bisection(panel: DataFrame, alpha: float, cal_split: float = 0.6) ->
     The first trajectories, in order of window and series, give the errors' distributions, the others the copula.
     The bisection's limit is the order statistic of each trajectory's largest rank at ceil(n (1 - alpha)).
     """
-    cal = trajectories(panel.where("split = 'cal'"))
-    n = cal.count()
-    first = floor(cal_split * n)
-    placed = cal.withColumn("at", F.row_number().over(Window.orderBy("w", "series")) - 1)
-    long = placed.select("at", F.posexplode("r").alias("h", "r"))
-    errors = long.where(F.col("at") < first).groupBy("h").agg(F.array_sort(F.collect_list("r")).alias("es"))
-    ranks = long.where(F.col("at") >= first).join(F.broadcast(errors), "h").groupBy("at").agg(F.max(F.size(F.filter("es", lambda e: e <= F.col("r"))) / F.size("es")).alias("u"))
-    us = F.array_sort(F.collect_list("u"))
-    theta = ranks.agg(F.get(us, F.ceil(F.size(us) * F.lit(1 - alpha)).cast("int") - 1).alias("theta"))
-    return errors.crossJoin(F.broadcast(theta)).select("h", linear_percentile(F.col("es"), F.least(F.col("theta"), F.lit(1.0))).alias("radius"))
+    cal = residuals(panel.where("split = 'cal'"))
+    windows = cal.groupBy("w").agg(F.countDistinct("series").alias("n"))  # a row a window
+    windows = windows.withColumn("before", F.sum("n").over(Window.orderBy("w")) - F.col("n")).withColumn("first", F.floor(F.lit(cal_split) * F.sum("n").over(Window.partitionBy())))
+    inside = F.dense_rank().over(Window.partitionBy("w").orderBy("series"))
+    placed = cal.join(F.broadcast(windows), "w").withColumn("base", F.col("before") + inside <= F.col("first"))
+    errors = placed.where("base")
+    # The share of a step's errors that a trajectory's own reaches: running counts in one sort of each step.
+    of_step = Window.partitionBy("h")
+    ranked = placed.withColumn("below", F.sum(F.col("base").cast("int")).over(of_step.orderBy("r").rangeBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum(F.col("base").cast("int")).over(of_step))
+    ranks = ranked.where("NOT base").groupBy("series", "w").agg(F.max(F.col("below") / F.col("all")).alias("u"))
+    theta = order_statistics(ranks, [], "u", {"theta": lambda n: F.ceil(n * F.lit(1 - alpha))}).select(F.least("theta", F.lit(1.0)).alias("theta"))
+    # Linear interpolation between the two order statistics around theta.
+    at = errors.groupBy("h").agg(F.count("r").alias("n")).crossJoin(F.broadcast(theta)).select("h", (F.col("theta") * (F.col("n") - 1)).alias("at"))
+    own = errors.join(F.broadcast(at), "h")
+    low = F.floor("at")
+    run = own.withColumn("place", F.row_number().over(of_step.orderBy("r")) - 1).where((F.col("place") == low) | (F.col("place") == low + 1))
+    both = run.groupBy("h", "at").agg(F.max(F.when(F.col("place") == low, F.col("r"))).alias("a"), F.max(F.when(F.col("place") == low + 1, F.col("r"))).alias("b"))
+    return both.select("h", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("at") - low)).alias("radius"))
+
+
+def radii_of(paths: DataFrame) -> DataFrame:
+    """(series, w, h, radius) of trajectories with an array of radii."""
+    return paths.select("series", "w", F.posexplode("radii").alias("h", "radius"))
 
 
 def with_radii(panel: DataFrame, radii: DataFrame) -> DataFrame:
-    """Test rows with lo and hi; radii is a row per step."""
-    test = panel.where("split = 'test'").join(F.broadcast(radii), "h")
+    """Test rows with lo and hi; radii is a row per step, or per trajectory and step."""
+    keys = [c for c in ("series", "w", "h") if c in radii.columns]
+    test = panel.where("split = 'test'").join(F.broadcast(radii) if keys == ["h"] else radii, keys)
     return test.withColumn("lo", F.col("yhat") - F.col("radius")).withColumn("hi", F.col("yhat") + F.col("radius"))

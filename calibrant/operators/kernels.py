@@ -8,7 +8,11 @@ repeated or moved task gives the same rows. Several methods can share one pass.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Callable
+from itertools import accumulate
+from math import ceil, exp, isfinite, log, log2, pi, sqrt, tan
 
 import numpy as np
 import pandas as pd
@@ -27,65 +31,102 @@ def order_quantile(buf: np.ndarray, alpha: float) -> float:
     return float(np.sort(buf)[int(np.ceil(level * (n - 1)))])
 
 
-def split_buffer(cal: np.ndarray, size: int) -> list[float]:
-    return [float(x) for x in cal[np.isfinite(cal)][-size:]]
+class Trailing:
+    """The last `size` finite scores, by time and by rank."""
+
+    def __init__(self, scores: np.ndarray, size: int):
+        self.size = size
+        self.time = deque(scores[np.isfinite(scores)][-size:].tolist())
+        self.ranked = sorted(self.time)
+
+    def __len__(self) -> int:
+        return len(self.ranked)
+
+    def add(self, s: float) -> None:
+        if len(self.time) == self.size:
+            del self.ranked[bisect_left(self.ranked, self.time.popleft())]
+        self.time.append(s)
+        insort(self.ranked, s)
+
+    def quantile(self, alpha: float) -> float:
+        """Corrected 'higher' order statistic at level 1 - alpha, alpha in [0, 1]."""
+        n = len(self.ranked)
+        if not n:
+            return INF
+        level = min(max(ceil((n + 1) * (1 - alpha)) / n, 0.0), 1.0)
+        return self.ranked[ceil(level * (n - 1))]
+
+    def share_over(self, s: float) -> float:
+        """Share of the scores that exceed s; 1 without any."""
+        n = len(self.ranked)
+        return (n - bisect_right(self.ranked, s)) / n if n else 1.0
+
+    def guarded(self, alpha: float) -> float:
+        """Uncorrected quantile; infinity while there are too few scores for the level."""
+        n = len(self.ranked)
+        if not n or n < ceil(1 / max(alpha, 1e-9)):
+            return INF
+        return self.ranked[min(ceil(min(max(1 - alpha, 0.0), 1.0) * (n - 1)), n - 1)]
 
 
 def agaci(cal: np.ndarray, test: np.ndarray, alpha: float, gammas: tuple[float, ...] = (0.001, 0.005, 0.01, 0.05, 0.1), size: int = 100, eps: float = 1e-3) -> np.ndarray:
-    """Experts of several learning rates, weighted by their own loss (AdaHedge); the level used is their mean."""
-    buf, g, k = split_buffer(cal, size), np.array(gammas), len(gammas)
-    a, p = np.full(k, alpha), np.full(k, 1 / k)
-    eta, v, m, loss = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros(k)
+    """Experts of several learning rates, weighted by their own second-order loss; the level used is their mean."""
+    seen, k = Trailing(cal, size), len(gammas)
+    levels, share = [alpha] * k, [1 / k] * k
+    rate, squares, largest, loss = [0.0] * k, [0.0] * k, [0.0] * k, [0.0] * k
     out = np.empty(len(test))
-    for t, s in enumerate(test):
-        now = np.array(buf)
-        level = float(np.clip(p @ a, 0, 1))
-        out[t] = order_quantile(now, level)
-        if not np.isfinite(s):
+    for t, s in enumerate(test.tolist()):
+        level = min(max(sum(p * a for p, a in zip(share, levels)), 0.0), 1.0)
+        out[t] = q = seen.quantile(level)
+        if not isfinite(s):
             continue
-        el = (float(s > out[t]) - alpha) * (a - level)
-        v += el**2
-        m = np.maximum(m, np.abs(el))
-        bound = 2.0 ** (np.ceil(np.log2(m + eps)) + 1)
-        loss += 0.5 * (el * (1 + eta * el) + bound * (eta * el > 0.5))
-        eta = np.minimum(1 / bound, np.sqrt(np.log(k) / np.maximum(v, eps)))
-        w = eta * np.exp(-(eta * loss - (eta * loss).min()))
-        p = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
-        n, ranked = len(now), np.sort(now)
+        slope = float(s > q) - alpha
         for j in range(k):
-            i = min(int(np.ceil(np.clip(1 - a[j], 0, 1) * (n - 1))), n - 1) if n else 0
-            q = ranked[i] if n >= np.ceil(1 / max(a[j], 1e-9)) else INF
-            a[j] = np.clip(a[j] + g[j] * (alpha - float(s > q)), 0, 1)
-        buf = [*buf, float(s)][-size:]
+            regret = slope * (levels[j] - level)
+            squares[j] += regret * regret
+            largest[j] = max(largest[j], abs(regret))
+            bound = 2.0 ** (ceil(log2(largest[j] + eps)) + 1)
+            loss[j] += 0.5 * (regret * (1 + rate[j] * regret) + bound * (rate[j] * regret > 0.5))
+            rate[j] = min(1 / bound, sqrt(log(k) / max(squares[j], eps)))
+        least = min(r * x for r, x in zip(rate, loss))
+        weights = [r * exp(least - r * x) for r, x in zip(rate, loss)]
+        total = sum(weights)
+        share = [w / total for w in weights] if total > 0 else [1 / k] * k
+        for j, g in enumerate(gammas):
+            levels[j] = min(max(levels[j] + g * (alpha - float(s > seen.guarded(levels[j]))), 0.0), 1.0)
+        seen.add(s)
     return out
 
 
 def dtaci(cal: np.ndarray, test: np.ndarray, alpha: float, gammas: tuple[float, ...] = (0.001, 0.01, 0.1), sigma: float = 1e-3, eta: float = 2.72, size: int = 100, seed: int = 0, lookback: int | None = None, mean: bool = False) -> np.ndarray:
-    """Experts with exponential weights on the pinball loss of the level that would have been right; the level used
-    is a drawn expert's, or with mean=True their weighted mean (which draws nothing). lookback adapts eta."""
-    buf, g, k = split_buffer(cal, size), np.array(gammas), len(gammas)
-    rng = np.random.default_rng(seed)
-    a, w = np.full(k, alpha), np.ones(k)
-    p, current, past = np.full(k, 1 / k), alpha, []
+    """Experts under exponential weights of the pinball loss of the level that would just have covered, shared out a
+    little at every step. The level used is a drawn expert's, or with mean=True the experts' weighted mean, which draws
+    nothing. lookback adapts eta to the expected losses of so many steps."""
+    seen, k = Trailing(cal, size), len(gammas)
+    draws = np.random.default_rng(seed)
+    levels, chances, used = [alpha] * k, [1 / k] * k, alpha
+    recent: deque[float] = deque(maxlen=lookback or 1)
     out = np.empty(len(test))
-    for t, s in enumerate(test):
-        now = np.array(buf)
-        out[t] = order_quantile(now, float(np.clip(current, 0, 1)))
-        if not np.isfinite(s):
+    for t, s in enumerate(test.tolist()):
+        out[t] = seen.quantile(min(max(used, 0.0), 1.0))
+        if not isfinite(s):
             continue
-        beta = float((now > s).mean()) if len(now) else 1.0
-        u = beta - a
-        el = alpha * u - np.minimum(u, 0)
-        past = [*past, float(p @ el)][-(lookback or 1) :]
-        if lookback and len(past) == lookback:
-            eta = np.sqrt((np.log(2 * k * lookback) + 1) / max(float(np.square(past).sum()), 1e-12))
-        a = np.clip(a + g * (alpha - (a > beta)), 0, 1)
-        logs = np.log(w + 1e-300) - eta * el
-        bar = np.exp(logs - logs.max())
-        w = (1 - sigma) * bar / bar.sum() + sigma / k
-        p = w / w.sum()
-        current = float(p @ a) if mean else float(a[rng.choice(k, p=p)])
-        buf = [*buf, float(s)][-size:]
+        right = seen.share_over(s)
+        losses = [alpha * (right - a) - min(right - a, 0.0) for a in levels]
+        recent.append(sum(p * x for p, x in zip(chances, losses)))
+        if lookback and len(recent) == lookback and (energy := sum(x * x for x in recent)) > 0:
+            eta = sqrt((log(2 * k * lookback) + 1) / energy)
+        levels = [min(max(a + g * (alpha - float(a > right)), 0.0), 1.0) for a, g in zip(levels, gammas)]
+        logs = [log(p) - eta * x if p > 0 else -INF for p, x in zip(chances, losses)]
+        top = max(logs)
+        tilted = [exp(x - top) for x in logs]
+        total = sum(tilted)
+        chances = [(1 - sigma) * w / total + sigma / k for w in tilted]
+        if mean:
+            used = sum(p * a for p, a in zip(chances, levels)) / sum(chances)
+        else:
+            used = levels[min(bisect_right(list(accumulate(chances)), draws.random() * sum(chances)), k - 1)]
+        seen.add(s)
     return out
 
 
@@ -128,78 +169,95 @@ class QuantileForest:
         return np.quantile(np.concatenate(pool), levels)
 
 
-def spci(cal: np.ndarray, test: np.ndarray, alpha: float, w: int = 100, bins: int = 1, trees: int = 10, depth: int = 2, retrain: int = 1, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper quantiles of signed residuals. Up to w of history: linear percentiles. Beyond: a quantile
-    forest on the last w residuals, and of `bins` shifts of the level the one of least width."""
-    history = [float(x) for x in cal if np.isfinite(x)]
-    betas = np.linspace(1e-5, alpha - 1e-5, bins) if bins > 1 else np.array([alpha / 2])
-    lo, up, forest, age = np.full(len(test), -INF), np.full(len(test), INF), None, 0
-    for t, s in enumerate(test):
+def spci(cal: np.ndarray, test: np.ndarray, alpha: float, w: int = 100, bins: int = 5, trees: int = 10, depth: int = 2, retrain: int = 1, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper quantiles of signed residuals. Up to w of history: linear percentiles (0 without any). Beyond: a
+    quantile forest on windows of w residuals, and of `bins` shifts of the level the one of least width. Both hold until
+    `retrain` more residuals are known."""
+    history = cal[np.isfinite(cal)].tolist()
+    shifts = np.linspace(1e-5, max(1e-5, alpha - 1e-5), bins)
+    levels = np.clip(np.concatenate([shifts, 1 - alpha + shifts]), 1e-5, 1 - 1e-5)
+
+    def bounds() -> tuple[float, float]:
         h = np.array(history)
-        if len(h) > w + 1:
-            if forest is None or age >= retrain:
-                x = np.lib.stride_tricks.sliding_window_view(h, w)[:-1]
-                forest, age = QuantileForest(trees, depth, seed).fit(x, h[w:]), 0
-            q = forest.quantiles(h[-w:], np.concatenate([betas, 1 - alpha + betas]))
-            best = int(np.argmin(q[bins:] - q[:bins])) if bins > 1 else 0
-            lo[t], up[t] = q[best], q[len(betas) + best]
+        if not len(h):
+            return 0.0, 0.0
+        if len(h) <= w:
+            return tuple(np.percentile(h, [100 * alpha / 2, 100 * (1 - alpha / 2)]))
+        forest = QuantileForest(trees, depth, seed).fit(np.lib.stride_tricks.sliding_window_view(h, w)[:-1], h[w:])
+        q = forest.quantiles(h[-w:], levels)
+        best = int(np.argmin(q[bins:] - q[:bins]))
+        return q[best], q[bins + best]
+
+    lo, up, now, age = np.empty(len(test)), np.empty(len(test)), bounds(), 0
+    for t, s in enumerate(test.tolist()):
+        lo[t], up[t] = now
+        if isfinite(s):
+            history.append(s)
             age += 1
-        elif len(h):
-            lo[t], up[t] = np.percentile(h, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-        if np.isfinite(s):
-            history.append(float(s))
+            if age >= retrain:
+                now, age = bounds(), 0
     return lo, up
 
 
+def _fitted(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> float:
+    """Least squares of y on x with an intercept, at new."""
+    coef = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0]
+    return float(coef[0] + coef[1:] @ new)
+
+
+def error_forecast(recent: np.ndarray, shorter: np.ndarray) -> float:
+    """The next magnitude of a step's error. recent: its last magnitudes; shorter: as many last signed errors of each
+    shorter step, a column each, 0 where there are fewer. Without shorter steps the mean; else the average of an
+    autoregression of that order and a regression on the shorter steps' errors, each the mean where rows are too few."""
+    n, order = len(recent), shorter.shape[1]
+    if not n:
+        return 0.0
+    mean = float(recent.mean())
+    if not order:
+        return mean
+    auto = direct = mean
+    if n - order >= 2:
+        lags = np.column_stack([recent[order - j - 1 : n - j - 1] for j in range(order)])
+        auto = _fitted(lags, recent[order:], recent[::-1][:order])
+    if n >= 3 and n > order + 1:
+        direct = _fitted(shorter[-n:], recent, shorter[-1])
+    return (auto + direct) / 2
+
+
 def acmcp(cal: np.ndarray, test: np.ndarray, alpha: float, h: int, ncal: int = 10, lr: float = 0.1, csat: float = 1.0, ki: float | None = None, scorecast: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Thresholds (lower, upper) of step h from signed errors of steps 0 to h (arrays of windows by steps).
 
-    Both tails track alpha / 2 with an integrator; a correction forecasts the error itself: for the first step the
-    mean, for others the average of an autoregression of order h - 1 and a regression on the shorter steps' errors.
+    Both tails track alpha / 2 from the calibration errors' quantile on, at a rate that follows the range of the last
+    ncal magnitudes; an integrator answers the running count of misses; from the ncal-th step on the forecast of the
+    error's magnitude is added above and taken off below. The shorter steps' errors are those of calibration.
     """
-    e, new = cal[:, -1], test[:, -1]
-    known = e[np.isfinite(e)]
-    start = order_quantile(known, alpha / 2) if len(known) else 0.0
-    start = start if np.isfinite(start) else float(np.max(known, initial=0.0))
-    ki = float(np.max(np.abs(known), initial=0.0)) if ki is None else ki
-    qt = {"lo": start, "up": start}
-    q = dict(qt)
-    misses = {"lo": 0, "up": 0}
-    window = [float(x) for x in np.abs(known)]
-    rows = [r for r in cal if np.isfinite(r).all()]
+    known = cal[:, -1][np.isfinite(cal[:, -1])]
+    ki = (float(np.abs(known).max()) if len(known) else 1.0) if ki is None else ki
+    recent = deque(np.abs(known).tolist(), maxlen=ncal)
+    shorter = np.zeros((ncal, h))
+    for j in range(h):
+        last = cal[:, j][np.isfinite(cal[:, j])][-ncal:]
+        shorter[ncal - len(last) :, j] = last
+    start = lambda e: float(np.quantile(e, 1 - alpha / 2, method="higher")) if len(e) else 0.0
+    track = {-1: start(-known), 1: start(known)}
+    q, misses, steps = dict(track), {-1: 0, 1: 0}, 0
     lo, up = np.empty(len(test)), np.empty(len(test))
-
-    def forecast() -> float:
-        errors = np.array([r[-1] for r in rows])
-        mean = float(errors.mean()) if len(errors) else 0.0
-        if test.shape[1] == 1 or len(errors) <= h + 1:
-            return mean
-        p, parts = test.shape[1] - 1, []
-        if len(errors) > 2 * p:
-            x = np.column_stack([np.ones(len(errors) - p), *(errors[p - k - 1 : len(errors) - k - 1] for k in range(p))])
-            coef = np.linalg.lstsq(x, errors[p:], rcond=None)[0]
-            parts.append(float(coef @ np.concatenate([[1.0], errors[::-1][:p]])))
-        x = np.column_stack([np.ones(len(rows)), np.array(rows)[:, :-1]])
-        coef = np.linalg.lstsq(x, errors, rcond=None)[0]
-        parts.append(float(coef @ np.concatenate([[1.0], rows[-1][:-1]])))
-        return float(np.mean(parts))
-
-    for t, s in enumerate(new, start=1):
-        lo[t - 1], up[t - 1] = max(q["lo"], 0.0), max(q["up"], 0.0)
-        if not np.isfinite(s):
+    for t, e in enumerate(test[:, -1].tolist()):
+        lo[t], up[t] = max(q[-1], 0.0), max(q[1], 0.0)
+        if not isfinite(e):
             continue
-        rate = lr if len(window) <= 1 else lr * (max(window) - min(window))
-        shift = forecast() if scorecast and len(rows) >= ncal else 0.0
-        for tail, score in (("lo", -s), ("up", s)):
-            missed = score > max(q[tail], 0.0)
-            misses[tail] += missed
-            qt[tail] += rate * (float(missed) - alpha / 2)
-            angle = (misses[tail] - t * alpha / 2) * np.log(t) / (csat * t) if t > 1 else 0.0
-            integral = ki * np.tan(angle) if abs(angle) < np.pi / 2 else 0.0
-            q[tail] = qt[tail] + integral + (shift if tail == "up" else -shift)
-        window.append(abs(float(s)))
-        if np.isfinite(test[t - 1]).all():
-            rows.append(test[t - 1])
+        rate = lr * (max(recent) - min(recent)) if len(recent) > 1 else lr
+        shift = 0.0
+        if scorecast and steps >= ncal:
+            shift = error_forecast(np.array(recent), shorter[ncal - len(recent) :])
+        for side in (-1, 1):
+            missed = side * e > max(q[side], 0.0)
+            track[side] += rate * (missed - alpha / 2)
+            angle = (misses[side] - steps * alpha / 2) * log(steps) / (csat * steps) if steps > 1 else 0.0
+            q[side] = track[side] + (ki * tan(angle) if abs(angle) < pi / 2 else 0.0) + side * shift
+            misses[side] += missed
+        steps += 1
+        recent.append(abs(e))
     return lo, up
 
 

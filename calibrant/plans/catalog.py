@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from calibrant.operators import metrics as mt
 from calibrant.operators import scales as sc
 from calibrant.plans import oracle as sql
 from calibrant.sources import panels as ps
+from calibrant.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -323,27 +322,27 @@ def summary_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cross-sectional and joint methods -------------------------------------------------------------------------------
 
 
-def _series(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Names in the order of a stable hash: what the seeded permutation is applied to."""
-    return [r[0] for r in ps.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("s")).distinct().orderBy(F.md5("s")).collect()]
+def _fold_sql(folds: int, seed: int = 42) -> str:
+    return f"CAST(CAST('0x' || substr(md5(series || ':{seed}'), 1, 15) AS BIGINT) % {folds} AS INT)"
 
 
-@register("kfold_splitcp", f"""WITH {sql.scored("user", "abs")}, fl AS (SELECT series, (row_number() OVER (ORDER BY md5(series)) - 1) % 5 AS fold FROM (SELECT DISTINCT series FROM base)),
-    p AS (SELECT scored.*, fold FROM scored JOIN fl USING (series)), t AS (SELECT g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT DISTINCT fold FROM fl) g ON g.fold <> p.fold GROUP BY g.fold, h)
-    SELECT series, w, p.h, CAST(p.fold AS INT) AS fold, round({sql.quantile("xs", ALPHA)}, 6) AS thr FROM p JOIN t ON p.fold = t.fold AND p.h = t.h""")
+def _kfold_sql(folds: int, seed: int) -> str:
+    return f"""WITH {sql.scored("user", "abs")}, p AS (SELECT *, {_fold_sql(folds, seed)} AS fold FROM scored),
+    t AS (SELECT g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT unnest(range(0, {folds})) AS fold) g ON g.fold <> p.fold GROUP BY g.fold, h)
+    SELECT series, w, p.h, p.fold, round({sql.quantile("xs", ALPHA)}, 6) AS thr FROM p LEFT JOIN t ON p.fold = t.fold AND p.h = t.h"""
+
+
+@register("kfold_splitcp", _kfold_sql(5, 42))
 def kfold_splitcp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_scores(spark, sf_dir)
-    names = [r[0] for r in rows.select("series").distinct().orderBy(F.md5("series")).collect()]
-    dealt = spark.createDataFrame([(s, i % 5) for i, s in enumerate(names)], "series string, fold int")
-    return fd.split_cp_folds(rows, dealt, ALPHA, 5).select("series", "w", "h", "fold", "thr")
+    return fd.split_cp_folds(user_scores(spark, sf_dir), ALPHA, 5).select("series", "w", "h", "fold", "thr")
 
 
-@register("kfold_shuffled")
+@register("kfold_shuffled", _kfold_sql(5, 7))
 def kfold_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seeded shuffle's folds; no SQL has its generator."""
-    names = _series(spark, sf_dir)
-    n = fd.fold_count(ps.USER["cal"], 12, len(names))
-    return fd.split_cp_folds(user_scores(spark, sf_dir), fd.kfold(spark, names, n), ALPHA, n).select("series", "w", "h", "fold", "thr")
+    """Another seed's folds, as many as the rule gives."""
+    rows = user_scores(spark, sf_dir)
+    n = fd.fold_count(ps.USER["cal"], 12, rows.select(F.countDistinct("series")).first()[0])
+    return fd.split_cp_folds(rows, ALPHA, n, seed=7).select("series", "w", "h", "fold", "thr")
 
 
 @register("covariate_strategy", f"WITH {sql.panel('hourly')} SELECT series, count(*) AS n FROM panel WHERE series = (SELECT min(series) FROM panel) GROUP BY series")
@@ -384,14 +383,40 @@ def joint_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.summary(marked, ["method"]).drop("method")
 
 
-@register("cafht_aci")
+def _cafht_sql(step: str, start: str) -> str:
+    """Paths of thresholds by step: `start` is the first state, `step` the next one and the threshold q."""
+    violation = "list_max(list_transform(range(1, len(r) + 1), lambda j: greatest(r[j] - qs[j], 0.0) / greatest(qs[j], 1e-8)))"
+    return f"""WITH RECURSIVE {_R}, tr AS (SELECT series, w, split, list(r ORDER BY h) AS r FROM r GROUP BY series, w, split),
+    g AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in jp.GAMMAS)}]) AS gamma),
+    p AS (SELECT series, w, split, r, gamma, 0 AS i, {start}, CAST([] AS DOUBLE[]) AS qs FROM tr, g
+        UNION ALL SELECT series, w, split, r, gamma, i + 1, {step}),
+    v AS (SELECT *, {violation} AS v FROM p WHERE i = len(r)),
+    tried AS (SELECT gamma, list_sort(list(v)) AS vs, avg(list_sum(qs) / len(qs)) AS mean_q FROM v WHERE split = 'cal' AND w < 2 GROUP BY gamma),
+    best AS (SELECT arg_min(gamma, {{'b': round((1 + {sql.quantile("vs", ALPHA)}) * 2 * mean_q, 9), 'g': gamma}}) AS gamma FROM tried),
+    ep AS (SELECT list_sort(list(v)) AS vs FROM v JOIN best USING (gamma) WHERE split = 'cal' AND w >= 2),
+    fin AS (SELECT series, w, gamma, {sql.quantile("vs", ALPHA)} AS eps, qs, unnest(range(0, len(qs))) AS h FROM v JOIN best USING (gamma), ep WHERE split = 'test')
+    SELECT series, w, CAST(h AS INT) AS h, gamma, round(eps, 6) AS eps, round((1 + eps) * qs[h + 1], 6) AS radius FROM fin"""
+
+
+_ACI_STEP = """least(greatest(a + gamma * (0.2::DOUBLE - CASE WHEN r[i + 1] > q THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0), 1.0), list_append(qs, q)
+        FROM (SELECT *, CASE WHEN i < ceil(1 / greatest(a, 1e-9)) THEN 0.1::DOUBLE ELSE list_sort(r[1:i])[greatest(1, least(i, CAST(ceil(i * (1 - a)) AS INT)))] END AS q FROM p WHERE i < len(r))"""
+_PID_STEP = """qt - rate * CASE WHEN r[i + 1] <= q THEN 0.2::DOUBLE ELSE 0.2::DOUBLE - 1.0 END, list_append(qs, q)
+        FROM (SELECT *, greatest(qt, 0.0) AS q, CASE WHEN i > 1 THEN gamma * (list_max(r[1:i]) - list_min(r[1:i])) ELSE gamma END AS rate FROM p WHERE i < len(r))"""
+
+
+def _cafht(spark: SparkSession, sf_dir: str, path) -> DataFrame:
+    got = jp.cafht(ps.user_panel(spark, sf_dir), ALPHA, ps.USER["cal"], path)
+    return got.select("series", "w", "gamma", "eps", F.posexplode("radii").alias("h", "radius"))
+
+
+@register("cafht_aci", _cafht_sql(_ACI_STEP, "0.2::DOUBLE AS a"))
 def cafht_aci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jp.cafht(ps.user_panel(spark, sf_dir), ALPHA, ps.USER["cal"])
+    return _cafht(spark, sf_dir, jp.aci_path)
 
 
-@register("cafht_pid")
+@register("cafht_pid", _cafht_sql(_PID_STEP, "0.1::DOUBLE AS qt"))
 def cafht_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jp.cafht(ps.user_panel(spark, sf_dir), ALPHA, ps.USER["cal"], jp.pid_path)
+    return _cafht(spark, sf_dir, jp.pid_path)
 
 
 # Reports ---------------------------------------------------------------------------------------------------------
@@ -455,22 +480,73 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.user_panel(spark, sf_dir).withColumn("e", F.col("y") - F.col("yhat"))
 
 
-@register("agaci")
+def _agaci_sql(score: str, method: str = "") -> str:
+    """The experts' states as lists; a row's threshold comes from the state before it."""
+    g = "[0.001::DOUBLE, 0.005::DOUBLE, 0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]"
+    each = lambda f: f"list_transform(range(1, 6), lambda j: {f})"
+    fives = lambda x: f"[{', '.join([x] * 5)}]"
+    guarded = "CASE WHEN len(xs) < ceil(1 / greatest(lv[j], 1e-9)) THEN 'inf'::DOUBLE ELSE xs[1 + CAST(least(ceil(least(greatest(1 - lv[j], 0.0), 1.0) * (len(xs) - 1)), len(xs) - 1) AS INT)] END"
+    return f"""{sql.scored("user", score)},
+    b AS (SELECT *, list_sort(list(s) OVER (PARTITION BY series, h ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS xs FROM scored),
+    r AS (SELECT series, h, w, s, xs, {fives("0.2::DOUBLE")} AS lv, {fives("0.2::DOUBLE")} AS sh, {fives("0.0::DOUBLE")} AS rt, {fives("0.0::DOUBLE")} AS sq, {fives("0.0::DOUBLE")} AS mx, {fives("0.0::DOUBLE")} AS ls, 0.2::DOUBLE AS level, {sql.quantile("xs", ALPHA)} AS thr FROM b WHERE w = 5
+        UNION ALL
+        SELECT series, h, w, s, xs, lv, sh, rt, sq, mx, ls, level, {sql.quantile("xs", "level")} FROM (
+        SELECT n.series, n.h, n.w, n.s, n.xs, lv2 AS lv, sh, rt, sq, mx, ls, least(greatest(list_sum({each("sh[j] * lv2[j]")}), 0.0), 1.0) AS level FROM (
+        SELECT *, {each("wt[j] / list_sum(wt)")} AS sh FROM (
+        SELECT *, {each("rt[j] * exp(list_min(" + each("rt[j] * ls[j]").replace("lambda j", "lambda i").replace("[j]", "[i]") + ") - rt[j] * ls[j])")} AS wt FROM (
+        SELECT series, h, w, lv2, sq, mx, {each("ls[j] + 0.5 * (rg[j] * (1 + rt[j] * rg[j]) + bd[j] * CASE WHEN rt[j] * rg[j] > 0.5 THEN 1.0 ELSE 0.0 END)")} AS ls, {each("least(1 / bd[j], sqrt(ln(5::DOUBLE) / greatest(sq[j], 1e-3)))")} AS rt FROM (
+        SELECT *, {each("pow(2.0::DOUBLE, ceil(log2(mx[j] + 1e-3)) + 1)")} AS bd FROM (
+        SELECT series, h, w, rt, ls, rg, lv2, {each("sq[j] + rg[j] * rg[j]")} AS sq, {each("greatest(mx[j], abs(rg[j]))")} AS mx FROM (
+        SELECT *, {each("(CASE WHEN s > thr THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - 0.2::DOUBLE) * (lv[j] - level)")} AS rg,
+            {each(f"least(greatest(lv[j] + {g}[j] * (0.2::DOUBLE - CASE WHEN s > {guarded} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0), 1.0)")} AS lv2 FROM r))))) ) st
+        JOIN b n ON n.series = st.series AND n.h = st.h AND n.w = st.w + 1))
+    SELECT series, w, h, {method}round(thr, 6) AS thr FROM r"""
+
+
+def _dtaci_sql(score: str, method: str = "") -> str:
+    """The experts' weighted mean, which draws nothing."""
+    g = "[0.001::DOUBLE, 0.01::DOUBLE, 0.1::DOUBLE]"
+    each = lambda f: f"list_transform(range(1, 4), lambda j: {f})"
+    threes = lambda x: f"[{', '.join([x] * 3)}]"
+    return f"""{sql.scored("user", score)},
+    b AS (SELECT *, list_sort(list(s) OVER (PARTITION BY series, h ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS xs FROM scored),
+    r AS (SELECT series, h, w, s, xs, {threes("0.2::DOUBLE")} AS lv, {threes("1.0::DOUBLE / 3")} AS ch, 0.2::DOUBLE AS used, {sql.quantile("xs", ALPHA)} AS thr FROM b WHERE w = 5
+        UNION ALL
+        SELECT series, h, w, s, xs, lv, ch, used, {sql.quantile("xs", "least(greatest(used, 0.0), 1.0)")} FROM (
+        SELECT n.series, n.h, n.w, n.s, n.xs, lv2 AS lv, ch2 AS ch, list_sum({each("ch2[j] * lv2[j]")}) / list_sum(ch2) AS used FROM (
+        SELECT *, {each("(1 - 1e-3) * wt[j] / list_sum(wt) + 1e-3 / 3")} AS ch2 FROM (
+        SELECT *, {each("ch[j] * exp(-2.72::DOUBLE * lo[j])")} AS wt FROM (
+        SELECT *, {each("0.2::DOUBLE * (rg - lv[j]) - least(rg - lv[j], 0.0)")} AS lo, {each(f"least(greatest(lv[j] + {g}[j] * (0.2::DOUBLE - CASE WHEN lv[j] > rg THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0), 1.0)")} AS lv2 FROM (
+        SELECT *, len(list_filter(xs, lambda x: x > s)) / len(xs)::DOUBLE AS rg FROM r)))) st
+        JOIN b n ON n.series = st.series AND n.h = st.h AND n.w = st.w + 1))
+    SELECT series, w, h, {method}round(thr, 6) AS thr FROM r"""
+
+
+@register("agaci", "WITH RECURSIVE " + _agaci_sql("abs"))
 def agaci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kn.online(user_scores(spark, sf_dir), KEYS, ALPHA, ("AgACI",), size=20)
+    return kn.online(user_scores(spark, sf_dir), KEYS, ALPHA, ("AgACI",), size=20).drop("method")
 
 
-@register("dtaci")
+@register("dtaci", "WITH RECURSIVE " + _dtaci_sql("abs"))
 def dtaci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.online(user_scores(spark, sf_dir), KEYS, ALPHA, ("DtACI",), size=20, options={"DtACI": {"mean": True}}).drop("method")
+
+
+@register("dtaci_drawn")
+def dtaci_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of an expert that is drawn; no SQL has the generator."""
     return kn.online(user_scores(spark, sf_dir), KEYS, ALPHA, ("DtACI",), size=20)
 
 
-@register("adaptive_cqr_kernels")
+@register("adaptive_cqr_kernels", f"SELECT * FROM (WITH RECURSIVE {_agaci_sql('cqr', chr(39) + 'AgACI' + chr(39) + ' AS method, ')}) UNION ALL SELECT * FROM (WITH RECURSIVE {_dtaci_sql('cqr', chr(39) + 'DtACI' + chr(39) + ' AS method, ')})")
 def adaptive_cqr_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn.online(user_scores(spark, sf_dir, "cqr"), KEYS, ALPHA, ("AgACI", "DtACI"), size=20, options={"DtACI": {"mean": True}})
 
 
-@register("spci_short")
+_BEFORE = "OVER (PARTITION BY series, h ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@register("spci_short", f"WITH {sql.panel('user')}, q AS (SELECT *, quantile_cont(y - yhat, 0.1) {_BEFORE} AS q_lo, quantile_cont(y - yhat, 0.9) {_BEFORE} AS q_up FROM panel) SELECT series, h, w, round(q_lo, 6) AS q_lo, round(q_up, 6) AS q_up FROM q WHERE split = 'test'")
 def spci_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn.spci_bounds(_errors(spark, sf_dir), KEYS, ALPHA, w=100)
 
@@ -556,23 +632,19 @@ def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fc.error_metrics(ps.user_panel(spark, sf_dir).where("split = 'test'"), ["h"])
 
 
-def _stream(spark: SparkSession, sf_dir: str, gamma: float, keys: list[str]) -> DataFrame:
-    """Scores as a file stream, four files of windows, through the online state; the result as it was written. A state
-    is a series' and step's; with the series alone as key, the first step's rows are taken."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calibrant-")).rstrip("/")
-    base = f"{base}/stream-{uuid.uuid4().hex[:12]}"
-    rows = user_scores(spark, sf_dir)
-    scores = (rows if "h" in keys else rows.where("h = 0")).select(*keys, F.col("w").cast("bigint").alias("w"), "s")
+def _stream(spark: SparkSession, sf_dir: str, gamma: float) -> DataFrame:
+    """Scores as a file stream, four files of windows, through the online state of each series and step; the result as it
+    was written."""
+    base = shared_path(spark, "stream")
+    scores = user_scores(spark, sf_dir).select(*KEYS, F.col("w").cast("bigint").alias("w"), "s")
     scores.repartition(4, "w").write.parquet(f"{base}/in")
     source = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 100).parquet(f"{base}/in")
-    out = online_aci(source, keys, ALPHA, gamma, 20, test_from=ps.USER["cal"])
-    return run_available(out, f"{base}/out", f"{base}/state").select(*keys, F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
+    out = online_aci(source, KEYS, ALPHA, gamma, 20, test_from=ps.USER["cal"])
+    return run_available(out, f"{base}/out", f"{base}/state").select(*KEYS, F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
 
 
 for _name, _gamma in {"stream_aci": 0.05, "stream_trailing": 0.0}.items():
-    register(_name, _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t") + " WHERE h = 0")(lambda s, d, g=_gamma: _stream(s, d, g, KEYS[:1]))
-    # The SQL above is of the first step; these take every step of the panel.
-    register(f"{_name}_steps", _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, h, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t"))(lambda s, d, g=_gamma: _stream(s, d, g, KEYS))
+    register(_name, _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, h, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t"))(lambda s, d, g=_gamma: _stream(s, d, g))
 
 
 # Runners over several methods ------------------------------------------------------------------------------------
@@ -583,24 +655,107 @@ def run_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.run(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("AgACI", "DtACI", "SPCI", "AcMCP"), window=20))
 
 
-@register("run_joint")
+_METHOD_SUMMARY = f"""{sql.marked()}, {sql.horizon_metrics(by="method")},
+    jc AS (SELECT method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY method),
+    su AS (SELECT method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY method)"""
+_SCALED = """, nv AS (SELECT avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
+    SELECT method, round(coverage, 4) AS coverage, round(avg_width, 4) AS avg_width, round(winkler_score, 4) AS winkler_score, round(joint_coverage, 4) AS joint_coverage,
+        round(avg_width / CASE WHEN nw > 1e-8 THEN nw ELSE 1 END, 4) AS scaled_width, round(winkler_score / CASE WHEN nk > 1e-8 THEN nk ELSE 1 END, 4) AS scaled_winkler FROM su JOIN jc USING (method), nv"""
+_NATIVE_IV = "SELECT 'Native' AS method, series, w, h, y, q10 AS lo, q90 AS hi FROM base WHERE split = 'test'"
+
+
+@register("run_joint", f"""WITH {_R}, x AS (SELECT h, list_sort(list(r)) AS xs FROM cal GROUP BY h),
+    sg AS (SELECT h, CASE WHEN avg(r) >= 1e-8 THEN avg(r) ELSE 1 END AS sigma FROM cal GROUP BY h), m AS (SELECT list_sort(list(m)) AS xs FROM (SELECT max(r / sigma) AS m FROM cal JOIN sg USING (h) GROUP BY series, w)),
+    rad AS (SELECT 'JointCFRNN' AS method, h, {sql.quantile("xs", ALPHA / 4)} AS radius FROM x UNION ALL SELECT 'NormMaxCP', h, sigma * {sql.quantile("xs", ALPHA)} FROM sg, m),
+    iv AS (SELECT method, series, w, h, y, yhat - radius AS lo, yhat + radius AS hi FROM panel JOIN rad USING (h) WHERE split = 'test'), {_METHOD_SUMMARY}
+    SELECT method, round(coverage, 4) AS coverage, round(avg_width, 4) AS avg_width, round(winkler_score, 4) AS winkler_score, round(joint_coverage, 4) AS joint_coverage FROM su JOIN jc USING (method)""", digits=4)
 def run_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=ev.JOINT), ps.USER["cal"])
+    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("JointCFRNN", "NormMaxCP")), ps.USER["cal"])
 
 
-@register("joint_cv", f"""WITH {sql.scored("user", "abs")}, fl AS (SELECT series, CAST((row_number() OVER (ORDER BY md5(series)) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT series FROM base)),
-    p AS (SELECT scored.*, fold FROM scored JOIN fl USING (series)), t AS (SELECT g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT DISTINCT fold FROM fl) g ON g.fold <> p.fold GROUP BY g.fold, h),
+@register("run_joint_all")
+def run_joint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=tuple(ev.JOINT)), ps.USER["cal"])
+
+
+@register("joint_cv", f"""WITH {sql.scored("user", "abs")}, p AS (SELECT *, {_fold_sql(5)} AS fold FROM scored),
+    t AS (SELECT g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT unnest(range(0, 5)) AS fold) g ON g.fold <> p.fold GROUP BY g.fold, h),
     iv AS (SELECT p.*, yhat - {sql.quantile("xs", ALPHA / 4)} AS lo, yhat + {sql.quantile("xs", ALPHA / 4)} AS hi FROM p JOIN t ON p.fold = t.fold AND p.h = t.h), {sql.marked()}, {sql.horizon_metrics(by="fold")},
     jc AS (SELECT fold, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT fold, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY fold)
     SELECT fold, round(avg(coverage), 4) AS coverage, round(avg(avg_width), 4) AS avg_width, round(avg(winkler_score), 4) AS winkler_score, round(any_value(joint_coverage), 4) AS joint_coverage FROM mh JOIN jc USING (fold) GROUP BY fold""", digits=4)
 def joint_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = ps.user_panel(spark, sf_dir)
-    names = [r[0] for r in panel.select("series").distinct().orderBy(F.md5("series")).collect()]
-    dealt = spark.createDataFrame([(s, i % 5) for i, s in enumerate(names)], "series string, fold int")
-    return ev.run_joint_folds(panel, dealt, 5, ALPHA)
+    return ev.run_joint_folds(ps.user_panel(spark, sf_dir), 5, ALPHA).drop("method")
+
+
+@register("cv_methods", f"""WITH {sql.scored("user", "abs")}, p AS (SELECT *, {_fold_sql(5)} AS own FROM scored),
+    x AS (SELECT p.*, g.fold, CASE WHEN own = g.fold THEN 'test' ELSE 'cal' END AS role FROM p, (SELECT unnest(range(0, 5)) AS fold) g),
+    fr AS (SELECT *, list_sort(list(s) FILTER (WHERE role = 'cal') OVER (PARTITION BY fold, h)) AS cs, list_sort(list(s) OVER (PARTITION BY fold, h ORDER BY role, w, series ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS xs FROM x),
+    t AS (SELECT * FROM fr WHERE role = 'test'),
+    iv AS (SELECT 'Native' AS method, fold, series, w, h, y, q10 AS lo, q90 AS hi FROM t
+        UNION ALL SELECT 'SplitCP', fold, series, w, h, y, yhat - {sql.quantile("cs", ALPHA)}, yhat + {sql.quantile("cs", ALPHA)} FROM t
+        UNION ALL SELECT 'TrailingWindow', fold, series, w, h, y, yhat - {sql.quantile("xs", ALPHA, False)}, yhat + {sql.quantile("xs", ALPHA, False)} FROM t),
+    {sql.marked()}, {sql.horizon_metrics(by="fold, method")},
+    jc AS (SELECT fold, method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT fold, method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY ALL),
+    su AS (SELECT fold, method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY ALL)
+    SELECT method, round(avg(coverage), 4) AS coverage, round(avg(avg_width), 4) AS avg_width, round(avg(winkler_score), 4) AS winkler_score, round(avg(joint_coverage), 4) AS joint_coverage FROM su JOIN jc USING (fold, method) GROUP BY method""", digits=4)
+def cv_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validation over series of a static and a learning method, averaged over folds."""
+    return ev.fold_average(ev.run_folds(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("SplitCP", "TrailingWindow"), window=20), 5))
+
+
+@register("run_tasks", f"""WITH {sql.scored("user", "abs")}, {sql.split_thr()}, iv AS (SELECT 't' || CAST(CAST(series AS INT) % 4 AS VARCHAR) AS task, * FROM ({_NATIVE_IV} UNION ALL SELECT 'SplitCP', series, w, h, y, yhat - thr, yhat + thr FROM thr)),
+    {sql.marked()}, {sql.horizon_metrics(by="task, method")},
+    jc AS (SELECT task, method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT task, method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY ALL),
+    su AS (SELECT task, method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY ALL),
+    nv AS (SELECT task, avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
+    SELECT task, method, round(coverage, 4) AS coverage, round(avg_width, 4) AS avg_width, round(winkler_score, 4) AS winkler_score, round(joint_coverage, 4) AS joint_coverage, round(avg_width / nw, 4) AS scaled_width, round(winkler_score / nk, 4) AS scaled_winkler
+    FROM su JOIN jc USING (task, method) JOIN nv USING (task)""", digits=4)
+def run_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several tasks at once: each has its own rows and its own Native."""
+    panel = ps.user_panel(spark, sf_dir).withColumn("task", F.concat(F.lit("t"), F.pmod(F.col("series").cast("int"), F.lit(4)).cast("string")))
+    return ev.run(panel, ev.EvalConfig(methods=("SplitCP",)), ("task", "series"))
+
+
+_SPLIT_IV = f"iv AS ({_NATIVE_IV} UNION ALL SELECT 'SplitCP', series, w, h, y, yhat - thr, yhat + thr FROM thr)"
+
+
+@register("run_log_fallback", f"WITH {sql.scored('user', 'abs')}, {sql.split_thr()}, {_SPLIT_IV}, {_METHOD_SUMMARY}{_SCALED}", digits=4)
+def run_log_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values far below 0 have no log score, so abs is used, whose intervals move with the values."""
+    shift = lambda c: (F.col(c) - 1000).alias(c.rpartition(".")[2])
+    panel = ps.user_panel(spark, sf_dir).select("series", "w", "h", shift("y"), shift("yhat"), F.struct(*[shift(f"q.{f}") for f in FIELDS]).alias("q"), "split")
+    return ev.run(panel, ev.EvalConfig(score="log", methods=("SplitCP",)))
+
+
+@register("run_cal_windows", f"WITH {sql.scored('user', 'abs')}, {sql.split_thr(source='(SELECT * FROM scored WHERE w >= 2)')}, {_SPLIT_IV}, {_METHOD_SUMMARY}{_SCALED}", digits=4)
+def run_cal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three calibration windows alone."""
+    return ev.run(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("SplitCP",), cal_windows=3, min_cal_windows=2))
+
+
+def _single_sql(frozen: bool) -> str:
+    xs = "list_sort(list(s) OVER (PARTITION BY series ORDER BY w * 4 + h ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
+    held = "first_value(xs) OVER (PARTITION BY series, w ORDER BY h)" if frozen else "xs"
+    return f"""WITH {sql.scored("user", "abs")}, fr AS (SELECT *, {xs} AS xs FROM scored), t AS (SELECT * REPLACE ({held} AS xs) FROM fr WHERE split = 'test'),
+    iv AS ({_NATIVE_IV} UNION ALL SELECT 'TrailingWindow', series, w, h, y, yhat - {sql.quantile("xs", ALPHA, False)}, yhat + {sql.quantile("xs", ALPHA, False)} FROM t), {_METHOD_SUMMARY}{_SCALED}"""
+
+
+for _name, _online in {"single_step_run": True, "single_step_run_frozen": False}.items():
+    register(_name, _single_sql(not _online), 4)(lambda s, d, o=_online: ev.run_single_step(ps.user_panel(s, d), ev.EvalConfig(methods=("TrailingWindow",), window=20), 4, online=o))
+
+
+def _pid_tails_sql(score: str) -> str:
+    """Quantile tracking of each tail at half of alpha, from the calibration quantile on."""
+    by = "PARTITION BY series, h, tail"
+    spread = f"max(s) OVER ({by} ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) - min(s) OVER ({by} ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+    return f"""WITH RECURSIVE {_tails_sql(score)}, {sql.split_thr(ALPHA / 2, "series, h, tail")}, b AS (SELECT *, {spread} AS spread FROM scored),
+    x AS (SELECT b.series, b.h, b.tail, b.w, b.s, b.spread, thr.thr AS q0 FROM b JOIN thr ON b.series = thr.series AND b.h = thr.h AND b.tail = thr.tail AND b.w = thr.w),
+    r AS (SELECT *, q0 AS thr FROM x WHERE w = 5
+        UNION ALL SELECT n.*, r.thr - 0.1::DOUBLE * r.spread * (0.1::DOUBLE - CASE WHEN r.s > r.thr THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM r JOIN x n ON n.series = r.series AND n.h = r.h AND n.tail = r.tail AND n.w = r.w + 1)
+    SELECT {PAIR} FROM r GROUP BY series, w, h"""
 
 
-@register("pid_asym")
+@register("pid_asym", _pid_tails_sql("cqr"))
 def pid_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sc.scored(ps.user_panel(spark, sf_dir), "cqr", ALPHA, KEYS[:1], asymmetric=True)
     return cp.both_tails(cp.pid, rows, KEYS, ALPHA, size=20)

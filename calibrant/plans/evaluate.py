@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from time import perf_counter
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from calibrant.functions.scores import Score, check, resolve
@@ -50,20 +52,63 @@ class EvalConfig:
         return there if self.cal_windows == -1 else min(there, self.cal_windows)
 
 
-Thresholds = Callable[..., DataFrame]
+class Calibrator(Protocol):
+    """Thresholds of one key's scores: from rows (keys, order, split, s, ..) the test rows with thr, each of which knows
+    only scores before it. Options are keywords; `order` names the column of time."""
 
-#: Methods with a threshold per series and step, and whether they learn while testing.
-MARGINAL: dict[str, tuple[Thresholds, bool]] = {
-    "SplitCP": (cp.split_cp, False),
-    "CFRNN": (cp.cfrnn, False),
-    "TrailingWindow": (cp.trailing, True),
-    "WeightedCP": (cp.weighted, True),
-    "CQR": (cp.trailing, True),
-    "ACI": (cp.aci, True),
-    "PID": (cp.pid, True),
+    def __call__(self, rows: DataFrame, keys: list[str], alpha: float, **options) -> DataFrame: ...
+
+
+class JointCalibrator(Protocol):
+    """Radii under which a trajectory's steps hold at once: from a panel (h, radius), or (series, w, h, radius)."""
+
+    def __call__(self, panel: DataFrame, alpha: float, **options) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Method:
+    """A calibrator, whether it learns while testing, and what of rows it needs told: the window's size, the columns to
+    carry through."""
+
+    thresholds: Calibrator
+    online: bool
+    sized: bool = True
+    carries: bool = False
+
+
+#: Methods with a threshold per series and step.
+MARGINAL: dict[str, Method] = {
+    "SplitCP": Method(cp.split_cp, False, sized=False),
+    "CFRNN": Method(cp.cfrnn, False, sized=False),
+    "TrailingWindow": Method(cp.trailing, True),
+    "WeightedCP": Method(cp.weighted, True),
+    "CQR": Method(cp.trailing, True),
+    "ACI": Method(cp.aci, True, carries=True),
+    "PID": Method(cp.pid, True, carries=True),
 }
 KERNELS = ("AgACI", "DtACI", "AcMCP", "SPCI")
-JOINT = ("JointCFRNN", "NormMaxCP", "CAFHT", "CAFHT_PID", "CopulaCPTS")
+#: Joint methods; those of one radius a step, but for CAFHT's, which follow the trajectory.
+JOINT: dict[str, JointCalibrator] = {
+    "JointCFRNN": lambda panel, alpha, horizon, cal_windows, **o: jp.joint_cfrnn(panel, alpha, horizon, **o),
+    "NormMaxCP": lambda panel, alpha, horizon, cal_windows, **o: jp.norm_max(panel, alpha, **o),
+    "CAFHT": lambda panel, alpha, horizon, cal_windows, **o: jp.radii_of(jp.cafht(panel, alpha, cal_windows, jp.aci_path, **o)),
+    "CAFHT_PID": lambda panel, alpha, horizon, cal_windows, **o: jp.radii_of(jp.cafht(panel, alpha, cal_windows, jp.pid_path, **o)),
+    "CopulaCPTS": lambda panel, alpha, horizon, cal_windows, **o: jp.copula_bisection(panel, alpha, **o),
+    "CopulaCPTS_Adam": lambda panel, alpha, horizon, cal_windows, **o: kn.copula_radii(panel, alpha, **o),
+}
+
+
+def register_calibrator(name: str, thresholds: Calibrator, online: bool = True, sized: bool = False, carries: bool = False) -> None:
+    """Make a calibrator of one's own a method of run(), run_folds() and run_single_step()."""
+    MARGINAL[name] = Method(thresholds, online, sized, carries)
+
+
+def register_joint(name: str, radii: JointCalibrator) -> None:
+    JOINT[name] = radii
+
+
+def online_methods() -> set[str]:
+    return {n for n, m in MARGINAL.items() if m.online} | {*KERNELS}
 
 
 def classify(methods: tuple[str, ...]) -> tuple[list[str], list[str]]:
@@ -74,41 +119,88 @@ def classify(methods: tuple[str, ...]) -> tuple[list[str], list[str]]:
     return [m for m in methods if m not in JOINT], [m for m in methods if m in JOINT]
 
 
+def eligible(panel: DataFrame, config: EvalConfig, groups: list[str]) -> DataFrame:
+    """Without the groups (tasks) that have too few calibration windows; of more than are asked for the last ones stay."""
+    if config.cal_windows == -1 and config.min_cal_windows <= 1:
+        return panel
+    marked = panel.withColumn("__all", F.lit(0))
+    by = ["__all", *groups]
+    cal = F.when(F.col("split") == "cal", F.col("w"))
+    there = marked.groupBy(*by).agg(F.countDistinct(cal).alias("__there"), (F.max(cal) + 1).alias("__end")).where(F.col("__there") >= config.min_cal_windows)
+    kept = marked.join(F.broadcast(there), by)
+    if config.cal_windows != -1:
+        kept = kept.withColumn("split", F.when((F.col("split") == "cal") & (F.col("w") < F.col("__end") - config.cal_windows), "skip").otherwise(F.col("split")))
+    return kept.drop("__all", "__there", "__end")
+
+
+def intervals(rows: DataFrame, config: EvalConfig, name: str, by: list[str], horizon: int | None = None, order: str = "w") -> DataFrame:
+    """Test rows of scored rows with lo and hi by one marginal method that isn't a kernel; by are its keys."""
+    method, kind = MARGINAL[name], Score(config.score, config.alpha)
+    options = {**({"size": config.window} if method.sized else {}), **config.options.get(name, {})}
+    if method.online:
+        options["order"] = order
+    if method.thresholds is cp.cfrnn:
+        options.setdefault("horizon", horizon)
+    carry = tuple(c for c in rows.columns if c not in (*by, order, "split", "s", "s_lo", "s_up"))
+    if config.asymmetric:
+        options.pop("order", None)
+        made = cp.both_tails(method.thresholds, rows, by, config.alpha, carry=carry, order=order, **options)
+        lo, hi = kind.bounds("q_lo", "q_up", True)
+    else:
+        made = method.thresholds(rows, by, config.alpha, **options, **({"carry": carry} if method.carries else {}))
+        lo, hi = kind.bounds("thr", "thr")
+    return made.withColumn("lo", lo).withColumn("hi", hi)
+
+
 def run(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """Summary of each marginal method and Native: coverage, joint_coverage, avg_width, winkler_score, scaled.
 
-    Each method is one shuffle by (keys, h); the kernels that follow a threshold share one pass.
+    keys name a series; all but "series" (such as task and model) are groups, of which each has its own scales, its own
+    row for each method, and its own Native to scale by. Each method is one shuffle by (keys, h); the kernels that
+    follow a threshold share one pass. A group whose values are too low for log scores is scored by abs instead.
     """
-    by = [*keys, "h"]
-    kind = Score(config.score, config.alpha)
-    rows = sc.scored(panel, config.score, config.alpha, [*keys], config.asymmetric)
+    groups = [k for k in keys if k != "series"]
+    panel = eligible(panel, config, groups)
+    if config.score == "log":
+        low = sc.log_falls_back(panel, groups).where("fallback").select(*groups, F.lit(True).alias("__low"))
+        instead = replace(config, score="abs")
+        if not groups:
+            return _run(panel, instead if low.count() else config, [*keys])
+        marked = panel.join(F.broadcast(low), groups, "left")
+        return _run(marked.where("__low").drop("__low"), instead, [*keys]).union(_run(marked.where("__low IS NULL").drop("__low"), config, [*keys]))
+    return _run(panel, config, [*keys])
+
+
+def _run(panel: DataFrame, config: EvalConfig, keys: list[str]) -> DataFrame:
+    by, groups = [*keys, "h"], [k for k in keys if k != "series"]
+    names = classify(config.methods)[0]
+    rows = sc.scored(panel, config.score, config.alpha, keys, config.asymmetric, groups)
+    horizon = panel.agg(F.max("h") + 1).first()[0] if "CFRNN" in names and "horizon" not in config.options.get("CFRNN", {}) else None
     parts = [mt.marks(mt.native(panel, config.alpha), config.alpha).withColumn("method", F.lit("Native"))]
-    parts += [mt.marks(p, config.alpha) for p in _by_kernels(rows, config, [*keys])]
-    for name in classify(config.methods)[0]:
-        if name in KERNELS:
-            continue
-        options = dict(config.options.get(name, {}))
-        if name in ("TrailingWindow", "WeightedCP", "ACI", "PID", "CQR"):
-            options.setdefault("size", config.window)
-        carry = tuple(c for c in rows.columns if c not in (*by, "w", "split", "s", "s_lo", "s_up"))
-        f = MARGINAL[name][0]
-        if config.asymmetric:
-            made = cp.both_tails(f, rows, by, config.alpha, carry=carry, **options)
-            lo, hi = kind.bounds("q_lo", "q_up", True)
-        else:
-            if f in (cp.aci, cp.pid):
-                options["carry"] = carry
-            if f is cp.cfrnn:
-                options["horizon"] = options.get("horizon") or panel.agg(F.max("h") + 1).first()[0]
-            made = f(rows, by, config.alpha, **options)
-            lo, hi = kind.bounds("thr", "thr")
-        marked = mt.marks(made.withColumn("lo", lo).withColumn("hi", hi), config.alpha)
-        parts.append(marked.withColumn("method", F.lit(name)))
-    cols = ["series", "w", "h", "covered", "width", "winkler", "infinite", "method"]
+    parts += [mt.marks(p, config.alpha) for p in _by_kernels(rows, config, keys)]
+    parts += [mt.marks(intervals(rows, config, n, by, horizon), config.alpha).withColumn("method", F.lit(n)) for n in names if n not in KERNELS]
+    return mt.scaled(mt.summary(_all(parts, [*keys, "w", "h"]), [*groups, "method"]), groups)
+
+
+def _all(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    cols = [*keys, "covered", "width", "winkler", "infinite", "method"]
     every = parts[0].select(*cols)
     for p in parts[1:]:
         every = every.unionByName(p.select(*cols))
-    return mt.scaled(mt.summary(every, ["method"]))
+    return every
+
+
+def run_timed(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """run(), a method at a time, with the runtime of each in seconds. A method's rows are as many as there are groups."""
+    spark, every = panel.sparkSession, None
+    for name in ("Native", *classify(config.methods)[0]):
+        began = perf_counter()
+        got = run(panel, replace(config, methods=() if name == "Native" else (name,)), keys)
+        rows = [tuple(r) for r in got.where(F.col("method") == name).collect()]
+        took = perf_counter() - began
+        made = spark.createDataFrame([(*r, took) for r in rows], T.StructType([*got.schema.fields, T.StructField("runtime", T.DoubleType())]))
+        every = made if every is None else every.union(made)
+    return every
 
 
 def _by_kernels(rows: DataFrame, config: EvalConfig, keys: list[str]) -> list[DataFrame]:
@@ -145,29 +237,89 @@ def run_joint(panel: DataFrame, config: EvalConfig, cal_windows: int) -> DataFra
     horizon = panel.agg(F.max("h") + 1).first()[0]
     parts = []
     for name in classify(config.methods)[1]:
-        if name in ("CAFHT", "CAFHT_PID"):
-            own = jp.cafht(panel, config.alpha, cal_windows, jp.pid_path if name == "CAFHT_PID" else jp.aci_path, **config.options.get(name, {}))
-            radii = own.select("series", "w", F.posexplode("radii").alias("h", "radius"))
-            rows = panel.where("split = 'test'").join(radii, ["series", "w", "h"])
-            rows = rows.withColumn("lo", F.col("yhat") - F.col("radius")).withColumn("hi", F.col("yhat") + F.col("radius"))
-        else:
-            made = {"JointCFRNN": lambda: jp.joint_cfrnn(panel, config.alpha, horizon), "NormMaxCP": lambda: jp.norm_max(panel, config.alpha), "CopulaCPTS": lambda: jp.copula_bisection(panel, config.alpha)}
-            rows = jp.with_radii(panel, made[name]())
-        parts.append(mt.marks(rows, config.alpha).select("series", "w", "h", "covered", "width", "winkler", "infinite", F.lit(name).alias("method")))
+        rows = jp.with_radii(panel, JOINT[name](panel, config.alpha, horizon=horizon, cal_windows=cal_windows, **config.options.get(name, {})))
+        parts.append(mt.marks(rows, config.alpha).withColumn("method", F.lit(name)))
     if not parts:
         raise ValueError("no joint method")
+    return mt.summary(_all(parts, ["series", "w", "h"]), ["method"])
+
+
+def folded(rows: DataFrame, n_folds: int, seed: int = 42) -> DataFrame:
+    """Cross-sectional rows: for each fold its own series' rows as test and all others' as calibration, one sequence for
+    each (fold, h), in order of window and series (`pos`); calibration comes first. The series is the fold's, so that
+    series is `of`."""
+    placed = rows.withColumn("own", fd.hash_fold(F.col("series"), n_folds, seed)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    placed = placed.withColumn("split", F.when(F.col("own") == F.col("fold"), "test").otherwise("cal"))
+    order = Window.partitionBy("fold", "h").orderBy("split", "w", "series")
+    return placed.withColumn("pos", F.row_number().over(order)).drop("own")
+
+
+def run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int = 42, strategy: str = "all") -> DataFrame:
+    """Cross-sectional cross-validation of the marginal methods and Native: a row for each fold and method. Every window
+    of a series is tested, with what the other folds' series say; methods that learn go through the fold's windows and
+    series in order. SplitCP and CFRNN pool the others' scores by a distributed order statistic."""
+    chosen = fd.chosen_series(panel, strategy).withColumn("split", F.lit("cal"))
+    rows = sc.scored(chosen, config.score, config.alpha, ["series"], config.asymmetric)
+    kind, names, parts = Score(config.score, config.alpha), classify(config.methods)[0], []
+    horizon = panel.agg(F.max("h") + 1).first()[0]
+    own = rows.withColumn("fold", fd.hash_fold(F.col("series"), n_folds, seed))
+    parts.append(mt.native(own.withColumn("split", F.lit("test")), config.alpha).withColumn("method", F.lit("Native")))
+    for name in names:
+        if name in KERNELS:
+            raise ValueError(f"no cross-validation for {name}")
+        if name in ("SplitCP", "CFRNN") and not config.asymmetric:
+            thr = fd.split_cp_folds(rows, config.alpha / (horizon if name == "CFRNN" else 1), n_folds, seed)
+            lo, hi = kind.bounds("thr", "thr")
+            made = thr.withColumn("lo", lo).withColumn("hi", hi)
+        else:
+            made = intervals(folded(rows, n_folds, seed), config, name, ["fold", "h"], horizon, "pos")
+        parts.append(made.withColumn("method", F.lit(name)))
+    marked = [mt.marks(p, config.alpha) for p in parts]
+    return mt.summary(_all(marked, ["fold", "series", "w", "h"]), ["fold", "method"])
+
+
+def fold_average(rows: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """Means over folds of each metric that rows of folds have."""
+    return rows.groupBy(*by).agg(*[F.avg(m).alias(m) for m in ("coverage", "avg_width", "winkler_score", "joint_coverage") if m in rows.columns])
+
+
+def run_joint_folds(panel: DataFrame, n_folds: int, alpha: float, methods: tuple[str, ...] = ("JointCFRNN",), seed: int = 42) -> DataFrame:
+    """Joint methods across series: each fold's trajectories against the other folds' errors; one row per fold and method."""
+    config = EvalConfig(alpha=alpha, methods=methods)
+    windows = panel.agg(F.countDistinct("w")).first()[0]
+    parts = []
+    for k in range(n_folds):
+        own = fd.hash_fold(F.col("series"), n_folds, seed) == k
+        parts.append(run_joint(panel.withColumn("split", F.when(own, "test").otherwise("cal")), config, windows).withColumn("fold", F.lit(k)))
     every = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
-    return mt.summary(every, ["method"])
+        every = every.union(p)
+    return every
 
 
-def run_joint_folds(panel: DataFrame, folds: DataFrame, n_folds: int, alpha: float) -> DataFrame:
-    """JointCFRNN across series: each fold's trajectories against the other folds' errors; one row per fold."""
-    horizon = panel.agg(F.max("h") + 1).first()[0]
-    rows = fd.split_cp_folds(panel.withColumn("s", F.abs(F.col("y") - F.col("yhat"))), folds, alpha / horizon, n_folds)
-    marked = mt.marks(rows.withColumn("lo", F.col("yhat") - F.col("thr")).withColumn("hi", F.col("yhat") + F.col("thr")), alpha)
-    return mt.summary(marked, ["fold"])
+def run_single_step(panel: DataFrame, config: EvalConfig, horizon: int, online: bool = True) -> DataFrame:
+    """Marginal methods with one state per series over the steps w * horizon + h: a row for each method, as run() has.
+
+    online: every step knows the one before. Otherwise a window's threshold is that of its first step. Methods whose
+    threshold is moved by their own misses need a rule of their own for that; ACI has one, others raise."""
+    rows = sc.scored(panel, config.score, config.alpha, ["series"], config.asymmetric).withColumn("pos", F.col("w") * horizon + F.col("h"))
+    kind, parts = Score(config.score, config.alpha), [mt.native(panel, config.alpha).withColumn("method", F.lit("Native"))]
+    for name in classify(config.methods)[0]:
+        if name in KERNELS or not online and name not in ("SplitCP", "CFRNN", "TrailingWindow", "WeightedCP", "ACI") or not online and config.asymmetric:
+            raise ValueError(f"no {'online' if online else 'frozen'} single-step run for {name}")
+        if name == "ACI" and not online:
+            options = {"gamma": 0.005, "size": config.window, **config.options.get(name, {})}
+            thr = cp.single_step(rows, ["series"], config.alpha, horizon, False, **options).select("series", "w", "h", "thr")
+            lo, hi = kind.bounds("thr", "thr")
+            made = rows.where("split = 'test'").join(thr, ["series", "w", "h"]).withColumn("lo", lo).withColumn("hi", hi)
+        else:
+            made = intervals(rows, config, name, ["series"], horizon, "pos")
+            if not online:
+                lo, hi = kind.bounds("thr", "thr")
+                start = F.first(F.when(F.col("h") == 0, F.col("thr")), ignorenulls=True).over(Window.partitionBy("series", "w"))
+                made = made.withColumn("thr", start).withColumn("lo", lo).withColumn("hi", hi)
+        parts.append(made.withColumn("method", F.lit(name)))
+    return mt.scaled(mt.summary(_all([mt.marks(p, config.alpha) for p in parts], ["series", "w", "h"]), ["method"]))
 
 
 def results(panel: DataFrame, alpha: float, horizon: int, task: Column | None = None, tasks: int = 4, window: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ from calibrant.operators import kernels as kn
 from calibrant.plans import catalog
 
 
-@pytest.mark.parametrize("name, twin", [("stream_aci_steps", "aci"), ("stream_trailing_steps", "trailing_window")])
+@pytest.mark.parametrize("name, twin", [("stream_aci", "aci"), ("stream_trailing", "trailing_window")])
 def test_stream_takes_every_step(spark, name, twin):
     mine = {(r["series"], r["h"], r["w"]): plain(r["thr"]) for r in catalog.QUERIES[name](spark, SF).collect()}
     panel = catalog.user_scores(spark, SF).where("split = 'test'").select("series", "h", "w").collect()

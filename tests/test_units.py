@@ -179,8 +179,12 @@ def test_folds(spark):
     assert fd.fold_count(5, 12, 100) == 5 and fd.fold_count(100, 2, 10) >= 2
     order = np.arange(11)
     np.random.RandomState(42).shuffle(order)
-    got = {r["series"]: r["fold"] for r in fd.kfold(spark, [str(i) for i in range(11)], 3).collect()}
-    assert got == {str(i): k for k, part in enumerate(np.array_split(order, 3)) for i in part}
+    names = spark.range(2000).selectExpr("cast(id AS string) AS series")
+    got = names.groupBy(fd.hash_fold(F.col("series"), 4).alias("f")).count().collect()
+    assert {r["f"] for r in got} == {0, 1, 2, 3} and all(400 < r["count"] < 600 for r in got)
+    first = {r["series"]: r["f"] for r in names.select("series", fd.hash_fold(F.col("series"), 4).alias("f")).collect()}
+    again = {r["series"]: r["f"] for r in names.limit(100).select("series", fd.hash_fold(F.col("series"), 4).alias("f")).collect()}
+    assert all(first[k] == f for k, f in again.items())  # a fold depends on the name alone
 
 
 def test_datasets(spark):
@@ -262,3 +266,68 @@ def test_filters_right_on_results(spark, condition):
     wanted = {c.split(" = ")[0]: c.split("'")[1] for c in condition.split(" AND ")}
     kept = [(r["task"], r["model"], r["method"]) for r in every if all(r[k] == v for k, v in wanted.items())]
     assert kept and sorted((r["task"], r["model"], r["method"]) for r in rows.where(condition).collect()) == sorted(kept)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 300, 5000])
+def test_order_statistics_by_numpy(spark, n):
+    """Exact at any size, with hot values, several groups and nulls."""
+    from calibrant.operators.pooled import medians, order_statistics
+
+    rng = np.random.default_rng(n)
+    groups = {"a": np.round(np.exp(rng.normal(size=n)), 2), "hot": np.where(rng.random(n) < 0.6, 3.0, rng.normal(size=n)), "same": np.full(n, 1.5)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)], "g string, v double")
+    ranks = {"low": lambda c: F.lit(1), "high": lambda c: c, "past": lambda c: c + 5, "mid": lambda c: F.ceil(c * 0.8)}
+    got = {r["g"]: r for r in order_statistics(df, ["g"], "v", ranks).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        s = np.sort(vs)
+        assert (got[g]["n"], got[g]["low"], got[g]["high"], got[g]["past"], got[g]["mid"]) == (n, s[0], s[-1], s[-1], s[int(np.ceil(n * 0.8)) - 1])
+    mid = {r["g"]: r["m"] for r in medians(df, ["g"], {"m": F.col("v")}).collect()}
+    assert all(mid[g] == pytest.approx(np.median(vs)) for g, vs in groups.items())
+    assert order_statistics(df.where("g = 'a'"), [], "v", {"x": lambda c: F.lit(1)}).first()["x"] == groups["a"].min()
+
+
+def test_vectors_of_the_conformal_quantile(spark):
+    q = lambda xs, **o: spark.range(1).select(st.conformal_quantile(F.array_sort(F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")), 0.1, **o)).first()[0]
+    assert (q(range(1, 11)), q([3.0]), q([])) == (10.0, 3.0, float("inf"))
+    assert q(range(1, 6), correction=False) == 5.0 and q(range(1, 6), correction=False, min_guard=True) == float("inf")
+
+
+def test_acmcp_error_forecast_by_hand():
+    recent = np.array([1.0, 2.0, 4.0, 3.0, 5.0])
+    assert kn.error_forecast(recent, np.zeros((5, 0))) == 3.0 and kn.error_forecast(np.array([]), np.zeros((0, 2))) == 0.0
+    shorter = np.array([[0.5], [1.0], [2.0], [1.5], [2.5]])  # the step's errors are twice these
+    a = np.polyfit(recent[:-1], recent[1:], 1)
+    assert kn.error_forecast(recent, shorter) == pytest.approx(((a[0] * 5.0 + a[1]) + 5.0) / 2)
+    assert kn.error_forecast(recent[:2], shorter[:2]) == 1.5  # too few rows: means
+
+
+def test_spci_keeps_its_bounds_between_fits():
+    e = np.random.default_rng(0).normal(size=60)
+    lo, up = kn.spci(e[:10], e[10:], 0.2, w=100, retrain=10)
+    assert (lo[0], up[0]) == tuple(np.percentile(e[:10], [10, 90])) and len(set(lo[:10])) == 1 and lo[10] == np.percentile(e[:20], 10)
+    assert tuple(x[0] for x in kn.spci(np.array([]), e[:1], 0.2)) == (0.0, 0.0)
+    lo, up = kn.spci(e[:21], e[21:22], 0.2, w=20, bins=5)  # one row to fit on: every quantile is its target
+    assert (lo[0], up[0]) == (e[20], e[20])
+
+
+def test_a_method_of_ones_own(spark):
+    def widest(rows, keys, alpha, s="s", order="w", **_):
+        return cp.trailing(rows, keys, 0.0, None, s, order)
+
+    ev.register_calibrator("Widest", widest)
+    ev.register_joint("Constant", lambda panel, alpha, **_: panel.select("h").distinct().withColumn("radius", F.lit(1e6)))
+    try:
+        panel = ps.user_panel(spark, SF)
+        got = {r["method"]: r for r in ev.run_timed(panel, ev.EvalConfig(methods=("Widest", "TrailingWindow"))).collect()}
+        assert got["Widest"]["coverage"] > got["TrailingWindow"]["coverage"] and all(r["runtime"] > 0 for r in got.values()) and set(got) == {"Native", "Widest", "TrailingWindow"}
+        assert ev.run_joint(panel, ev.EvalConfig(methods=("Constant",)), 5).first()["joint_coverage"] == 1.0
+        assert "Widest" in ev.online_methods() and "SplitCP" not in ev.online_methods()
+    finally:
+        del ev.MARGINAL["Widest"], ev.JOINT["Constant"]
+
+
+def test_weights_of_ones_own(spark):
+    x = spark.range(1).select(F.array(*[F.lit(float(v)) for v in (5, 1, 3)]).alias("v"))
+    q = lambda target, w: x.select(st.weighted_quantile(F.col("v"), target, 0.9, 0.0, w)).first()[0]
+    assert q(0.5, (1.0, 0.0, 0.0)) == 5.0 and q(0.5, (0.0, 1.0)) == 3.0 and q(0.5, (1.0, 1.0, 1.0)) == 3.0
