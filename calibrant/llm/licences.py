@@ -1,91 +1,131 @@
 """Licence scan: a trained paragraph classifier, with DataFrame operations only.
 
-Features are a paragraph's word pairs and triples that licence notices use and
-ordinary paragraphs of the corpus don't. A multinomial logistic regression,
-fitted on notices, their variants and a bounded sample of ordinary paragraphs,
-gives each family a weight per feature; its temperature is calibrated on
-variants that training leaves out. What is none of the families is the class
-"unknown". A prediction stands when enough of a template of its family is found
-in the paragraph. A paragraph without any feature is unknown by the intercepts
-alone, so only documents with a feature are taken apart.
+A paragraph is a block between empty lines, and each line of a block of several.
+Its features are the words, word pairs and word triples of licence notices that
+hold a word of licensing or, with a negation, one of the notices' verbs. A
+multinomial logistic regression gives every class a weight per feature: the
+families, "unknown" (other licences, and mentions that grant nothing) and "none"
+(ordinary text). It is fitted on notices, their variants and a bounded sample of
+ordinary paragraphs; whole notices are held out, and calibrate its temperature
+and the probability that a family needs. A prediction stands when enough of a
+template of its family is found in the paragraph, and no other family's
+template fits better.
+
+Documents without a word of licensing have no feature, so they are passed over
+by a pattern; paragraphs of the others are joined with the broadcast features
+where they lie, and only what matches is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from calibrant.llm.common import stored
-from calibrant.llm.decontaminate import NO_ID, word_list
+from calibrant.llm.common import BROADCAST_IDS, ascii_lower, stored
+from calibrant.llm.decontaminate import BREAKS, NO_ID
 
-UNKNOWN = "unknown"
-#: Ordinary paragraphs that training sees at most, from so many documents at most.
-ORDINARY_PARAGRAPHS, ORDINARY_DOCS = 4_000, 1_000
-#: A pair or triple is no feature if more than this share of ordinary paragraphs has it.
-COMMON = 0.0005
-PROBABLE = 0.5
+UNKNOWN, NONE = "unknown", "none"
+#: Ordinary paragraphs that training sees at most, from so many different texts at most.
+ORDINARY_PARAGRAPHS, ORDINARY_TEXTS = 4_000, 1_000
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRMED = 0.6
-#: A notice's first and last line are apart at most so many times the words of the longest template.
-REACH = 1.5
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)
-
-# Usual notices of the licence families.
+#: The probability that a family needs is the least of these with which at most so many held-out paragraphs without a family get one.
+LEVELS, FALSE_SHARE = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95), 0.05
+#: What an ordinary paragraph of the corpus weighs in training; most have no feature, and only raise the intercept of their class.
+ORDINARY_WEIGHT = 0.02
+#: One notice in so many is held out from training.
+HOLD = 4
+#: Stands for a whole block where others have the number of a line.
+BLOCK = -1
+
+# Words of licensing (after licenc- has become licens-), and patterns that find every text that has one.
+ANCHORS = (
+    "license", "licenses", "licensed", "licensing", "licensor", "licensee", "sublicense", "unlicense", "copyright", "copyrighted", "copyrights", "copyleft",
+    "gnu", "gpl", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv3", "agpl", "agplv3", "apache", "bsd", "mozilla", "mpl", "expat", "spdx", "commons", "cc", "cc0",
+    "attribution", "noncommercial", "sharealike", "redistribute", "redistributed", "redistribution", "redistributions", "unencumbered", "waived", "domain",
+    "hereby", "permission", "permitted", "reserved", "reproduced", "proprietary", "confidential", "unauthorized", "merchantability", "warranty",
+)
+STEMS = r"(?i)licen[cs]|copyright|copyleft|gnu|gpl|apache|bsd|mozilla|mpl|expat|spdx|commons|(?<![a-z0-9])cc|attribution|noncommercial|sharealike|redistribut|unencumbered|waived|domain|hereby|permission|permitted|reserved|reproduced|proprietary|confidential|unauthorized|merchantability|warranty"
+NEGATORS = ("not", "never", "unlike", "longer", "without")
+
+# Names of licences by family, and of licences outside the families.
+NAMES: dict[str, tuple[str, ...]] = {
+    "GPL": ("GNU General Public License, version 3", "GNU General Public License version 2", "GNU GPL v3 or later", "GPLv3", "GPLv2", "GPL-3.0-or-later", "GPL"),
+    "LGPL": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v3", "LGPLv3", "LGPL-2.1-or-later", "GNU Lesser General Public License"),
+    "AGPL": ("GNU Affero General Public License, version 3", "AGPLv3", "GNU AGPL v3", "AGPL-3.0-only"),
+    "Apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "Apache Software License"),
+    "MIT": ("MIT License", "MIT License (MIT)", "MIT/X11 License", "Expat License"),
+    "BSD": ("3-clause BSD License", "BSD-3-Clause", "BSD 2-Clause License", "New BSD License", "BSD-style license"),
+    "MPL": ("Mozilla Public License, version 2.0", "MPL-2.0", "Mozilla Public License 1.1", "MPL 2.0"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-3.0", "CC BY-NC-ND 4.0"),
+    "CC-BY": ("CC BY 4.0", "CC BY-SA 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC-BY-3.0"),
+    "Public-Domain": ("CC0 1.0 Universal", "Unlicense", "CC0", "Public Domain Dedication"),
+}
+OTHERS = (
+    "Eclipse Public License 2.0", "EPL-2.0 license", "ISC License", "Boost Software License 1.0", "zlib License", "Artistic License 2.0", "SIL Open Font License", "European Union Public License", "Microsoft Public License",
+    "PostgreSQL License", "Academic Free License", "Common Public License", "Python Software Foundation License", "Universal Permissive License", "IBM Public License", "Open Software License",
+)
+
+# How notices speak of a licence, and how texts do that grant nothing.
+PHRASES = (
+    "{}", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This program is distributed under the terms of the {}.", "You can use this code under the {}.",
+    "License: {}", "SPDX-License-Identifier: {}", "The source code is available under the {}.", "Published under {}.", "See the {} for details.", "Licensed under {}.",
+)
+DENIALS = ("It is not licensed under the {}.", "This is not released under the {}.", "It is no longer available under the {}.", "Unlike the {}, these terms forbid copies.", "This code may not be used under the {}.", "Never licensed under the {}.", "not under the {}", "Not licensed under the {}.", "This file is not licensed under {}.")
+
+# Usual notices of the families, and sentences with words of licensing that are none.
 TEMPLATES: dict[str, list[str]] = {
     "GPL": [
-        "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
-        "Licensed under the GNU GPL v3 or later.",
-        "Released under the GNU General Public License, version 2.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY. See the GNU General Public License for more details.",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "This library is distributed in the hope that it will be useful. See the GNU Lesser General Public License for more details.",
+    ],
+    "AGPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "Apache": [
-        "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-        "This work is released under the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the Apache License.',
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
     ],
     "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT license.",
-        "This work is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "SPDX-License-Identifier: MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Released under the 3-clause BSD License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     ],
     "CC-BY-NC": [
-        "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Released under CC BY-NC-SA 4.0.",
         "Text is available for non-commercial use under CC BY-NC 3.0.",
     ],
     "CC-BY": [
-        "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
-        "Released under CC BY-SA 4.0.",
     ],
     "Public-Domain": [
         "This work is dedicated to the public domain under CC0 1.0.",
@@ -97,18 +137,18 @@ TEMPLATES: dict[str, list[str]] = {
         "Copyright holder. All rights reserved.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
-    ],
-    UNKNOWN: [
-        "Please read the terms before you use this site.",
-        "She was granted permission to leave the building at noon.",
-        "A driving licence must be renewed every ten years.",
-        "The committee reserved the right to change the version of the text.",
-        "He released the dog into the public garden.",
-        "They were licensed to sell food at the market.",
-        "General conditions apply to all public events.",
-        "Rights and duties of members are listed below.",
+        "This software is proprietary and confidential; no license is granted.",
     ],
 }
+ORDINARY = (
+    "She was granted permission to leave the building at noon.", "A driving license must be renewed every ten years.", "The committee reserved the right to change the version of the text.",
+    "He released the dog into the public garden.", "They were licensed to sell food at the market.", "We were licensed to sell food at the market.", "The table was reserved for six people.",
+    "Smoking is not permitted in the house of commons.", "The car comes with a warranty of two years.", "The domain of the function is the set of real numbers.", "The letter was confidential and she hid it.",
+    "Permission to land was given at once.", "He lost his license after the accident.", "Parking is permitted without a ticket on Sundays.", "The apache people lived in the south west.", "I hereby declare the games open.",
+    "Her fishing license was renewed in June.", "He got a pilot license after two years.", "My driving license expired last week.", "The license plate of the car was stolen.", "She is a licensed plumber.",
+    "The shop has no license to sell wine.", "That is poetic license.", "You need a license to drive a truck.", "The doctor is licensed in two states.", "We reserved a room, and the permission came late.",
+    "His hunting license was taken away.", "A license for fishing costs ten pounds.", "They lost the license to broadcast in May.", "Licensed guides show the way.",
+)
 
 
 @dataclass
@@ -117,61 +157,109 @@ class LicenceModel:
     intercepts: list[float]
     weights: list[tuple[str, list[float]]]  # feature, a weight for each class
     temperature: float
+    level: float
+    templates: dict[str, list[str]]
+
+
+def words(text: Column) -> Column:
+    """Words as in decontamination, with licenc- spelt licens-."""
+    return F.filter(F.split(F.regexp_replace(ascii_lower(text), "licenc", "licens"), BREAKS), lambda w: w != "")
+
+
+def _runs(units: DataFrame, keys: list[str], ws: Column) -> DataFrame:
+    """(keys, a, b, c): each word with the two after it, null past the end. Shifted arrays, so it is linear in the text."""
+    listed = units.select(*keys, ws.alias("ws"))
+    n = F.greatest(F.size("ws"), F.lit(1))
+    zipped = F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", F.lit(2), n).alias("b"), F.slice("ws", F.lit(3), n).alias("c"))
+    return listed.select(*keys, F.explode(zipped).alias("z")).select(*keys, "z.a", "z.b", "z.c")
+
+
+def grams(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, g): words of licensing, and pairs and triples that hold one, or a negation; a row for every place."""
+    runs = _runs(units, keys, words(F.col(text)))
 
+    def listed(*names: str) -> Column:
+        return reduce(or_, [F.coalesce(F.col(c).isin(*ANCHORS, *NEGATORS), F.lit(False)) for c in names])
 
-def grams(words: Column) -> Column:
-    """Distinct word pairs and triples, joined by blanks."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.slice(words, i + 1, 2)))
-    triples = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.slice(words, i + 1, 3)))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.when(F.size(words) > 1, pairs).otherwise(none), F.when(F.size(words) > 2, triples).otherwise(none)))
+    near = runs.where(listed("a", "b", "c"))
+    one = F.when(F.col("a").isin(*ANCHORS), F.col("a"))
+    two = F.when(F.col("b").isNotNull() & listed("a", "b"), F.concat_ws(" ", "a", "b"))
+    three = F.when(F.col("c").isNotNull(), F.concat_ws(" ", "a", "b", "c"))
+    return near.select(*keys, F.explode(F.array(one, two, three)).alias("g")).where("g IS NOT NULL")
+
+
+def _pairs(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, g): word pairs of each text, once; the word itself where it is the only one."""
+    runs = _runs(units, keys, words(F.col(text)))
+    alone = F.size(words(F.col(text))) == 1
+    single = units.where(alone).select(*keys, F.get(words(F.col(text)), 0).alias("g"))
+    return runs.where("b IS NOT NULL").select(*keys, F.concat_ws(" ", "a", "b").alias("g")).union(single).distinct()
+
+
+def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs' other columns, paragraph (block between empty lines, from 0), line (BLOCK for the whole block) and text, for
+    every paragraph that may hold a word of licensing."""
+    rest = [c for c in docs.columns if c != text]
+    some = docs.where(F.col(text).rlike(STEMS))
+    blocks = some.select(*rest, F.posexplode(F.split(text, r"\n[ \t\r\f]*\n")).alias("paragraph", "block")).where(F.col("block").rlike(STEMS))
+    whole = F.array(F.struct(F.lit(BLOCK).alias("line"), F.col("block").alias("text")))
+    lines = F.transform(F.split("block", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    units = F.when(F.size(lines) > 1, F.concat(whole, lines)).otherwise(lines)
+    made = blocks.select(*rest, "paragraph", F.explode(units).alias("u")).select(*rest, "paragraph", "u.line", "u.text")
+    return made.where(F.col("text").rlike(STEMS))
 
 
 def variants(notice: str) -> list[str]:
     """The notice, with words left out, and after or before other words; deterministic."""
     ws = notice.split()
     out = [notice, "Copyright 2020 by the authors. " + notice, notice + " See the file for details."]
-    if len(ws) > 5:
-        out += [" ".join(w for i, w in enumerate(ws) if i % 7 != k) for k in (2, 4, 6)]
     if len(ws) > 8:
+        out += [" ".join(w for i, w in enumerate(ws) if i % 7 != k) for k in (2, 4, 6)]
         out += [" ".join(ws[: len(ws) * 2 // 3]), " ".join(ws[len(ws) // 4 :])]
     return out
 
 
+def notices(templates: dict[str, list[str]]) -> list[tuple[str, str, bool]]:
+    """(class, text, held out): a notice is held out with all its variants, a licence outside the families with its name."""
+    out = [(c, v, k % HOLD == HOLD - 1) for c, ts in templates.items() for k, t in enumerate(ts) for v in variants(t)]
+    for c, names in NAMES.items():
+        for i, name in enumerate(names):
+            out += [(c, p.format(name), (i + k) % HOLD == HOLD - 1) for k, p in enumerate(PHRASES)]
+            out += [(UNKNOWN, p.format(name), (i + k) % HOLD == HOLD - 1) for k, p in enumerate(DENIALS)]
+    for i, name in enumerate(OTHERS):
+        out += [(UNKNOWN, p.format(name), i % HOLD == HOLD - 1) for p in (*PHRASES, *DENIALS)]
+    return out + [(NONE, s, k % HOLD == HOLD - 1) for k, s in enumerate(ORDINARY)]
+
+
 def fit_licences(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] | None = None) -> LicenceModel:
-    """Fit on the templates' variants and a bounded sample of ordinary paragraphs of docs: lines that don't speak of
-    licences, of the ORDINARY_DOCS documents whose texts hash lowest. Every fifth variant calibrates the temperature."""
+    """Fit on the notices and a bounded sample of ordinary paragraphs of docs: lines that don't speak of licences, of
+    the ORDINARY_TEXTS different texts that hash lowest. What is held out calibrates temperature and level."""
     spark = docs.sparkSession
     templates = templates or TEMPLATES
-    classes = [*templates]
-    notices = [(c, v, k % 5 == 4) for c, ts in templates.items() for t in ts for k, v in enumerate(variants(t))]
-    known = spark.createDataFrame([(classes.index(c), v, bool(h)) for c, v, h in notices], "label int, para string, held boolean")
-    lines = docs.select(docs[text].alias("t")).where(F.col("t").isNotNull()).orderBy(F.xxhash64("t")).limit(ORDINARY_DOCS).select(F.explode(F.split("t", "\n")).alias("para"))
-    plain = lines.where(~F.lower("para").rlike(r"licen|copyright|rights reserved|redistribut|spdx")).where(F.length("para") > 0).orderBy(F.xxhash64("para")).limit(ORDINARY_PARAGRAPHS)
-    ordinary = plain.select(F.lit(classes.index(UNKNOWN)).alias("label"), "para", (F.pmod(F.xxhash64("para"), F.lit(5)) == 4).alias("held"))
-    rows = known.union(ordinary).select("label", "held", word_list(F.col("para")).alias("ws"))
-    rows = stored(rows.select("label", "held", grams(F.col("ws")).alias("grams")), "licence-training")
-    unknown = classes.index(UNKNOWN)
-    n_plain = rows.where(F.col("label") == unknown).count()
-    usual = rows.where(F.col("label") == unknown).select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > COMMON * n_plain).select("g")
-    own = rows.where(F.col("label") != unknown).select(F.explode("grams").alias("g")).distinct()
-    features = own.join(usual, "g", "left_anti")
-    pairs = features.where(F.size(F.split("g", " ")) == 2)
-    # A triple without a pair among the features couldn't bring its document up.
-    triples = features.where(F.size(F.split("g", " ")) == 3).withColumn("p", F.explode(F.array(F.expr("substring_index(g, ' ', 2)"), F.expr("substring_index(g, ' ', -2)")))).join(pairs.select(F.col("g").alias("p")), "p").select("g").distinct()
-    kept = pairs.union(triples)
-    vocabulary = stored(kept.agg(F.array_sort(F.collect_set("g")).alias("grams")), "licence-features")
-    vectors = CountVectorizer(inputCol="grams", outputCol="x", binary=True, minDF=1.0, vocabSize=1 << 16).fit(vocabulary)
-    x = vectors.transform(rows)
-    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=2e-4, maxIter=60, standardization=False).fit(x.where("NOT held"))
-    raw = stored(model.transform(x.where("held")).select("label", vector_to_array("rawPrediction").alias("r")), "licence-held")
+    made = notices(templates)
+    classes = [*dict.fromkeys(c for c, *_ in made if c not in (UNKNOWN, NONE)), UNKNOWN, NONE]
+    known = spark.createDataFrame([(k, classes.index(c), t, h) for k, (c, t, h) in enumerate(made)], "id long, label int, text string, held boolean")
+    drawn = docs.select(docs[text].alias("t")).where(F.length("t") > 0).select("t", F.xxhash64("t").alias("hash")).groupBy("hash").agg(F.min("t").alias("t")).orderBy("hash").limit(ORDINARY_TEXTS)
+    lines = drawn.select(F.explode(F.split("t", "\n")).alias("text")).where((F.length("text") > 0) & ~F.lower("text").rlike(r"licen|copyright|rights reserved|redistribut|spdx"))
+    plain = lines.select("text", F.xxhash64("text").alias("hash")).groupBy("hash").agg(F.min("text").alias("text")).orderBy("hash").limit(ORDINARY_PARAGRAPHS)
+    ordinary = plain.select((F.shiftrightunsigned("hash", 1) + len(made)).alias("id"), F.lit(classes.index(NONE)).alias("label"), "text", (F.pmod("hash", F.lit(HOLD)) == HOLD - 1).alias("held"))
+    rows = stored(known.union(ordinary), "licence-training")
+    found = stored(grams(rows, ["id", "held", "label"]).distinct(), "licence-grams")
+    vocabulary = [r[0] for r in found.where(~F.col("held") & (F.col("label") != classes.index(NONE))).select("g").distinct().orderBy("g").collect()]
+    listed = rows.select("id", "label", "held").join(found.groupBy("id").agg(F.collect_set("g").alias("grams")), "id", "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
+    x = stored(CountVectorizerModel.from_vocabulary(vocabulary, "grams", "x", binary=True).transform(listed).select("label", "held", F.when(F.col("id") < len(made), 1.0).otherwise(ORDINARY_WEIGHT).alias("weight"), "x"), "licence-vectors")
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=2e-4, maxIter=60, standardization=False).fit(x.where("NOT held"))
+    raw = stored(model.transform(x.where("held AND weight = 1")).select("label", vector_to_array("rawPrediction").alias("r")), "licence-held")
     loss = [F.avg(_log_sum(F.transform("r", lambda v: v / t)) - F.get("r", F.col("label")) / t).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
-    found = raw.agg(*loss).first()
-    best = min(range(len(TEMPERATURES)), key=lambda k: found[f"t{k}"])
+    got = raw.agg(*loss).first()
+    temperature = TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda k: got[f"t{k}"])]
+    families = [k for k, c in enumerate(classes) if c not in (UNKNOWN, NONE)]
+    scaled = F.transform("r", lambda v: v / temperature)
+    likely = raw.where(F.col("label") == classes.index(UNKNOWN)).select(F.exp(F.array_max(F.array(*[F.get(scaled, k) for k in families])) - _log_sum(scaled)).alias("p"))
+    shares = likely.agg(*[F.coalesce(F.avg((F.col("p") >= v).cast("double")), F.lit(0.0)).alias(f"v{k}") for k, v in enumerate(LEVELS)]).first()
+    level = next((v for k, v in enumerate(LEVELS) if shares[f"v{k}"] <= FALSE_SHARE), LEVELS[-1])
     matrix = model.coefficientMatrix.toArray()
-    # The intercepts follow the training mix, in which notices are far more common than in any corpus; a paragraph without features is unknown.
-    intercepts = [float(b) for b in model.interceptVector]
-    return LicenceModel(classes, intercepts, [(g, [float(v) for v in matrix[:, j]]) for j, g in enumerate(vectors.vocabulary)], TEMPERATURES[best])
+    return LicenceModel(classes, [float(b) for b in model.interceptVector], [(g, [float(v) for v in matrix[:, j]]) for j, g in enumerate(vocabulary)], temperature, level, templates)
 
 
 def _log_sum(values: Column) -> Column:
@@ -179,127 +267,78 @@ def _log_sum(values: Column) -> Column:
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
 
 
-def _pair_hashes(words: Column) -> Column:
-    hashes = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))))
-    return F.when(F.size(words) > 1, F.get(hashes, 0)).otherwise(F.array().cast("array<bigint>"))
+UNIT = ["doc_id", "row", "paragraph", "line"]
 
 
-def _hash_pairs(spark: SparkSession, grams_: list[str]) -> list[int]:
-    pairs = [g for g in grams_ if g.count(" ") == 1]
-    df = spark.createDataFrame([(g,) for g in pairs], "g string").select(F.split("g", " ").alias("w"))
-    return [r[0] for r in df.select(F.xxhash64(F.xxhash64(F.get("w", 0)), F.xxhash64(F.get("w", 1)))).collect()]
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(docs[id].cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs[id], docs[text]).alias("row"), docs[text].alias("text"))
 
 
-def _hits(docs: DataFrame, grams_: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, line, until, g, own) for each place of a listed pair or triple; line and until are the lines
-    it starts and ends in. A line without words is a row of its own, with an empty g, and no pair or triple crosses it."""
-    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.transform(F.split("text", "\n"), word_list).alias("lines"))
-    nothing = F.lit(None).cast("string")
-    placed = F.transform("lines", lambda ws, i: F.when(F.size(ws) > 0, F.transform(ws, lambda w: F.struct(w.alias("w"), i.alias("line")))).otherwise(F.array(F.struct(nothing.alias("w"), i.alias("line")))))
-    words = lines.select("doc_id", "row", F.flatten(placed).alias("v"))
-    runs = words.select("doc_id", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: F.struct(F.get("v", i).alias("a"), F.get("v", i + 1).alias("b"), F.get("v", i + 2).alias("c")))).alias("pos", "r"))
-    pair = F.concat("r.a.w", F.lit(" "), "r.b.w")
-    here = F.array(
-        F.struct(F.when(F.col("r.a.w").isNull(), "").otherwise(pair).alias("g"), F.coalesce("r.b.line", "r.a.line").alias("until")),
-        F.struct(F.concat(pair, F.lit(" "), "r.c.w").alias("g"), F.col("r.c.line").alias("until")),
-    )
-    each = runs.select("doc_id", "row", "pos", F.col("r.a.line").alias("line"), F.explode(here).alias("x")).select("doc_id", "row", "pos", "line", "x.until", "x.g")
-    return each.join(F.broadcast(grams_), "g").select("doc_id", "row", "pos", "line", "until", "g", "own").distinct()
-
-
-def _windows(hits: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, row, paragraph, until, grams): each line, and each run of lines of a block between lines without words,
-    with the listed pairs and triples inside; at least one is the model's. The last one of a run's first line and the
-    first one of its last line are at most `reach` words apart."""
-    row = ["doc_id", "row"]
-    block = F.sum(F.when(F.col("g") == "", 1).otherwise(0)).over(Window.partitionBy(*row).orderBy("pos"))
-    inside = hits.withColumn("block", block).where("g != ''")
-    item = F.struct("until", "g", "own")
-    lines = inside.groupBy(*row, "block", "line").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set(item).alias("items"), F.max("own").alias("own"))
-    whole = Window.partitionBy(*row, "block")
-    lines = lines.withColumn("any", F.max("own").over(whole)).where("any")
-    near = lines.withColumn("near", F.collect_list(F.struct("line", "first", "items")).over(whole.orderBy("line").rangeBetween(0, reach)))
-    near = near.select(*row, F.col("line").alias("paragraph"), F.filter("near", lambda x: x["first"] - F.col("last") <= reach).alias("near"))
-    pool = F.flatten(F.transform("near", lambda x: x["items"])).alias("pool")
-    ends = F.array_distinct(F.concat(F.transform("near", lambda x: x["line"]), F.flatten(F.transform("near", lambda x: F.transform(x["items"], lambda i: i["until"])))))
-    runs = near.select(*row, "paragraph", pool, F.explode(ends).alias("until"))
-    runs = runs.select(*row, "paragraph", "until", F.filter("pool", lambda i: i["until"] <= F.col("until")).alias("items")).where(F.exists("items", lambda i: i["own"]))
-    return runs.select(*row, "paragraph", "until", F.array_distinct(F.transform("items", lambda i: i["g"])).alias("grams"))
-
-
-def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, row, paragraph, family, confirmed, until, probability, similarity) for each paragraph with a feature
-    whose probable class (the likeliest but for unknown, at PROBABLE or more) is a family. A paragraph is a line or,
-    as notices are wrapped, a run of lines without a line without words in it: lines `paragraph` to `until`, the fewest
-    that give the family; runs that overlap count once. row is a hash of id and text, a null id is NO_ID."""
+def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row, paragraph, line, family, confirmed, probability, similarity) for each paragraph that is likely of a
+    family (its probability reaches the model's level) or likelier of a licence than ordinary (family unknown, not
+    confirmed). paragraph counts blocks between empty lines, line the lines of a block (BLOCK: the block as a whole).
+    row is a hash of id and text, a null id is NO_ID."""
     spark = docs.sparkSession
-    templates = templates or TEMPLATES
-    known = [k for k, c in enumerate(model.classes) if c != UNKNOWN]
-    plain = docs.select(F.coalesce(docs[id].cast("bigint"), F.lit(NO_ID)).alias("doc_id"), docs[text].alias("text"))
-    worded = plain.select("doc_id", "text", word_list(F.col("text")).alias("ws"))
-    wanted = F.array(*[F.lit(h) for h in sorted(_hash_pairs(spark, [g for g, _ in model.weights]))])
-    some = worded.where(F.arrays_overlap(_pair_hashes(F.col("ws")), wanted))
-    texts = spark.createDataFrame([(c, i, t) for c, ts in templates.items() if c != UNKNOWN for i, t in enumerate(ts)], "family string, template int, t string")
-    whole = texts.select("family", "template", F.explode(F.filter(grams(word_list(F.col("t"))), lambda g: F.size(F.split(g, " ")) == 2)).alias("g"))
-    weights = F.broadcast(spark.createDataFrame(model.weights, "g string, w array<double>"))
-    mark = spark.createDataFrame([("", False)], "g string, own boolean")
-    listed = weights.select("g", F.lit(True).alias("own")).union(whole.select("g", F.lit(False))).union(mark).groupBy("g").agg(F.max("own").alias("own"))
-    hits = stored(_hits(some, listed), "licence-hits")
-    longest = texts.agg(F.max(F.size(word_list(F.col("t"))))).first()[0]
-    runs = stored(_windows(hits, int(REACH * longest)), "licence-grams")
-    key = ["doc_id", "row", "paragraph", "until"]
-    held = runs.select(*key, F.explode("grams").alias("g"))
-    sums = held.join(weights, "g").groupBy(*key).agg(*[F.sum(F.get("w", k)).alias(f"s{k}") for k in range(len(model.classes))])
-    logits = F.array(*[(F.col(f"s{k}") + F.lit(model.intercepts[k])) / F.lit(model.temperature) for k in range(len(model.classes))])
-    scored = sums.select(*key, logits.alias("l")).select(*key, "l", _log_sum(F.col("l")).alias("z"))
-    best = F.array_max(F.array(*[F.struct(F.exp(F.get("l", k) - F.col("z")).alias("p"), F.lit(model.classes[k]).alias("family")) for k in known]))
-    likely = scored.select(*key, best.alias("b")).where(F.col("b.p") >= PROBABLE).select(*key, F.col("b.family").alias("family"), F.col("b.p").alias("probability"))
-    sized = F.broadcast(whole.join(whole.groupBy("family", "template").agg(F.count("*").alias("n")), ["family", "template"]))
-    shared = likely.join(held, key).join(sized, ["family", "g"]).groupBy(*key, "template").agg((F.count("*") / F.first("n")).alias("s")).groupBy(*key).agg(F.max("s").alias("similarity"))
-    out = likely.join(shared, key, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    return _fewest(_fitting(out.withColumn("confirmed", F.col("similarity") >= CONFIRMED), int(REACH * longest)))
-
-
-def _fitting(found: DataFrame, reach: int) -> DataFrame:
-    """Without the runs of several lines that are a part of another family's notice: a run around them fits that one better."""
-    near = Window.partitionBy("doc_id", "row").orderBy("paragraph").rangeBetween(-reach, 0)
-    around = F.collect_list(F.when(F.col("confirmed"), F.struct("until", "family", "similarity"))).over(near)
-    better = F.exists("around", lambda x: (x["until"] >= F.col("until")) & (x["family"] != F.col("family")) & (x["similarity"] > F.col("similarity")))
-    return found.withColumn("around", around).where((F.col("until") == F.col("paragraph")) | ~better).drop("around")
-
-
-def _fewest(found: DataFrame) -> DataFrame:
-    """Of each family's runs those that hold no other one, confirmed or not by themselves; of overlapping ones the first."""
-    by = ["doc_id", "row", "family", "confirmed"]
-    short = found.groupBy(*by, "paragraph").agg(F.min(F.struct("until", "probability", "similarity")).alias("b")).select(*by, "paragraph", "b.*")
-    later = Window.partitionBy(*by).orderBy(F.desc("paragraph")).rowsBetween(Window.unboundedPreceding, -1)
-    least = short.withColumn("inner", F.min("until").over(later)).where("inner IS NULL OR inner > until").drop("inner")
-    before = F.lag("until").over(Window.partitionBy(*by).orderBy("paragraph"))
-    return least.withColumn("before", before).where("before IS NULL OR before < paragraph").drop("before")
+    units = paragraphs(_keyed(docs, id, text))
+    weights = F.broadcast(spark.createDataFrame([(g, k, w) for k, (g, w) in enumerate(model.weights)], "g string, k int, w array<double>"))
+    per = grams(units, UNIT).join(weights.select("g", "k"), "g").groupBy(*UNIT).agg(F.collect_set("k").alias("ks"))
+    held = per.select(*UNIT, F.explode("ks").alias("k")).join(weights.select("k", "w"), "k")
+    classes = range(len(model.classes))
+    sums = held.groupBy(*UNIT).agg(*[F.sum(F.get("w", c)).alias(f"s{c}") for c in classes])
+    logits = F.array(*[(F.col(f"s{c}") + F.lit(model.intercepts[c])) / F.lit(model.temperature) for c in classes])
+    scored = sums.select(*UNIT, logits.alias("l")).select(*UNIT, "l", _log_sum(F.col("l")).alias("z"))
+    chance = lambda c: F.exp(F.get("l", c) - F.col("z"))
+    families = [c for c in classes if model.classes[c] not in (UNKNOWN, NONE)]
+    best = F.array_max(F.array(*[F.struct(chance(c).alias("p"), F.lit(model.classes[c]).alias("family")) for c in families])).alias("b")
+    none = chance(model.classes.index(NONE)).alias("none")
+    likely = scored.select(*UNIT, best, none, chance(model.classes.index(UNKNOWN)).alias("other")).where((F.col("b.p") >= model.level) | (F.col("none") < 0.5))
+    named = F.col("b.p") >= model.level
+    likely = stored(likely.select(*UNIT, F.when(named, F.col("b.family")).otherwise(UNKNOWN).alias("family"), F.when(named, F.col("b.p")).otherwise(F.greatest("other", F.lit(0.0))).alias("probability")), "licence-likely")
+
+    texts = spark.createDataFrame([(c, i, t) for c, ts in templates_of(model).items() for i, t in enumerate(ts)], "family string, template int, text string")
+    pairs = _pairs(texts, ["family", "template"])
+    sized = F.broadcast(stored(pairs.join(pairs.groupBy("family", "template").agg(F.count("*").alias("n")), ["family", "template"]).withColumnRenamed("family", "of"), "licence-pairs"))
+    wanted = likely.where(F.col("family") != UNKNOWN).select(*UNIT, "family")
+    ids = stored(wanted.select("row").distinct(), "licence-rows")
+    n = ids.count()
+    again = paragraphs(_keyed(docs, id, text).join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "row", "left_semi")).dropDuplicates(UNIT)
+    own = again.join(wanted.select(*UNIT), UNIT, "left_semi")
+    shares = _pairs(own, UNIT).join(sized, "g").groupBy(*UNIT, "of", "template").agg((F.count("*") / F.first("n")).alias("s"))
+    fits = wanted.join(shares, UNIT).groupBy(*UNIT).agg(F.max(F.when(F.col("of") == F.col("family"), F.col("s"))).alias("similarity"), F.max("s").alias("nearest"))
+    out = likely.join(fits, UNIT, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    stands = (F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRMED) & (F.col("similarity") >= F.coalesce("nearest", F.lit(0.0)))
+    return out.select(*UNIT, "family", stands.alias("confirmed"), "probability", "similarity")
+
+
+def templates_of(model: LicenceModel) -> dict[str, list[str]]:
+    """What predictions are compared with: the families' notices and names."""
+    return {c: [*dict.fromkeys([*model.templates.get(c, ()), *NAMES.get(c, ())])] for c in model.classes if c not in (UNKNOWN, NONE)}
 
 
 def licence_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, licence, families, n_paragraphs, paragraph, probability, similarity.
-
-    Paragraphs are lines of whole texts and runs of lines, see scan_paragraphs. licence is the family of the confirmed paragraph of the highest probability
-    (ties: the first paragraph); unknown where a paragraph speaks of a licence that no template confirms; none
-    otherwise, null and empty texts included. families are all confirmed ones, sorted; n_paragraphs counts confirmed
-    paragraphs; paragraph, probability and similarity are of the one that decides, null for none. Ids may be null
-    or repeat: rows count by id and text. Other columns aren't read. An empty table gives no rows.
+    """One row per row of docs: doc_id, licence, families, n_paragraphs, paragraph, line, probability, similarity.
+
+    Whole texts are read, by paragraphs (see scan_paragraphs). licence is the family of the confirmed paragraph of the
+    highest probability (ties: the first paragraph, then the first line); unknown where a paragraph speaks of a licence
+    that no template confirms; none otherwise, null and empty texts included. families are all confirmed ones, sorted;
+    n_paragraphs counts blocks with a confirmed family, once for each of its families; paragraph, line, probability and
+    similarity are of the paragraph that decides, null for none. Ids may be null or repeat: rows count by id and text.
+    Other columns aren't read. An empty table gives no rows.
     """
-    model = fit_licences(docs, text, templates)
-    found = scan_paragraphs(docs, model, id, text, templates)
-    first = F.max(F.struct("confirmed", "probability", (-F.col("paragraph")).alias("p"), "family", "similarity")).alias("b")
-    per = found.groupBy("doc_id", "row").agg(first, F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.sum(F.col("confirmed").cast("bigint")).alias("n_paragraphs"))
+    found = scan_paragraphs(docs, fit_licences(docs, text, templates), id, text)
+    first = F.max(F.struct("confirmed", "probability", (-F.col("paragraph")).alias("p"), (-F.col("line")).alias("l"), "family", "similarity")).alias("b")
+    sure = F.when(F.col("confirmed"), F.col("family"))
+    per = found.groupBy("doc_id", "row").agg(first, F.array_sort(F.collect_set(sure)).alias("families"), F.countDistinct("paragraph", sure).alias("n_paragraphs"))
     per = stored(per, "licence-found")
-    every = docs.select(F.coalesce(docs[id].cast("bigint"), F.lit(NO_ID)).alias("doc_id"), docs[text].alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row"))
-    out = every.join(per, ["doc_id", "row"], "left")
+    out = _keyed(docs, id, text).select("doc_id", "row").join(per, ["doc_id", "row"], "left")
     return out.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
-        F.when(F.col("b").isNull(), "none").when(F.col("b.confirmed"), F.col("b.family")).otherwise(UNKNOWN).alias("licence"),
+        F.when(F.col("b").isNull(), NONE).when(F.col("b.confirmed"), F.col("b.family")).otherwise(UNKNOWN).alias("licence"),
         F.coalesce("families", F.array().cast("array<string>")).alias("families"),
         F.coalesce("n_paragraphs", F.lit(0).cast("bigint")).alias("n_paragraphs"),
         (-F.col("b.p")).alias("paragraph"),
+        (-F.col("b.l")).alias("line"),
         F.col("b.probability").alias("probability"),
         F.col("b.similarity").alias("similarity"),
     )
