@@ -6,8 +6,10 @@ of (past, horizon) Columns registered under a name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +86,59 @@ def clamp(q: Column, past: Column) -> Column:
     return F.when(F.array_min(past) >= 0, F.greatest(q, F.lit(0.0))).otherwise(q)
 
 
-def predict(contexts: DataFrame, name: str, horizon: int, past: str = "past") -> DataFrame:
-    """contexts with h, yhat and q, a row for each step."""
-    return contexts.withColumn("__f", F.explode(get(name)(F.col(past), horizon))).select(*contexts.columns, "__f.h", "__f.yhat", "__f.q")
+def predict(contexts: DataFrame, name: str, horizon: int, past: str = "past", non_negative: bool = False) -> DataFrame:
+    """contexts with h, yhat and q, a row for each step. non_negative: quantiles aren't below 0 where the past never is."""
+    out = contexts.withColumn("__f", F.explode(get(name)(F.col(past), horizon))).select(*contexts.columns, "__f.h", "__f.yhat", "__f.q")
+    if non_negative:
+        out = out.withColumn("yhat", clamp(F.col("yhat"), F.col(past))).withColumn("q", F.struct(*[clamp(F.col(f"q.{f}"), F.col(past)).alias(f) for f in FIELDS]))
+    return out
 
 
-def error_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """wape, and wql: the weighted quantile loss over the grid's levels."""
+Model = Callable[[list[np.ndarray], int], tuple[np.ndarray, np.ndarray]]
+
+
+def predict_with(contexts: DataFrame, model: Model, horizon: int, batch: int = 256, past: str = "past", keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """keys, h, yhat and q by a model of Python: a function from a list of pasts to points (pasts by steps) and quantiles
+    (pasts by steps by LEVELS). Pasts come in batches of so many; a batch that doesn't fit in memory is halved."""
+
+    def run(pasts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            return model(pasts, horizon)
+        except MemoryError:
+            if len(pasts) == 1:
+                raise
+            half = len(pasts) // 2
+            (a, qa), (b, qb) = run(pasts[:half]), run(pasts[half:])
+            return np.concatenate([a, b]), np.concatenate([qa, qb])
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(0, len(pdf), batch):
+                part = pdf.iloc[i : i + batch]
+                points, grid = run([np.asarray(x, float) for x in part[past]])
+                made = {k: np.repeat(part[k].to_numpy(), horizon) for k in keys}
+                made |= {"h": np.tile(np.arange(horizon, dtype=np.int32), len(part)), "yhat": points.reshape(-1)}
+                yield pd.DataFrame(made | {f: grid.reshape(-1, len(FIELDS))[:, j] for j, f in enumerate(FIELDS)})
+
+    types = dict(contexts.dtypes)
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["h int", "yhat double"] + [f"{f} double" for f in FIELDS])
+    got = contexts.select(*keys, past).mapInPandas(each, schema)
+    return got.select(*keys, "h", "yhat", F.struct(*FIELDS).alias("q"))
+
+
+def seasonal_scale(past: Column, period: int) -> Column:
+    """Mean absolute seasonal difference of a past; null where it is too short or constant."""
+    gaps = _lagged(past, period)
+    total = F.aggregate(gaps, F.lit(0.0), lambda s, d: s + F.coalesce(F.abs(d), F.lit(0.0)))
+    return F.nullif(total / F.nullif(F.size(gaps), F.lit(0)), F.lit(0.0))
+
+
+def error_metrics(rows: DataFrame, by: list[str], scale: str | None = None) -> DataFrame:
+    """wape, and wql: the weighted quantile loss over the grid's levels. With a column of seasonal scales also mase, the
+    mean error, and sql, the mean quantile loss, in units of the scale."""
     gap = lambda f: F.col("y") - F.col(f"q.{f}")
     loss = sum((F.greatest(F.lit(t) * gap(f), F.lit(t - 1) * gap(f)) for t, f in zip(LEVELS, FIELDS)), F.lit(0.0)) * 2 / len(LEVELS)
+    error = F.abs(F.col("y") - F.col("yhat"))
     total = F.nullif(F.sum(F.abs("y")), F.lit(0.0))
-    return rows.groupBy(*by).agg((F.sum(F.abs(F.col("y") - F.col("yhat"))) / total).alias("wape"), (F.sum(loss) / total).alias("wql"))
+    scaled = [F.avg(error / F.col(scale)).alias("mase"), F.avg(loss / F.col(scale)).alias("sql")] if scale else []
+    return rows.groupBy(*by).agg((F.sum(error) / total).alias("wape"), (F.sum(loss) / total).alias("wql"), *scaled)

@@ -16,8 +16,6 @@ EPS = 1e-6
 SCORES = ("abs", "squared", "signed", "iqr_scaled", "mad_scaled", "cqr", "scaled_cqr", "distributional", "cdf_tail", "log", "diff", "joint")
 LEGACY = {"residual": "abs", "normalized": "iqr_scaled"}
 SYMMETRIC_ONLY = ("distributional", "cdf_tail")
-#: Scores whose threshold depends on ranks of |y - yhat| alone, times a constant a horizon.
-RANK_LIKE_ABS = ("squared", "mad_scaled")
 
 
 def resolve(name: str) -> str:
@@ -90,7 +88,7 @@ class Score:
             case "scaled_cqr":
                 s = F.greatest((self.lo - y) / F.col("sigma_lo"), (y - self.hi) / F.col("sigma_hi"))
             case "distributional":
-                s = mean_pinball(y) - _lowest_pinball()
+                s = excess_pinball(y)
             case "cdf_tail":
                 u = cdf_from_grid(y)
                 s = F.greatest(F.lit(self.alpha / 2) - u, u - F.lit(1 - self.alpha / 2), F.lit(0.0))
@@ -144,70 +142,86 @@ class Score:
         return p - a, p + b
 
 
-def grid() -> Column:
-    return F.array(*[F.struct(F.lit(t).alias("tau"), F.col(f"q.{f}").alias("q")) for t, f in zip(LEVELS, FIELDS)])
+def _once(values: Column, f) -> Column:
+    """f of an array that is made once, however often f reads it."""
+    return F.get(F.transform(F.array(values), lambda a: f([F.get(a, k) for k in range(len(FIELDS))])), 0)
 
 
-def _pinball(tau: Column, gap: Column) -> Column:
-    return F.greatest(tau * gap, (tau - 1) * gap)
+def _knots() -> Column:
+    """The grid's quantiles in ascending order; null if one is missing."""
+    qs = F.array(*[F.col(f"q.{f}") for f in FIELDS])
+    return F.when(~F.exists(qs, lambda x: x.isNull()), F.array_sort(qs))
 
 
-def mean_pinball(v: Column) -> Column:
-    """Mean over the grid's levels of the pinball loss of v."""
-    return F.aggregate(grid(), F.lit(0.0), lambda s, g: s + _pinball(g["tau"], v - g["q"])) / len(LEVELS)
+#: Slope of the mean pinball loss where so many of the knots lie below: each one passed adds 1 to the sum of levels less 1.
+SLOPES = [round(sum(LEVELS) - len(LEVELS) + j, 9) / len(LEVELS) for j in range(len(LEVELS) + 1)]
+#: The knot at which the slope turns: the loss is least there.
+LOWEST = next(j for j, x in enumerate(SLOPES) if x > 0) - 1
 
 
-def _lowest_pinball() -> Column:
-    """The least mean pinball loss, which one of the knots has."""
-    return F.array_min(F.transform(grid(), lambda k: mean_pinball(k["q"])))
+def _rises(m: list[Column]) -> list[Column]:
+    """What the loss is over its least at each knot, along the segments between them."""
+    out = {LOWEST: F.lit(0.0)}
+    for k in range(LOWEST + 1, len(m)):
+        out[k] = out[k - 1] + SLOPES[k] * (m[k] - m[k - 1])
+    for k in range(LOWEST - 1, -1, -1):
+        out[k] = out[k + 1] - SLOPES[k + 1] * (m[k + 1] - m[k])
+    return [out[k] for k in range(len(m))]
 
 
-def invert_distributional(threshold: Column) -> tuple[Column, Column]:
-    """Where the mean pinball loss is the minimum plus threshold.
+def excess_pinball(v: Column) -> Column:
+    """Mean over the grid's levels of the pinball loss of v, less the least that any value has. The loss is convex and
+    piecewise linear, so it is the largest of its support lines."""
 
-    The loss is convex and piecewise linear, so it is the largest of its support lines; the lines that rise bound
-    the interval above, those that fall below. A threshold under 0 gives the minimiser, an infinite one no bounds.
-    """
-    target = _lowest_pinball() + F.greatest(threshold, F.lit(0.0))
+    def of(m: list[Column]) -> Column:
+        rise = _rises(m)
+        right = [rise[k] + SLOPES[k + 1] * (v - m[k]) for k in range(LOWEST, len(m))]
+        left = [rise[k] + SLOPES[k] * (v - m[k]) for k in range(LOWEST + 1)]
+        return F.greatest(*right, *left)
 
-    def reach(right: bool) -> Column:
-        def line(k: Column) -> Column:
-            passed = (lambda g: g["q"] <= k["q"]) if right else (lambda g: g["q"] < k["q"])
-            slope = F.aggregate(grid(), F.lit(0.0), lambda s, g: s + F.when(passed(g), g["tau"]).otherwise(g["tau"] - 1)) / len(LEVELS)
-            return F.when(slope > 1e-12 if right else slope < -1e-12, k["q"] + (target - mean_pinball(k["q"])) / F.nullif(slope, F.lit(0.0)))
+    return F.when(v.isNotNull(), _once(_knots(), of))
 
-        return F.transform(grid(), line)
 
-    bound = threshold < F.lit(INF)
-    return F.when(bound, F.array_max(reach(False))).otherwise(F.lit(-INF)), F.when(bound, F.array_min(reach(True))).otherwise(F.lit(INF))
+def invert_distributional(threshold: Column) -> tuple[Column, Column]:
+    """Where the mean pinball loss is its least plus threshold: the nearest of the support lines' points on either side.
+    A threshold under 0 gives the minimiser, an infinite one no bounds."""
+    t, bound = F.greatest(threshold, F.lit(0.0)), threshold < F.lit(INF)
+    right = _once(_knots(), lambda m: F.least(*[m[k] + (t - r) / SLOPES[k + 1] for k, r in enumerate(_rises(m)) if k >= LOWEST]))
+    left = _once(_knots(), lambda m: F.greatest(*[m[k] + (t - r) / SLOPES[k] for k, r in enumerate(_rises(m)) if k <= LOWEST]))
+    return F.when(bound, left).otherwise(F.lit(-INF)), F.when(bound, right).otherwise(F.lit(INF))
 
 
-def _monotone() -> list[Column]:
+def _monotone() -> Column:
     """The grid's running maximum: crossed quantiles in order."""
-    out: list[Column] = []
-    for k in range(len(FIELDS)):
-        qs = [F.col(f"q.{f}") for f in FIELDS[: k + 1]]
-        out.append(F.greatest(*qs) if k else qs[0])
-    return out
+    qs = [F.col(f"q.{f}") for f in FIELDS]
+    return F.array(qs[0], *[F.greatest(*qs[: k + 1]) for k in range(1, len(qs))])
 
 
 def cdf_from_grid(y: Column) -> Column:
     """Distribution function of the grid at y: linear inside, the end slopes carried on outside, within [0, 1]."""
-    m, t, last = _monotone(), LEVELS, len(LEVELS) - 1
-    width = lambda a, b: F.greatest(m[b] - m[a], F.lit(1e-8))
-    under = F.least(F.greatest(t[0] + (t[1] - t[0]) / width(0, 1) * (y - m[0]), F.lit(0.0)), F.lit(t[0]))
-    over = F.least(F.greatest(t[last] + (t[last] - t[last - 1]) / width(last - 1, last) * (y - m[last]), F.lit(t[last])), F.lit(1.0))
-    u = F.when(y == m[last], F.lit(t[last])).when(y > m[last], over)
-    for k in range(last - 1, -1, -1):  # of equal knots the highest level counts
-        u = u.when(y == m[k], F.lit(t[k])).when(y > m[k], t[k] + (t[k + 1] - t[k]) * (y - m[k]) / width(k, k + 1))
-    return u.when(y.isNotNull(), under)
+    t, last = LEVELS, len(LEVELS) - 1
+
+    def of(m: list[Column]) -> Column:
+        width = lambda a, b: F.greatest(m[b] - m[a], F.lit(1e-8))
+        under = F.least(F.greatest(t[0] + (t[1] - t[0]) / width(0, 1) * (y - m[0]), F.lit(0.0)), F.lit(t[0]))
+        over = F.least(F.greatest(t[last] + (t[last] - t[last - 1]) / width(last - 1, last) * (y - m[last]), F.lit(t[last])), F.lit(1.0))
+        u = F.when(y == m[last], F.lit(t[last])).when(y > m[last], over)
+        for k in range(last - 1, -1, -1):  # of equal knots the highest level counts
+            u = u.when(y == m[k], F.lit(t[k])).when(y > m[k], t[k] + (t[k + 1] - t[k]) * (y - m[k]) / width(k, k + 1))
+        return u.when(y.isNotNull(), under)
+
+    return _once(_monotone(), of)
 
 
 def quantile_from_grid(p: Column) -> Column:
     """Quantile of the grid at probability p: linear inside, the end slopes carried on outside without a limit."""
-    m, t, last = _monotone(), LEVELS, len(LEVELS) - 1
-    line = lambda a, b: m[a] + (m[b] - m[a]) * (p - t[a]) / (t[b] - t[a])
-    x = F.when(p >= t[last], m[last] + (m[last] - m[last - 1]) * (p - t[last]) / (t[last] - t[last - 1]))
-    for k in range(last - 1, -1, -1):
-        x = x.when(p == t[k], m[k]).when(p > t[k], line(k, k + 1))
-    return x.when(p.isNotNull(), line(0, 1))
+    t, last = LEVELS, len(LEVELS) - 1
+
+    def of(m: list[Column]) -> Column:
+        line = lambda a, b: m[a] + (m[b] - m[a]) * (p - t[a]) / (t[b] - t[a])
+        x = F.when(p >= t[last], m[last] + (m[last] - m[last - 1]) * (p - t[last]) / (t[last] - t[last - 1]))
+        for k in range(last - 1, -1, -1):
+            x = x.when(p == t[k], m[k]).when(p > t[k], line(k, k + 1))
+        return x.when(p.isNotNull(), line(0, 1))
+
+    return _once(_monotone(), of)

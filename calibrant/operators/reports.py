@@ -84,12 +84,22 @@ def tidy(rows: DataFrame, constants: dict[str, object] | None = None, digits: in
 
 
 def filtered(rows: DataFrame, search: str | None = None, columns: tuple[str, ...] = ("task", "model", "method", "score"), **equal) -> DataFrame:
-    """Conjunction of filters: column=value or column=(values), column__le and column__ge bounds, and a
-    case-insensitive search in any of the columns."""
+    """Conjunction of filters: column=value or column=(values), column__le and column__ge bounds, column__like patterns,
+    column__there=True (not missing), and a case-insensitive search in any of the columns."""
     for k, v in equal.items():
         name, _, op = k.partition("__")
         c = F.col(name)
-        rows = rows.where(c <= v if op == "le" else c >= v if op == "ge" else c.isin(*v) if isinstance(v, (list, tuple, set)) else c == v)
+        match op:
+            case "le":
+                rows = rows.where(c <= v)
+            case "ge":
+                rows = rows.where(c >= v)
+            case "like":
+                rows = rows.where(c.rlike(v))
+            case "there":
+                rows = rows.na.drop(subset=[name]) if v else rows.where(c.isNull())
+            case _:
+                rows = rows.where(c.isin(*v) if isinstance(v, (list, tuple, set)) else c == v)
     if search:
         hit = F.lit(False)
         for c in columns:
@@ -134,3 +144,34 @@ def grid(spark, **params) -> DataFrame:
         one = spark.createDataFrame([(v,) for v in dict.fromkeys(vs)], [k])
         out = one if out is None else out.crossJoin(one)
     return out
+
+
+def native_once(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Of each group's Native rows the first in order, and all others."""
+    first = F.row_number().over(Window.partitionBy(*by, F.col("method") == "Native").orderBy(*order))
+    return rows.withColumn("__n", first).where("method <> 'Native' OR __n = 1").drop("__n")
+
+
+def runtime_totals(rows: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """Seconds of each group: runtimes add up, where other metrics are averaged."""
+    return rows.groupBy(*by).agg(F.sum("runtime").alias("runtime"))
+
+
+def by_category(rows: DataFrame, tie: list[str], category: str = "horizon_category") -> DataFrame:
+    """Rows in descending order of category; within one, in order of the tie columns."""
+    return rows.orderBy(F.col(category).desc(), *tie)
+
+
+def shown(x: Column | str) -> Column:
+    """A metric as reports print it: N/A where it is missing, with a power of ten from a million on, in scientific form
+    under a hundredth, with three digits under a hundred, else with one."""
+    x = F.col(x) if isinstance(x, str) else x
+    power = F.floor(F.log10(x)).cast("int")
+    mantissa = F.format_string("%.2f", x / F.pow(F.lit(10.0), power))
+    return (
+        F.when(x.isNull() | F.isnan(x), "N/A")
+        .when(x > 1e6, F.concat(mantissa, F.lit(" x 10^"), power.cast("string")))
+        .when(x < 0.01, F.format_string("%.3e", x))
+        .when(x < 100, F.format_string("%.3f", x))
+        .otherwise(F.format_string("%.1f", x))
+    )

@@ -632,6 +632,211 @@ def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fc.error_metrics(ps.user_panel(spark, sf_dir).where("split = 'test'"), ["h"])
 
 
+# Stores, files and reports on the way through them ---------------------------------------------------------------
+
+from calibrant.functions.scores import interval_fields  # noqa: E402
+from calibrant.sources import store  # noqa: E402
+
+_PANEL_SQL = f"WITH {sql.panel('user')} SELECT series, w, h, {sql.rounded('y, yhat, ' + sql.Q)}, split FROM panel"
+_A = f"WITH a AS ({_USER_ARRAYS})"
+
+
+@register("io_load", "SELECT n_nationkey, n_name, n_regionkey, true AS missing_is_none FROM nation")
+def io_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset by its name under a root; nothing where there is none."""
+    missing = dt.load(spark, sf_dir, "no-such-table", freq="H") is None
+    return dt.load(spark, sf_dir, "nation.parquet").select("n_nationkey", "n_name", "n_regionkey", F.lit(missing).alias("missing_is_none"))
+
+
+@register("io_formats", f"{_A} SELECT count(*) AS series, true AS gift_eval, true AS fev, false AS raw_is_fev, true AS same FROM a")
+def io_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = user_arrays(spark, sf_dir)
+    fev = dt.to_fev(raw, "H")
+    flags = {"gift_eval": dt.is_gift_eval(raw), "fev": dt.is_fev(fev), "raw_is_fev": dt.is_fev(raw), "same": dt.to_fev(fev, "H") is fev}
+    return fev.agg(F.count("*").alias("series")).select("series", *[F.lit(v).alias(k) for k, v in flags.items()])
+
+
+@register("io_converted", f"{_A} SELECT count(*) AS series, round(sum(list_sum(target)), 3) AS total, 'H' AS freq FROM a", digits=3)
+def io_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Converted once, read from the cache the second time; the metadata of a frame says its frequency."""
+    path = shared_path(spark, "converted")
+    dt.converted(spark, user_arrays(spark, sf_dir), "H", path)
+    again = dt.converted(spark, user_arrays(spark, sf_dir).limit(0), "H", path)
+    freq = dt.meta(dt.with_meta(again, freq="H"))["freq"]
+    total = F.sum(F.aggregate("target", F.lit(0.0), lambda s, v: s + v))
+    return again.agg(F.count("*").alias("series"), total.alias("total")).withColumn("freq", F.lit(freq))
+
+
+def _stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "panel")
+    store.write_panel(ps.user_panel(spark, sf_dir).withColumn("task", F.lit("users")).withColumn("model", F.lit("baseline")), path)
+    return store.read_panel(spark, path)
+
+
+@register("io_panel_store", _PANEL_SQL)
+def io_panel_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel written by model and task and read back by its fixed schema."""
+    return flat(_stored_panel(spark, sf_dir).where("model = 'baseline' AND task = 'users'"))
+
+
+@register("io_pruned_quantiles", f"WITH {sql.panel('user')} SELECT series, w, h, round(q10, 6) AS lo, round(q90, 6) AS hi FROM panel WHERE split = 'test' AND h = 1")
+def io_pruned_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two levels that an interval needs, of one step: the other levels aren't read."""
+    lo, hi = interval_fields(ALPHA)
+    return _stored_panel(spark, sf_dir).where("split = 'test' AND h = 1").select("series", "w", "h", F.col(f"q.{lo}").alias("lo"), F.col(f"q.{hi}").alias("hi"))
+
+
+def _wide(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Predictions and truth as stores have them: a row for each window and series, arrays by step, a column per level."""
+    steps = F.array_sort(F.collect_list(F.struct("h", "y", "yhat", "q")))
+    rows = panel.groupBy("w", F.col("series").alias("item_id")).agg(steps.alias("s"))
+    of = lambda f: F.transform("s", f)
+    level = lambda f: of(lambda x: x["q"][f]).alias(f"{int(f[1:]) / 100:g}")
+    levels = [level(f) for f in FIELDS]
+    return rows.select("w", "item_id", of(lambda x: x["yhat"]).alias("predictions"), *levels), rows.select("w", "item_id", of(lambda x: x["y"]).alias("target"))
+
+
+@register("io_import_windows", _PANEL_SQL)
+def io_import_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of predictions and truth joined into a panel by window, series and step."""
+    return flat(store.import_windows(*_wide(ps.user_panel(spark, sf_dir)), "users", "baseline", ps.USER["cal"]))
+
+
+@register("io_window_dirs", f"WITH {sql.panel('user')} SELECT w, count(*) AS n, round(max(yhat), 6) AS largest FROM panel WHERE w < 3 AND h = 0 GROUP BY w")
+def io_window_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder for each window, found by number."""
+    path = shared_path(spark, "windows")
+    wide = _wide(ps.user_panel(spark, sf_dir).where("w < 3"))[0]
+    for w in range(3):
+        wide.where(F.col("w") == w).drop("w").write.parquet(f"{path}/window_{w}/predictions")
+    rows = store.read_window_dirs(spark, path, "predictions")
+    return rows.join(store.discover_windows(rows), "w").groupBy("w").agg(F.count("*").alias("n"), F.max(F.get("predictions", 0)).alias("largest"))
+
+
+@register("io_unified", _PANEL_SQL)
+def io_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each window with all its series, taken apart and imported."""
+    pred, true = _wide(ps.user_panel(spark, sf_dir))
+    gather = lambda df: df.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("item_id", *[F.col(f"`{c}`") for c in df.columns if c not in ("w", "item_id")]))).alias("s"))
+    spread = lambda df, cols: gather(df).select("w", *[F.col("s").getField(c).alias(c) for c in ["item_id", *cols]])
+    levels = [c for c in pred.columns if c not in ("w", "item_id")]
+    return flat(store.import_windows(store.unified_windows(spread(pred, levels)), store.unified_windows(spread(true, ["target"])), "users", "baseline", ps.USER["cal"]))
+
+
+@register("io_cached", f"{_A} SELECT item_id, CAST(len(target) AS INT) AS n, round(list_sum(target[greatest(len(target) - 7, 1) : len(target)]), 6) AS total FROM a")
+def io_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts kept by a digest of their parameters: the second call doesn't build."""
+    root = shared_path(spark, "cache")
+    context = lambda: user_arrays(spark, sf_dir).select("item_id", F.size("target").alias("n"), dt.truncate(F.col("target"), 8).alias("past"))
+    store.cached(spark, root, context, context=8)
+    again = store.cached(spark, root, lambda: 1 / 0, context=8)
+    return again.select("item_id", "n", F.aggregate("past", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+@register("io_metadata", "SELECT 'users' AS task_name, 4::BIGINT AS horizon, count(DISTINCT user_id) AS num_series FROM events")
+def io_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side-car files of tasks, found at any depth; those without test windows stay out."""
+    path = shared_path(spark, "metadata")
+    n = ps.table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0]
+    store.write_metadata(spark, f"{path}/m/users/metadata", task_name="users", horizon=4, num_series=n, test_windows=3)
+    store.write_metadata(spark, f"{path}/m/none/metadata", task_name="none", horizon=4, num_series=n, test_windows=0)
+    return store.read_metadata(spark, path).select("task_name", "horizon", "num_series")
+
+
+_RESULT_SCHEMA = "task string, model string, method string, coverage double, avg_width double"
+
+
+@register("io_results", f"WITH {_RES} SELECT task, model, method, round(coverage, 6) AS coverage, round(avg_width, 6) AS avg_width, 0.2::DOUBLE AS alpha, model AS score FROM (SELECT task, 'abs' AS model, method, coverage, avg_width FROM res WHERE model = 'mean' UNION ALL SELECT task, 'cqr', method, coverage, avg_width FROM res WHERE model = 'median')")
+def io_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files with other columns, in another order and under older names, read as one frame with the parameters
+    from their names."""
+    path, rows = shared_path(spark, "results"), results(spark, sf_dir)
+    store.write_csv(rows.where("model = 'mean'").select("task", F.lit("abs").alias("model"), "method", "coverage", "avg_width"), path, store.result_name("cp", 0.2, "abs", -1, "marginal"))
+    store.write_csv(rows.where("model = 'median'").select(F.col("avg_width").alias("width"), "method", F.lit("cqr").alias("model"), F.col("coverage").alias("coverage_mean"), "task"), path, store.result_name("cp", 0.2, "cqr", 5, "marginal"))
+    return store.read_results(spark, path, _RESULT_SCHEMA)
+
+
+@register("io_dashboard", f"WITH {_RES} SELECT CAST(count(DISTINCT model) AS INT) AS models, CAST(count(DISTINCT task) AS INT) AS tasks, round(sum(coverage), 4) AS coverage FROM res", digits=4)
+def io_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's document, read back."""
+    rows = results(spark, sf_dir)
+    doc = store.dashboard(rows.groupBy("model").agg(F.sum("coverage").alias("coverage")), rows.groupBy("task").agg(F.avg("coverage").alias("coverage")), rows.select("task", "n_series").distinct())
+    shape = "model_summaries array<struct<model:string,coverage:double>>, task_summaries array<struct<task:string,coverage:double>>, tasks_metadata array<struct<task:string,n_series:bigint>>"
+    got = doc.select(F.from_json("document", shape).alias("d"))
+    return got.select(F.size("d.model_summaries").alias("models"), F.size("d.tasks_metadata").alias("tasks"), F.aggregate("d.model_summaries", F.lit(0.0), lambda s, x: s + x["coverage"]).alias("coverage"))
+
+
+@register("cal_extension", f"{_A}, m AS (SELECT min(len(target)) // 2 - 2 - 1 AS fit FROM a), n AS (SELECT CASE WHEN least(fit, 12) >= 10 THEN least(fit, 12) ELSE 0 END AS cal FROM m), w AS (SELECT item_id, len(target) AS len, cal, unnest(range(0, CASE WHEN cal = 0 THEN 0 ELSE cal + 2 END)) AS w FROM a, n) SELECT item_id, CAST(w AS INT) AS w, CASE WHEN w < cal THEN 'cal' ELSE 'test' END AS split, CAST(len - 2 * (cal + 2 - w) AS INT) AS n_input FROM w WHERE len - 2 * (cal + 2 - w) > 0")
+def cal_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two test windows of two steps, and up to twelve calibration windows before them."""
+    return dt.extended(user_arrays(spark, sf_dir), 2, 2, 12).select("item_id", "w", "split", F.size("input").alias("n_input"))
+
+
+@register("context_scan", f"{_A} SELECT count(*) AS num_series, CAST(max(len(target)) - 8 AS INT) AS max_context, 4 AS horizon FROM a")
+def context_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.context_scan(user_arrays(spark, sf_dir), 4, 2)
+
+
+@register("left_padded", f"{_A} SELECT item_id, CAST(greatest(40 - len(target), 0) AS INT) AS lack, round(list_sum(target[greatest(len(target) - 39, 1) : len(target)]), 6) AS total, 40 AS n, round(greatest(40 - len(target), 0) * target[greatest(len(target) - 39, 1)], 6) AS before FROM a")
+def left_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of one length: gaps before them are filled with the first value there is."""
+    padded = user_arrays(spark, sf_dir).select("item_id", dt.left_padded(F.col("target"), 40).alias("x")).withColumn("f", dt.filled(F.col("x")))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    lack = F.size(F.filter("x", lambda v: v.isNull()))
+    return padded.select("item_id", lack.alias("lack"), total("x").alias("total"), F.size("f").alias("n"), (total("f") - total("x")).alias("before"))
+
+
+@register("covariates_only", f"WITH {sql.panel('hourly')} SELECT series, count(*) AS n FROM panel WHERE series > (SELECT min(series) FROM panel) GROUP BY series")
+def covariates_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fd.chosen_series(ps.hourly_panel(spark, sf_dir), "covariates_only").groupBy("series").agg(F.count("*").alias("n"))
+
+
+@register("asym_metrics", f"WITH {_tails_sql('cqr')}, {sql.split_thr(ALPHA / 2, 'series, h, tail')}, pair AS (SELECT series, w, h, any_value(y) AS y, any_value(ql) AS ql, any_value(qh) AS qh, max(thr) FILTER (WHERE tail = 'lo') AS a, max(thr) FILTER (WHERE tail = 'up') AS b FROM thr GROUP BY series, w, h), iv AS (SELECT *, ql - a AS lo, qh + b AS hi FROM pair), {sql.marked()}, {sql.horizon_metrics()} SELECT h, {sql.rounded('coverage, avg_width, winkler_score')} FROM mh")
+def asym_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of quantile intervals whose sides move by themselves."""
+    rows = sc.scored(ps.user_panel(spark, sf_dir), "cqr", ALPHA, KEYS[:1], asymmetric=True)
+    return mt.by_horizon(mt.marks(interval(cp.both_tails(cp.split_cp, rows, KEYS, ALPHA, carry=("y", "yhat", "q")), "cqr"), ALPHA)).drop("frac_infinite")
+
+
+@register("clamped", f"{_A}, s AS (SELECT *, unnest(range(0, 4)) AS h, len(target) AS n FROM a), f AS (SELECT item_id, h, target[n] + (h + 1) * coalesce((target[n] - target[1]) / nullif(n - 1, 0), 0) AS p, list_min(target) AS low FROM s) SELECT item_id, CAST(h AS INT) AS h, round(CASE WHEN low >= 0 THEN greatest(p, 0) ELSE p END, 6) AS yhat FROM f")
+def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift that doesn't fall below 0 where the past never did."""
+    return fc.predict(user_arrays(spark, sf_dir).withColumnRenamed("target", "past"), "drift", 4, non_negative=True).select("item_id", "h", "yhat")
+
+
+@register("batched_model", f"{_A}, s AS (SELECT *, unnest(range(0, 3)) AS h FROM a) SELECT item_id, CAST(h AS INT) AS h, round(list_sum(target) / len(target) + h, 6) AS yhat, round(list_min(target), 6) AS low FROM s")
+def batched_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of Python over batches of pasts; batches of over 16 don't fit and are halved."""
+    import numpy as np
+
+    def model(pasts, horizon):
+        if len(pasts) > 16:
+            raise MemoryError
+        points = np.array([[x.mean() + h for h in range(horizon)] for x in pasts])
+        return points, np.stack([np.full((horizon, len(FIELDS)), x.min()) for x in pasts])
+
+    got = fc.predict_with(user_arrays(spark, sf_dir).withColumnRenamed("target", "past"), model, 3, batch=50, keys=("item_id",))
+    return got.select("item_id", "h", "yhat", F.col("q.q10").alias("low"))
+
+
+@register("scaled_errors", f"WITH {sql.panel('user')}, g AS (SELECT series, avg(abs(y - before)) AS scale FROM (SELECT series, y, lag(y) OVER (PARTITION BY series ORDER BY t) AS before FROM steps) WHERE before IS NOT NULL GROUP BY series) SELECT h, round(sum(abs(y - yhat)) / sum(abs(y)), 6) AS wape, round(sum(2 * {sql.pinball('y')}) / sum(abs(y)), 6) AS wql, round(avg(abs(y - yhat) / scale), 6) AS mase, round(avg(2 * {sql.pinball('y')} / scale), 6) AS sql FROM panel JOIN g USING (series) WHERE split = 'test' GROUP BY h")
+def scaled_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors in units of each series' mean step."""
+    scales = user_arrays(spark, sf_dir).select(F.col("item_id").alias("series"), fc.seasonal_scale(F.col("target"), 1).alias("scale"))
+    return fc.error_metrics(ps.user_panel(spark, sf_dir).where("split = 'test'").join(scales, "series"), ["h"], "scale")
+
+
+report("native_once", "SELECT task, model, method FROM res WHERE method <> 'Native' OR model = 'mean'")(lambda r: rp.native_once(r, ["task"], ["model"]).select("task", "model", "method"))
+report("runtime_totals", "SELECT method, CAST(sum(n_series) AS DOUBLE) AS runtime FROM res GROUP BY method")(lambda r: rp.runtime_totals(r.withColumn("runtime", F.col("n_series").cast("double"))))
+report("by_category", "SELECT method, CASE WHEN method = 'Native' THEN 'long' ELSE 'short' END AS horizon_category, count(*) AS n, row_number() OVER (ORDER BY CASE WHEN method = 'Native' THEN 'long' ELSE 'short' END DESC, method) AS place FROM res GROUP BY method")(
+    lambda r: rp.by_category(r.groupBy("method", F.when(F.col("method") == "Native", "long").otherwise("short").alias("horizon_category")).agg(F.count("*").alias("n")), ["method"]).withColumn("place", F.monotonically_increasing_id() + 1).limit(100)
+)
+report("shown", "SELECT task, model, method, CASE WHEN coverage IS NULL THEN 'N/A' WHEN coverage < 0.01 THEN printf('%.3e', coverage) ELSE printf('%.3f', coverage) END AS coverage, CASE WHEN avg_width < 0.01 THEN printf('%.3e', avg_width) WHEN avg_width < 100 THEN printf('%.3f', avg_width) ELSE printf('%.1f', avg_width) END AS avg_width, 'N/A' AS none FROM res")(lambda r: r.select("task", "model", "method", rp.shown("coverage").alias("coverage"), rp.shown("avg_width").alias("avg_width"), rp.shown(F.lit(None).cast("double")).alias("none")))
+report("filter_patterns", "SELECT task, model, method FROM res WHERE regexp_matches(method, '^(Split|Trail)') AND coverage IS NOT NULL AND n_series <= 1000")(lambda r: rp.filtered(r, method__like="^(Split|Trail)", coverage__there=True, n_series__le=1000).select("task", "model", "method"))
+report("search_rows", "SELECT task, model, method FROM res WHERE contains(lower(method), 'win') OR contains(lower(model), 'win') OR contains(lower(task), 'win')")(lambda r: rp.filtered(r, search="WIN", columns=("task", "model", "method")).select("task", "model", "method"))
+report("tidy_rows", "SELECT method, round_even(coverage, 2) AS coverage, 0.2::DOUBLE AS alpha, CAST(n_series AS DOUBLE) AS runtime, task, model FROM res")(lambda r: rp.tidy(r.select("method", "coverage", F.col("n_series").cast("double").alias("runtime"), "avg_width", "task", "model"), {"alpha": 0.2}, 2, drop=("avg_width",)))
+
+
 def _stream(spark: SparkSession, sf_dir: str, gamma: float) -> DataFrame:
     """Scores as a file stream, four files of windows, through the online state of each series and step; the result as it
     was written."""

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import warnings
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 # Calendar steps of frequency aliases, their seasonal periods, and default horizons of short terms.
 STEPS = {"A": "1 year", "Y": "1 year", "Q": "3 months", "M": "1 month", "W": "7 days", "D": "1 day", "B": "1 day", "H": "1 hour", "T": "1 minute", "MIN": "1 minute", "S": "1 second", "U": "1 microsecond"}
@@ -189,12 +192,84 @@ def meta(df: DataFrame) -> dict:
         return {}
 
 
+def left_padded(x: Column, n: int) -> Column:
+    """The last n entries, with nulls before them where there are fewer."""
+    tail = truncate(x, n)
+    lack = F.greatest(F.lit(n) - F.size(x), F.lit(0))
+    return F.concat(F.array_repeat(F.lit(None).cast("double"), lack), tail)
+
+
+def extended(df: DataFrame, prediction: int, test_windows: int, requested: int, field: str = "target", id_column: str = "item_id", least: int = 10) -> DataFrame:
+    """Test windows and the calibration windows that fit before them, as rows of (id, w, input, label, split): the cutoff
+    of the first window moves back by a horizon for each. No rows where fewer than `least` fit, as the task is skipped; 0
+    asked for are test windows alone."""
+    shortest = df.agg(F.min(F.size(field))).first()[0] or 0
+    n_cal = calibration_windows(shortest, prediction, test_windows, requested, least) if requested else 0
+    if requested and not n_cal:
+        return splits(df, prediction, test_windows, field, id_column)[2].withColumn("split", F.lit("test")).where("false")
+    every = splits(df, prediction, test_windows + n_cal, field, id_column)[2]
+    return every.withColumn("split", F.when(F.col("w") < n_cal, "cal").otherwise("test"))
+
+
+def context_scan(df: DataFrame, prediction: int, windows: int, field: str = "target") -> DataFrame:
+    """One row: num_series, max_context (the longest past before the first of the windows) and horizon."""
+    return df.agg(F.count("*").alias("num_series"), (F.max(F.size(field)) - prediction * windows).alias("max_context"), F.lit(prediction).alias("horizon"))
+
+
+def arrow_rows(spark: SparkSession, path: str, pattern: str = "*.arrow") -> DataFrame:
+    """Rows of all Arrow files (IPC files or streams) under path, at any depth; each file is read by one task. The schema
+    is the first file's."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+
+    def tables(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                source = pa.BufferReader(content.as_buffer())
+                try:
+                    yield pa.ipc.open_file(source).read_all()
+                except pa.ArrowInvalid:
+                    source.seek(0)
+                    yield pa.ipc.open_stream(source).read_all()
+
+    def schemas(batches):
+        for t in tables(batches):
+            yield pa.RecordBatch.from_pydict({"schema": [from_arrow_schema(t.schema).json()]})
+
+    def rows(batches):
+        for t in tables(batches):
+            yield from t.cast(wanted).to_batches(max_chunksize=1_000)
+
+    first = files.select("path", "content").orderBy("path").limit(1).mapInArrow(schemas, "schema string").first()
+    if first is None:
+        raise ValueError(f"no Arrow files under {path}")
+    schema = T.StructType.fromJson(json.loads(first["schema"]))
+    wanted = to_arrow_schema(schema)
+    return files.select("content").mapInArrow(rows, schema)
+
+
 def tasks(config: dict) -> list[dict]:
-    """Task rows of a benchmark configuration: entries of "tasks" as they are, or "datasets" by their terms."""
+    """Task rows of a benchmark configuration: entries of "tasks" as they are, or "datasets" by their terms. Datasets
+    are a list of {name, terms, ..}, or a map from name to {test_length, val_length, short: {prediction_length}, ..}, of
+    which each term's windows cover the test length."""
     if "tasks" in config:
         return [dict(t) for t in config["tasks"]]
-    out = []
-    for d in config.get("datasets", []):
+    if "datasets" not in config:
+        raise ValueError("neither tasks nor datasets in the configuration")
+    entries, out = config["datasets"], []
+    if isinstance(entries, dict):
+        for key, d in entries.items():
+            name, _, freq = key.partition("/")
+            freq = freq or "H"
+            for term in TERMS:
+                if term in d:
+                    h = d[term]["prediction_length"]
+                    test, val = d.get("test_length"), d.get("val_length")
+                    windows = max(1, ceil(test / h)) if test else d.get("num_windows") or max(1, ceil(d.get("min_length", h * 10) * TEST_SHARE / h))
+                    cal = config.get("cal_windows", 0)
+                    cal = (ceil(val / h) if val else 0) if cal == "val_length" else int(cal or 0)
+                    out.append({"dataset": key, "name": name, "freq": freq, "term": term, "horizon": h, "seasonality": seasonality(freq), "num_windows": windows, "cal_windows": cal, "task_name": f"{key}_{term}"})
+        return out
+    for d in entries:
         name, _, freq = d["name"].partition("/")
         freq = d.get("freq") or freq.split("/")[-1] or "D"
         for term in d.get("terms", ["short"]):
@@ -203,3 +278,24 @@ def tasks(config: dict) -> list[dict]:
             h = d.get("horizon") or horizon(freq, term)
             out.append({"dataset": d["name"], "name": name, "freq": freq, "term": term, "horizon": h, "seasonality": seasonality(freq), "num_windows": d.get("num_windows") or max(1, ceil(d.get("min_length", h * 10) * TEST_SHARE / h))})
     return out
+
+
+def load_tasks(spark: SparkSession, *paths: str) -> list[dict]:
+    """Tasks of several YAML or JSON files, one after the other; a file that can't be read is left out with a warning.
+    Files are read by Spark, so they may lie in any store."""
+    out = []
+    for path in paths:
+        try:
+            text = spark.read.text(path, wholetext=True).first()[0]
+            out += tasks(json.loads(text) if path.endswith(".json") else _yaml(text))
+        except Exception as e:
+            warnings.warn(f"{path}: {type(e).__name__}: {e}", stacklevel=2)
+    return out
+
+
+def _yaml(text: str) -> dict:
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("YAML files need the yaml package; JSON ones don't") from e
+    return yaml.safe_load(text)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calibrant.functions.scores import slug
 from calibrant.functions.stats import FIELDS, LEVELS
 
 PANEL = ("task string, model string, series string, w int, h int, y double, yhat double, q struct<" + ", ".join(f"{f}: double" for f in FIELDS) + ">, split string")
+NPZ = pa.schema([("file", pa.string()), ("name", pa.string()), ("w", pa.int32()), ("i", pa.int32()), ("values", pa.list_(pa.float64()))])
 RESERVED = ("predictions", "target", "item_id", "id", "timestamp", "start", "freq", "series", "w")
 
 
@@ -57,6 +65,55 @@ def read_window_dirs(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.withColumn("w", F.regexp_extract(F.input_file_name(), r"window_(\d+)", 1).cast("int"))
 
 
+def npz_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, w, i, values) of the arrays in NumPy archives under path: arrays of windows by items by steps, or of
+    items by steps, whose window is the number in the file's folder (else 0). Arrays of objects are refused."""
+
+    def rows(batches):
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                found = re.search(r"window_(\d+)", file)
+                with np.load(io.BytesIO(content.as_buffer()), allow_pickle=False) as z:
+                    for name in z.files:
+                        x = np.asarray(z[name], float)
+                        x = x.reshape((1,) * (3 - x.ndim) + x.shape) if x.ndim < 3 else x
+                        w = range(len(x)) if len(x) > 1 or not found else [int(found[1])]
+                        for k, block in zip(w, x):
+                            yield pa.RecordBatch.from_pydict({"file": [file] * len(block), "name": [name] * len(block), "w": [k] * len(block), "i": list(range(len(block))), "values": list(block)}, schema=NPZ)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
+    return files.select("path", "content").mapInArrow(rows, "file string, name string, w int, i int, values array<double>")
+
+
+def npz_windows(rows: DataFrame, point: str = "predictions") -> DataFrame:
+    """Rows of npz_rows as import_windows takes them: w, item_id, predictions and a column of arrays per level. Names may
+    begin with q or quantile_ before the level; names are the archive's, which are few."""
+    names = {r[0]: re.sub(r"^(quantile_|q_?)(?=0?\.)", "", r[0]) for r in rows.select("name").distinct().collect()}
+    cols = [F.max(F.when(F.col("name") == n, F.col("values"))).alias("predictions" if n == point else c) for n, c in sorted(names.items())]
+    return rows.groupBy("w", F.concat(F.lit("series_"), F.col("i").cast("string")).alias("item_id")).agg(*cols)
+
+
+def unified_windows(rows: DataFrame, order: str = "w") -> DataFrame:
+    """Rows of a window with all its series (arrays of series by steps, and item_id) as a row for each window and series."""
+    arrays = [c for c, t in rows.dtypes if t.startswith("array<array<")]
+    zipped = F.posexplode(F.arrays_zip(*([F.col("item_id")] if "item_id" in rows.columns else []), *[F.col(f"`{c}`").alias(c) for c in arrays]))
+    each = rows.select(order, zipped.alias("__i", "z"))
+    ident = F.col("z.item_id") if "item_id" in rows.columns else F.concat(F.lit("series_"), F.col("__i").cast("string"))
+    return each.select(order, ident.alias("item_id"), *[F.col("z").getField(c).alias(c) for c in arrays])
+
+
+def cached(spark: SparkSession, root: str, build: Callable[[], DataFrame], force: bool = False, **params) -> DataFrame:
+    """build()'s rows, kept under root by a digest of the parameters: a later call with the same ones reads them. force
+    builds them again. A write that was cut short is not read."""
+    key = hashlib.md5(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()
+    path = f"{root.rstrip('/')}/{key}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    if force or not there:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def discover_windows(panel: DataFrame) -> DataFrame:
     return panel.select("w").distinct().orderBy("w")
 
@@ -88,11 +145,42 @@ def write_csv(rows: DataFrame, root: str, name: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(f"{root}/{name}.csv")
 
 
+#: Names that columns of result files have had, and what they are now.
+RENAMED = {"winkler": "winkler_score", "width": "avg_width", "mean_width": "avg_width", "score_type": "score", "cal": "cal_windows"}
+
+
+def unified(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of schema: by their names or older ones; metrics given as <name>_median and <name>_mean are the median, else
+    the mean; what is missing is null."""
+    have = {c.lower(): c for c in rows.columns}
+    old: dict[str, list[str]] = {}
+    for was, now in RENAMED.items():
+        old.setdefault(now, []).append(was)
+    out = []
+    for f in schema:
+        names = [f.name, f"{f.name}_median", f"{f.name}_mean", *old.get(f.name, ())]
+        found = [F.col(f"`{have[n]}`").cast(f.dataType) for n in names if n in have]
+        out.append((F.coalesce(*found) if found else F.lit(None).cast(f.dataType)).alias(f.name))
+    return rows.select(*out, *[c for c in ("__file",) if c in rows.columns])
+
+
 def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All result CSVs under root, with the parameters from their names; NaN and infinite metrics become null."""
-    rows = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").schema(schema).csv(f"{root}")
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv/", 1)
-    rows = rows.withColumn("alpha", F.regexp_extract(name, r"_alpha([\d.]+)", 1).cast("double")).withColumn("score", F.regexp_replace(F.regexp_extract(name, r"_alpha[\d.]+_([a-z-]+)_", 1), "-", "_"))
+    """All result CSVs under root, written as folders or single files, with the parameters from their names; files may have
+    columns in any order, some of them, and under older names. NaN and infinite metrics become null."""
+    wanted = spark.createDataFrame([], schema).schema
+    reader = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root).select(F.input_file_name().alias("f"), "value")
+    first = lines.groupBy("f").agg(F.first("value").alias("header"))
+    headers = {r[0] for r in first.select("header").distinct().collect()}  # the kinds of files, a few
+    parts = []
+    for h in sorted(headers):
+        files = [r[0] for r in first.where(F.col("header") == h).select("f").collect()]
+        parts.append(unified(reader.csv(files).withColumn("__file", F.input_file_name()), wanted))
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    name = F.regexp_extract("__file", r"([^/]+)\.csv(?:/|$)", 1)
+    rows = rows.withColumn("alpha", F.regexp_extract(name, r"_alpha([\d.]+)", 1).cast("double")).withColumn("score", F.regexp_replace(F.regexp_extract(name, r"_alpha[\d.]+_([a-z-]+)_", 1), "-", "_")).drop("__file")
     return rows.select(*[F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
@@ -100,3 +188,9 @@ def dashboard(models: DataFrame, tasks: DataFrame, meta: DataFrame) -> DataFrame
     """One JSON document of summaries by model and by task and the tasks' metadata; the frames are report-sized."""
     doc = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
     return doc(models, "model_summaries").crossJoin(doc(tasks, "task_summaries")).crossJoin(doc(meta, "tasks_metadata")).select(F.to_json(F.struct("*")).alias("document"))
+
+
+def html(document: DataFrame, title: str = "Results") -> str:
+    """A page that holds dashboard()'s document, for a script or a reader; the document is report-sized."""
+    text = document.first()[0].replace("</", "<\\/")
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body><script type='application/json' id='data'>{text}</script></body></html>"
