@@ -47,3 +47,24 @@ def test_empty_tables(spark, messy, empty):
     assert contamination(empty, none).count() == 0
     out = contamination(messy, none).collect()
     assert len(out) == messy.count() and not any(r["contaminated"] or r["n_hit"] for r in out)
+
+
+def test_a_long_text_of_one_word(spark):
+    """A million equal words, every place of which may start a window; time and memory are linear in the text."""
+    items = spark.createDataFrame([(7, "a " * 15), (8, "b " * 13)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, 1_000_000)], "doc_id bigint, k int").selectExpr("doc_id", "repeat('a ', k) || 'c' AS text")
+    r = contamination(docs, items).first()
+    assert (r["n_words"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) == (1_000_001, 1_000_000, ["7"], [(0, 1_000_000)])
+
+
+def test_windows_over_the_ends_of_stretches(spark, monkeypatch):
+    """Stretches shorter than the texts; windows that begin in one and end in the next."""
+    from calibrant.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "STRETCH", 5)
+    seq = [f"q{i}" for i in range(40)]
+    items = spark.createDataFrame([(i, " ".join(seq[i : i + 13])) for i in range(0, 28, 3)] + [(99, "one two")], "item_id bigint, text string")
+    rows = [(k, " ".join(["x"] * k + seq[k % 7 :] + ["one", "two"] * (k % 3))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in contamination(docs, items).collect()]
+    assert sorted(got, key=repr) == brute(docs.collect(), items.collect(), 13)

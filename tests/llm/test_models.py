@@ -1,5 +1,6 @@
 """Held-out accuracy of the trained operators, and their edge cases."""
 
+import re
 import textwrap
 import zlib
 
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 
 from calibrant.llm.common import table
-from calibrant.llm.licences import TEMPLATES, UNKNOWN, licence_scan
+from calibrant.llm.decontaminate import BREAKS
+from calibrant.llm.licences import ANCHORS, STEMS, TEMPLATES, fit_licences, licence_scan, notices, templates_of
 from calibrant.llm.quality import quality
 from calibrant.llm.queries import op2_toxicity, op9_quality
 from calibrant.llm.toxicity import Severity, fit_ordinal, score_severity, toxicity
@@ -63,28 +65,100 @@ def test_licences_on_all_documents(spark, sf):
         assert (r["licence"] == "none") == (not r["families"])
 
 
-def test_licence_edges(spark, messy, empty):
+@pytest.fixture(scope="module")
+def licences(spark):
+    """A model fitted on documents, for the small tables of the tests below."""
+    return fit_licences(table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+@pytest.fixture
+def scan(licences, monkeypatch):
+    monkeypatch.setattr("calibrant.llm.licences.fit_licences", lambda *_: licences)
+    return lambda df: licence_scan(df).collect()
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+
+
+def test_licence_edges(spark, messy, empty, scan):
     planted = spark.createDataFrame([(70, "intro\n" + TEMPLATES["BSD"][0] + "\nmore"), (71, "we were licensed to sell food at the market"), (72, "\n".join(LICENCES.values())), (72, "\n".join(LICENCES.values()))], "doc_id bigint, text string")
-    rows = licence_scan(messy.unionByName(planted, allowMissingColumns=True)).collect()
+    rows = scan(messy.unionByName(planted, allowMissingColumns=True))
     by = {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
     assert len(rows) == messy.count() + 4 and all(r["licence"] == "none" for i, rs in by.items() if i not in (70, 72) for r in rs)
-    assert by[70][0]["licence"] == "BSD" and by[70][0]["paragraph"] == 1
+    assert by[70][0]["licence"] == "BSD" and (by[70][0]["paragraph"], by[70][0]["line"]) == (0, 1)
     assert [r["n_paragraphs"] for r in by[72]] == [5, 5] and list(by[72][0]["families"]) == sorted(LICENCES)
     assert licence_scan(empty).count() == 0
 
 
+NAMED = {"MIT License": "MIT", "The MIT License (MIT)": "MIT", "GPLv3": "GPL", "Apache-2.0": "Apache", "You can use this code under the MIT licence.": "MIT", "CC0 1.0 Universal": "Public-Domain", "We use the 3-clause BSD licence": "BSD", "LGPLv3": "LGPL", "Licensed under the GNU AGPL v3": "AGPL"}
+OTHER = ["Boost Software License 1.0", "Eclipse Public License", "ISC License", "not licensed under the MIT License.", "It is not released under the Apache License 2.0", "Licensed under the Frobnicate License", "This file is not licensed under CC BY 4.0"]
+NOTHING = ["My driving licence expired in June.", "The committee reserved the right to change the text.", "She was granted permission to leave.", "", "license", "We have all\n\nrights reserved"]
+
+
+def test_short_names_other_licences_and_denials(spark, scan):
+    texts = [*NAMED, *OTHER, *NOTHING]
+    got = {texts[r["doc_id"]]: r["licence"] for r in scan(frame(spark, texts))}
+    assert {t: got[t] for t in NAMED} == NAMED
+    assert {got[t] for t in OTHER} == {"unknown"}
+    assert [t for t in NOTHING if got[t] not in ("none", "unknown")] == [] and sum(got[t] == "none" for t in NOTHING) >= 5
+
+
+def test_held_out_notices(licences):
+    assert licences.held_right > 0.8 and licences.held_false <= 0.1
+    assert sum(held for *_, held in notices(TEMPLATES)) > 200
+
+
+def test_scan_by_brute_force(spark, licences, scan):
+    """The same classes by plain Python over every paragraph of the documents."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").limit(150).collect() + frame(spark, [*NAMED, *OTHER, "\n".join(NAMED), "a\n\nGPLv3\nb\n \nMIT License"]).collect()
+    weights, anchors = dict(licences.weights), {*ANCHORS}
+    split = lambda t: [w for w in re.split(BREAKS, re.sub("licenc", "licens", re.sub("[A-Z]", lambda m: m[0].lower(), t))) if w]
+    pairs = lambda ws: {*zip(ws, ws[1:])} if len(ws) > 1 else {tuple(ws)}
+    templates = [(c, pairs(split(t))) for c, ts in templates_of(licences).items() for t in ts]
+    expected = {}
+    for d in docs:
+        sure, maybe = set(), False
+        for block in re.split(r"\n[ \t\r\f]*\n", d["text"] or ""):
+            lines = block.split("\n")
+            for unit in [block, *lines] if len(lines) > 1 else lines:
+                ws = split(unit)
+                if not anchors & {*ws} and not re.search(STEMS, unit.lower()):
+                    continue
+                gs = {" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)} & {*weights}
+                if not gs:
+                    continue
+                z = (np.array(licences.intercepts) + sum(np.array(weights[g]) for g in gs)) / licences.temperature
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                p = dict(zip(licences.classes, p))
+                best = max((c for c in p if c not in ("unknown", "none")), key=lambda c: p[c])
+                if p[best] >= licences.level:
+                    fits = {c: max(len(pairs(ws) & t) / len(t) for k, t in templates if k == c) for c in p if c not in ("unknown", "none", "Proprietary") or c in licences.templates}
+                    if fits[best] >= 0.6 and fits[best] >= max(fits.values()) - 1e-12:
+                        sure.add(best)
+                    maybe = True
+                elif p["none"] < 0.5:
+                    maybe = True
+        expected.setdefault((d["doc_id"], d["text"]), (sorted(sure), "none" if not maybe else "unknown" if not sure else None))
+    df = spark.createDataFrame([(i, d["text"]) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    for r in scan(df):
+        families, says = expected[docs[r["doc_id"]]["doc_id"], docs[r["doc_id"]]["text"]]
+        assert list(r["families"]) == families, docs[r["doc_id"]]["text"][:200]
+        assert r["licence"] == says if says else r["licence"] in families
+
+
 @pytest.mark.parametrize("width", [40, 75])
-def test_wrapped_notices(spark, width):
-    notices = [(100 * k + i, f, n) for k, (f, ns) in enumerate(TEMPLATES.items()) if f != UNKNOWN for i, n in enumerate(ns) if len(n) > 75]
+def test_wrapped_notices(spark, width, scan):
+    notices = [(100 * k + i, f, n) for k, (f, ns) in enumerate(TEMPLATES.items()) for i, n in enumerate(ns) if len(n) > 75]
     texts = [(i, "intro of the text\n\n# " + "\n# ".join(textwrap.wrap(n, width)) + "\n\nmore of it") for i, _, n in notices]
-    rows = {r["doc_id"]: r for r in licence_scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    rows = {r["doc_id"]: r for r in scan(spark.createDataFrame(texts, "doc_id bigint, text string"))}
     assert len({f for _, f, _ in notices}) >= 8
     for i, family, _ in notices:
         assert rows[i]["licence"] == family and family in rows[i]["families"] and rows[i]["similarity"] >= 0.6
 
 
-def test_notice_does_not_cross_an_empty_line(spark):
-    docs = spark.createDataFrame([(1, "we have all\n\nrights reserved"), (2, "we have all\nrights reserved")], "doc_id bigint, text string")
-    assert {r["doc_id"]: r["licence"] for r in licence_scan(docs).collect()} == {1: "none", 2: "Proprietary"}
+def test_notice_does_not_cross_an_empty_line(spark, scan):
+    rows = scan(frame(spark, ["we have all\n\nrights reserved", "we have all\nrights reserved"]))
+    assert {r["doc_id"]: r["licence"] for r in rows} == {0: "none", 1: "Proprietary"}
