@@ -10,8 +10,10 @@ import pytest
 from calibrant.llm.common import table
 from calibrant.llm.decontaminate import BREAKS
 from calibrant.llm.licences import ANCHORS, STEMS, TEMPLATES, fit_licences, licence_scan, notices, templates_of
+from calibrant.llm import quality as ql
 from calibrant.llm.quality import quality
 from calibrant.llm.queries import op2_toxicity, op9_quality
+from calibrant.llm import toxicity as tx
 from calibrant.llm.toxicity import Severity, fit_ordinal, score_severity, toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -45,6 +47,68 @@ def test_ordinal_thresholds_are_ordered_and_weights_shared():
     assert (np.diff(m.thresholds) > 0).all() and m.weights[0] > 2 * abs(m.weights.get(3, 0)) and m.weights[1] > 2 * abs(m.weights.get(4, 0))
 
 
+def test_ordinal_fit_is_the_optimum_of_its_likelihood():
+    """No small step away from the fitted weights and thresholds makes the penalised likelihood better by much."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, (300, 4))
+    grade = np.clip(np.round(x @ [1.5, 1.0, 0.0, -0.5] + rng.logistic(size=300)).astype(int), 0, 3)
+    m = fit_ordinal([np.flatnonzero(r).astype(np.int32) for r in x], grade, np.arange(4), steps=3000)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(w, th):
+        upto = np.hstack([np.zeros((300, 1)), sigmoid(th[None, :] - (x @ w)[:, None]), np.ones((300, 1))])
+        own = upto[np.arange(300), grade + 1] - upto[np.arange(300), grade]
+        return -np.log(np.maximum(own, 1e-12)).mean() + tx.PENALTY * (w @ w) / 2 / max(1, np.sqrt(4) / 16)
+
+    w, th = np.array([m.weights.get(i, 0.0) for i in range(4)]), m.thresholds
+    best = loss(w, th)
+    for _ in range(200):
+        step = rng.normal(scale=0.1, size=7)
+        assert loss(w + step[:4], np.sort(th + step[4:])) > best - 1e-4
+
+
+def test_severity_by_brute_force(spark, messy):
+    """Scores are those of the formula over each text's words and their beginnings."""
+    from zlib import crc32
+
+    weights = {crc32(f) & (tx.SPACE - 1): v for f, v in ((b"alpha1", 1.0), (b"-alpha", 0.5), (b"one", -2.0), (b"t", 3.0))}
+    m = Severity(weights, np.array([0.5, 1.0, 2.0]))
+    texts = [r["text"] or "" for r in messy.orderBy("value").collect()]
+    got = [tuple(r) for r in score_severity(messy.withColumn("doc_id", messy["value"]), m).orderBy("doc_id").collect()]
+    for t, (_, expected, grade, p, toxic) in zip(texts, got):
+        ws = {w for w in re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", t.lower()) if w}
+        eta = sum(weights.get(crc32(f) & (tx.SPACE - 1), 0.0) for f in {w.encode() for w in ws} | {b"-" + w.encode()[:n] for w in ws for n in (5, 7) if len(w.encode()) > n})
+        chances = [1 / (1 + np.exp(k - eta)) for k in (0.5, 1.0, 2.0)]
+        assert (expected, p, grade, toxic) == (pytest.approx(sum(chances)), pytest.approx(chances[0]), sum(c >= 0.5 for c in chances), chances[0] >= tx.REJECT_AT)
+
+
+def test_votes_by_brute_force():
+    """All labelled vectors compared one by one; of ties at the last place the first ones count."""
+    rng = np.random.default_rng(2)
+    vectors = ql.unit(np.round(rng.normal(size=(80, 5)), 1)).astype(np.float32)
+    vectors = np.concatenate([vectors, vectors[:30], vectors[:30]])  # ties
+    labels = rng.integers(0, 2, len(vectors)).astype(float)
+    model = ql.Neighbours(np.ones(1), np.zeros(1), np.zeros((1, 1)), vectors, labels, 0.37)
+    z = np.concatenate([ql.unit(rng.normal(size=(40, 5))).astype(np.float32), vectors[:5], np.zeros((1, 5), np.float32)])
+    got = model.vote(z, 7)
+    for row, score in zip(z, got):
+        sims = (row[None] @ vectors.T)[0]
+        near = sorted(range(len(vectors)), key=lambda i: (-sims[i], i))[:7]
+        w = [max(float(sims[i]), 0.0) ** ql.SHARPNESS for i in near]
+        assert score == pytest.approx(sum(a * labels[i] for a, i in zip(w, near)) / sum(w) if sum(w) > 1e-9 else 0.37, abs=1e-5)
+    assert (model.vote(z, 500) >= 0).all() and len(model.vote(z[:0])) == 0
+
+
+def test_terms_by_hand():
+    from zlib import crc32
+
+    c = ql.counts("ab AB ab\n")
+    at = lambda a, b: c[ql.TABLE[ord(a)] * ql.CLASSES + ql.TABLE[ord(b)]]
+    assert (at("a", "b"), at(" ", "a"), at("A", "B"), c[: ql.BINNED].sum()) == (2, 1, 1, 8)
+    words = {crc32(w) & (ql.WORDS - 1): n for w, n in ((b"ab", 3),)}
+    assert {i: n for i, n in enumerate(c[ql.WORDED :]) if n} == words and not ql.counts("").any()
+
+
 def test_model_edges(spark, messy, empty):
     labels = spark.createDataFrame([(6, 1, 1), (4, 0, 0), (4, 1, 0), (None, 1, 1), (9, None, None), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
     none = labels.where("false")
