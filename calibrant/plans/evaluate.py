@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from time import perf_counter
 from typing import Protocol
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from calibrant.functions.scores import Score, check, resolve
-from calibrant.functions.stats import conformal_quantile
+from calibrant.functions.scores import Score, check, interval_fields, resolve
+from calibrant.functions.stats import conformal_quantile, weighted_quantile
 from calibrant.operators import calibrate as cp
 from calibrant.operators import folds as fd
 from calibrant.operators import joint as jp
@@ -176,12 +177,70 @@ def _run(panel: DataFrame, config: EvalConfig, keys: list[str]) -> DataFrame:
     names = classify(config.methods)[0]
     rows = sc.scored(panel, config.score, config.alpha, keys, config.asymmetric, groups)
     horizon = panel.agg(F.max("h") + 1).first()[0] if "CFRNN" in names and "horizon" not in config.options.get("CFRNN", {}) else None
-    parts = [mt.marks(mt.native(panel, config.alpha), config.alpha).withColumn("method", F.lit("Native"))]
+    own = {n: PAST[n] for n in names if n in PAST and MARGINAL[n].thresholds is PAST[n][0] and not config.asymmetric}
+    parts = [mt.marks(_at_once(rows, config, own, by, horizon), config.alpha)]
     parts += [mt.marks(p, config.alpha) for p in _by_kernels(rows, config, keys)]
-    parts += [mt.marks(intervals(rows, config, n, by, horizon), config.alpha).withColumn("method", F.lit(n)) for n in names if n not in KERNELS]
+    parts += [mt.marks(intervals(rows, config, n, by, horizon), config.alpha).withColumn("method", F.lit(n)) for n in names if n not in KERNELS and n not in own]
     return mt.scaled(mt.summary(_all(parts, [*keys, "w", "h"]), [*groups, "method"]), groups)
 
 
+def _of_split(row: Past, alpha: float, horizon: int | None) -> Column:
+    return conformal_quantile(row.cal, alpha, row.option("correction", True))
+
+
+def _of_cfrnn(row: Past, alpha: float, horizon: int | None) -> Column:
+    return conformal_quantile(row.cal, alpha / row.option("horizon", horizon))
+
+
+def _of_trailing(row: Past, alpha: float, horizon: int | None) -> Column:
+    return conformal_quantile(F.array_sort(row.past), alpha, row.option("correction", False))
+
+
+def _of_weighted(row: Past, alpha: float, horizon: int | None) -> Column:
+    return weighted_quantile(row.past, 1 - alpha, row.option("decay", 0.99), row.option("test_weight", 1.0), row.option("weights", None))
+
+
+@dataclass(frozen=True)
+class Past:
+    """What a test row knows: its key's sorted calibration scores, the trailing scores, and the method's options."""
+
+    cal: Column
+    past: Column
+    options: dict
+
+    def option(self, name: str, default):
+        return self.options.get(name, default)
+
+
+#: Calibrators whose threshold is an expression of a row's past, which one window over the key gives to all of them.
+PAST: dict[str, tuple[Calibrator, Callable[[Past, float, int | None], Column]]] = {
+    "SplitCP": (cp.split_cp, _of_split),
+    "CFRNN": (cp.cfrnn, _of_cfrnn),
+    "TrailingWindow": (cp.trailing, _of_trailing),
+    "CQR": (cp.trailing, _of_trailing),
+    "WeightedCP": (cp.weighted, _of_weighted),
+}
+
+
+def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], horizon: int | None) -> DataFrame:
+    """Test rows with method, lo and hi of Native and of all methods in own: one sort of each key serves all of them."""
+    kind = Score(config.score, config.alpha)
+    options = {n: config.options.get(n, {}) for n in own}
+    size = {n: options[n].get("size", config.window) for n in own if MARGINAL[n].sized}
+    if {"SplitCP", "CFRNN"} & {*own}:
+        rows = rows.withColumn("__cal", F.array_sort(F.collect_list(F.when(F.col("split") == "cal", F.col("s"))).over(Window.partitionBy(*by))))
+    for k in dict.fromkeys(size.values()):
+        rows = cp.with_past(rows, by, "w", "s", k, f"__past_{k}")
+    rows = rows.where("split = 'test'")
+    for n, (_, of) in own.items():
+        past = Past(F.col("__cal"), F.col(f"__past_{size.get(n)}"), options[n])
+        rows = rows.withColumn(f"__thr_{n}", of(past, config.alpha, horizon))
+    low, high = interval_fields(config.alpha)
+    made = [("Native", F.col(f"q.{low}"), F.col(f"q.{high}")), *((n, *kind.bounds(f"__thr_{n}", f"__thr_{n}")) for n in own)]
+    pairs = F.array(*[F.struct(F.lit(n).alias("method"), lo.alias("lo"), hi.alias("hi")) for n, lo, hi in made])
+    return rows.select(*by, "w", "y", F.inline(pairs))
+
+
 def _all(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     cols = [*keys, "covered", "width", "winkler", "infinite", "method"]
     every = parts[0].select(*cols)
