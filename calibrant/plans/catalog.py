@@ -179,10 +179,10 @@ def aci_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.both_tails(cp.aci, rows, KEYS, ALPHA, gamma=0.05, size=20)
 
 
-def _pid_sql(ki: float) -> str:
+def _pid_sql(ki: float, score: str = "abs") -> str:
     angle = "(e - n * 0.2::DOUBLE) * ln(n + 1) / (n + 1)"
     part = f"CASE WHEN abs({angle}) < 1.5707963267948966 THEN {ki}::DOUBLE * tan({angle}) ELSE 0.0 END" if ki else "0.0"
-    return f"""WITH RECURSIVE {sql.scored("user", "abs")}, {sql.split_thr()},
+    return f"""WITH RECURSIVE {sql.scored("user", score)}, {sql.split_thr()},
     b AS (SELECT *, max(s) OVER (PARTITION BY series, h ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) - min(s) OVER (PARTITION BY series, h ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS spread FROM scored),
     x AS (SELECT b.*, thr.thr AS q0 FROM b JOIN thr ON b.series = thr.series AND b.h = thr.h AND b.w = thr.w),
     r AS (SELECT *, q0 AS qt, q0 AS thr, 0.0::DOUBLE AS e, 0.0::DOUBLE AS n FROM x WHERE w = 5
@@ -204,6 +204,11 @@ def pid_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.pid(user_scores(spark, sf_dir), KEYS, ALPHA, 0.1, ki=0.5, size=20).select(*THR)
 
 
+@register("adaptive_cqr_pid", _pid_sql(0.0, "cqr"), digits=9)
+def adaptive_cqr_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cp.pid(user_scores(spark, sf_dir, "cqr"), KEYS, ALPHA, 0.1, size=20).select(*THR)
+
+
 _FLAT = f"{sql.scored('user', 'abs')[: -len('SELECT *, ' + sql.SCORE['abs'] + ' AS s FROM base)')]}SELECT *, w * 4 + h AS pos, {sql.SCORE['abs']} AS s FROM base)"
 
 
@@ -556,6 +561,27 @@ def spci_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn.spci_bounds(_errors(spark, sf_dir), KEYS, ALPHA, w=5, bins=5)
 
 
+def _acmcp_sql() -> str:
+    """Both tails without the forecast of the error: tracking from the calibration quantile, and the integrator."""
+    frame = "OVER (PARTITION BY series, h ORDER BY w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+    angle = lambda side: f"CASE WHEN r.n > 1 THEN (r.m_{side} - r.n * 0.1::DOUBLE) * ln(r.n) / r.n ELSE 0.0 END"
+    miss = {"lo": "CASE WHEN -r.e > greatest(r.q_lo, 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "up": "CASE WHEN r.e > greatest(r.q_up, 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"}
+    moved = lambda side: f"r.t_{side} + 0.1::DOUBLE * r.spread * ({miss[side]} - 0.1::DOUBLE)"
+    pulled = lambda side: f"{moved(side)} + CASE WHEN abs({angle(side)}) < pi() / 2 THEN r.ki * tan({angle(side)}) ELSE 0.0 END"
+    high = lambda xs: f"{xs}[1 + CAST(ceil(0.9::DOUBLE * (len({xs}) - 1)) AS INT)]"
+    return f"""WITH RECURSIVE {sql.panel("user")}, x AS (SELECT series, h, w, split, y - yhat AS e FROM panel),
+    b AS (SELECT *, max(abs(e)) {frame} - min(abs(e)) {frame} AS spread FROM x),
+    k AS (SELECT series, h, list_sort(list(e)) AS es, list_sort(list(-e)) AS ns, max(abs(e)) AS ki FROM x WHERE split = 'cal' GROUP BY series, h),
+    r AS (SELECT b.*, ki, {high("ns")} AS t_lo, {high("es")} AS t_up, {high("ns")} AS q_lo, {high("es")} AS q_up, 0.0::DOUBLE AS m_lo, 0.0::DOUBLE AS m_up, 0.0::DOUBLE AS n FROM b JOIN k USING (series, h) WHERE w = 5
+        UNION ALL SELECT nx.*, r.ki, {moved("lo")}, {moved("up")}, {pulled("lo")}, {pulled("up")}, r.m_lo + {miss["lo"]}, r.m_up + {miss["up"]}, r.n + 1 FROM r JOIN b nx ON nx.series = r.series AND nx.h = r.h AND nx.w = r.w + 1)
+    SELECT series, w, h, round(greatest(q_lo, 0), 6) AS q_lo, round(greatest(q_up, 0), 6) AS q_up FROM r"""
+
+
+@register("acmcp_tracking", _acmcp_sql())
+def acmcp_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn.acmcp_bounds(_errors(spark, sf_dir), ["series"], ALPHA, scorecast=False)
+
+
 @register("acmcp")
 def acmcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn.acmcp_bounds(_errors(spark, sf_dir), ["series"], ALPHA)
