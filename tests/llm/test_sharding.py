@@ -70,3 +70,69 @@ def test_target_bytes_and_empty(messy, empty):
     assert kd_shards(empty, shards=4).count() == 0
     with pytest.raises(ValueError):
         kd_shards(messy)
+
+
+def plain_tree(docs, shards, share):
+    """A k-d build over a list of rows, node by node: the shard of each row."""
+    import xxhash
+
+    def spark_hash(seed, *values):
+        h = seed
+        for v, n in values:
+            h = h if v is None else xxhash.xxh64_intdigest(v if n is None else v.to_bytes(n, "little", signed=True), seed=h & (2**64 - 1))
+        return h
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    ranks = {d: {v: i + 1 for i, v in enumerate(sorted({r[d] for r in docs if r[d] is not None}))} for d in ("lang", "source")}
+    rows = []
+    for r in docs:
+        text = (r["text"] or "").encode()
+        t = spark_hash(42, (text, None))
+        rows.append({"id": r["doc_id"], "t": t, "v": [len(text) + 8, ranks["lang"].get(r["lang"], 0), ranks["source"].get(r["source"], 0)]})
+    lo, hi = ([f(r["v"][k] for r in rows) for k in range(3)] for f in (min, max))
+    total = sum(r["v"][0] for r in rows)
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["t"], r["v"][0]), []).append(r)
+    for (t, size), g in groups.items():
+        unit = len(g) > 1 and len(g) * size <= int(share * total / shards)
+        least = [size, *(min(r["v"][k] for r in g) for k in (1, 2))]
+        for r in g:
+            own = [spark_hash(42, (signed(t), 8) if unit else (r["id"], 8), (k, 4)) for k in range(3)]
+            v = least if unit else r["v"]
+            place = [min(2**24 - 1, int((v[k] - lo[k]) * ((2**24 - 1) / (hi[k] - lo[k])))) if hi[k] > lo[k] else 0 for k in range(3)]
+            r["x"] = [(place[k] << 38) + ((t >> 44) << 18) + (own[k] >> 46) for k in range(3)]
+    spread = [max(1, max(r["x"][k] for r in rows) - min(r["x"][k] for r in rows)) for k in range(3)]
+
+    def split(node, shard, n):
+        for r in node:
+            r["shard"] = shard
+        if n == 1 or not node:
+            return
+        width = [(max(r["x"][k] for r in node) - min(r["x"][k] for r in node)) / spread[k] for k in range(3)]
+        k = max(range(3), key=lambda k: (width[k], -k))
+        left = n // 2
+        goal, upto = sum(r["v"][0] for r in node) * left // n, 0
+        weights = {}
+        for r in node:
+            weights[r["x"][k]] = weights.get(r["x"][k], 0) + r["v"][0]
+        for x in sorted(weights):
+            before, upto = upto, upto + weights[x]
+            if upto >= goal:
+                cut = x if upto - goal <= goal - before else x - 1
+                break
+        split([r for r in node if r["x"][k] <= cut], shard, left)
+        split([r for r in node if r["x"][k] > cut], shard + left, n - left)
+
+    split(rows, 0, shards)
+    return {r["id"]: r["shard"] for r in rows}
+
+
+@pytest.mark.parametrize("shards", [3, 8])
+def test_against_a_plain_build(spark, monkeypatch, shards):
+    from calibrant.llm import sharding
+
+    monkeypatch.setattr(sharding, "TOLERANCE", 0)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    got = {r["doc_id"]: r["shard"] for r in kd_shards(docs, shards=shards).collect()}
+    assert got == plain_tree(docs.collect(), shards, sharding.GROUP_SHARE)
