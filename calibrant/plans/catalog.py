@@ -782,7 +782,7 @@ def io_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_results(spark, path, _RESULT_SCHEMA)
 
 
-@register("io_dashboard", f"WITH {_RES} SELECT CAST(count(DISTINCT model) AS INT) AS models, CAST(count(DISTINCT task) AS INT) AS tasks, round(sum(coverage), 4) AS coverage FROM res", digits=4)
+@register("io_dashboard", f"WITH {_RES} SELECT CAST(count(DISTINCT model) AS INT) AS models, CAST(count(DISTINCT task) AS INT) AS tasks, round(sum(coverage), 6) AS coverage FROM res")
 def io_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's document, read back."""
     rows = results(spark, sf_dir)
@@ -890,8 +890,8 @@ _METHOD_SUMMARY = f"""{sql.marked()}, {sql.horizon_metrics(by="method")},
     jc AS (SELECT method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY method),
     su AS (SELECT method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY method)"""
 _SCALED = """, nv AS (SELECT avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
-    SELECT method, round(coverage, 4) AS coverage, round(avg_width, 4) AS avg_width, round(winkler_score, 4) AS winkler_score, round(joint_coverage, 4) AS joint_coverage,
-        round(avg_width / CASE WHEN nw > 1e-8 THEN nw ELSE 1 END, 4) AS scaled_width, round(winkler_score / CASE WHEN nk > 1e-8 THEN nk ELSE 1 END, 4) AS scaled_winkler FROM su JOIN jc USING (method), nv"""
+    SELECT method, round(coverage, 6) AS coverage, round(avg_width, 6) AS avg_width, round(winkler_score, 6) AS winkler_score, round(joint_coverage, 6) AS joint_coverage,
+        round(avg_width / CASE WHEN nw > 1e-8 THEN nw ELSE 1 END, 6) AS scaled_width, round(winkler_score / CASE WHEN nk > 1e-8 THEN nk ELSE 1 END, 6) AS scaled_winkler FROM su JOIN jc USING (method), nv"""
 _NATIVE_IV = "SELECT 'Native' AS method, series, w, h, y, q10 AS lo, q90 AS hi FROM base WHERE split = 'test'"
 
 
@@ -899,7 +899,7 @@ _NATIVE_IV = "SELECT 'Native' AS method, series, w, h, y, q10 AS lo, q90 AS hi F
     sg AS (SELECT h, CASE WHEN avg(r) >= 1e-8 THEN avg(r) ELSE 1 END AS sigma FROM cal GROUP BY h), m AS (SELECT list_sort(list(m)) AS xs FROM (SELECT max(r / sigma) AS m FROM cal JOIN sg USING (h) GROUP BY series, w)),
     rad AS (SELECT 'JointCFRNN' AS method, h, {sql.quantile("xs", ALPHA / 4)} AS radius FROM x UNION ALL SELECT 'NormMaxCP', h, sigma * {sql.quantile("xs", ALPHA)} FROM sg, m),
     iv AS (SELECT method, series, w, h, y, yhat - radius AS lo, yhat + radius AS hi FROM panel JOIN rad USING (h) WHERE split = 'test'), {_METHOD_SUMMARY}
-    SELECT method, round(coverage, 4) AS coverage, round(avg_width, 4) AS avg_width, round(winkler_score, 4) AS winkler_score, round(joint_coverage, 4) AS joint_coverage FROM su JOIN jc USING (method)""", digits=4)
+    SELECT method, round(coverage, 6) AS coverage, round(avg_width, 6) AS avg_width, round(winkler_score, 6) AS winkler_score, round(joint_coverage, 6) AS joint_coverage FROM su JOIN jc USING (method)""")
 def run_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("JointCFRNN", "NormMaxCP")), ps.USER["cal"])
 
@@ -913,7 +913,7 @@ def run_joint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (SELECT g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT unnest(range(0, 5)) AS fold) g ON g.fold <> p.fold GROUP BY g.fold, h),
     iv AS (SELECT p.*, yhat - {sql.quantile("xs", ALPHA / 4)} AS lo, yhat + {sql.quantile("xs", ALPHA / 4)} AS hi FROM p JOIN t ON p.fold = t.fold AND p.h = t.h), {sql.marked()}, {sql.horizon_metrics(by="fold")},
     jc AS (SELECT fold, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT fold, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY fold)
-    SELECT fold, round(avg(coverage), 4) AS coverage, round(avg(avg_width), 4) AS avg_width, round(avg(winkler_score), 4) AS winkler_score, round(any_value(joint_coverage), 4) AS joint_coverage FROM mh JOIN jc USING (fold) GROUP BY fold""", digits=4)
+    SELECT fold, round(avg(coverage), 6) AS coverage, round(avg(avg_width), 6) AS avg_width, round(avg(winkler_score), 6) AS winkler_score, round(any_value(joint_coverage), 6) AS joint_coverage FROM mh JOIN jc USING (fold) GROUP BY fold""")
 def joint_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.run_joint_folds(ps.user_panel(spark, sf_dir), 5, ALPHA).drop("method")
 
@@ -928,7 +928,7 @@ def joint_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     {sql.marked()}, {sql.horizon_metrics(by="fold, method")},
     jc AS (SELECT fold, method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT fold, method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY ALL),
     su AS (SELECT fold, method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY ALL)
-    SELECT method, round(avg(coverage), 4) AS coverage, round(avg(avg_width), 4) AS avg_width, round(avg(winkler_score), 4) AS winkler_score, round(avg(joint_coverage), 4) AS joint_coverage FROM su JOIN jc USING (fold, method) GROUP BY method""", digits=4)
+    SELECT method, round(avg(coverage), 6) AS coverage, round(avg(avg_width), 6) AS avg_width, round(avg(winkler_score), 6) AS winkler_score, round(avg(joint_coverage), 6) AS joint_coverage FROM su JOIN jc USING (fold, method) GROUP BY method""")
 def cv_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validation over series of a static and a learning method, averaged over folds."""
     return ev.fold_average(ev.run_folds(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("SplitCP", "TrailingWindow"), window=20), 5))
@@ -939,8 +939,8 @@ def cv_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     jc AS (SELECT task, method, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT task, method, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY ALL),
     su AS (SELECT task, method, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY ALL),
     nv AS (SELECT task, avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
-    SELECT task, method, round(coverage, 4) AS coverage, round(avg_width, 4) AS avg_width, round(winkler_score, 4) AS winkler_score, round(joint_coverage, 4) AS joint_coverage, round(avg_width / nw, 4) AS scaled_width, round(winkler_score / nk, 4) AS scaled_winkler
-    FROM su JOIN jc USING (task, method) JOIN nv USING (task)""", digits=4)
+    SELECT task, method, round(coverage, 6) AS coverage, round(avg_width, 6) AS avg_width, round(winkler_score, 6) AS winkler_score, round(joint_coverage, 6) AS joint_coverage, round(avg_width / nw, 6) AS scaled_width, round(winkler_score / nk, 6) AS scaled_winkler
+    FROM su JOIN jc USING (task, method) JOIN nv USING (task)""")
 def run_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several tasks at once: each has its own rows and its own Native."""
     panel = ps.user_panel(spark, sf_dir).withColumn("task", F.concat(F.lit("t"), F.pmod(F.col("series").cast("int"), F.lit(4)).cast("string")))
@@ -950,7 +950,7 @@ def run_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT_IV = f"iv AS ({_NATIVE_IV} UNION ALL SELECT 'SplitCP', series, w, h, y, yhat - thr, yhat + thr FROM thr)"
 
 
-@register("run_log_fallback", f"WITH {sql.scored('user', 'abs')}, {sql.split_thr()}, {_SPLIT_IV}, {_METHOD_SUMMARY}{_SCALED}", digits=4)
+@register("run_log_fallback", f"WITH {sql.scored('user', 'abs')}, {sql.split_thr()}, {_SPLIT_IV}, {_METHOD_SUMMARY}{_SCALED}")
 def run_log_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values far below 0 have no log score, so abs is used, whose intervals move with the values."""
     shift = lambda c: (F.col(c) - 1000).alias(c.rpartition(".")[2])
@@ -958,7 +958,7 @@ def run_log_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.run(panel, ev.EvalConfig(score="log", methods=("SplitCP",)))
 
 
-@register("run_cal_windows", f"WITH {sql.scored('user', 'abs')}, {sql.split_thr(source='(SELECT * FROM scored WHERE w >= 2)')}, {_SPLIT_IV}, {_METHOD_SUMMARY}{_SCALED}", digits=4)
+@register("run_cal_windows", f"WITH {sql.scored('user', 'abs')}, {sql.split_thr(source='(SELECT * FROM scored WHERE w >= 2)')}, {_SPLIT_IV}, {_METHOD_SUMMARY}{_SCALED}")
 def run_cal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three calibration windows alone."""
     return ev.run(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("SplitCP",), cal_windows=3, min_cal_windows=2))
@@ -972,7 +972,7 @@ def _single_sql(frozen: bool) -> str:
 
 
 for _name, _online in {"single_step_run": True, "single_step_run_frozen": False}.items():
-    register(_name, _single_sql(not _online), 4)(lambda s, d, o=_online: ev.run_single_step(ps.user_panel(s, d), ev.EvalConfig(methods=("TrailingWindow",), window=20), 4, online=o))
+    register(_name, _single_sql(not _online))(lambda s, d, o=_online: ev.run_single_step(ps.user_panel(s, d), ev.EvalConfig(methods=("TrailingWindow",), window=20), 4, online=o))
 
 
 def _pid_tails_sql(score: str) -> str:
