@@ -6,8 +6,8 @@ hold a word of licensing or, with a negation, one of the notices' verbs. A
 multinomial logistic regression gives every class a weight per feature: the
 families, "unknown" (other licences, and mentions that grant nothing) and "none"
 (ordinary text). It is fitted on notices, their variants and a bounded sample of
-ordinary paragraphs; whole notices are held out, and calibrate its temperature
-and the probability that a family needs. A prediction stands when enough of a
+ordinary paragraphs. Whole notices are held out first, and calibrate its
+temperature and the probability that a family needs; then all are learned. A prediction stands when enough of a
 template of its family is found in the paragraph, and no other family's
 template fits better.
 
@@ -53,7 +53,10 @@ ANCHORS = (
     "attribution", "noncommercial", "sharealike", "redistribute", "redistributed", "redistribution", "redistributions", "unencumbered", "waived", "domain",
     "hereby", "permission", "permitted", "reserved", "reproduced", "proprietary", "confidential", "unauthorized", "merchantability", "warranty",
 )
-STEMS = r"(?i)licen[cs]|copyright|copyleft|gnu|gpl|apache|bsd|mozilla|mpl|expat|spdx|commons|(?<![a-z0-9])cc|attribution|noncommercial|sharealike|redistribut|unencumbered|waived|domain|hereby|permission|permitted|reserved|reproduced|proprietary|confidential|unauthorized|merchantability|warranty"
+STEMS = (
+    r"licen[cs]|c(?:opy(?:right|left)|ommons|onfidential)|(?<![a-z0-9])cc|g(?:nu|pl)|a(?:pache|ttribution)|bsd|m(?:ozilla|pl|erchantability)|expat|s(?:pdx|harealike)"
+    r"|noncommercial|re(?:distribut|served|produced)|un(?:encumbered|authorized)|wa(?:ived|rranty)|domain|hereby|p(?:ermi(?:ssion|tted)|roprietary)"
+)
 NEGATORS = ("not", "never", "unlike", "longer", "without")
 
 # Names of licences by family, and of licences outside the families.
@@ -159,6 +162,8 @@ class LicenceModel:
     temperature: float
     level: float
     templates: dict[str, list[str]]
+    held_right: float  # share of the held-out notices of a family that were given it
+    held_false: float  # share of the held-out mentions of other licences, and denials, that were given a family
 
 
 def words(text: Column) -> Column:
@@ -196,17 +201,21 @@ def _pairs(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return runs.where("b IS NOT NULL").select(*keys, F.concat_ws(" ", "a", "b").alias("g")).union(single).distinct()
 
 
+def speaks(text: str) -> Column:
+    """Whether the text may hold a word of licensing."""
+    return F.lower(text).rlike(STEMS)
+
+
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' other columns, paragraph (block between empty lines, from 0), line (BLOCK for the whole block) and text, for
     every paragraph that may hold a word of licensing."""
     rest = [c for c in docs.columns if c != text]
-    some = docs.where(F.col(text).rlike(STEMS))
-    blocks = some.select(*rest, F.posexplode(F.split(text, r"\n[ \t\r\f]*\n")).alias("paragraph", "block")).where(F.col("block").rlike(STEMS))
+    blocks = docs.select(*rest, F.posexplode(F.split(text, r"\n[ \t\r\f]*\n")).alias("paragraph", "block")).where(speaks("block"))
     whole = F.array(F.struct(F.lit(BLOCK).alias("line"), F.col("block").alias("text")))
     lines = F.transform(F.split("block", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
     units = F.when(F.size(lines) > 1, F.concat(whole, lines)).otherwise(lines)
     made = blocks.select(*rest, "paragraph", F.explode(units).alias("u")).select(*rest, "paragraph", "u.line", "u.text")
-    return made.where(F.col("text").rlike(STEMS))
+    return made.where(speaks("text"))
 
 
 def variants(notice: str) -> list[str]:
@@ -239,27 +248,46 @@ def fit_licences(docs: DataFrame, text: str = "text", templates: dict[str, list[
     made = notices(templates)
     classes = [*dict.fromkeys(c for c, *_ in made if c not in (UNKNOWN, NONE)), UNKNOWN, NONE]
     known = spark.createDataFrame([(k, classes.index(c), t, h) for k, (c, t, h) in enumerate(made)], "id long, label int, text string, held boolean")
-    drawn = docs.select(docs[text].alias("t")).where(F.length("t") > 0).select("t", F.xxhash64("t").alias("hash")).groupBy("hash").agg(F.min("t").alias("t")).orderBy("hash").limit(ORDINARY_TEXTS)
+    texts = docs.select(docs[text].alias("t")).where(F.length("t") > 0).withColumn("hash", F.xxhash64("t"))
+    lowest = texts.select("hash").distinct().orderBy("hash").limit(ORDINARY_TEXTS)
+    drawn = texts.join(F.broadcast(lowest), "hash").groupBy("hash").agg(F.min("t").alias("t"))
     lines = drawn.select(F.explode(F.split("t", "\n")).alias("text")).where((F.length("text") > 0) & ~F.lower("text").rlike(r"licen|copyright|rights reserved|redistribut|spdx"))
     plain = lines.select("text", F.xxhash64("text").alias("hash")).groupBy("hash").agg(F.min("text").alias("text")).orderBy("hash").limit(ORDINARY_PARAGRAPHS)
     ordinary = plain.select((F.shiftrightunsigned("hash", 1) + len(made)).alias("id"), F.lit(classes.index(NONE)).alias("label"), "text", (F.pmod("hash", F.lit(HOLD)) == HOLD - 1).alias("held"))
     rows = stored(known.union(ordinary), "licence-training")
     found = stored(grams(rows, ["id", "held", "label"]).distinct(), "licence-grams")
-    vocabulary = [r[0] for r in found.where(~F.col("held") & (F.col("label") != classes.index(NONE))).select("g").distinct().orderBy("g").collect()]
-    listed = rows.select("id", "label", "held").join(found.groupBy("id").agg(F.collect_set("g").alias("grams")), "id", "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
-    x = stored(CountVectorizerModel.from_vocabulary(vocabulary, "grams", "x", binary=True).transform(listed).select("label", "held", F.when(F.col("id") < len(made), 1.0).otherwise(ORDINARY_WEIGHT).alias("weight"), "x"), "licence-vectors")
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=2e-4, maxIter=60, standardization=False).fit(x.where("NOT held"))
-    raw = stored(model.transform(x.where("held AND weight = 1")).select("label", vector_to_array("rawPrediction").alias("r")), "licence-held")
+    weight = F.when(F.col("id") < len(made), 1.0).otherwise(ORDINARY_WEIGHT)
+    listed = rows.select("id", "label", "held", weight.alias("weight")).join(found.groupBy("id").agg(F.collect_set("g").alias("grams")), "id", "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<string>")))
+    listed = stored(listed, "licence-listed")
+    none, unknown = classes.index(NONE), classes.index(UNKNOWN)
+
+    def fitted(seen: DataFrame, of: DataFrame):
+        """A regression on the rows of `of`, over the features of licence talk in `seen`; its vectors and its vocabulary."""
+        vocabulary = [r[0] for r in seen.where(F.col("label") != none).select("g").distinct().orderBy("g").collect()]
+        vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "x", binary=True)
+        model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=2e-4, maxIter=60, standardization=False).fit(stored(vectors.transform(of).select("label", "weight", "x"), "licence-vectors"))
+        return model, vectors, vocabulary
+
+    trial, vectors, _ = fitted(found.where("NOT held"), listed.where("NOT held"))
+    held = vectors.transform(listed.where("held AND weight = 1"))
+    raw = stored(trial.transform(held).select("label", vector_to_array("rawPrediction").alias("r")), "licence-held")
     loss = [F.avg(_log_sum(F.transform("r", lambda v: v / t)) - F.get("r", F.col("label")) / t).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
     got = raw.agg(*loss).first()
     temperature = TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda k: got[f"t{k}"])]
     families = [k for k, c in enumerate(classes) if c not in (UNKNOWN, NONE)]
     scaled = F.transform("r", lambda v: v / temperature)
-    likely = raw.where(F.col("label") == classes.index(UNKNOWN)).select(F.exp(F.array_max(F.array(*[F.get(scaled, k) for k in families])) - _log_sum(scaled)).alias("p"))
-    shares = likely.agg(*[F.coalesce(F.avg((F.col("p") >= v).cast("double")), F.lit(0.0)).alias(f"v{k}") for k, v in enumerate(LEVELS)]).first()
-    level = next((v for k, v in enumerate(LEVELS) if shares[f"v{k}"] <= FALSE_SHARE), LEVELS[-1])
+    best = F.array_max(F.array(*[F.struct(F.get(scaled, k).alias("z"), F.lit(k).alias("k")) for k in families]))
+    tried = raw.select("label", best["k"].alias("k"), F.exp(best["z"] - _log_sum(scaled)).alias("p"))
+    over = lambda c, v: F.coalesce(F.avg(F.when(c, (F.col("p") >= v).cast("double"))), F.lit(0.0))
+    shares = tried.agg(*[over(F.col("label") == unknown, v).alias(f"v{k}") for k, v in enumerate(LEVELS)]).first()
+    chosen = next((k for k in range(len(LEVELS)) if shares[f"v{k}"] <= FALSE_SHARE), len(LEVELS) - 1)
+    of_family = ~F.col("label").isin(none, unknown)
+    right = tried.agg(F.avg(F.when(of_family, ((F.col("k") == F.col("label")) & (F.col("p") >= LEVELS[chosen])).cast("double")))).first()[0]
+    # Temperature and level stand; the weights are of all notices.
+    model, _, vocabulary = fitted(found, listed)
     matrix = model.coefficientMatrix.toArray()
-    return LicenceModel(classes, [float(b) for b in model.interceptVector], [(g, [float(v) for v in matrix[:, j]]) for j, g in enumerate(vocabulary)], temperature, level, templates)
+    weights = [(g, [float(v) for v in matrix[:, j]]) for j, g in enumerate(vocabulary)]
+    return LicenceModel(classes, [float(b) for b in model.interceptVector], weights, temperature, LEVELS[chosen], templates, right or 0.0, shares[f"v{chosen}"])
 
 
 def _log_sum(values: Column) -> Column:
@@ -280,7 +308,7 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", te
     confirmed). paragraph counts blocks between empty lines, line the lines of a block (BLOCK: the block as a whole).
     row is a hash of id and text, a null id is NO_ID."""
     spark = docs.sparkSession
-    units = paragraphs(_keyed(docs, id, text))
+    units = paragraphs(_keyed(docs, id, text).where(speaks("text")))
     weights = F.broadcast(spark.createDataFrame([(g, k, w) for k, (g, w) in enumerate(model.weights)], "g string, k int, w array<double>"))
     per = grams(units, UNIT).join(weights.select("g", "k"), "g").groupBy(*UNIT).agg(F.collect_set("k").alias("ks"))
     held = per.select(*UNIT, F.explode("ks").alias("k")).join(weights.select("k", "w"), "k")
@@ -302,8 +330,9 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", te
     wanted = likely.where(F.col("family") != UNKNOWN).select(*UNIT, "family")
     ids = stored(wanted.select("row").distinct(), "licence-rows")
     n = ids.count()
-    again = paragraphs(_keyed(docs, id, text).join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "row", "left_semi")).dropDuplicates(UNIT)
-    own = again.join(wanted.select(*UNIT), UNIT, "left_semi")
+    # The likely paragraphs once more, now with their texts; few, so they are stored.
+    again = paragraphs(_keyed(docs, id, text).join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "row", "left_semi"))
+    own = stored(again.join(wanted.select(*UNIT), UNIT, "left_semi").dropDuplicates(UNIT), "licence-texts")
     shares = _pairs(own, UNIT).join(sized, "g").groupBy(*UNIT, "of", "template").agg((F.count("*") / F.first("n")).alias("s"))
     fits = wanted.join(shares, UNIT).groupBy(*UNIT).agg(F.max(F.when(F.col("of") == F.col("family"), F.col("s"))).alias("similarity"), F.max("s").alias("nearest"))
     out = likely.join(fits, UNIT, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
@@ -320,14 +349,14 @@ def licence_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templa
     """One row per row of docs: doc_id, licence, families, n_paragraphs, paragraph, line, probability, similarity.
 
     Whole texts are read, by paragraphs (see scan_paragraphs). licence is the family of the confirmed paragraph of the
-    highest probability (ties: the first paragraph, then the first line); unknown where a paragraph speaks of a licence
+    highest probability (ties: the first paragraph, a line before the whole block, the first line); unknown where a paragraph speaks of a licence
     that no template confirms; none otherwise, null and empty texts included. families are all confirmed ones, sorted;
     n_paragraphs counts blocks with a confirmed family, once for each of its families; paragraph, line, probability and
     similarity are of the paragraph that decides, null for none. Ids may be null or repeat: rows count by id and text.
     Other columns aren't read. An empty table gives no rows.
     """
     found = scan_paragraphs(docs, fit_licences(docs, text, templates), id, text)
-    first = F.max(F.struct("confirmed", "probability", (-F.col("paragraph")).alias("p"), (-F.col("line")).alias("l"), "family", "similarity")).alias("b")
+    first = F.max(F.struct("confirmed", "probability", (-F.col("paragraph")).alias("p"), (F.col("line") != BLOCK).alias("a_line"), (-F.col("line")).alias("l"), "family", "similarity")).alias("b")
     sure = F.when(F.col("confirmed"), F.col("family"))
     per = found.groupBy("doc_id", "row").agg(first, F.array_sort(F.collect_set(sure)).alias("families"), F.countDistinct("paragraph", sure).alias("n_paragraphs"))
     per = stored(per, "licence-found")
