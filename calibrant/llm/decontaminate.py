@@ -57,7 +57,9 @@ def prefixes(wins: DataFrame) -> DataFrame:
     words, or the whole of a window of fewer."""
     hashed = wins.select("win", "n", F.least("n", F.lit(SHINGLE)).alias("size"), F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
     sizes = [r[0] for r in hashed.select("size").distinct().collect()]
-    common = hashed.select("win", F.explode(F.array_distinct("h")).alias("word")).groupBy("word").agg(F.count("*").alias("of_word"))
+    common = stored(hashed.select("win", F.explode(F.array_distinct("h")).alias("word")).groupBy("word").agg(F.count("*").alias("of_word")), "decon-words")
+    n_words = common.count()
+    common = F.broadcast(common) if n_words <= BROADCAST_IDS // 4 else common  # 8 MB: two numbers a word
     parts = []
     for s in sizes:
         own = hashed.where(F.col("size") == s).select("win", "n", "size", F.posexplode(_hashes("h", "n", s)).alias("offset", "token"), "h")
@@ -79,7 +81,8 @@ def _stretches(texts: DataFrame, keys: list[str], length: int) -> DataFrame:
     n = F.size("ws")
     starts = F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int"))
     cut = F.transform(starts, lambda k: F.concat_ws(" ", F.transform(F.sequence(k * STRETCH, F.least(k * STRETCH + (STRETCH + length), n) - 1), lambda i: F.get("ws", i))))
-    return ws.where(n > 0).select(*keys, F.posexplode(cut).alias("stretch", "part"))
+    # Not a filter: it would be carried below the join that leaves few texts.
+    return ws.select(*keys, F.posexplode(F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))).alias("stretch", "part"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = 13, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: int = 20) -> DataFrame:
