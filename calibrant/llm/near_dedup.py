@@ -6,7 +6,8 @@ more, the sketches share at least min_overlap values (but for a chance of under
 MISS a pair), so it is enough to keep inverted lists of each sketch's
 size - min_overlap + 1 rarest values: what is common to many documents, such as
 a passage, leaves the lists. A first round links every list's members with two
-of them, one drawn by chance and the one that is in most company; a second one
+of them, one drawn by chance, the same in many lists, and the one that is in most
+company; a second one
 takes the pairs of a list that are still in different components, unless too
 much of a member's full set is its own alone to be shared with anyone. Pairs
 pass bounds on sizes, the estimate of the union sketch and the exact Jaccard
@@ -30,7 +31,9 @@ from calibrant.llm.common import BROADCAST_IDS, arrow_map, dropped, stored, with
 from calibrant.llm.components import components
 
 K = 64
-MISS = 1e-15
+MISS = 1e-9
+#: A list's drawn head is one of so many draws, which lists share: near copies have many lists in common, and meet the same heads there.
+DRAWS = 4
 #: Buckets of the bound on what two full sets can share.
 BUCKETS = 64
 #: Odd factors that tell a shingle's places apart; powers of one odd number.
@@ -162,7 +165,7 @@ def near_components(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     popular = company.groupBy("node").agg(F.sum("members").alias("company"))
     company = stored(company.join(popular, "node"), "near-company")
     member = lambda *by: F.min(F.struct(*by, F.col("node").alias("head"), F.col("n").alias("head_n")))
-    heads = company.groupBy("value").agg(F.array(member(F.xxhash64("node", "value").alias("by")), member((-F.col("company")).alias("by"))).alias("heads"))
+    heads = company.groupBy("value").agg(F.array(member(F.xxhash64("node", F.pmod("value", F.lit(DRAWS))).alias("by")), member((-F.col("company")).alias("by"))).alias("heads"))
     first = company.join(heads.select("value", F.explode("heads").alias("h")), "value").select("node", "n", "h.head", "h.head_n").where((F.col("node") != F.col("head")) & _close(F.col("n"), F.col("head_n"), percent))
     pairs = stored(first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "near-pairs")
     links = _verified(pairs, reps, rows, words, k, percent)
