@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from calibrant.llm import token_counts as tc
 from calibrant.llm.bpe import encode_bpe
+from calibrant.llm.change_applier import apply_changes
 from calibrant.llm.common import BROADCAST_IDS, learning_rows, shared_path, stored, table
 from calibrant.llm.decontaminate import contamination
 from calibrant.llm.exact_dedup import exact_dedup
+from calibrant.llm.fill_middle import fill_in_middle
 from calibrant.llm.licences import licence_scan
 from calibrant.llm.near_dedup import near_components
 from calibrant.llm.quality import quality
+from calibrant.llm.secrets import secret_scan
 from calibrant.llm.sharding import kd_shards
 from calibrant.llm.toxicity import toxicity
 from calibrant.llm.warc import read_warc, write_warc
@@ -96,6 +99,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of clients, applied in order of their numbers by ten starts of a stateful stream."""
+    changes = table(spark, sf_dir, "client_changes")
+    h = F.crc32(F.coalesce(F.col("change_id").cast("string"), F.lit("")).cast("binary"))
+    day = F.datediff(F.to_date("valid_at"), F.lit("1970-01-01").cast("date")) + 5 * (h % 4)
+    batch = F.least(F.lit(10), 1 + F.floor((day - 19723) * 10 / 160))
+    got = apply_changes(changes, day, batch, F.col("valid_at").isNotNull() & (h % 11 != 0), 10)
+    cents = F.floor(100 * F.col("balance") + 0.5).cast("bigint")
+    return got.select("change_id", "client_id", "status", "batch", "missed", "city", cents.alias("cents"), "current")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document by patterns and by novelty; the dictionary is of the documents' own words."""
+    found = secret_scan(table(spark, sf_dir, "documents"), outputs=("n_assign", "n_access", "n_hex", "base_sha256", "spans_text", "n_novel"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("spans_text").alias("spans"), "n_novel")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and its text rebuilt from that."""
+    outputs = ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+    return fill_in_middle(table(spark, sf_dir, "documents"), outputs=outputs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -107,11 +133,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_changes": op11_changes,
+    "op12_secrets": op12_secrets,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM documents),
+        h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || hx[1:8] AS BIGINT) AS h1, CAST('0x' || hx[9:16] AS BIGINT) AS h2,
+                     CAST('0x' || hx[17:24] AS BIGINT) AS h3, CAST('0x' || hx[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {ASCII_LOWER.format("text")} AS t FROM documents)
         SELECT doc_id,
