@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from calibrant.llm.common import shared_path, stored
@@ -24,8 +25,6 @@ from calibrant.llm.common import shared_path, stored
 #: Numbers of a client that one bucket holds at most; rows a bucket, and the least number of buckets.
 SEGMENT, BUCKET_ROWS, LEAST_BUCKETS = 1_024, 50_000, 48
 NEVER, FOREVER = -(1 << 62), 1 << 62
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: What the stream reads. kind: row, tick (one a bucket and batch) or pointer (one a segment of a long client). upto is the
 #: largest day of earlier batches, then that with this batch's; reach and start are a long client's pointer at the end of
@@ -43,7 +42,7 @@ class Held:
     """A segment's pointer, what it holds by number, (day, id, payload), and the wheel's slot that it is in."""
 
     next: int
-    rows: dict[int, tuple[int, str | None, str]]
+    rows: dict[int, tuple[int, str | None, str]] = field(default_factory=dict)
     slot: int = NEVER
 
     def earliest(self) -> int:
@@ -56,115 +55,105 @@ class Held:
         return n - 1
 
 
-class Wheel(StatefulProcessor):
-    """A bucket's state: segments by name, and the wheel, from expiry day to the names of segments.
-
-    A name stays in a slot that it has left; whoever visits the slot finds nothing due and passes on. A bucket's rows of
-    a batch come in one call. Memory: a bucket's rows of a batch, and one segment at a time."""
-
-    def __init__(self, lateness: int, segment: int):
-        self.lateness, self.segment = lateness, segment
+@dataclass
+class Bucket:
+    """A bucket's state: its segments, and the wheel, from expiry day to the segments whose earliest row expires then.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "name string", "value binary")
-        self.wheel = handle.getMapState("wheel", "slot bigint", "names binary")
+    A segment stays in a slot that it has left; whoever visits the slot finds nothing due and passes on. Memory: the
+    bucket's state and its rows of a batch; how many buckets there are follows the number of rows."""
 
-    def close(self) -> None:
-        pass
+    lateness: int
+    size: int
+    held: dict[tuple[str, int], Held] = field(default_factory=dict)
+    wheel: dict[int, set[tuple[str, int]]] = field(default_factory=dict)
 
-    def _segment(self, client: str, seg: int) -> Held:
-        got = self.held.getValue((f"{seg}{client}",))
-        return Held(*pickle.loads(got[0])) if got else Held(seg * self.segment + 1, {})
+    def segment(self, name: tuple[str, int]) -> Held:
+        if name not in self.held:
+            self.held[name] = Held(name[1] * self.size + 1)
+        return self.held[name]
 
-    def _keep(self, client: str, seg: int, own: Held, slots: dict[int, set]) -> None:
-        """Store the segment, in the slot of its earliest day."""
+    def schedule(self, name: tuple[str, int]) -> None:
+        """Put the segment into the slot of its earliest day."""
+        own = self.held[name]
         slot = own.earliest() + self.lateness if own.rows else NEVER
         if slot not in (NEVER, own.slot):
-            slots.setdefault(slot, set()).add((client, seg))
+            self.wheel.setdefault(slot, set()).add(name)
         own.slot = slot
-        self.held.updateValue((f"{seg}{client}",), (pickle.dumps((own.next, own.rows, own.slot)),))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        made: list[tuple] = []
-        pointers, arrived, tick = [], [], None
-
-        def told(client: str, seg: int, split: bool, n: int, id: str | None, payload: str | None, status: str, batch: int) -> None:
-            made.append(("row", client, seg, split, n, id, payload, status, batch, 0, 0, 0))
-
-        for part in rows:
-            for r in part[_FEED].itertuples(index=False):
-                if r.kind == "tick":
-                    tick = (int(r.batch), int(r.upto), int(r.then))
-                elif r.kind == "pointer":
-                    pointers.append((r.client, int(r.seg), int(r.reach), int(r.start)))
-                elif r.again:
-                    told(r.client, r.seg, r.split, r.n, r.id, None, "rejected", r.batch)
-                else:
-                    arrived.append((r.client, int(r.seg), bool(r.split), int(r.day), int(r.at), r.id, int(r.n), r.payload))
-            if len(made) >= 10_000:
-                yield pd.DataFrame(made, columns=_EVENT)
-                made = []
-        if tick is None:
-            raise ValueError(f"bucket {key[0]}: rows without a tick")
-        batch, upto, then = tick
-        slots: dict[int, set] = {}
-
-        def applied(client: str, seg: int, own: Held, split: bool, until: int, batch: int) -> None:
-            """Apply what is held below until, in order."""
-            for n in sorted(n for n in own.rows if n < until):
-                _, id, payload = own.rows.pop(n)
-                told(client, seg, split, n, id, payload, "applied", batch)
-            own.next = max(own.next, until)
-
-        due = sorted(slot for (slot,) in self.wheel.keys() if slot <= upto)
-        for slot in due:
-            for client, seg in sorted(pickle.loads(self.wheel.getValue((slot,))[0])):
-                own = self._segment(client, seg)
-                before = own.next
+    def apply(self, name: tuple[str, int], split: bool, until: int, batch: int) -> Iterator[tuple]:
+        """Apply what the segment holds below until, in order, and move its pointer there."""
+        own = self.held[name]
+        for n in sorted(n for n in own.rows if n < until):
+            _, id, payload = own.rows.pop(n)
+            yield "row", *name, split, n, id, payload, "applied", batch, 0, 0, 0
+        own.next = max(own.next, until)
+
+    def tick(self, batch: int, upto: int) -> Iterator[tuple]:
+        """Visit the slots that are due: jump their segments for as long as these hold a due row."""
+        for slot in sorted(slot for slot in self.wheel if slot <= upto):
+            for name in sorted(self.wheel.pop(slot)):
+                own = self.held[name]
                 while own.rows and own.earliest() + self.lateness <= upto:
-                    applied(client, seg, own, False, own.run_from(min(own.rows)) + 1, batch)
-                if own.next != before:
-                    self._keep(client, seg, own, slots)
-            self.wheel.removeKey((slot,))
-
-        long: dict[tuple[str, int], Held] = {}
-        for client, seg, reach, start in pointers:
-            own = long[client, seg] = self._segment(client, seg)
-            applied(client, seg, own, True, reach, batch - 1)
-            applied(client, seg, own, True, start, batch)
-
-        arrived.sort(key=lambda x: (x[0], x[1], x[3], x[4], x[7]))
-        k = 0
-        while k < len(arrived):
-            client, seg, split = arrived[k][:3]
-            own = long[client, seg] if split else self._segment(client, seg)
-            while k < len(arrived) and arrived[k][:2] == (client, seg):
-                _, _, _, day, _, id, n, payload = arrived[k]
-                if n < own.next or n in own.rows:
-                    told(client, seg, split, n, id, None, "rejected", batch)
-                else:
-                    own.rows[n] = (day, id, payload)
-                    if n == own.next and not split:
-                        applied(client, seg, own, False, own.run_from(n) + 1, batch)
-                k += 1
+                    yield from self.apply(name, False, own.run_from(min(own.rows)) + 1, batch)
+                self.schedule(name)
+
+    def take(self, name: tuple[str, int], split: bool, n: int, day: int, id: str | None, payload: str, batch: int) -> Iterator[tuple]:
+        """Hold or reject a row; a short client's pointer moves on at once."""
+        own = self.segment(name)
+        if n < own.next or n in own.rows:
+            yield "row", *name, split, n, id, None, "rejected", batch, 0, 0, 0
+            return
+        own.rows[n] = (day, id, payload)
+        if n == own.next and not split:
+            yield from self.apply(name, False, own.run_from(n) + 1, batch)
+
+    def report(self, name: tuple[str, int], batch: int, then: int) -> tuple:
+        own, last = self.held[name], (name[1] + 1) * self.size
+        run = own.run_from(own.next) if own.next <= last else last
+        due = max((n for n, (day, _, _) in own.rows.items() if day + self.lateness <= then), default=0)
+        return "report", *name, True, 0, None, None, None, batch, run, due, own.run_from(due) if due else 0
+
+    def turn(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """A batch's events of this bucket."""
+        pointers, arrived, batch, upto, then = [], [], 0, NEVER, NEVER
+        for part in rows:
+            for r in zip(*[part[c].tolist() for c in _FEED]):
+                r = dict(zip(_FEED, r))
+                name = (r["client"], r["seg"])
+                batch, upto, then = r["batch"], r["upto"], r["then"]  # the same in all rows of a batch
+                if r["kind"] == "pointer":
+                    pointers.append((name, r["reach"], r["start"]))
+                elif r["kind"] == "row" and r["again"]:
+                    yield "row", *name, r["split"], r["n"], r["id"], None, "rejected", batch, 0, 0, 0
+                elif r["kind"] == "row":
+                    arrived.append((name, r["day"], r["at"], r["payload"], r["id"], r["n"], r["split"]))
+        yield from self.tick(batch, upto)
+        for name, reach, start in pointers:
+            self.segment(name)
+            yield from self.apply(name, True, reach, batch - 1)
+            yield from self.apply(name, True, start, batch)
+        touched = set()
+        for name, day, _, payload, id, n, split in sorted(arrived, key=lambda x: x[:4]):
+            yield from self.take(name, split, n, day, id, payload, batch)
             if not split:
-                self._keep(client, seg, own, slots)
-            if len(made) >= 10_000:
-                yield pd.DataFrame(made, columns=_EVENT)
-                made = []
-
-        for (client, seg), own in long.items():
-            self.held.updateValue((f"{seg}{client}",), (pickle.dumps((own.next, own.rows, NEVER)),))
-            first, last = seg * self.segment + 1, (seg + 1) * self.segment
-            run = own.run_from(max(own.next, first)) if own.next <= last else last
-            late = max((n for n, (day, _, _) in own.rows.items() if day + self.lateness <= then), default=0)
-            made.append(("report", client, seg, True, 0, None, None, None, batch, run, late, own.run_from(late) if late else 0))
-
-        for slot, names in slots.items():
-            there = self.wheel.getValue((slot,))
-            self.wheel.updateValue((slot,), (pickle.dumps(names | (pickle.loads(there[0]) if there else set())),))
-        if made:
+                touched.add(name)
+        for name in touched:
+            self.schedule(name)
+        for name, _, _ in pointers:
+            yield self.report(name, batch, then)
+
+
+def _turned(lateness: int, size: int):
+    """The state function of applyInPandasWithState: a bucket's state is kept as two columns."""
+
+    def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(lateness, size, *map(pickle.loads, state.get)) if state.exists else Bucket(lateness, size)
+        events = bucket.turn(rows)
+        while made := list(islice(events, 20_000)):
             yield pd.DataFrame(made, columns=_EVENT)
+        state.update((pickle.dumps(bucket.held), pickle.dumps(bucket.wheel)))
+
+    return update
 
 
 def numbered(rows: DataFrame, client: str, seq: str) -> DataFrame:
@@ -211,18 +200,10 @@ def _pointers(reports: DataFrame, before: DataFrame | None) -> DataFrame:
 
 def _streamed(spark: SparkSession, base: str, lateness: int, segment: int) -> None:
     """One start of the query: it takes the files that are new, in one micro-batch, and ends."""
-    kept = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", (1 << 31) - 1).parquet(f"{base}/in")
-        events = feed.groupBy("bucket").transformWithStateInPandas(Wheel(lateness, segment), EVENTS, "Append", "None")
-        query = events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        if kept is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, kept)
+    feed = spark.readStream.schema(FEED).option("maxFilesPerTrigger", (1 << 31) - 1).parquet(f"{base}/in")
+    events = feed.groupBy("bucket").applyInPandasWithState(_turned(lateness, segment), EVENTS, "held binary, wheel binary", "append", GroupStateTimeout.NoTimeout)
+    query = events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def apply_changes(
