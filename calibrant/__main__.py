@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from calibrant.plans import evaluate as ev
 from calibrant.sources import datasets as dt
 from calibrant.sources import store
 
+KEYS = ("task", "model", "series")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="calibrant")
@@ -71,14 +74,13 @@ def cp_eval(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
                 config = ev.EvalConfig(alpha=alpha, score=score, methods=tuple(marginal), asymmetric=o.asymmetric, window=o.window, cal_windows=cal, min_cal_windows=o.min_cal_windows)
                 mode = "cv" if o.cross_sectional_cv else "single-step" if o.single_step else "marginal"
                 if o.cross_sectional_cv:
-                    rows = ev.fold_average(ev.run_folds(panel, config, o.cross_sectional_cv, strategy=o.covariate_strategy))
+                    rows = ev.fold_average(ev.run_folds(panel, config, o.cross_sectional_cv, strategy=o.covariate_strategy, keys=KEYS), ("task", "model", "method"))
                 elif o.single_step:
-                    rows = ev.run_single_step(panel, config, panel.agg(F.max("h") + 1).first()[0], o.online)
+                    rows = ev.run_single_step(panel, config, online=o.online, keys=KEYS)
                 else:
-                    rows = (ev.run_timed if o.runtime else ev.run)(panel, config, ("task", "model", "series"))
+                    rows = (ev.run_timed if o.runtime else ev.run)(panel, config, KEYS)
                 if joint:
-                    n = panel.where("split = 'cal'").agg(F.countDistinct("w")).first()[0]
-                    rows = rp.union_padded([rows, ev.run_joint(panel, ev.EvalConfig(alpha=alpha, methods=tuple(joint)), n)])
+                    rows = rp.union_padded([rows, ev.run_joint(panel, replace(config, score="abs", asymmetric=False, methods=tuple(joint)), KEYS)])
                 rows = rp.tidy(rows, {"alpha": alpha, "score": score, "cal_windows": cal, "mode": mode})
                 store.write_csv(rows, o.results, store.result_name("cp_summary", alpha, score, cal, mode, o.asymmetric, o.online))
                 parts.append(rows)

@@ -17,16 +17,16 @@ from pyspark.sql.window import Window
 from calibrant.functions.stats import INF, conformal_quantile, weighted_quantile
 
 
-def split_cp(rows: DataFrame, keys: list[str], alpha: float, s: str = "s", out: str = "thr", correction: bool = True) -> DataFrame:
+def split_cp(rows: DataFrame, keys: list[str], alpha: float | Column, s: str = "s", out: str = "thr", correction: bool = True) -> DataFrame:
     """One threshold per key from its calibration rows; none gives infinity. A window over the key, so that test and
     calibration rows share the shuffle."""
     cal = F.array_sort(F.collect_list(F.when(F.col("split") == "cal", F.col(s))).over(Window.partitionBy(*keys)))
     return rows.withColumn(out, conformal_quantile(cal, alpha, correction)).where("split = 'test'")
 
 
-def cfrnn(rows: DataFrame, keys: list[str], alpha: float, horizon: int, s: str = "s", out: str = "thr") -> DataFrame:
-    """split_cp at alpha / horizon."""
-    return split_cp(rows, keys, alpha / horizon, s, out)
+def cfrnn(rows: DataFrame, keys: list[str], alpha: float, horizon: int | Column, s: str = "s", out: str = "thr") -> DataFrame:
+    """split_cp at alpha / horizon, which may be a column."""
+    return split_cp(rows, keys, F.lit(float(alpha)) / horizon, s, out)
 
 
 def with_past(rows: DataFrame, keys: list[str], order: str, s: str, size: int | None, out: str = "buf") -> DataFrame:

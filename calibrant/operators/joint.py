@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import floor
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,29 +16,39 @@ def residuals(panel: DataFrame) -> DataFrame:
     return panel.withColumn("r", F.abs(F.col("y") - F.col("yhat")))
 
 
-def joint_cfrnn(panel: DataFrame, alpha: float, horizon: int) -> DataFrame:
-    """(h, radius): each step's conformal quantile at alpha / horizon, over series and windows."""
+def beside(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of few, a row a group (of no groups: a single row)."""
+    return rows.join(F.broadcast(few), by) if by else rows.crossJoin(F.broadcast(few))
+
+
+def joint_cfrnn(panel: DataFrame, alpha: float, horizon: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, h, radius): each step's conformal quantile at alpha / horizon (None: a group's own steps), over series and windows."""
+    by = [*by]
     cal = residuals(panel.where("split = 'cal'"))
-    return order_statistics(cal, ["h"], "r", {"radius": lambda n: conformal_rank(n, alpha / horizon)}).drop("n")
+    if horizon is not None:
+        return order_statistics(cal, [*by, "h"], "r", {"radius": lambda n: conformal_rank(n, alpha / horizon)}).drop("n")
+    cal = beside(cal, panel.groupBy(*by).agg((F.max("h") + 1).alias("__horizon")), by)
+    return order_statistics(cal, [*by, "h", "__horizon"], "r", {"radius": lambda n: conformal_rank(n, F.lit(float(alpha)) / F.col("__horizon"))}).drop("n", "__horizon")
 
 
-def norm_max(panel: DataFrame, alpha: float, normalise: bool = True, sigma: DataFrame | None = None) -> DataFrame:
-    """(h, radius): steps are divided by their mean absolute error (under 1e-8: 1), or by sigma (h, sigma) where it is
-    given; the conformal quantile of a trajectory's largest share, times the step's error. The quantile is a single row,
+def norm_max(panel: DataFrame, alpha: float, normalise: bool = True, sigma: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, h, radius): steps are divided by their mean absolute error (under 1e-8: 1), or by sigma (by, h, sigma) where it is
+    given; the conformal quantile of a trajectory's largest share, times the step's error. The quantile is a row a group,
     and sigma a row per step, so they are joined by broadcast."""
+    by = [*by]
     cal = residuals(panel.where("split = 'cal'"))
     if sigma is None:
         mae = F.avg("r") if normalise else F.lit(1.0)
-        sigma = cal.groupBy("h").agg(F.when(mae >= 1e-8, mae).otherwise(1.0).alias("sigma"))
-    top = cal.join(F.broadcast(sigma), "h").groupBy("series", "w").agg(F.max(F.col("r") / F.col("sigma")).alias("m"))
-    c = order_statistics(top, [], "m", {"c": lambda n: conformal_rank(n, alpha)})
-    return sigma.crossJoin(F.broadcast(c)).select("h", (F.col("sigma") * F.col("c")).alias("radius"))
+        sigma = cal.groupBy(*by, "h").agg(F.when(mae >= 1e-8, mae).otherwise(1.0).alias("sigma"))
+    top = cal.join(F.broadcast(sigma), [*by, "h"]).groupBy(*by, "series", "w").agg(F.max(F.col("r") / F.col("sigma")).alias("m"))
+    c = order_statistics(top, by, "m", {"c": lambda n: conformal_rank(n, alpha)})
+    return beside(sigma, c, by).select(*by, "h", (F.col("sigma") * F.col("c")).alias("radius"))
 
 
-def trajectories(panel: DataFrame) -> DataFrame:
-    """(series, w, split, r): a row per trajectory, r by step."""
+def trajectories(panel: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, series, w, split, r): a row per trajectory, r by step."""
     steps = F.array_sort(F.collect_list(F.struct("h", "r")))
-    return residuals(panel).groupBy("series", "w", "split").agg(F.transform(steps, lambda x: x["r"]).alias("r"))
+    return residuals(panel).groupBy(*by, "series", "w", "split").agg(F.transform(steps, lambda x: x["r"]).alias("r"))
 
 
 def aci_path(r: Column, gamma: Column, alpha: float, q0: float) -> Column:
@@ -69,62 +77,67 @@ def pid_path(r: Column, gamma: Column, alpha: float, q0: float) -> Column:
     return F.aggregate(r, start, step, lambda acc: acc["qs"])
 
 
-def cafht(panel: DataFrame, alpha: float, cal_windows: int, path=aci_path, gammas: tuple[float, ...] = GAMMAS, cal_split: float = 0.5, q0: float = 0.1) -> DataFrame:
-    """(series, w, radii) of the test trajectories, with gamma and eps.
+def cafht(panel: DataFrame, alpha: float, cal_windows: int | None = None, path=aci_path, gammas: tuple[float, ...] = GAMMAS, cal_split: float = 0.5, q0: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, series, w, radii) of the test trajectories, with gamma and eps.
 
-    The first half of the calibration windows chooses gamma (least mean band), the others eps (the conformal quantile
-    of the largest relative violation); radii are (1 + eps) times the trajectory's own path of thresholds. Choices
-    are rows of the size of the gamma grid.
+    The first half of the calibration windows (cal_windows; None: those that a group has) chooses gamma (least mean band),
+    the others eps (the conformal quantile of the largest relative violation); radii are (1 + eps) times the trajectory's
+    own path of thresholds. Choices are rows of the size of the gamma grid, for each group.
     """
-    paths = trajectories(panel.where("split != 'skip'"))
-    first = max(1, min(floor(cal_split * cal_windows), cal_windows - 1))
+    by = [*by]
+    paths = trajectories(panel.where("split != 'skip'"), tuple(by))
+    own = F.col("__windows")
+    paths = beside(paths, panel.where("split = 'cal'").groupBy(*by).agg(F.countDistinct("w").alias("__windows")), by) if cal_windows is None else paths.withColumn("__windows", F.lit(cal_windows))
+    first = F.greatest(F.lit(1), F.least(F.floor(F.lit(float(cal_split)) * own), own - 1))
     grid = panel.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double")
     violation = F.array_max(F.zip_with("r", "qs", lambda r, q: F.greatest(r - q, F.lit(0.0)) / F.greatest(q, F.lit(1e-8))))
     stage1 = paths.where((F.col("split") == "cal") & (F.col("w") < first)).crossJoin(F.broadcast(grid)).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
-    stage1 = stage1.select("gamma", violation.alias("v"), (F.aggregate("qs", F.lit(0.0), lambda s, q: s + q) / F.size("qs")).alias("q"))
-    tried = order_statistics(stage1, ["gamma"], "v", {"c": lambda n: conformal_rank(n, alpha)}).join(stage1.groupBy("gamma").agg(F.avg("q").alias("mean_q")), "gamma")
-    band = tried.select("gamma", ((1 + F.col("c")) * 2 * F.col("mean_q")).alias("band"))
-    best = band.agg(F.min_by("gamma", F.struct(F.round("band", 9), "gamma")).alias("gamma"))
-    stage2 = paths.where((F.col("split") == "cal") & (F.col("w") >= first)).crossJoin(F.broadcast(best)).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
-    eps = order_statistics(stage2.select("gamma", violation.alias("v")), ["gamma"], "v", {"eps": lambda n: conformal_rank(n, alpha)}).drop("n")
-    test = paths.where("split = 'test'").crossJoin(F.broadcast(eps)).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
-    return test.select("series", "w", "gamma", "eps", F.transform("qs", lambda q: (1 + F.col("eps")) * q).alias("radii"))
-
-
-def copula_bisection(panel: DataFrame, alpha: float, cal_split: float = 0.6) -> DataFrame:
-    """(h, radius): one probability for all steps, the level at which the empirical copula reaches 1 - alpha; radii
+    stage1 = stage1.select(*by, "gamma", violation.alias("v"), (F.aggregate("qs", F.lit(0.0), lambda s, q: s + q) / F.size("qs")).alias("q"))
+    tried = order_statistics(stage1, [*by, "gamma"], "v", {"c": lambda n: conformal_rank(n, alpha)}).join(stage1.groupBy(*by, "gamma").agg(F.avg("q").alias("mean_q")), [*by, "gamma"])
+    band = tried.select(*by, "gamma", ((1 + F.col("c")) * 2 * F.col("mean_q")).alias("band"))
+    best = band.groupBy(*by).agg(F.min_by("gamma", F.struct(F.round("band", 9), "gamma")).alias("gamma"))
+    stage2 = beside(paths.where((F.col("split") == "cal") & (F.col("w") >= first)), best, by).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
+    eps = order_statistics(stage2.select(*by, "gamma", violation.alias("v")), [*by, "gamma"], "v", {"eps": lambda n: conformal_rank(n, alpha)}).drop("n")
+    test = beside(paths.where("split = 'test'"), eps, by).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
+    return test.select(*by, "series", "w", "gamma", "eps", F.transform("qs", lambda q: (1 + F.col("eps")) * q).alias("radii"))
+
+
+def copula_bisection(panel: DataFrame, alpha: float, cal_split: float = 0.6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, h, radius): one probability for all steps, the level at which the empirical copula reaches 1 - alpha; radii
     are that linear quantile of each step's errors.
 
     The first trajectories, in order of window and series, give the errors' distributions, the others the copula.
     The bisection's limit is the order statistic of each trajectory's largest rank at ceil(n (1 - alpha)).
     """
+    by = [*by]
     cal = residuals(panel.where("split = 'cal'"))
-    windows = cal.groupBy("w").agg(F.countDistinct("series").alias("n"))  # a row a window
-    windows = windows.withColumn("before", F.sum("n").over(Window.orderBy("w")) - F.col("n")).withColumn("first", F.floor(F.lit(cal_split) * F.sum("n").over(Window.partitionBy())))
-    inside = F.dense_rank().over(Window.partitionBy("w").orderBy("series"))
-    placed = cal.join(F.broadcast(windows), "w").withColumn("base", F.col("before") + inside <= F.col("first"))
+    windows = cal.groupBy(*by, "w").agg(F.countDistinct("series").alias("n"))  # a row a window
+    of_group = Window.partitionBy(*by)
+    windows = windows.withColumn("before", F.sum("n").over(of_group.orderBy("w")) - F.col("n")).withColumn("first", F.floor(F.lit(cal_split) * F.sum("n").over(of_group)))
+    inside = F.dense_rank().over(Window.partitionBy(*by, "w").orderBy("series"))
+    placed = cal.join(F.broadcast(windows), [*by, "w"]).withColumn("base", F.col("before") + inside <= F.col("first"))
     errors = placed.where("base")
     # The share of a step's errors that a trajectory's own reaches: running counts in one sort of each step.
-    of_step = Window.partitionBy("h")
+    of_step = Window.partitionBy(*by, "h")
     ranked = placed.withColumn("below", F.sum(F.col("base").cast("int")).over(of_step.orderBy("r").rangeBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum(F.col("base").cast("int")).over(of_step))
-    ranks = ranked.where("NOT base").groupBy("series", "w").agg(F.max(F.col("below") / F.col("all")).alias("u"))
-    theta = order_statistics(ranks, [], "u", {"theta": lambda n: F.ceil(n * F.lit(1 - alpha))}).select(F.least("theta", F.lit(1.0)).alias("theta"))
+    ranks = ranked.where("NOT base").groupBy(*by, "series", "w").agg(F.max(F.col("below") / F.col("all")).alias("u"))
+    theta = order_statistics(ranks, by, "u", {"theta": lambda n: F.ceil(n * F.lit(1 - alpha))}).select(*by, F.least("theta", F.lit(1.0)).alias("theta"))
     # Linear interpolation between the two order statistics around theta.
-    at = errors.groupBy("h").agg(F.count("r").alias("n")).crossJoin(F.broadcast(theta)).select("h", (F.col("theta") * (F.col("n") - 1)).alias("at"))
-    own = errors.join(F.broadcast(at), "h")
+    at = beside(errors.groupBy(*by, "h").agg(F.count("r").alias("n")), theta, by).select(*by, "h", (F.col("theta") * (F.col("n") - 1)).alias("at"))
+    own = errors.join(F.broadcast(at), [*by, "h"])
     low = F.floor("at")
     run = own.withColumn("place", F.row_number().over(of_step.orderBy("r")) - 1).where((F.col("place") == low) | (F.col("place") == low + 1))
-    both = run.groupBy("h", "at").agg(F.max(F.when(F.col("place") == low, F.col("r"))).alias("a"), F.max(F.when(F.col("place") == low + 1, F.col("r"))).alias("b"))
-    return both.select("h", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("at") - low)).alias("radius"))
+    both = run.groupBy(*by, "h", "at").agg(F.max(F.when(F.col("place") == low, F.col("r"))).alias("a"), F.max(F.when(F.col("place") == low + 1, F.col("r"))).alias("b"))
+    return both.select(*by, "h", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("at") - low)).alias("radius"))
 
 
-def radii_of(paths: DataFrame) -> DataFrame:
-    """(series, w, h, radius) of trajectories with an array of radii."""
-    return paths.select("series", "w", F.posexplode("radii").alias("h", "radius"))
+def radii_of(paths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, series, w, h, radius) of trajectories with an array of radii."""
+    return paths.select(*by, "series", "w", F.posexplode("radii").alias("h", "radius"))
 
 
-def with_radii(panel: DataFrame, radii: DataFrame) -> DataFrame:
-    """Test rows with lo and hi; radii is a row per step, or per trajectory and step."""
-    keys = [c for c in ("series", "w", "h") if c in radii.columns]
-    test = panel.where("split = 'test'").join(F.broadcast(radii) if keys == ["h"] else radii, keys)
+def with_radii(panel: DataFrame, radii: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Test rows with lo and hi; radii is a row per step, or per trajectory and step (of each group)."""
+    keys = [c for c in (*by, "series", "w", "h") if c in radii.columns]
+    test = panel.where("split = 'test'").join(F.broadcast(radii) if keys == [*by, "h"] else radii, keys)
     return test.withColumn("lo", F.col("yhat") - F.col("radius")).withColumn("hi", F.col("yhat") + F.col("radius"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from calibrant.functions.stats import FIELDS
 from calibrant.operators import calibrate as cp
 from calibrant.operators import joint as jp
 from calibrant.operators import metrics as mt
+from calibrant.operators import ranks as rk
 from calibrant.operators import scales as sc
+from calibrant.operators import segments as sg
 from calibrant.plans import oracle as sql
 from calibrant.sources import panels as ps
 from calibrant.sources.shared import shared_path
@@ -123,7 +126,8 @@ def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cqr_rolling", _thr_sql(_frame(None), ALPHA, "cqr"))
 def cqr_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cp.trailing(user_scores(spark, sf_dir, "cqr"), KEYS, ALPHA, None, correction=True).select(*THR)
+    """The quantile of all scores before each step."""
+    return rk.past_quantiles(user_scores(spark, sf_dir, "cqr"), KEYS, ALPHA).select(*THR)
 
 
 def _weighted_sql(size: int, decay: float) -> str:
@@ -245,6 +249,7 @@ def single_step_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from calibrant.operators import folds as fd  # noqa: E402
 from calibrant.operators import reports as rp  # noqa: E402
+from calibrant.plans import cache as ch  # noqa: E402
 from calibrant.plans import evaluate as ev  # noqa: E402
 
 _IV = f"{sql.scored('user', 'abs')}, {sql.split_thr()}, {sql.bounded('abs')}, {sql.marked()}"
@@ -901,12 +906,12 @@ _NATIVE_IV = "SELECT 'Native' AS method, series, w, h, y, q10 AS lo, q90 AS hi F
     iv AS (SELECT method, series, w, h, y, yhat - radius AS lo, yhat + radius AS hi FROM panel JOIN rad USING (h) WHERE split = 'test'), {_METHOD_SUMMARY}
     SELECT method, round(coverage, 6) AS coverage, round(avg_width, 6) AS avg_width, round(winkler_score, 6) AS winkler_score, round(joint_coverage, 6) AS joint_coverage FROM su JOIN jc USING (method)""")
 def run_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("JointCFRNN", "NormMaxCP")), ps.USER["cal"])
+    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=("JointCFRNN", "NormMaxCP")))
 
 
 @register("run_joint_all")
 def run_joint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=tuple(ev.JOINT)), ps.USER["cal"])
+    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=tuple(ev.JOINT)))
 
 
 @register("joint_cv", f"""WITH {sql.scored("user", "abs")}, p AS (SELECT *, {_fold_sql(5)} AS fold FROM scored),
@@ -990,3 +995,129 @@ def _pid_tails_sql(score: str) -> str:
 def pid_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sc.scored(ps.user_panel(spark, sf_dir), "cqr", ALPHA, KEYS[:1], asymmetric=True)
     return cp.both_tails(cp.pid, rows, KEYS, ALPHA, size=20)
+
+
+# Several tasks and models at once, long keys, kept results -------------------------------------------------------
+
+
+def _two_models(panel: DataFrame) -> DataFrame:
+    """The panel's series in two tasks, each of two models: the mean forecast and the median one."""
+    task = F.when(F.col("series").cast("int") % 2 == 0, "even").otherwise("odd")
+    models = F.inline(F.array(F.struct(F.lit("mean").alias("model"), F.col("yhat").alias("p")), F.struct(F.lit("median").alias("model"), F.col("q.q50").alias("p"))))
+    return panel.select(task.alias("task"), "series", "w", "h", "y", "q", "split", models).withColumnRenamed("p", "yhat")
+
+
+_TWO = f"""{sql.panel("user")}, pm AS (SELECT CASE WHEN CAST(series AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS task, model, * REPLACE (CASE model WHEN 'mean' THEN yhat ELSE q50 END AS yhat) FROM panel, (VALUES ('mean'), ('median')) m(model)),
+    scored AS (SELECT *, abs(y - yhat) AS s FROM pm)"""
+_GROUPED = f"""{sql.marked()}, {sql.horizon_metrics(by="{by}")},
+    jc AS (SELECT {{by}}, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT {{by}}, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY ALL),
+    su AS (SELECT {{by}}, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY ALL)"""
+_KEYED = ("task", "model", "series")
+_MEANS = "round(coverage, 6) AS coverage, round(avg_width, 6) AS avg_width, round(winkler_score, 6) AS winkler_score, round(joint_coverage, 6) AS joint_coverage"
+_BY_NATIVE = f"""nv AS (SELECT task, model, avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
+    SELECT task, model, method, {_MEANS}, round(avg_width / CASE WHEN nw > 1e-8 THEN nw ELSE 1 END, 6) AS scaled_width, round(winkler_score / CASE WHEN nk > 1e-8 THEN nk ELSE 1 END, 6) AS scaled_winkler FROM su JOIN jc USING (task, model, method) JOIN nv USING (task, model)"""
+_ALONG = "OVER (PARTITION BY task, model, series ORDER BY w * 4 + h ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+
+
+@register("keyed_single_step", f"""WITH {_TWO}, fr AS (SELECT *, list_sort(list(s) {_ALONG}) AS xs FROM scored),
+    iv AS (SELECT 'Native' AS method, task, model, series, w, h, y, q10 AS lo, q90 AS hi FROM fr WHERE split = 'test'
+        UNION ALL SELECT 'TrailingWindow', task, model, series, w, h, y, yhat - {sql.quantile("xs", ALPHA, False)}, yhat + {sql.quantile("xs", ALPHA, False)} FROM fr WHERE split = 'test'),
+    {_GROUPED.replace("{by}", "task, model, method")}, {_BY_NATIVE}""")
+def keyed_single_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One state a series, in each task and model."""
+    return ev.run_single_step(_two_models(ps.user_panel(spark, sf_dir)), ev.EvalConfig(methods=("TrailingWindow",), window=20), keys=_KEYED)
+
+
+@register("keyed_joint", f"""WITH {_TWO}, cal AS (SELECT * FROM scored WHERE split = 'cal'), x AS (SELECT task, model, h, list_sort(list(s)) AS xs FROM cal GROUP BY ALL),
+    sg AS (SELECT task, model, h, CASE WHEN avg(s) >= 1e-8 THEN avg(s) ELSE 1 END AS sigma FROM cal GROUP BY ALL),
+    m AS (SELECT task, model, list_sort(list(m)) AS xs FROM (SELECT task, model, max(s / sigma) AS m FROM cal JOIN sg USING (task, model, h) GROUP BY task, model, series, w) GROUP BY ALL),
+    rad AS (SELECT 'JointCFRNN' AS method, task, model, h, {sql.quantile("xs", ALPHA / 4)} AS radius FROM x UNION ALL SELECT 'NormMaxCP', task, model, h, sigma * {sql.quantile("xs", ALPHA)} FROM sg JOIN m USING (task, model)),
+    iv AS (SELECT method, task, model, series, w, h, y, yhat - radius AS lo, yhat + radius AS hi FROM scored JOIN rad USING (task, model, h) WHERE split = 'test'),
+    {_GROUPED.replace("{by}", "task, model, method")} SELECT task, model, method, {_MEANS} FROM su JOIN jc USING (task, model, method)""")
+def keyed_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint methods, in each task and model."""
+    return ev.run_joint(_two_models(ps.user_panel(spark, sf_dir)), ev.EvalConfig(methods=("JointCFRNN", "NormMaxCP")), _KEYED)
+
+
+@register("keyed_folds", f"""WITH {_TWO}, p AS (SELECT *, {_fold_sql(5)} AS fold FROM scored),
+    t AS (SELECT task, model, g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT unnest(range(0, 5)) AS fold) g ON g.fold <> p.fold GROUP BY ALL),
+    iv AS (SELECT 'Native' AS method, task, model, fold, series, w, h, y, q10 AS lo, q90 AS hi FROM p
+        UNION ALL SELECT 'SplitCP', task, model, fold, series, w, h, y, yhat - {sql.quantile("xs", ALPHA)}, yhat + {sql.quantile("xs", ALPHA)} FROM p JOIN t USING (task, model, fold, h)
+        UNION ALL SELECT 'CFRNN', task, model, fold, series, w, h, y, yhat - {sql.quantile("xs", ALPHA / 4)}, yhat + {sql.quantile("xs", ALPHA / 4)} FROM p JOIN t USING (task, model, fold, h)),
+    {_GROUPED.replace("{by}", "task, model, fold, method")} SELECT task, model, fold, method, {_MEANS} FROM su JOIN jc USING (task, model, fold, method)""")
+def keyed_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validation over series, in each task and model."""
+    return ev.run_folds(_two_models(ps.user_panel(spark, sf_dir)), ev.EvalConfig(methods=("SplitCP", "CFRNN")), 5, keys=_KEYED)
+
+
+@register("keyed_joint_folds", f"""WITH {_TWO}, p AS (SELECT *, {_fold_sql(5)} AS fold FROM scored),
+    t AS (SELECT task, model, g.fold, h, list_sort(list(s)) AS xs FROM p JOIN (SELECT unnest(range(0, 5)) AS fold) g ON g.fold <> p.fold GROUP BY ALL),
+    iv AS (SELECT 'JointCFRNN' AS method, task, model, fold, series, w, h, y, yhat - {sql.quantile("xs", ALPHA / 4)} AS lo, yhat + {sql.quantile("xs", ALPHA / 4)} AS hi FROM p JOIN t USING (task, model, fold, h)),
+    {_GROUPED.replace("{by}", "task, model, fold, method")} SELECT task, model, fold, method, {_MEANS} FROM su JOIN jc USING (task, model, fold, method)""")
+def keyed_joint_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint methods across series, in each task and model."""
+    return ev.run_joint_folds(_two_models(ps.user_panel(spark, sf_dir)), 5, ALPHA, keys=_KEYED)
+
+
+_WALK = f"""{sql.scored("user", "abs")}, p AS (SELECT *, {_fold_sql(5)} AS own FROM scored),
+    x AS (SELECT p.* EXCLUDE (split), g.fold, CASE WHEN own = g.fold THEN 'test' ELSE 'cal' END AS split FROM p, (SELECT unnest(range(0, 5)) AS fold) g),
+    walk AS (SELECT *, row_number() OVER (PARTITION BY fold, h ORDER BY split, w, series) AS pos, count(*) FILTER (WHERE split = 'cal') OVER (PARTITION BY fold, h) + 1 AS first_pos FROM x)"""
+
+
+@register("fold_walk_aci", f"""WITH RECURSIVE {_WALK},
+    b AS (SELECT fold, h, series, w, s, pos, first_pos, list_sort(list(s) OVER (PARTITION BY fold, h ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS xs FROM walk),
+    r AS (SELECT b.*, 0.2::DOUBLE AS a, {sql.quantile("xs", ALPHA)} AS thr FROM b WHERE pos = first_pos
+        UNION ALL
+        SELECT *, {sql.quantile("xs", "a")} AS thr FROM (SELECT n.*, least(greatest(r.a + 0.05::DOUBLE * (0.2::DOUBLE - CASE WHEN r.s > r.thr THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0.0), 1.0) AS a FROM r JOIN b n ON r.fold = n.fold AND r.h = n.h AND n.pos = r.pos + 1))
+    SELECT fold, h, series, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t FROM r""")
+def fold_walk_aci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive thresholds along each fold's windows and series, in segments of 200 steps."""
+    rows = fd.fold_sequences(user_scores(spark, sf_dir), 5, 42, 20)
+    return sg.scan(rows, ["fold", "h"], sg.Adaptive(ALPHA, 20, 0.05), ["split", "w", "series"], segment=200).select("fold", "h", "series", "w", "thr", "alpha_t")
+
+
+@register("fold_walk_pid", f"""WITH RECURSIVE {_WALK},
+    cw AS (SELECT fold, h, list_sort(list(s)) AS xs FROM walk WHERE split = 'cal' GROUP BY ALL),
+    b AS (SELECT fold, h, series, w, s, pos, first_pos, max(s) OVER f - min(s) OVER f AS spread FROM walk WINDOW f AS (PARTITION BY fold, h ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    r AS (SELECT b.*, {sql.quantile("xs", ALPHA)} AS thr FROM b JOIN cw USING (fold, h) WHERE pos = first_pos
+        UNION ALL SELECT n.*, r.thr - 0.1::DOUBLE * r.spread * (0.2::DOUBLE - CASE WHEN r.s > r.thr THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM r JOIN b n ON n.fold = r.fold AND n.h = r.h AND n.pos = r.pos + 1)
+    SELECT fold, h, series, w, round(thr, 6) AS thr FROM r""")
+def fold_walk_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked thresholds along each fold, from the other folds' quantile on."""
+    rows = fd.split_cp_folds(user_scores(spark, sf_dir), ALPHA, 5).withColumnRenamed("thr", "q0").drop("fold")
+    return sg.scan(fd.fold_sequences(rows, 5, 42, 20), ["fold", "h"], sg.Tracking(ALPHA, 20), ["split", "w", "series"], extra="q0", segment=500).select("fold", "h", "series", "w", "thr")
+
+
+@register("segments_trailing", f"""WITH {_FLAT}, fr AS (SELECT *, list_sort(list(s) OVER (PARTITION BY h ORDER BY w, series ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS xs FROM scored)
+    SELECT series, w, h, round({sql.quantile("xs", ALPHA, False)}, 6) AS thr FROM fr WHERE split = 'test'""")
+def segments_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key a step, over all series: segments of 300 scores, each behind the 20 before it."""
+    return sg.scan(user_scores(spark, sf_dir), ["h"], sg.Trailing(ALPHA, 20), ["w", "series"], segment=300).select("series", "w", "h", "thr")
+
+
+@register("past_quantiles_pooled", f"""WITH {_FLAT}, fr AS (SELECT *, list_sort(list(s) OVER (PARTITION BY h ORDER BY w * 1000000 + CAST(series AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS xs FROM scored)
+    SELECT series, w, h, round({sql.quantile("xs", ALPHA)}, 6) AS thr FROM fr WHERE split = 'test'""")
+def past_quantiles_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantile of all scores of a step before each row, over all series: counts by blocks of 500 rows."""
+    rows = user_scores(spark, sf_dir).withColumn("at", F.col("w").cast("bigint") * 1_000_000 + F.col("series").cast("bigint"))
+    return rk.past_quantiles(rows, ["h"], ALPHA, order="at", carry=("series", "w"), block=500).select("series", "w", "h", "thr")
+
+
+_CACHED = f"""{_TWO}, cq AS (SELECT task, model, series, h, list_sort(list(s)) AS xs FROM scored WHERE split = 'cal' GROUP BY ALL),
+    fr AS (SELECT *, list_sort(list(s) OVER (PARTITION BY task, model, series, h ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS ts FROM scored),
+    t AS (SELECT * FROM fr LEFT JOIN cq USING (task, model, series, h) WHERE split = 'test'),
+    iv AS (SELECT 'Native' AS method, task, model, series, w, h, y, q10 AS lo, q90 AS hi FROM t
+        UNION ALL SELECT 'SplitCP', task, model, series, w, h, y, yhat - {sql.quantile("xs", ALPHA)}, yhat + {sql.quantile("xs", ALPHA)} FROM t
+        UNION ALL SELECT 'CFRNN', task, model, series, w, h, y, yhat - {sql.quantile("xs", ALPHA / 4)}, yhat + {sql.quantile("xs", ALPHA / 4)} FROM t
+        UNION ALL SELECT 'TrailingWindow', task, model, series, w, h, y, yhat - {sql.quantile("ts", ALPHA, False)}, yhat + {sql.quantile("ts", ALPHA, False)} FROM t),
+    {_GROUPED.replace("{by}", "task, model, method")}, {_BY_NATIVE}"""
+
+
+@register("run_cached", f"WITH {_CACHED}".replace(f"{_MEANS}, round(avg_width / CASE", f"{_MEANS}, method = 'CFRNN' AS computed, round(avg_width / CASE"))
+def run_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run with one more method: only that is computed, the others' metrics are read."""
+    base = shared_path(spark, "evaluated")
+    store.write_panel(_two_models(ps.user_panel(spark, sf_dir)), f"{base}/panel")
+    config = ev.EvalConfig(methods=("SplitCP", "TrailingWindow"), window=20)
+    ch.run_cached(spark, f"{base}/panel", config, f"{base}/results")
+    return ch.run_cached(spark, f"{base}/panel", replace(config, methods=("SplitCP", "CFRNN", "TrailingWindow")), f"{base}/results")

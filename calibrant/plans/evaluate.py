@@ -20,6 +20,7 @@ from calibrant.operators import joint as jp
 from calibrant.operators import kernels as kn
 from calibrant.operators import metrics as mt
 from calibrant.operators import scales as sc
+from calibrant.operators import segments as sg
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,10 @@ class Calibrator(Protocol):
 
 
 class JointCalibrator(Protocol):
-    """Radii under which a trajectory's steps hold at once: from a panel (h, radius), or (series, w, h, radius)."""
+    """Radii under which a trajectory's steps hold at once, of each group of by: from a panel (by, h, radius), or (by,
+    series, w, h, radius)."""
 
-    def __call__(self, panel: DataFrame, alpha: float, **options) -> DataFrame: ...
+    def __call__(self, panel: DataFrame, alpha: float, by: tuple[str, ...], **options) -> DataFrame: ...
 
 
 @dataclass(frozen=True)
@@ -90,12 +92,20 @@ MARGINAL: dict[str, Method] = {
 KERNELS = ("AgACI", "DtACI", "AcMCP", "SPCI")
 #: Joint methods; those of one radius a step, but for CAFHT's, which follow the trajectory.
 JOINT: dict[str, JointCalibrator] = {
-    "JointCFRNN": lambda panel, alpha, horizon, cal_windows, **o: jp.joint_cfrnn(panel, alpha, horizon, **o),
-    "NormMaxCP": lambda panel, alpha, horizon, cal_windows, **o: jp.norm_max(panel, alpha, **o),
-    "CAFHT": lambda panel, alpha, horizon, cal_windows, **o: jp.radii_of(jp.cafht(panel, alpha, cal_windows, jp.aci_path, **o)),
-    "CAFHT_PID": lambda panel, alpha, horizon, cal_windows, **o: jp.radii_of(jp.cafht(panel, alpha, cal_windows, jp.pid_path, **o)),
-    "CopulaCPTS": lambda panel, alpha, horizon, cal_windows, **o: jp.copula_bisection(panel, alpha, **o),
-    "CopulaCPTS_Adam": lambda panel, alpha, horizon, cal_windows, **o: kn.copula_radii(panel, alpha, **o),
+    "JointCFRNN": lambda panel, alpha, by, **o: jp.joint_cfrnn(panel, alpha, by=by, **o),
+    "NormMaxCP": lambda panel, alpha, by, **o: jp.norm_max(panel, alpha, by=by, **o),
+    "CAFHT": lambda panel, alpha, by, **o: jp.radii_of(jp.cafht(panel, alpha, path=jp.aci_path, by=by, **o), by),
+    "CAFHT_PID": lambda panel, alpha, by, **o: jp.radii_of(jp.cafht(panel, alpha, path=jp.pid_path, by=by, **o), by),
+    "CopulaCPTS": lambda panel, alpha, by, **o: jp.copula_bisection(panel, alpha, by=by, **o),
+    "CopulaCPTS_Adam": lambda panel, alpha, by, **o: kn.copula_radii(panel, alpha, [*by], **o),
+}
+#: Methods that learn along a fold's sequence: how they walk along it.
+WALKS: dict[str, tuple[Calibrator, Callable[..., sg.Steps]]] = {
+    "TrailingWindow": (cp.trailing, sg.Trailing),
+    "CQR": (cp.trailing, sg.Trailing),
+    "WeightedCP": (cp.weighted, sg.Weighted),
+    "ACI": (cp.aci, sg.Adaptive),
+    "PID": (cp.pid, sg.Tracking),
 }
 
 
@@ -134,7 +144,41 @@ def eligible(panel: DataFrame, config: EvalConfig, groups: list[str]) -> DataFra
     return kept.drop("__all", "__there", "__end")
 
 
-def intervals(rows: DataFrame, config: EvalConfig, name: str, by: list[str], horizon: int | None = None, order: str = "w") -> DataFrame:
+def unique_steps(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """panel, in which a repeated (keys, w, h) fails the query: two models' or tasks' rows of one series have met. The
+    window is that of the calibrators, so it adds no shuffle."""
+    before = F.lag("w").over(Window.partitionBy(*keys, "h").orderBy("w"))
+    stop = F.raise_error(F.lit(f"rows of {', '.join(keys)} repeat a window and step: name more keys"))
+    return panel.withColumn("__before", before).where(F.when(F.col("__before") == F.col("w"), stop).otherwise(F.lit(True))).drop("__before")
+
+
+def prepared(panel: DataFrame, config: EvalConfig, keys: list[str]) -> list[tuple[DataFrame, EvalConfig]]:
+    """What a runner has to run: the eligible groups' rows, and of log scores those of groups whose values are too low by
+    abs. A part of several groups may be empty."""
+    groups = [k for k in keys if k != "series"]
+    panel = unique_steps(eligible(panel, config, groups), keys)
+    if config.score != "log":
+        return [(panel, config)]
+    low = sc.log_falls_back(panel, groups).where("fallback").select(*groups, F.lit(True).alias("__low"))
+    instead = replace(config, score="abs")
+    if not groups:
+        return [(panel, instead if low.count() else config)]
+    marked = panel.join(F.broadcast(low), groups, "left")
+    return [(marked.where("__low").drop("__low"), instead), (marked.where("__low IS NULL").drop("__low"), config)]
+
+
+def _each(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...], run: Callable[[DataFrame, EvalConfig, list[str]], DataFrame]) -> DataFrame:
+    """run() of every part of prepared()."""
+    made = [run(part, own, [*keys]) for part, own in prepared(panel, config, [*keys])]
+    return made[0] if len(made) == 1 else made[0].union(made[1])
+
+
+def horizons(rows: DataFrame, panel: DataFrame, groups: list[str]) -> DataFrame:
+    """rows with __horizon, the number of steps of their group."""
+    return jp.beside(rows, panel.groupBy(*groups).agg((F.max("h") + 1).alias("__horizon")), groups)
+
+
+def intervals(rows: DataFrame, config: EvalConfig, name: str, by: list[str], horizon: Column | int | None = None, order: str = "w") -> DataFrame:
     """Test rows of scored rows with lo and hi by one marginal method that isn't a kernel; by are its keys."""
     method, kind = MARGINAL[name], Score(config.score, config.alpha)
     options = {**({"size": config.window} if method.sized else {}), **config.options.get(name, {})}
@@ -160,43 +204,46 @@ def run(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",
     row for each method, and its own Native to scale by. Each method is one shuffle by (keys, h); the kernels that
     follow a threshold share one pass. A group whose values are too low for log scores is scored by abs instead.
     """
-    groups = [k for k in keys if k != "series"]
-    panel = eligible(panel, config, groups)
-    if config.score == "log":
-        low = sc.log_falls_back(panel, groups).where("fallback").select(*groups, F.lit(True).alias("__low"))
-        instead = replace(config, score="abs")
-        if not groups:
-            return _run(panel, instead if low.count() else config, [*keys])
-        marked = panel.join(F.broadcast(low), groups, "left")
-        return _run(marked.where("__low").drop("__low"), instead, [*keys]).union(_run(marked.where("__low IS NULL").drop("__low"), config, [*keys]))
-    return _run(panel, config, [*keys])
+    return _each(panel, config, keys, _run)
 
 
 def _run(panel: DataFrame, config: EvalConfig, keys: list[str]) -> DataFrame:
+    return summarised(every_interval(panel, config, keys), config.alpha, keys)
+
+
+def summarised(rows: DataFrame, alpha: float, keys: list[str]) -> DataFrame:
+    """The summary of rows with method, lo and hi, scaled by each group's Native."""
+    groups = [k for k in keys if k != "series"]
+    return mt.scaled(mt.summary(mt.marks(rows, alpha), [*groups, "method"]), groups)
+
+
+def every_interval(panel: DataFrame, config: EvalConfig, keys: list[str]) -> DataFrame:
+    """keys, w, h, y, lo, hi and method of the test rows by Native and each marginal method."""
     by, groups = [*keys, "h"], [k for k in keys if k != "series"]
     names = classify(config.methods)[0]
     rows = sc.scored(panel, config.score, config.alpha, keys, config.asymmetric, groups)
-    horizon = panel.agg(F.max("h") + 1).first()[0] if "CFRNN" in names and "horizon" not in config.options.get("CFRNN", {}) else None
+    horizon = None
+    if "CFRNN" in names and "horizon" not in config.options.get("CFRNN", {}):
+        rows, horizon = horizons(rows, panel, groups), F.col("__horizon")
     own = {n: PAST[n] for n in names if n in PAST and MARGINAL[n].thresholds is PAST[n][0] and not config.asymmetric}
-    parts = [mt.marks(_at_once(rows, config, own, by, horizon), config.alpha)]
-    parts += [mt.marks(p, config.alpha) for p in _by_kernels(rows, config, keys)]
-    parts += [mt.marks(intervals(rows, config, n, by, horizon), config.alpha).withColumn("method", F.lit(n)) for n in names if n not in KERNELS and n not in own]
-    return mt.scaled(mt.summary(_all(parts, [*keys, "w", "h"]), [*groups, "method"]), groups)
+    parts = [_at_once(rows, config, own, by, horizon), *_by_kernels(rows, config, keys)]
+    parts += [intervals(rows, config, n, by, horizon).withColumn("method", F.lit(n)) for n in names if n not in KERNELS and n not in own]
+    return _all(parts, keys)
 
 
-def _of_split(row: Past, alpha: float, horizon: int | None) -> Column:
+def _of_split(row: Past, alpha: float, horizon: Column | None) -> Column:
     return conformal_quantile(row.cal, alpha, row.option("correction", True))
 
 
-def _of_cfrnn(row: Past, alpha: float, horizon: int | None) -> Column:
-    return conformal_quantile(row.cal, alpha / row.option("horizon", horizon))
+def _of_cfrnn(row: Past, alpha: float, horizon: Column | None) -> Column:
+    return conformal_quantile(row.cal, F.lit(float(alpha)) / row.option("horizon", horizon))
 
 
-def _of_trailing(row: Past, alpha: float, horizon: int | None) -> Column:
+def _of_trailing(row: Past, alpha: float, horizon: Column | None) -> Column:
     return conformal_quantile(F.array_sort(row.past), alpha, row.option("correction", False))
 
 
-def _of_weighted(row: Past, alpha: float, horizon: int | None) -> Column:
+def _of_weighted(row: Past, alpha: float, horizon: Column | None) -> Column:
     return weighted_quantile(row.past, 1 - alpha, row.option("decay", 0.99), row.option("test_weight", 1.0), row.option("weights", None))
 
 
@@ -213,7 +260,7 @@ class Past:
 
 
 #: Calibrators whose threshold is an expression of a row's past, which one window over the key gives to all of them.
-PAST: dict[str, tuple[Calibrator, Callable[[Past, float, int | None], Column]]] = {
+PAST: dict[str, tuple[Calibrator, Callable[[Past, float, Column | None], Column]]] = {
     "SplitCP": (cp.split_cp, _of_split),
     "CFRNN": (cp.cfrnn, _of_cfrnn),
     "TrailingWindow": (cp.trailing, _of_trailing),
@@ -222,7 +269,7 @@ PAST: dict[str, tuple[Calibrator, Callable[[Past, float, int | None], Column]]]
 }
 
 
-def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], horizon: int | None) -> DataFrame:
+def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], horizon: Column | None) -> DataFrame:
     """Test rows with method, lo and hi of Native and of all methods in own: one sort of each key serves all of them."""
     kind = Score(config.score, config.alpha)
     options = {n: config.options.get(n, {}) for n in own}
@@ -242,7 +289,7 @@ def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], hori
 
 
 def _all(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    cols = [*keys, "covered", "width", "winkler", "infinite", "method"]
+    cols = [*keys, "w", "h", "y", "lo", "hi", "method"]
     every = parts[0].select(*cols)
     for p in parts[1:]:
         every = every.unionByName(p.select(*cols))
@@ -291,50 +338,75 @@ def _by_kernels(rows: DataFrame, config: EvalConfig, keys: list[str]) -> list[Da
     return out
 
 
-def run_joint(panel: DataFrame, config: EvalConfig, cal_windows: int) -> DataFrame:
-    """Summary of the joint methods of config: coverage, joint_coverage, avg_width, winkler_score by method."""
-    horizon = panel.agg(F.max("h") + 1).first()[0]
-    parts = []
-    for name in classify(config.methods)[1]:
-        rows = jp.with_radii(panel, JOINT[name](panel, config.alpha, horizon=horizon, cal_windows=cal_windows, **config.options.get(name, {})))
-        parts.append(mt.marks(rows, config.alpha).withColumn("method", F.lit(name)))
-    if not parts:
+def run_joint(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Summary of the joint methods of config, in each group of keys: coverage, joint_coverage, avg_width, winkler_score by
+    method. A group's horizon and calibration windows are its own."""
+    names = classify(config.methods)[1]
+    if not names:
         raise ValueError("no joint method")
-    return mt.summary(_all(parts, ["series", "w", "h"]), ["method"])
+    groups = tuple(k for k in keys if k != "series")
+    panel = unique_steps(eligible(panel, config, [*groups]), [*keys])
+    parts = [jp.with_radii(panel, JOINT[n](panel, config.alpha, groups, **config.options.get(n, {})), groups).withColumn("method", F.lit(n)) for n in names]
+    return mt.summary(mt.marks(_all(parts, [*keys]), config.alpha), [*groups, "method"])
 
 
-def folded(rows: DataFrame, n_folds: int, seed: int = 42) -> DataFrame:
-    """Cross-sectional rows: for each fold its own series' rows as test and all others' as calibration, one sequence for
-    each (fold, h), in order of window and series (`pos`); calibration comes first. The series is the fold's, so that
-    series is `of`."""
+def folded(rows: DataFrame, n_folds: int, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cross-sectional rows for a calibrator of one's own: for each fold its own series' rows as test and all others' as
+    calibration, one sequence for each (by, fold, h), in order of window and series (`pos`); calibration comes first."""
     placed = rows.withColumn("own", fd.hash_fold(F.col("series"), n_folds, seed)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     placed = placed.withColumn("split", F.when(F.col("own") == F.col("fold"), "test").otherwise("cal"))
-    order = Window.partitionBy("fold", "h").orderBy("split", "w", "series")
-    return placed.withColumn("pos", F.row_number().over(order)).drop("own")
-
-
-def run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int = 42, strategy: str = "all") -> DataFrame:
-    """Cross-sectional cross-validation of the marginal methods and Native: a row for each fold and method. Every window
-    of a series is tested, with what the other folds' series say; methods that learn go through the fold's windows and
-    series in order. SplitCP and CFRNN pool the others' scores by a distributed order statistic."""
-    chosen = fd.chosen_series(panel, strategy).withColumn("split", F.lit("cal"))
-    rows = sc.scored(chosen, config.score, config.alpha, ["series"], config.asymmetric)
-    kind, names, parts = Score(config.score, config.alpha), classify(config.methods)[0], []
-    horizon = panel.agg(F.max("h") + 1).first()[0]
+    return sg.with_place(placed.drop("own"), [*by, "fold", "h"], ["split", "w", "series"], "pos")
+
+
+def run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int = 42, strategy: str = "all", keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Cross-sectional cross-validation of the marginal methods and Native: a row for each group of keys, fold and method.
+    Every window of a series is tested, with what the other folds' series say. SplitCP and CFRNN pool the others' scores by
+    a distributed order statistic; methods that learn walk through the fold's windows and series in order, by segments,
+    behind the last scores of the others."""
+    return _each(panel, config, keys, lambda part, own, names: _run_folds(part, own, n_folds, seed, strategy, names))
+
+
+def _run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int, strategy: str, keys: list[str]) -> DataFrame:
+    groups = tuple(k for k in keys if k != "series")
+    chosen = fd.chosen_series(panel, strategy, groups).withColumn("split", F.lit("cal"))
+    rows = horizons(sc.scored(chosen, config.score, config.alpha, keys, config.asymmetric, [*groups]), panel, [*groups])
     own = rows.withColumn("fold", fd.hash_fold(F.col("series"), n_folds, seed))
-    parts.append(mt.native(own.withColumn("split", F.lit("test")), config.alpha).withColumn("method", F.lit("Native")))
-    for name in names:
+    parts = [mt.native(own.withColumn("split", F.lit("test")), config.alpha).withColumn("method", F.lit("Native"))]
+    kind = Score(config.score, config.alpha)
+    tails: tuple[str, ...] = ("tail",) if config.asymmetric else ()
+    alpha = config.alpha / (2 if tails else 1)
+    carry = tuple(c for c in rows.columns if c not in (*keys, "w", "h", "split", "s", "s_lo", "s_up"))
+    if tails:
+        pair = F.inline(F.array(F.struct(F.lit("lo").alias("tail"), F.col("s_lo").alias("s")), F.struct(F.lit("up").alias("tail"), F.col("s_up").alias("s"))))
+        rows = rows.select(*keys, "w", "h", "split", *carry, pair)
+    by = (*groups, *tails)
+    for name in classify(config.methods)[0]:
+        options = config.options.get(name, {})
         if name in KERNELS:
             raise ValueError(f"no cross-validation for {name}")
-        if name in ("SplitCP", "CFRNN") and not config.asymmetric:
-            thr = fd.split_cp_folds(rows, config.alpha / (horizon if name == "CFRNN" else 1), n_folds, seed)
-            lo, hi = kind.bounds("thr", "thr")
-            made = thr.withColumn("lo", lo).withColumn("hi", hi)
+        if MARGINAL[name].thresholds in (cp.split_cp, cp.cfrnn):
+            level = alpha if name == "SplitCP" else F.lit(float(alpha)) / options.get("horizon", F.col("__horizon"))
+            made = fd.split_cp_folds(rows, level, n_folds, seed, (*by, *(["__horizon"] if name == "CFRNN" else [])))
+        elif name in WALKS and MARGINAL[name].thresholds is WALKS[name][0]:
+            options = {"size": config.window, **options}
+            given = rows
+            if name == "PID":
+                given = fd.split_cp_folds(rows, alpha, n_folds, seed, by).withColumnRenamed("thr", "q0").drop("fold")
+            sequence = fd.fold_sequences(given, n_folds, seed, options["size"], by)
+            made = sg.scan(sequence, [*by, "fold", "h"], WALKS[name][1](alpha, **options), ["split", "w", "series"], extra="q0" if name == "PID" else None, carry=carry)
         else:
-            made = intervals(folded(rows, n_folds, seed), config, name, ["fold", "h"], horizon, "pos")
-        parts.append(made.withColumn("method", F.lit(name)))
-    marked = [mt.marks(p, config.alpha) for p in parts]
-    return mt.summary(_all(marked, ["fold", "series", "w", "h"]), ["fold", "method"])
+            if tails:
+                raise ValueError(f"no asymmetric cross-validation for {name}")
+            parts.append(intervals(folded(rows, n_folds, seed, groups), config, name, [*groups, "fold", "h"], F.col("__horizon"), "pos").withColumn("method", F.lit(name)))
+            continue
+        if tails:
+            pick = lambda t: F.max(F.when(F.col("tail") == t, F.col("thr")))
+            held = [F.first(c).alias(c) for c in carry if c not in groups]
+            made = made.groupBy(*keys, "w", "h", "fold").agg(pick("lo").alias("q_lo"), pick("up").alias("q_up"), *held)
+        lo, hi = kind.bounds(*(("q_lo", "q_up") if tails else ("thr", "thr")), bool(tails))
+        parts.append(made.withColumn("lo", lo).withColumn("hi", hi).withColumn("method", F.lit(name)))
+    marked = mt.marks(_all(parts, [*keys, "fold"]), config.alpha)
+    return mt.summary(marked, [*groups, "fold", "method"])
 
 
 def fold_average(rows: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
@@ -342,43 +414,45 @@ def fold_average(rows: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFram
     return rows.groupBy(*by).agg(*[F.avg(m).alias(m) for m in ("coverage", "avg_width", "winkler_score", "joint_coverage") if m in rows.columns])
 
 
-def run_joint_folds(panel: DataFrame, n_folds: int, alpha: float, methods: tuple[str, ...] = ("JointCFRNN",), seed: int = 42) -> DataFrame:
-    """Joint methods across series: each fold's trajectories against the other folds' errors; one row per fold and method."""
-    config = EvalConfig(alpha=alpha, methods=methods)
-    windows = panel.agg(F.countDistinct("w")).first()[0]
-    parts = []
-    for k in range(n_folds):
-        own = fd.hash_fold(F.col("series"), n_folds, seed) == k
-        parts.append(run_joint(panel.withColumn("split", F.when(own, "test").otherwise("cal")), config, windows).withColumn("fold", F.lit(k)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    return every
+def run_joint_folds(panel: DataFrame, n_folds: int, alpha: float, methods: tuple[str, ...] = ("JointCFRNN",), seed: int = 42, keys: tuple[str, ...] = ("series",), options: dict[str, dict] | None = None) -> DataFrame:
+    """Joint methods across series: each fold's trajectories against the other folds' errors; a row for each group of keys,
+    fold and method. A fold is a group of the runner, so that one plan serves all of them."""
+    fold = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
+    every = unique_steps(panel, [*keys]).withColumn("__own", fd.hash_fold(F.col("series"), n_folds, seed)).withColumn("fold", fold)
+    every = every.withColumn("split", F.when(F.col("__own") == F.col("fold"), "test").otherwise("cal")).drop("__own")
+    return run_joint(every, EvalConfig(alpha=alpha, methods=methods, options=options or {}), (*[k for k in keys if k != "series"], "fold", "series"))
 
 
-def run_single_step(panel: DataFrame, config: EvalConfig, horizon: int, online: bool = True) -> DataFrame:
-    """Marginal methods with one state per series over the steps w * horizon + h: a row for each method, as run() has.
+def run_single_step(panel: DataFrame, config: EvalConfig, horizon: int | None = None, online: bool = True, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """Marginal methods with one state per series over the steps w * horizon + h (None: as many as the panel has): a row for
+    each group of keys and method, as run() has.
 
     online: every step knows the one before. Otherwise a window's threshold is that of its first step. Methods whose
     threshold is moved by their own misses need a rule of their own for that; ACI has one, others raise."""
-    rows = sc.scored(panel, config.score, config.alpha, ["series"], config.asymmetric).withColumn("pos", F.col("w") * horizon + F.col("h"))
+    horizon = horizon or panel.agg(F.max("h") + 1).first()[0]
+    return _each(panel, config, keys, lambda part, own, names: _run_single_step(part, own, horizon, online, names))
+
+
+def _run_single_step(panel: DataFrame, config: EvalConfig, horizon: int, online: bool, keys: list[str]) -> DataFrame:
+    groups = [k for k in keys if k != "series"]
+    rows = sc.scored(panel, config.score, config.alpha, keys, config.asymmetric, groups).withColumn("pos", F.col("w") * horizon + F.col("h"))
     kind, parts = Score(config.score, config.alpha), [mt.native(panel, config.alpha).withColumn("method", F.lit("Native"))]
     for name in classify(config.methods)[0]:
         if name in KERNELS or not online and name not in ("SplitCP", "CFRNN", "TrailingWindow", "WeightedCP", "ACI") or not online and config.asymmetric:
             raise ValueError(f"no {'online' if online else 'frozen'} single-step run for {name}")
         if name == "ACI" and not online:
             options = {"gamma": 0.005, "size": config.window, **config.options.get(name, {})}
-            thr = cp.single_step(rows, ["series"], config.alpha, horizon, False, **options).select("series", "w", "h", "thr")
+            thr = cp.single_step(rows, keys, config.alpha, horizon, False, **options).select(*keys, "w", "h", "thr")
             lo, hi = kind.bounds("thr", "thr")
-            made = rows.where("split = 'test'").join(thr, ["series", "w", "h"]).withColumn("lo", lo).withColumn("hi", hi)
+            made = rows.where("split = 'test'").join(thr, [*keys, "w", "h"]).withColumn("lo", lo).withColumn("hi", hi)
         else:
-            made = intervals(rows, config, name, ["series"], horizon, "pos")
+            made = intervals(rows, config, name, keys, horizon, "pos")
             if not online:
                 lo, hi = kind.bounds("thr", "thr")
-                start = F.first(F.when(F.col("h") == 0, F.col("thr")), ignorenulls=True).over(Window.partitionBy("series", "w"))
+                start = F.first(F.when(F.col("h") == 0, F.col("thr")), ignorenulls=True).over(Window.partitionBy(*keys, "w"))
                 made = made.withColumn("thr", start).withColumn("lo", lo).withColumn("hi", hi)
         parts.append(made.withColumn("method", F.lit(name)))
-    return mt.scaled(mt.summary(_all([mt.marks(p, config.alpha) for p in parts], ["series", "w", "h"]), ["method"]))
+    return mt.scaled(mt.summary(mt.marks(_all(parts, keys), config.alpha), [*groups, "method"]), groups)
 
 
 def results(panel: DataFrame, alpha: float, horizon: int, task: Column | None = None, tasks: int = 4, window: int = 20) -> DataFrame:

@@ -321,7 +321,7 @@ def test_a_method_of_ones_own(spark):
         panel = ps.user_panel(spark, SF)
         got = {r["method"]: r for r in ev.run_timed(panel, ev.EvalConfig(methods=("Widest", "TrailingWindow"))).collect()}
         assert got["Widest"]["coverage"] > got["TrailingWindow"]["coverage"] and all(r["runtime"] > 0 for r in got.values()) and set(got) == {"Native", "Widest", "TrailingWindow"}
-        assert ev.run_joint(panel, ev.EvalConfig(methods=("Constant",)), 5).first()["joint_coverage"] == 1.0
+        assert ev.run_joint(panel, ev.EvalConfig(methods=("Constant",))).first()["joint_coverage"] == 1.0
         assert "Widest" in ev.online_methods() and "SplitCP" not in ev.online_methods()
     finally:
         del ev.MARGINAL["Widest"], ev.JOINT["Constant"]
