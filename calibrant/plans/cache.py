@@ -96,8 +96,8 @@ def run_cached(spark: SparkSession, predictions: str, config: ev.EvalConfig, roo
     if missing:
         panel = read_panel(spark, predictions)
         wanted = replace(config, methods=tuple(n for n in config.methods if n in missing))
-        rows = ev._each(panel if where is None else panel.where(where), wanted, keys, ev.every_interval)
-        store.keep("intervals", rows if "Native" in missing else rows.where("method <> 'Native'"), missing)
+        rows = ev.by_part(panel if where is None else panel.where(where), wanted, keys, lambda part, own, names: ev.every_interval(part, own, names, "Native" in missing))
+        store.keep("intervals", rows, missing)
     if no_metrics:
         groups = [k for k in keys if k != "series"]
         each = [store.read("intervals", k).withColumn("method", F.lit(n)) for n, k in no_metrics.items()]

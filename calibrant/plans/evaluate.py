@@ -167,7 +167,7 @@ def prepared(panel: DataFrame, config: EvalConfig, keys: list[str]) -> list[tupl
     return [(marked.where("__low").drop("__low"), instead), (marked.where("__low IS NULL").drop("__low"), config)]
 
 
-def _each(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...], run: Callable[[DataFrame, EvalConfig, list[str]], DataFrame]) -> DataFrame:
+def by_part(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...], run: Callable[[DataFrame, EvalConfig, list[str]], DataFrame]) -> DataFrame:
     """run() of every part of prepared()."""
     made = [run(part, own, [*keys]) for part, own in prepared(panel, config, [*keys])]
     return made[0] if len(made) == 1 else made[0].union(made[1])
@@ -204,7 +204,7 @@ def run(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",
     row for each method, and its own Native to scale by. Each method is one shuffle by (keys, h); the kernels that
     follow a threshold share one pass. A group whose values are too low for log scores is scored by abs instead.
     """
-    return _each(panel, config, keys, _run)
+    return by_part(panel, config, keys, _run)
 
 
 def _run(panel: DataFrame, config: EvalConfig, keys: list[str]) -> DataFrame:
@@ -217,8 +217,9 @@ def summarised(rows: DataFrame, alpha: float, keys: list[str]) -> DataFrame:
     return mt.scaled(mt.summary(mt.marks(rows, alpha), [*groups, "method"]), groups)
 
 
-def every_interval(panel: DataFrame, config: EvalConfig, keys: list[str]) -> DataFrame:
-    """keys, w, h, y, lo, hi and method of the test rows by Native and each marginal method."""
+def every_interval(panel: DataFrame, config: EvalConfig, keys: list[str], native: bool = True) -> DataFrame:
+    """keys, w, h, y, lo, hi and method of the test rows by Native and each marginal method. Without native the rows of
+    Native aren't made, rather than filtered away: a filter over them would be pushed into what makes them."""
     by, groups = [*keys, "h"], [k for k in keys if k != "series"]
     names = classify(config.methods)[0]
     rows = sc.scored(panel, config.score, config.alpha, keys, config.asymmetric, groups)
@@ -226,7 +227,7 @@ def every_interval(panel: DataFrame, config: EvalConfig, keys: list[str]) -> Dat
     if "CFRNN" in names and "horizon" not in config.options.get("CFRNN", {}):
         rows, horizon = horizons(rows, panel, groups), F.col("__horizon")
     own = {n: PAST[n] for n in names if n in PAST and MARGINAL[n].thresholds is PAST[n][0] and not config.asymmetric}
-    parts = [_at_once(rows, config, own, by, horizon), *_by_kernels(rows, config, keys)]
+    parts = [*([_at_once(rows, config, own, by, horizon, native)] if own or native else []), *_by_kernels(rows, config, keys)]
     parts += [intervals(rows, config, n, by, horizon).withColumn("method", F.lit(n)) for n in names if n not in KERNELS and n not in own]
     return _all(parts, keys)
 
@@ -269,7 +270,7 @@ PAST: dict[str, tuple[Calibrator, Callable[[Past, float, Column | None], Column]
 }
 
 
-def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], horizon: Column | None) -> DataFrame:
+def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], horizon: Column | None, native: bool = True) -> DataFrame:
     """Test rows with method, lo and hi of Native and of all methods in own: one sort of each key serves all of them."""
     kind = Score(config.score, config.alpha)
     options = {n: config.options.get(n, {}) for n in own}
@@ -283,7 +284,7 @@ def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], hori
         past = Past(F.col("__cal"), F.col(f"__past_{size.get(n)}"), options[n])
         rows = rows.withColumn(f"__thr_{n}", of(past, config.alpha, horizon))
     low, high = interval_fields(config.alpha)
-    made = [("Native", F.col(f"q.{low}"), F.col(f"q.{high}")), *((n, *kind.bounds(f"__thr_{n}", f"__thr_{n}")) for n in own)]
+    made = [*([("Native", F.col(f"q.{low}"), F.col(f"q.{high}"))] if native else []), *((n, *kind.bounds(f"__thr_{n}", f"__thr_{n}")) for n in own)]
     pairs = F.array(*[F.struct(F.lit(n).alias("method"), lo.alias("lo"), hi.alias("hi")) for n, lo, hi in made])
     return rows.select(*by, "w", "y", F.inline(pairs))
 
@@ -363,7 +364,7 @@ def run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int = 42
     Every window of a series is tested, with what the other folds' series say. SplitCP and CFRNN pool the others' scores by
     a distributed order statistic; methods that learn walk through the fold's windows and series in order, by segments,
     behind the last scores of the others."""
-    return _each(panel, config, keys, lambda part, own, names: _run_folds(part, own, n_folds, seed, strategy, names))
+    return by_part(panel, config, keys, lambda part, own, names: _run_folds(part, own, n_folds, seed, strategy, names))
 
 
 def _run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int, strategy: str, keys: list[str]) -> DataFrame:
@@ -430,7 +431,7 @@ def run_single_step(panel: DataFrame, config: EvalConfig, horizon: int | None =
     online: every step knows the one before. Otherwise a window's threshold is that of its first step. Methods whose
     threshold is moved by their own misses need a rule of their own for that; ACI has one, others raise."""
     horizon = horizon or panel.agg(F.max("h") + 1).first()[0]
-    return _each(panel, config, keys, lambda part, own, names: _run_single_step(part, own, horizon, online, names))
+    return by_part(panel, config, keys, lambda part, own, names: _run_single_step(part, own, horizon, online, names))
 
 
 def _run_single_step(panel: DataFrame, config: EvalConfig, horizon: int, online: bool, keys: list[str]) -> DataFrame:

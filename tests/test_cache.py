@@ -25,7 +25,7 @@ def by_method(rows) -> dict:
 def test_only_what_is_new_is_computed(spark, panel, monkeypatch):
     root, asked = shared_path(spark, "results"), []
     real = ev.every_interval
-    monkeypatch.setattr(ev, "every_interval", lambda p, c, k: asked.append(c.methods) or real(p, c, k))
+    monkeypatch.setattr(ev, "every_interval", lambda p, c, k, n=True: asked.append(c.methods) or real(p, c, k, n))
     config = ev.EvalConfig(methods=("SplitCP", "ACI", "TrailingWindow"), window=20)
     first = by_method(ch.run_cached(spark, panel, config, root))
     again = by_method(ch.run_cached(spark, panel, config, root))
@@ -63,11 +63,13 @@ def test_an_entry_that_was_cut_short_is_made_again(spark, panel):
     config = ev.EvalConfig(methods=("SplitCP",))
     ch.run_cached(spark, panel, config, root)
     keys = ch.entry_keys(config, ch.snapshot(spark, panel), None, ("task", "model", "series"))
-    for kind in ("metrics", "intervals"):
-        fs, p = ch._files(spark, f"{root}/{kind}/{keys['SplitCP']}/_SUCCESS")
-        assert fs.delete(p, False)
+    cut = lambda kind: ch._files(spark, f"{root}/{kind}/{keys['SplitCP']}/_SUCCESS")
+    for kinds, anew in ((["metrics"], False), (["metrics", "intervals"], True)):
+        for kind in kinds:
+            fs, p = cut(kind)
+            assert fs.delete(p, False)
         got = by_method(ch.run_cached(spark, panel, config, root))
-        assert got["SplitCP"]["computed"] == (kind == "intervals" and not ch.Results(spark, root).has("x", "y")) or kind == "metrics"
+        assert got["SplitCP"]["computed"] == anew and not got["Native"]["computed"]  # kept intervals give the metrics
 
 
 def test_two_models_under_one_series_are_refused(spark):
