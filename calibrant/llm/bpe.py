@@ -75,14 +75,13 @@ class PairIndexBPE:
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.ids: dict[str, str] = {t: str(i) for t, i in self.special.items()}
-        self.odd: dict[str, bytes] = {}  # pieces whose ids decode to other bytes than their own: in a byte alphabet none do
+        self.raw = {str(i): b for i, b in self.bytes_of.items()}
         self.held = 0  # characters of the remembered pieces and their ids
 
     def forget(self, kept: int) -> None:
         """Keep so many of the pieces that were learned first: common ones come early."""
         for piece in [*islice(self.ids, max(kept, len(self.special)), None)]:
             self.held -= len(piece) + len(self.ids.pop(piece))
-            self.odd.pop(piece, None)
 
     def _within_bounds(self) -> None:
         if len(self.ids) > CACHE_PIECES or self.held > CACHE_CHARS:
@@ -167,17 +166,15 @@ class PairIndexBPE:
                 yield from (m[0] for m in self.pattern.finditer(part))
 
     def learn(self, new: list[str]) -> None:
-        """Put pieces that aren't known through the index; remember their ids, and decode them."""
+        """Put pieces that aren't known through the index, and remember their ids."""
         for piece, ids in zip(new, self.merge(new)):
             run = ",".join(map(str, ids))
             self.ids[piece] = run
             self.held += len(piece) + len(run)
-            if (raw := b"".join([self.bytes_of[i] for i in ids])) != piece.encode():
-                self.odd[piece] = raw
 
-    def decoded(self, pieces: list[str], whole: str) -> bytes:
-        """Bytes of the ids of pieces, which were decoded as they were learned; whole is the pieces' text."""
-        return b"".join([self.odd.get(p) or p.encode() for p in pieces]) if self.odd else whole.encode()
+    def decoded(self, run: str) -> bytes:
+        """Bytes of ids joined by commas."""
+        return b"".join(map(self.raw.__getitem__, run.split(","))) if run else b""
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.blocks([text]) for _, run in p for i in run.split(",") if i]
@@ -188,17 +185,17 @@ class PairIndexBPE:
     def blocks(self, texts: Iterable) -> Iterator[Iterator[tuple[bytes, str]]]:
         """For each text (a string, or an Arrow one), runs of (decoded bytes, ids joined by commas). A long text has
         several runs. Of the texts of a block only the ids of known pieces are held, and the pieces that are new."""
-        held: list[tuple[str, list[str | None], list[str]]] = []
+        held: list[tuple[list[str | None], list[str]]] = []
         new: dict[str, None] = {}
         chars = 0
         for text in chain(texts, [None]):
             text = text.as_py() if isinstance(text, pa.Scalar) else text
             if held and (text is None or chars + len(text) > BLOCK_CHARS):
                 self.learn([*new])
-                for whole, known, unknown in held:
+                for known, unknown in held:
                     rest = iter(unknown)
                     run = ",".join([self.ids[next(rest)] if k is None else k for k in known] if unknown else known)
-                    yield iter([(self.decoded(self.pieces(whole) if self.odd else [], whole), run)])
+                    yield iter([(self.decoded(run), run)])
                 held, new, chars = [], {}, 0
                 self._within_bounds()
             if text is None:
@@ -212,14 +209,15 @@ class PairIndexBPE:
                 known = [*map(self.ids.get, pieces)]
                 unknown = [p for p, k in zip(pieces, known) if k is None] if None in known else []
                 new.update(dict.fromkeys(unknown))
-                held.append((text, known, unknown))
+                held.append((known, unknown))
                 chars += len(text)
 
     def long(self, text: str) -> Iterator[tuple[bytes, str]]:
         rest = self.stream(text)
         while ps := list(islice(rest, LONG_PIECES)):
             self.learn([*{*ps}.difference(self.ids)])
-            yield self.decoded(ps, "".join(ps)), ",".join(map(self.ids.__getitem__, ps))
+            run = ",".join(map(self.ids.__getitem__, ps))
+            yield self.decoded(run), run
             self._within_bounds()
 
 
@@ -237,7 +235,7 @@ def _columns(runs: Iterator[tuple[bytes, str]], outputs: list[str]) -> dict:
         if ids:
             ids_sha.update((ids if first else "," + ids).encode())
             n, first = n + ids.count(",") + 1, False
-        text_sha.update(raw)  # the pieces of valid UTF-8 are whole characters' bytes again, so replacement never applies
+        text_sha.update(raw)  # ids of a whole text give whole characters again, so replacement never applies
     if "token_ids" in outputs:
         out["token_ids"] = [int(i) for _, ids in runs for i in ids.split(",") if i]
     if "decoded" in outputs:

@@ -40,5 +40,16 @@ def test_small_blocks_and_a_small_memory_change_nothing(monkeypatch, library):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_decoded_text_comes_from_the_ids(spark, library):
+    """With another vocabulary for the way back, other text comes out; very long texts pass in runs."""
+    own = PairIndexBPE(BYTE_BPE)
+    a, b = library.token_to_id("a"), library.token_to_id("b")
+    own.raw[str(a)], own.raw[str(b)] = own.raw[str(b)], own.raw[str(a)]
+    assert b"".join(raw for run in own.blocks(["a b"]) for raw, _ in run).startswith(b"b ")
+    long = [" " * 5_000_000, "\n" * 5_000_000, "word " * 1_000_000]
+    rows = encode_bpe(spark.createDataFrame([*enumerate(long)], "doc_id bigint, text string"), BYTE_BPE, outputs=("n_tokens", "decoded_sha256")).collect()
+    assert {r["doc_id"]: r["decoded_sha256"] for r in rows} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(long)}
+
+
 def test_empty_table(empty):
     assert encode_bpe(empty, BYTE_BPE).count() == 0
