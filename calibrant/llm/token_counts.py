@@ -12,10 +12,12 @@ commit mark, counts for nothing and is written anew.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens
 FOLD_AFTER = 8
 
 
+#: White space from which on a text is split by the pattern here: the library's own splitter goes back over runs of it, and
+#: fails where a run is very long.
+LONG_SPACE = regex.compile(r"\s{10000}")
+SPLIT = regex.compile(PATTERN)
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[str], int]:
     """Tokens of a text by the vocabulary at path: a .tiktoken file of ranks, a sentencepiece .model or a tokenizers .json."""
@@ -36,8 +44,15 @@ def counter(path: str) -> Callable[[str], int]:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        encode = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda text: len(encode(text))
+        encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def tokens(text: str) -> int:
+            if not LONG_SPACE.search(text):
+                return len(encoding.encode_ordinary(text))
+            pieces = Counter(m[0] for m in SPLIT.finditer(text))
+            return sum(n * len(encoding._encode_single_piece(piece)) for piece, n in pieces.items())
+
+        return tokens
     if path.endswith(".model"):
         import sentencepiece
 

@@ -33,6 +33,25 @@ def test_counts_are_those_of_another_library(messy, counted, empty):
         tc.token_counts(messy, {"lang": VERSIONS["v1"]})
 
 
+def test_very_long_white_space(spark):
+    """Runs of blanks and line ends that the library's own splitter fails on, among them one before a word."""
+    texts = [" " * 5_000_000, "\n" * 1_000_000 + "word", "a" + " " * 20_000 + "b \n" * 3, " " * 9_999 + "x", "\t" * 10_001]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    counted = {r["doc_id"]: r for r in tc.token_counts(docs, {"a": VERSIONS["v1"], "b": VERSIONS["v2"]}, keys=("doc_id",)).collect()}
+    count = library()
+    assert all(counted[k]["a"] == count(t) for k, t in enumerate(texts) if len(t) < 50_000)
+    assert counted[0]["a"] > 0 and counted[1]["a"] > 1 and all(r["b"] > 0 for r in counted.values())
+
+
+def test_both_ways_of_splitting_agree(monkeypatch):
+    import regex
+
+    plain, texts = tc.counter(VERSIONS["v1"]), ["  a  b\n\n c", "don't   <|endoftext|>\t\t", "日本 \u00a0\u2003 x  ", "    "]
+    expected = [plain(t) for t in texts]
+    monkeypatch.setattr(tc, "LONG_SPACE", regex.compile(r"\s"))
+    assert [plain(t) for t in texts] == expected
+
+
 @pytest.mark.parametrize("fold_after", [1, 2, 100])
 def test_deltas_and_replays(spark, counted, fold_after):
     rows = counted
