@@ -38,9 +38,10 @@ def test_copies_of_a_third_are_cut_too(spark):
     assert max(sizes.values()) < 1.02 * min(sizes.values())
 
 
-def test_groups_of_equal_texts_stay_whole(spark):
-    """But for groups that weigh more than a share of a shard."""
-    docs = table(spark, "/root/testdata/sf0.1", "documents")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_groups_of_equal_texts_stay_whole(spark, sf):
+    """Every group that one shard can hold."""
+    docs = table(spark, f"/root/testdata/{sf}", "documents")
     rows = kd_shards(docs, shards=24).collect()
     groups, sizes = {}, {}
     for r in rows:
@@ -48,9 +49,27 @@ def test_groups_of_equal_texts_stay_whole(spark):
         sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
     leaf = sum(sizes.values()) / 24
     several = [g for g in groups.values() if len(g) > 1]
-    light = [g for g in several if sum(r["size"] for r in g) <= 0.04 * leaf]
-    assert len(several) > 500 and len(light) > 0.9 * len(several) and all(len({r["shard"] for r in g}) == 1 for g in light)
-    assert max(sizes.values()) < 1.05 * leaf and min(sizes.values()) > 0.95 * leaf
+    whole = [g for g in several if sum(r["size"] for r in g) <= leaf]
+    assert len(several) > 50 and whole == several and all(len({r["shard"] for r in g}) == 1 for g in whole)
+    largest = max(r["size"] for r in rows)
+    assert max(sizes.values()) < 1.05 * leaf + largest and min(sizes.values()) > 0.95 * leaf - largest
+
+
+def test_heavy_groups_find_room(spark):
+    """Groups of a half, a third and a fifth of a shard, and one of two shards: all but the last stay whole."""
+    counts = {"half": 500, "third": 333, "fifth": 200, "other": 480, "more": 510, "two": 2000}
+    texts = [f"{name:<24}" for name, n in counts.items() for _ in range(n)]
+    texts += [f"single {i:<17}" for i in range(8000 - len(texts))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    rows = kd_shards(docs, shards=8).collect()
+    sizes = check(rows, docs.collect(), 8)
+    assert max(sizes.values()) < 1.02 * min(sizes.values())
+    shards = {}
+    for r in rows:
+        shards.setdefault(texts[r["doc_id"]].strip(), set()).add(r["shard"])
+    assert all(len(shards[g]) == 1 for g in counts if g != "two") and len(shards["two"]) > 1
+    alone = spark.createDataFrame([(i, "a" if i < 50 else "b") for i in range(100)], "doc_id bigint, text string")
+    assert sorted(check(kd_shards(alone, shards=2, dims=("size",)).collect(), alone.collect(), 2).values()) == [450, 450]  # groups and no rows beside them
 
 
 def test_many_values_and_numbers_of_any_size(spark):
@@ -95,24 +114,40 @@ def plain_tree(docs, shards, share):
     for r in rows:
         groups.setdefault((r["t"], r["v"][0]), []).append(r)
     for (t, size), g in groups.items():
-        unit = len(g) > 1 and len(g) * size <= int(share * total / shards)
+        unit = len(g) > 1 and len(g) * size <= int(share * (total // shards))
+        heavy = len(g) > 1 and int(share * (total // shards)) < len(g) * size <= total // shards
         least = [size, *(min(r["v"][k] for r in g) for k in (1, 2))]
         for r in g:
             own = [spark_hash(42, (signed(t), 8) if unit else (r["id"], 8), (k, 4)) for k in range(3)]
             v = least if unit else r["v"]
+            r["group"] = (t - 2**64 if t >= 2**63 else t, size, len(g) * size) if heavy else None
             place = [min(2**24 - 1, int((v[k] - lo[k]) * ((2**24 - 1) / (hi[k] - lo[k])))) if hi[k] > lo[k] else 0 for k in range(3)]
             r["x"] = [(place[k] << 38) + ((t >> 44) << 18) + (own[k] >> 46) for k in range(3)]
-    spread = [max(1, max(r["x"][k] for r in rows) - min(r["x"][k] for r in rows)) for k in range(3)]
+    light = [r for r in rows if r["group"] is None]
+    spread = [max(1, max(r["x"][k] for r in light) - min(r["x"][k] for r in light)) for k in range(3)]
+    home = {}
 
-    def split(node, shard, n):
+    def split(node, groups, shard, n):
         for r in node:
             r["shard"] = shard
-        if n == 1 or not node:
+        home.update(dict.fromkeys(groups, shard))
+        if n == 1 or not node and not groups:
+            return
+        left = n // 2
+        whole = sum(r["v"][0] for r in node) + sum(g[2] for g in groups)
+        goal = whole * left // n
+        room, sides = [goal, whole - goal], ([], [])
+        for g in sorted(groups, key=lambda g: (-g[2], g)):
+            k = 0 if room[0] >= room[1] else 1
+            sides[k].append(g)
+            room[k] -= g[2]
+        if not node:
+            split([], sides[0], shard, left)
+            split([], sides[1], shard + left, n - left)
             return
         width = [(max(r["x"][k] for r in node) - min(r["x"][k] for r in node)) / spread[k] for k in range(3)]
         k = max(range(3), key=lambda k: (width[k], -k))
-        left = n // 2
-        goal, upto = sum(r["v"][0] for r in node) * left // n, 0
+        goal, upto = min(max(room[0], 0), sum(r["v"][0] for r in node)), 0
         weights = {}
         for r in node:
             weights[r["x"][k]] = weights.get(r["x"][k], 0) + r["v"][0]
@@ -121,11 +156,11 @@ def plain_tree(docs, shards, share):
             if upto >= goal:
                 cut = x if upto - goal <= goal - before else x - 1
                 break
-        split([r for r in node if r["x"][k] <= cut], shard, left)
-        split([r for r in node if r["x"][k] > cut], shard + left, n - left)
+        split([r for r in node if r["x"][k] <= cut], sides[0], shard, left)
+        split([r for r in node if r["x"][k] > cut], sides[1], shard + left, n - left)
 
-    split(rows, 0, shards)
-    return {r["id"]: r["shard"] for r in rows}
+    split(light, {r["group"] for r in rows if r["group"]}, 0, shards)
+    return {r["id"]: home[r["group"]] if r["group"] else r["shard"] for r in rows}
 
 
 @pytest.mark.parametrize("shards", [3, 8])
