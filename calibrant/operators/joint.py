@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from calibrant.functions.stats import conformal_rank, guarded_quantile
+from calibrant.operators.copula import radii_at, ranks, split_trajectories
 from calibrant.operators.pooled import order_statistics
+from calibrant.sources.shared import stored
 
 GAMMAS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5)  # fixed value: the usual learning-rate grid
 
@@ -110,25 +111,12 @@ def copula_bisection(panel: DataFrame, alpha: float, cal_split: float = 0.6, by:
     The bisection's limit is the order statistic of each trajectory's largest rank at ceil(n (1 - alpha)).
     """
     by = [*by]
-    cal = residuals(panel.where("split = 'cal'"))
-    windows = cal.groupBy(*by, "w").agg(F.countDistinct("series").alias("n"))  # a row a window
-    of_group = Window.partitionBy(*by)
-    windows = windows.withColumn("before", F.sum("n").over(of_group.orderBy("w")) - F.col("n")).withColumn("first", F.floor(F.lit(cal_split) * F.sum("n").over(of_group)))
-    inside = F.dense_rank().over(Window.partitionBy(*by, "w").orderBy("series"))
-    placed = cal.join(F.broadcast(windows), [*by, "w"]).withColumn("base", F.col("before") + inside <= F.col("first"))
-    errors = placed.where("base")
-    # The share of a step's errors that a trajectory's own reaches: running counts in one sort of each step.
-    of_step = Window.partitionBy(*by, "h")
-    ranked = placed.withColumn("below", F.sum(F.col("base").cast("int")).over(of_step.orderBy("r").rangeBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum(F.col("base").cast("int")).over(of_step))
-    ranks = ranked.where("NOT base").groupBy(*by, "series", "w").agg(F.max(F.col("below") / F.col("all")).alias("u"))
-    theta = order_statistics(ranks, by, "u", {"theta": lambda n: F.ceil(n * F.lit(1 - alpha))}).select(*by, F.least("theta", F.lit(1.0)).alias("theta"))
-    # Linear interpolation between the two order statistics around theta.
-    at = beside(errors.groupBy(*by, "h").agg(F.count("r").alias("n")), theta, by).select(*by, "h", (F.col("theta") * (F.col("n") - 1)).alias("at"))
-    own = errors.join(F.broadcast(at), [*by, "h"])
-    low = F.floor("at")
-    run = own.withColumn("place", F.row_number().over(of_step.orderBy("r")) - 1).where((F.col("place") == low) | (F.col("place") == low + 1))
-    both = run.groupBy(*by, "h", "at").agg(F.max(F.when(F.col("place") == low, F.col("r"))).alias("a"), F.max(F.when(F.col("place") == low + 1, F.col("r"))).alias("b"))
-    return both.select(*by, "h", (F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("at") - low)).alias("radius"))
+    cal = residuals(panel.where("split = 'cal'")).select(*by, "series", "w", "h", "r").where("r IS NOT NULL")
+    placed = stored(split_trajectories(cal, cal_split, by), "copula-errors")
+    top = ranks(placed, by).groupBy(*by, "series", "w").agg(F.max("u").alias("u"))
+    theta = order_statistics(top, by, "u", {"theta": lambda n: F.ceil(n * F.lit(1 - alpha))}).select(*by, F.least("theta", F.lit(1.0)).alias("theta"))
+    base = placed.where("base")
+    return radii_at(base, beside(base.select(*by, "h").distinct(), theta, by), by)
 
 
 def radii_of(paths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

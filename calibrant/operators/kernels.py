@@ -261,27 +261,6 @@ def acmcp(cal: np.ndarray, test: np.ndarray, alpha: float, h: int, ncal: int = 1
     return lo, up
 
 
-def copula_adam(scores: np.ndarray, alpha: float, cal_split: float = 0.6, epochs: int = 500, lr: float = 0.01, temperature: float = 20.0) -> np.ndarray:
-    """Radii by step from trajectories' errors (rows): a probability for each step, fitted by Adam so that the soft
-    share of trajectories below all of them is 1 - alpha; radii are those linear quantiles."""
-    first = max(1, int(cal_split * len(scores)))
-    base, rest = np.sort(scores[:first], axis=0), scores[first:]
-    ranks = np.column_stack([np.searchsorted(base[:, j], rest[:, j], side="right") / first for j in range(scores.shape[1])])
-    logit = np.full(scores.shape[1], np.log(np.clip(1 - alpha, 0.01, 0.99) / (1 - np.clip(1 - alpha, 0.01, 0.99))))
-    m, v = np.zeros_like(logit), np.zeros_like(logit)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-    for step in range(1, epochs + 1):
-        u = sigmoid(logit)
-        inside = sigmoid(temperature * (u - ranks))
-        every = inside.prod(axis=1)
-        gap = every.mean() - (1 - alpha)
-        slope = (every[:, None] * temperature * (1 - inside)).mean(axis=0) * u * (1 - u)
-        g = 2 * gap * slope
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
-        logit = np.clip(logit - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8), -6, 6)
-    return np.array([np.quantile(base[:, j], sigmoid(logit[j])) for j in range(scores.shape[1])])
-
-
 def key_seed(*key: object) -> int:
     return zlib.crc32(repr(key).encode())
 
@@ -338,18 +317,3 @@ def acmcp_bounds(rows: DataFrame, keys: list[str], alpha: float, e: str = "e", *
 
     types = dict(rows.dtypes)
     return rows.select(*keys, "w", "h", "split", e).groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {types[k]}" for k in keys) + f", w {types['w']}, h {types['h']}, q_lo double, q_up double")
-
-
-def copula_radii(panel: DataFrame, alpha: float, by: list[str] | None = None, **options) -> DataFrame:
-    """(by, h, radius) by the Adam variant; a group is one task's calibration trajectories, as arrays."""
-    by = by or []
-    steps = F.array_sort(F.collect_list(F.struct("h", F.abs(F.col("y") - F.col("yhat")).alias("r"))))
-    rows = panel.where("split = 'cal'").groupBy(*by, "series", "w").agg(F.transform(steps, lambda x: x["r"]).alias("r"))
-    rows = rows if by else rows.withColumn("__one", F.lit(1))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        radii = copula_adam(np.stack(pdf.sort_values(["w", "series"])["r"].to_numpy()), alpha, **options)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "h": np.arange(len(radii), dtype=np.int32), "radius": radii})
-
-    types = dict(rows.dtypes)
-    return rows.groupBy(*(by or ["__one"])).applyInPandas(fit, ", ".join([f"{k} {types[k]}" for k in by] + ["h int", "radius double"]))

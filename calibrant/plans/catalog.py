@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from calibrant.functions.scores import Score
 from calibrant.functions.stats import FIELDS
 from calibrant.operators import calibrate as cp
+from calibrant.operators import copula as cl
 from calibrant.operators import joint as jp
 from calibrant.operators import metrics as mt
 from calibrant.operators import ranks as rk
@@ -592,9 +593,34 @@ def acmcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn.acmcp_bounds(_errors(spark, sf_dir), ["series"], ALPHA)
 
 
-@register("copula_adam")
+EPOCHS, RATE = 25, 0.05  # of the registered fit; the operator's own are 500 and 0.01
+
+
+def _adam_sql(steps: int = 4) -> str:
+    """The fit by Adam over rank vectors, an epoch a recursion; then each step's linear quantile."""
+    each = lambda f, sep=", ": sep.join(f(k) for k in range(steps))
+    theta = lambda k: f"(1 / (1 + exp(-t{k})))"
+    return f"""WITH RECURSIVE {_R}, po AS (SELECT series, w, row_number() OVER (ORDER BY w, series) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT series, w FROM cal)),
+    lo AS (SELECT cal.*, pos, n FROM cal JOIN po USING (series, w)), e AS (SELECT h, list_sort(list(r)) AS es FROM lo WHERE pos < floor(0.6 * n) GROUP BY h),
+    u AS (SELECT pos, h, len(list_filter(es, lambda x: x <= r)) / len(es) AS u FROM lo JOIN e USING (h) WHERE pos >= floor(0.6 * n)),
+    v AS (SELECT {each(lambda k: f"max(u) FILTER (WHERE h = {k}) AS u{k}")} FROM u GROUP BY pos),
+    a AS (SELECT 0 AS step, {each(lambda k: f"0.8::DOUBLE AS t{k}, 0.0::DOUBLE AS m{k}, 0.0::DOUBLE AS v{k}")}
+        UNION ALL
+        SELECT step + 1, {each(lambda k: f"least(greatest(t{k} - {RATE}::DOUBLE * (n{k} / (1 - pow(0.9::DOUBLE, step + 1))) / (sqrt(w{k}) / sqrt(1 - pow(0.999::DOUBLE, step + 1)) + 1e-8::DOUBLE), -6.0), 6.0), n{k}, w{k}")}
+        FROM (SELECT *, {each(lambda k: f"0.9::DOUBLE * m{k} + 0.1::DOUBLE * g{k} AS n{k}, 0.999::DOUBLE * v{k} + 0.001::DOUBLE * g{k} * g{k} AS w{k}")}
+            FROM (SELECT *, {each(lambda k: f"sign(c - 0.8::DOUBLE) * d{k} * {theta(k)} * (1 - {theta(k)}) AS g{k}")}
+                FROM (SELECT step, {each(lambda k: f"t{k}, m{k}, v{k}")}, avg(p) AS c, {each(lambda k: f"avg(p * 20 * (1 - s{k})) AS d{k}")}
+                    FROM (SELECT *, {each(lambda k: f"s{k}", " * ")} AS p FROM (SELECT a.*, {each(lambda k: f"1 / (1 + exp(-20 * ({theta(k)} - u{k}))) AS s{k}")} FROM a, v WHERE step < {EPOCHS}))
+                    GROUP BY ALL)))),
+    th AS ({each(lambda k: f"SELECT {k} AS h, {theta(k)} AS theta FROM a WHERE step = {EPOCHS}", " UNION ALL ")}),
+    k AS (SELECT h, es, theta * (len(es) - 1) AS pos FROM e JOIN th USING (h))
+    SELECT h, round(es[1 + CAST(floor(pos) AS INT)] + (es[least(2 + CAST(floor(pos) AS INT), len(es))] - es[1 + CAST(floor(pos) AS INT)]) * (pos - floor(pos)), 6) AS radius FROM k"""
+
+
+@register("copula_adam", _adam_sql())
 def copula_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kn.copula_radii(ps.user_panel(spark, sf_dir), ALPHA)
+    """A probability for each step, fitted by gradients that are aggregates over all trajectories."""
+    return cl.adam_radii(ps.user_panel(spark, sf_dir), ALPHA, epochs=EPOCHS, lr=RATE)
 
 
 # Sources, splits, forecasters and streams ------------------------------------------------------------------------
@@ -911,7 +937,7 @@ def run_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("run_joint_all")
 def run_joint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=tuple(ev.JOINT)))
+    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=tuple(ev.JOINT), options={"CopulaCPTS_Adam": {"epochs": EPOCHS, "lr": RATE}}))
 
 
 @register("joint_cv", f"""WITH {sql.scored("user", "abs")}, p AS (SELECT *, {_fold_sql(5)} AS fold FROM scored),

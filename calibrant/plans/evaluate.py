@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from calibrant.functions.scores import Score, check, interval_fields, resolve
 from calibrant.functions.stats import conformal_quantile, weighted_quantile
 from calibrant.operators import calibrate as cp
+from calibrant.operators import copula as cl
 from calibrant.operators import folds as fd
 from calibrant.operators import joint as jp
 from calibrant.operators import kernels as kn
@@ -97,7 +98,7 @@ JOINT: dict[str, JointCalibrator] = {
     "CAFHT": lambda panel, alpha, by, **o: jp.radii_of(jp.cafht(panel, alpha, path=jp.aci_path, by=by, **o), by),
     "CAFHT_PID": lambda panel, alpha, by, **o: jp.radii_of(jp.cafht(panel, alpha, path=jp.pid_path, by=by, **o), by),
     "CopulaCPTS": lambda panel, alpha, by, **o: jp.copula_bisection(panel, alpha, by=by, **o),
-    "CopulaCPTS_Adam": lambda panel, alpha, by, **o: kn.copula_radii(panel, alpha, [*by], **o),
+    "CopulaCPTS_Adam": lambda panel, alpha, by, **o: cl.adam_radii(panel, alpha, by, **o),
 }
 #: Methods that learn along a fold's sequence: how they walk along it.
 WALKS: dict[str, tuple[Calibrator, Callable[..., sg.Steps]]] = {
