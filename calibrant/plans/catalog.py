@@ -627,6 +627,7 @@ def copula_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from calibrant.functions import forecasters as fc  # noqa: E402
 from calibrant.sources import datasets as dt  # noqa: E402
+from calibrant.streaming.stateful import adaptive_levels, run_files  # noqa: E402
 from calibrant.streaming.online import online_aci, run_available  # noqa: E402
 
 _USER_ARRAYS = "SELECT CAST(user_id AS VARCHAR) AS item_id, min(ts) AS start, list(value ORDER BY ts, event_id) AS target FROM events GROUP BY user_id"
@@ -894,17 +895,37 @@ report("search_rows", "SELECT task, model, method FROM res WHERE contains(lower(
 report("tidy_rows", "SELECT method, round_even(coverage, 2) AS coverage, 0.2::DOUBLE AS alpha, CAST(n_series AS DOUBLE) AS runtime, task, model FROM res")(lambda r: rp.tidy(r.select("method", "coverage", F.col("n_series").cast("double").alias("runtime"), "avg_width", "task", "model"), {"alpha": 0.2}, 2, drop=("avg_width",)))
 
 
+def _fed(scores: DataFrame, base: str, files: int = 4) -> None:
+    """The scores as files in order of windows: each file's windows follow those of the file before."""
+    last = scores.agg(F.max("w")).first()[0] or 0
+    for k in range(files):
+        own = scores.where((F.col("w") > (last + 1) * k // files - 1) & (F.col("w") <= (last + 1) * (k + 1) // files - 1))
+        own.coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+
 def _stream(spark: SparkSession, sf_dir: str, gamma: float) -> DataFrame:
-    """Scores as a file stream, four files of windows, through the online state of each series and step; the result as it
-    was written."""
+    """Scores as a file stream, a micro-batch a file of windows, through the online state of each series and step; the
+    result as it was written."""
     base = shared_path(spark, "stream")
     scores = user_scores(spark, sf_dir).select(*KEYS, F.col("w").cast("bigint").alias("w"), "s")
-    scores.repartition(4, "w").write.parquet(f"{base}/in")
-    source = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 100).parquet(f"{base}/in")
+    _fed(scores, base)
+    source = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     out = online_aci(source, KEYS, ALPHA, gamma, 20, test_from=ps.USER["cal"])
     return run_available(out, f"{base}/out", f"{base}/state").select(*KEYS, F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
 
 
+@register("stream_levels", _aci_sql(sql.scored("weekly", "abs"), ALPHA, 0.05, 20, pick="series, h, w, round(thr, 3) AS thr, round(a, 6) AS alpha_t", first=40))
+def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly panel's scores in micro-batches of windows, by a stateful processor with timers."""
+    base = shared_path(spark, "levels")
+    rows = sc.scored(ps.weekly_panel(spark, sf_dir), "abs", ALPHA, KEYS[:1]).select(*KEYS, F.col("w").cast("bigint").alias("w"), "s")
+    rows = rows.withColumn("at", F.timestamp_seconds(F.col("w") * 604_800)).withColumn("reset", F.lit(False))
+    _fed(rows, base, 3)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = adaptive_levels(source, KEYS, ALPHA, 0.05, 20, test_from=ps.WEEKLY["cal"], idle=10 * 604_800)
+    return run_files(out, f"{base}/out", f"{base}/state").where("late = 0").select(*KEYS, F.col("w").cast("int").alias("w"), F.round("thr", 3).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
+
+
 for _name, _gamma in {"stream_aci": 0.05, "stream_trailing": 0.0}.items():
     register(_name, _aci_sql(sql.scored("user", "abs"), ALPHA, _gamma, 20, pick="series, h, w, round(thr, 6) AS thr, round(a, 6) AS alpha_t"))(lambda s, d, g=_gamma: _stream(s, d, g))
 
