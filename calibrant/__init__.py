@@ -16,7 +16,12 @@ _FROM = {
     "calibrant.operators.kernels": ("acmcp_bounds", "online", "spci_bounds"),
     "calibrant.operators.metrics": ("by_horizon", "joint_coverage", "marks", "rolling", "scaled", "summary"),
     "calibrant.operators.pooled": ("medians", "order_statistics"),
-    "calibrant.plans.evaluate": ("Calibrator", "EvalConfig", "JointCalibrator", "register_calibrator", "register_joint", "run", "run_folds", "run_joint", "run_joint_folds", "run_single_step", "run_timed"),
+    "calibrant.operators.ranks": ("past_quantiles",),
+    "calibrant.operators.segments": ("scan",),
+    "calibrant.plans.cache": ("run_cached",),
+    "calibrant.sources.files": ("read_arrow", "read_npz", "write_arrow"),
+    "calibrant.streaming.stateful": ("adaptive_levels",),
+    "calibrant.plans.evaluate": ("Calibrator", "EvalConfig", "JointCalibrator", "register_calibrator", "register_joint", "run", "run_folds", "run_joint", "run_joint_folds", "run_single_step", "run_sweep", "run_timed"),
 }
 _HOME = {name: module for module, names in _FROM.items() for name in names}
 __all__ = sorted(_HOME)

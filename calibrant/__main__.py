@@ -14,6 +14,7 @@ from calibrant.operators import reports as rp
 from calibrant.plans import evaluate as ev
 from calibrant.sources import datasets as dt
 from calibrant.sources import store
+from calibrant.sources.shared import stored
 
 KEYS = ("task", "model", "series")
 
@@ -62,18 +63,25 @@ def forecast(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
 
 
 def cp_eval(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
-    """Every combination of alpha, score and calibration windows; one result file each, and all of their rows."""
+    """Every combination of alpha, score and calibration windows; one result file each, and all of their rows. Methods whose
+    thresholds are expressions of the past go through all combinations in one plan."""
     panel = store.read_panel(spark, o.predictions)
     for column, wanted in (("model", o.forecasters), ("task", o.tasks)):
         panel = panel.where(F.col(column).isin(*wanted)) if wanted else panel
     marginal, joint = ev.classify(tuple(o.methods))
     parts = []
+    mode = "cv" if o.cross_sectional_cv else "single-step" if o.single_step else "marginal"
+    scaled = {"iqr_scaled", "mad_scaled", "scaled_cqr"} & {*o.score_type}
+    at_once = mode == "marginal" and not o.runtime and not o.asymmetric and o.min_cal_windows <= 1 and {*marginal} <= {*ev.PAST} and not {"log", "signed"} & {*o.score_type} and not (scaled and {*o.cal_windows} != {-1})
+    if at_once:
+        swept = stored(ev.run_sweep(panel, tuple(o.alpha), tuple(o.score_type), ev.EvalConfig(methods=tuple(marginal)), KEYS, (o.window,), tuple(o.cal_windows)), "sweep")
     for alpha in o.alpha:
         for score in o.score_type:
             for cal in o.cal_windows:
                 config = ev.EvalConfig(alpha=alpha, score=score, methods=tuple(marginal), asymmetric=o.asymmetric, window=o.window, cal_windows=cal, min_cal_windows=o.min_cal_windows)
-                mode = "cv" if o.cross_sectional_cv else "single-step" if o.single_step else "marginal"
-                if o.cross_sectional_cv:
+                if at_once:
+                    rows = swept.where((F.col("alpha") == alpha) & (F.col("score") == config.score) & (F.col("cal_windows") == cal)).drop("alpha", "score", "cal_windows", "window")
+                elif o.cross_sectional_cv:
                     rows = ev.fold_average(ev.run_folds(panel, config, o.cross_sectional_cv, strategy=o.covariate_strategy, keys=KEYS), ("task", "model", "method"))
                 elif o.single_step:
                     rows = ev.run_single_step(panel, config, online=o.online, keys=KEYS)

@@ -14,7 +14,7 @@ from calibrant.functions.scores import interval_fields
 from calibrant.functions.stats import INF, finite
 
 
-def marks(rows: DataFrame, alpha: float, lo: str = "lo", hi: str = "hi") -> DataFrame:
+def marks(rows: DataFrame, alpha: float | Column, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """rows with covered, width and winkler (null where any of lo, hi, y isn't finite) and infinite."""
     a, b, y = finite(lo), finite(hi), finite("y")
     width = b - a

@@ -626,6 +626,7 @@ def copula_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources, splits, forecasters and streams ------------------------------------------------------------------------
 
 from calibrant.functions import forecasters as fc  # noqa: E402
+from calibrant.sources import files as fl  # noqa: E402
 from calibrant.sources import datasets as dt  # noqa: E402
 from calibrant.streaming.stateful import adaptive_levels, run_files  # noqa: E402
 from calibrant.streaming.online import online_aci, run_available  # noqa: E402
@@ -1168,3 +1169,44 @@ def run_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = ev.EvalConfig(methods=("SplitCP", "TrailingWindow"), window=20)
     ch.run_cached(spark, f"{base}/panel", config, f"{base}/results")
     return ch.run_cached(spark, f"{base}/panel", replace(config, methods=("SplitCP", "CFRNN", "TrailingWindow")), f"{base}/results")
+
+
+def _sweep_sql() -> str:
+    """Two levels, three scores, two trailing windows and two numbers of calibration windows."""
+    low, high = ("CASE alpha WHEN 0.2 THEN q10 ELSE q20 END", "CASE alpha WHEN 0.2 THEN q90 ELSE q80 END")
+    s = "CASE score WHEN 'abs' THEN abs(y - yhat) WHEN 'squared' THEN (y - yhat) * (y - yhat) ELSE greatest(nlo - y, y - nhi) END"
+    at = lambda xs, correction: f"CASE alpha WHEN 0.2 THEN {sql.quantile(xs, 0.2, correction)} ELSE {sql.quantile(xs, 0.4, correction)} END"
+    side = lambda sign, q: f"CASE score WHEN 'abs' THEN yhat {sign} thr WHEN 'squared' THEN yhat {sign} sqrt(greatest(thr, 0.0)) ELSE {q} {sign} thr END"
+    ok = "isfinite(lo) AND isfinite(hi) AND y IS NOT NULL"
+    by = "alpha, score, cal_windows, win, method"
+    return f"""WITH {sql.panel("user")}, x AS (SELECT *, {low} AS nlo, {high} AS nhi FROM panel, (SELECT unnest([0.2::DOUBLE, 0.4::DOUBLE]) AS alpha), (SELECT unnest(['abs', 'squared', 'cqr']) AS score)),
+    sd AS (SELECT *, {s} AS s FROM x),
+    fr AS (SELECT *, list_sort(list(s) FILTER (WHERE split = 'cal') OVER k) AS c_all, list_sort(list(s) FILTER (WHERE split = 'cal' AND w >= 2) OVER k) AS c_3,
+        list_sort(list(s) OVER (PARTITION BY series, h, alpha, score ORDER BY w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) AS p_5,
+        list_sort(list(s) OVER (PARTITION BY series, h, alpha, score ORDER BY w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS p_20 FROM sd WINDOW k AS (PARTITION BY series, h, alpha, score)),
+    co AS (SELECT fr.*, cal_windows, win, CASE cal_windows WHEN 3 THEN c_3 ELSE c_all END AS cs, CASE win WHEN 5 THEN p_5 ELSE p_20 END AS ts FROM fr, (VALUES (-1), (3)) a(cal_windows), (VALUES (5), (20)) b(win) WHERE split = 'test'),
+    th AS (SELECT *, 'SplitCP' AS method, {at("cs", True)} AS thr FROM co UNION ALL SELECT *, 'TrailingWindow', {at("ts", False)} FROM co),
+    iv AS (SELECT {by}, series, w, h, y, {side("-", "nlo")} AS lo, {side("+", "nhi")} AS hi FROM th UNION ALL SELECT alpha, score, cal_windows, win, 'Native', series, w, h, y, nlo, nhi FROM co),
+    mk AS (SELECT *, CASE WHEN {ok} THEN CAST(y >= lo AND y <= hi AS INT)::DOUBLE END AS covered, CASE WHEN {ok} THEN hi - lo END AS width, CASE WHEN {ok} THEN hi - lo + (2 / alpha) * greatest(lo - y, y - hi, 0.0) END AS winkler FROM iv),
+    {sql.horizon_metrics(by=by)},
+    jc AS (SELECT {by}, avg(CAST(a AS INT)::DOUBLE) AS joint_coverage FROM (SELECT {by}, series, w, bool_and(coalesce(covered = 1, false)) AS a FROM mk GROUP BY ALL) GROUP BY ALL),
+    su AS (SELECT {by}, avg(coverage) AS coverage, avg(avg_width) AS avg_width, avg(winkler_score) AS winkler_score FROM mh GROUP BY ALL),
+    nv AS (SELECT alpha, score, cal_windows, win, avg_width AS nw, winkler_score AS nk FROM su WHERE method = 'Native')
+    SELECT alpha, score, cal_windows, win AS "window", method, {_MEANS}, round(avg_width / CASE WHEN nw > 1e-8 THEN nw ELSE 1 END, 6) AS scaled_width, round(winkler_score / CASE WHEN nk > 1e-8 THEN nk ELSE 1 END, 6) AS scaled_winkler
+    FROM su JOIN jc USING ({by}) JOIN nv USING (alpha, score, cal_windows, win)"""
+
+
+@register("run_sweep", _sweep_sql())
+def run_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All combinations from one read of the panel and one sort of each key."""
+    config = ev.EvalConfig(methods=("SplitCP", "TrailingWindow"))
+    return ev.run_sweep(ps.user_panel(spark, sf_dir), (0.2, 0.4), ("abs", "squared", "cqr"), config, windows=(5, 20), cal_windows=(-1, 3))
+
+
+@register("io_arrow_source", f"{_A} SELECT item_id, CAST(len(target) AS INT) AS n, round(list_sum(target), 6) AS total FROM a")
+def io_arrow_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series as Arrow files, and back by many tasks a file, without the columns that aren't asked for."""
+    path = shared_path(spark, "arrow-files")
+    fl.write_arrow(user_arrays(spark, sf_dir).drop("start"), path).agg(F.sum("rows")).collect()
+    rows = fl.read_arrow(spark, path, columns=["item_id", "target"])
+    return rows.select("item_id", F.size("target").alias("n"), F.aggregate("target", F.lit(0.0), lambda s, v: s + v).alias("total"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from calibrant.functions.scores import Score, check, interval_fields, resolve
-from calibrant.functions.stats import conformal_quantile, weighted_quantile
+from calibrant.functions.stats import conformal_quantile, finite, weighted_quantile
 from calibrant.operators import calibrate as cp
 from calibrant.operators import copula as cl
 from calibrant.operators import folds as fd
@@ -298,6 +298,68 @@ def _all(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return every
 
 
+def run_sweep(panel: DataFrame, alphas: tuple[float, ...], scores: tuple[str, ...], config: EvalConfig, keys: tuple[str, ...] = ("series",), windows: tuple[int, ...] | None = None, cal_windows: tuple[int, ...] = (-1,)) -> DataFrame:
+    """run() of every combination of alpha, score, trailing window and number of calibration windows (-1: all), in one plan:
+    a row for each group of keys, combination and method. alpha, score and methods of config don't count but for
+    the methods' names and options.
+
+    The panel is read once but for its scales, if a score needs them. A key is a series' step, alpha and score; its sorted
+    calibration scores serve all of its methods, and so does one trailing array for each window. Methods are those whose
+    threshold is an expression of the past; Native has no score, so it is told with each. Log scores, whose
+    groups may fall back to another, go through run(), and so do scaled ones where calibration windows are left out, for
+    their scales then are others."""
+    names, groups = classify(config.methods)[0], [k for k in keys if k != "series"]
+    if other := [n for n in names if n not in PAST or MARGINAL[n].thresholds is not PAST[n][0]]:
+        raise ValueError(f"no sweep for {other}")
+    scores = tuple(map(resolve, scores))
+    scaled = {*scores} & {"iqr_scaled", "mad_scaled", "scaled_cqr"}
+    if bad := {"log", "signed"} & {*scores} | (scaled if {*cal_windows} != {-1} else set()):
+        raise ValueError(f"no sweep over {sorted(bad)}")
+    windows, by = windows or (config.window,), [*keys, "h"]
+    rows = unique_steps(panel, [*keys])
+    if "diff" in scores:
+        rows = sc.with_prev(rows, [*keys])
+    rows = rows.select("*", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
+    if scaled:
+        scales = [sc.robust_scales(panel, a, groups).withColumn("alpha", F.lit(float(a))) for a in alphas]
+        every = scales[0]
+        for x in scales[1:]:
+            every = every.union(x)
+        rows = rows.join(F.broadcast(every), [*groups, "h", "alpha"])
+
+    def chosen(of: Callable[[Score], Column], score: str) -> Column:
+        """The expression at the row's alpha."""
+        got = F.lit(None).cast("double")
+        for a in alphas:
+            got = F.when(F.col("alpha") == a, of(Score(score, a))).otherwise(got)
+        return got
+
+    rows = rows.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("score"), finite(chosen(lambda k: k.score(), n)).alias("s")) for n in scores])))
+    key, cal = [*by, "alpha", "score"], F.col("split") == "cal"
+    rows = jp.beside(rows, panel.groupBy(*groups).agg((F.max("h") + 1).alias("__horizon"), (F.max(F.when(cal, F.col("w"))) + 1).alias("__end")), groups)
+    for c in cal_windows:
+        own = cal if c == -1 else cal & (F.col("w") >= F.col("__end") - c)
+        rows = rows.withColumn(f"__cal_{c}", F.array_sort(F.collect_list(F.when(own, F.col("s"))).over(Window.partitionBy(*key))))
+    for w in windows:
+        rows = cp.with_past(rows, key, "w", "s", w, f"__past_{w}")
+    rows, made = rows.where("split = 'test'"), []
+    for c in cal_windows:
+        for w in windows:
+            told = [F.lit(c).alias("cal_windows"), F.lit(w).alias("window")]
+            low, high = ([f(a) for a in alphas] for f in (lambda a: F.col(f"q.{interval_fields(a)[0]}"), lambda a: F.col(f"q.{interval_fields(a)[1]}")))
+            pick = lambda each: F.coalesce(*[F.when(F.col("alpha") == a, x) for a, x in zip(alphas, each)])
+            made.append(F.struct(*told, F.lit("Native").alias("method"), pick(low).alias("lo"), pick(high).alias("hi")))
+            for n in names:
+                past = Past(F.col(f"__cal_{c}"), F.col(f"__past_{w}"), config.options.get(n, {}))
+                thr = f"__thr_{n}_{c}_{w}"
+                rows = rows.withColumn(thr, F.coalesce(*[F.when(F.col("alpha") == a, PAST[n][1](past, a, F.col("__horizon"))) for a in alphas]))
+                sides = [F.coalesce(*[F.when(F.col("score") == k, chosen(lambda x, i=i, t=thr: x.bounds(t, t)[i], k)) for k in scores]) for i in (0, 1)]
+                made.append(F.struct(*told, F.lit(n).alias("method"), sides[0].alias("lo"), sides[1].alias("hi")))
+    each = rows.select(*key, "w", "y", F.inline(F.array(*made)))
+    combination = [*groups, "alpha", "score", "cal_windows", "window"]
+    return mt.scaled(mt.summary(mt.marks(each, F.col("alpha")), [*combination, "method"]), combination)
+
+
 def run_timed(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """run(), a method at a time, with the runtime of each in seconds. A method's rows are as many as there are groups."""
     spark, every = panel.sparkSession, None
