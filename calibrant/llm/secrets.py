@@ -114,7 +114,7 @@ def novel_spans(text: str, known: list[tuple[int, int, str]], novelty: Novelty,
             end_of_last, place = max(end_of_last, taken[place][1]), place + 1
         if end_of_last > a:
             continue
-        x = m.group().strip("=.-/")
+        x = m.group().lstrip("=.-/").rstrip(".-")  # a key may end with a slash or padding
         a += m.group().index(x)
         b = a + len(x)
         if not _like_a_key(x, text, a, b):

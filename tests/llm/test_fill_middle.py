@@ -18,7 +18,10 @@ def test_query_gives_the_rows_of_its_sql(spark):
 
 def test_units():
     text = "ab1  Cé,\nx\n\n日"
-    at = lambda unit: [text[a:b] for a, b in zip((x := boundaries(points_of(text), unit))[:-1], x[1:])]
+    def at(unit):
+        x = boundaries(points_of(text), unit)
+        return [text[a:b] for a, b in zip(x[:-1], x[1:])]
+
     assert at("chars") == list(text)
     assert at("words") == ["ab1", "  ", "Cé,", "\n", "x", "\n\n", "日"]
     assert at("kinds") == ["ab", "1", "  ", "Cé", ",", "\n", "x", "\n\n", "日"]

@@ -5,11 +5,10 @@ import re
 import string
 from hashlib import sha256
 
-from oracle import SF
-
 from calibrant.llm import queries
 from calibrant.llm.secrets import ASSIGN, CODE_WORDS, Novelty, base_spans, identifier_dictionary, novel_spans, secret_scan
 
+SF = "/root/testdata/sf0.01"  # the smallest tables have no assigned secret
 LETTERS = string.ascii_letters + string.digits + "+/"
 DICTIONARY = CODE_WORDS.encode()
 
