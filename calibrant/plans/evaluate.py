@@ -410,7 +410,7 @@ def run_joint(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("se
         raise ValueError("no joint method")
     groups = tuple(k for k in keys if k != "series")
     panel = unique_steps(eligible(panel, config, [*groups]), [*keys])
-    parts = [jp.with_radii(panel, JOINT[n](panel, config.alpha, groups, **config.options.get(n, {})), groups).withColumn("method", F.lit(n)) for n in names]
+    parts = [jp.with_radii(panel, JOINT[n](panel, config.alpha, by=groups, **config.options.get(n, {})), groups).withColumn("method", F.lit(n)) for n in names]
     return mt.summary(mt.marks(_all(parts, [*keys]), config.alpha), [*groups, "method"])
 
 
