@@ -166,17 +166,18 @@ def unified(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All result CSVs under root, written as folders or single files, with the parameters from their names; files may have
-    columns in any order, some of them, and under older names. NaN and infinite metrics become null."""
+    columns in any order, some of them, and under older names. NaN and infinite metrics become null. No files give no rows."""
     wanted = spark.createDataFrame([], schema).schema
     reader = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root).select(F.input_file_name().alias("f"), "value")
-    first = lines.groupBy("f").agg(F.first("value").alias("header"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root)
+    # A file's first split is read by one task in order; rows of its other splits can't come first.
+    first = lines.where("_metadata.file_block_start = 0").select(F.input_file_name().alias("f"), "value").groupBy("f").agg(F.first("value").alias("header"))
     headers = {r[0] for r in first.select("header").distinct().collect()}  # the kinds of files, a few
     parts = []
     for h in sorted(headers):
         files = [r[0] for r in first.where(F.col("header") == h).select("f").collect()]
         parts.append(unified(reader.csv(files).withColumn("__file", F.input_file_name()), wanted))
-    rows = parts[0]
+    rows = parts[0] if parts else spark.createDataFrame([], wanted).withColumn("__file", F.lit(""))
     for x in parts[1:]:
         rows = rows.unionByName(x)
     name = F.regexp_extract("__file", r"([^/]+)\.csv(?:/|$)", 1)

@@ -107,3 +107,21 @@ def test_exports():
     assert all(callable(getattr(calibrant, n)) or n == "SCORES" for n in calibrant.__all__)
     with pytest.raises(AttributeError):
         calibrant.nothing
+
+
+def test_results_of_many_splits_and_of_none(spark, tmp_path):
+    """A file's header is its first line, however many tasks read it."""
+    (tmp_path / "r").mkdir()
+    rows = "".join(f"m{k},{k / 1000}\n" for k in range(500))
+    (tmp_path / "r" / "x_alpha0.2_abs_all_marginal.csv").write_text("method,coverage\n" + rows)
+    (tmp_path / "r" / "y_alpha0.1_cqr_all_marginal.csv").write_text("coverage_mean,method\n0.5,other\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        got = store.read_results(spark, str(tmp_path / "r"), "method string, coverage double").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(got) == 501 and {r["method"]: r["coverage"] for r in got}["other"] == 0.5
+    assert all(r["coverage"] == int(r["method"][1:]) / 1000 for r in got if r["method"] != "other")
+    (tmp_path / "none").mkdir()
+    assert store.read_results(spark, str(tmp_path / "none"), "method string, coverage double").count() == 0
