@@ -1,15 +1,17 @@
 """Licence scan: a trained paragraph classifier, with DataFrame operations only.
 
-A paragraph is a block between empty lines, and each line of a block of several.
+A paragraph is a block between empty lines, each line of a block of several, and each sentence of several.
 Its features are the words, word pairs and word triples of licence notices that
 hold a word of licensing or, with a negation, one of the notices' verbs. A
 multinomial logistic regression gives every class a weight per feature: the
 families, "unknown" (other licences, and mentions that grant nothing) and "none"
 (ordinary text). It is fitted on notices, their variants and a bounded sample of
 ordinary paragraphs. Whole notices are held out first, and calibrate its
-temperature and the probability that a family needs; then all are learned. A prediction stands when enough of a
-template of its family is found in the paragraph, and no other family's
-template fits better.
+temperature and the probability that a family needs; then all are learned. Every family that is likely enough
+against "unknown" and "none" is compared with its templates: the likeliest one stands when enough of one of its notices,
+or of a name in a sentence that grants, is found, and no other family's fits better; further ones stand when a whole
+name of theirs is in a sentence that grants. A sentence grants by its words (GRANTS, and no DENIED), or by being little
+else than the name.
 
 Documents without a word of licensing have no feature, so they are passed over
 by a pattern; paragraphs of the others are joined with the broadcast features
@@ -18,6 +20,7 @@ where they lie, and only what matches is shuffled.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -45,17 +48,21 @@ ORDINARY_WEIGHT = 0.02
 HOLD = 4
 #: Stands for a whole block where others have the number of a line.
 BLOCK = -1
+#: Stands for a whole block or line where sentences have their number.
+WHOLE = -1
+#: Where a sentence ends.
+SENTENCES = r"(?<=[.!?;])\s+"
 
 # Words of licensing (after licenc- has become licens-), and patterns that find every text that has one.
 ANCHORS = (
     "license", "licenses", "licensed", "licensing", "licensor", "licensee", "sublicense", "unlicense", "copyright", "copyrighted", "copyrights", "copyleft",
     "gnu", "gpl", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv3", "agpl", "agplv3", "apache", "bsd", "mozilla", "mpl", "expat", "spdx", "commons", "cc", "cc0",
     "attribution", "noncommercial", "sharealike", "redistribute", "redistributed", "redistribution", "redistributions", "unencumbered", "waived", "domain",
-    "hereby", "permission", "permitted", "reserved", "reproduced", "proprietary", "confidential", "unauthorized", "merchantability", "warranty",
+    "wtfpl", "hereby", "permission", "permitted", "reserved", "reproduced", "proprietary", "confidential", "unauthorized", "merchantability", "warranty",
 )
 STEMS = (
     r"licen[cs]|c(?:opy(?:right|left)|ommons|onfidential)|(?<![a-z0-9])cc|g(?:nu|pl)|a(?:pache|ttribution)|bsd|m(?:ozilla|pl|erchantability)|expat|s(?:pdx|harealike)"
-    r"|noncommercial|re(?:distribut|served|produced)|un(?:encumbered|authorized)|wa(?:ived|rranty)|domain|hereby|p(?:ermi(?:ssion|tted)|roprietary)"
+    r"|wtfpl|noncommercial|re(?:distribut|served|produced)|un(?:encumbered|authorized)|wa(?:ived|rranty)|domain|hereby|p(?:ermi(?:ssion|tted)|roprietary)"
 )
 NEGATORS = ("not", "never", "unlike", "longer", "without")
 
@@ -65,8 +72,8 @@ NAMES: dict[str, tuple[str, ...]] = {
     "LGPL": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v3", "LGPLv3", "LGPL-2.1-or-later", "GNU Lesser General Public License"),
     "AGPL": ("GNU Affero General Public License, version 3", "AGPLv3", "GNU AGPL v3", "AGPL-3.0-only"),
     "Apache": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "Apache Software License"),
-    "MIT": ("MIT License", "MIT License (MIT)", "MIT/X11 License", "Expat License"),
-    "BSD": ("3-clause BSD License", "BSD-3-Clause", "BSD 2-Clause License", "New BSD License", "BSD-style license"),
+    "MIT": ("MIT License", "MIT License (MIT)", "MIT/X11 License", "Expat License", "MIT"),
+    "BSD": ("3-clause BSD License", "BSD-3-Clause", "BSD 2-Clause License", "New BSD License", "BSD-style license", "BSD"),
     "MPL": ("Mozilla Public License, version 2.0", "MPL-2.0", "Mozilla Public License 1.1", "MPL 2.0"),
     "CC-BY-NC": ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-3.0", "CC BY-NC-ND 4.0"),
     "CC-BY": ("CC BY 4.0", "CC BY-SA 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC-BY-3.0"),
@@ -74,7 +81,7 @@ NAMES: dict[str, tuple[str, ...]] = {
 }
 OTHERS = (
     "Eclipse Public License 2.0", "EPL-2.0 license", "ISC License", "Boost Software License 1.0", "zlib License", "Artistic License 2.0", "SIL Open Font License", "European Union Public License", "Microsoft Public License",
-    "PostgreSQL License", "Academic Free License", "Common Public License", "Python Software Foundation License", "Universal Permissive License", "IBM Public License", "Open Software License",
+    "PostgreSQL License", "Academic Free License", "Common Public License", "Python Software Foundation License", "Universal Permissive License", "IBM Public License", "Open Software License", "WTFPL",
 )
 
 # How notices speak of a licence, and how texts do that grant nothing.
@@ -83,6 +90,12 @@ PHRASES = (
     "License: {}", "SPDX-License-Identifier: {}", "The source code is available under the {}.", "Published under {}.", "See the {} for details.", "Licensed under {}.",
 )
 DENIALS = ("It is not licensed under the {}.", "This is not released under the {}.", "It is no longer available under the {}.", "Unlike the {}, these terms forbid copies.", "This code may not be used under the {}.", "Never licensed under the {}.", "not under the {}", "Not licensed under the {}.", "This file is not licensed under {}.")
+MENTIONS = ("The {} is popular among developers.", "We compared the {} with others.", "Many companies dislike the {}.", "The {} was written long ago.")
+#: What a sentence says that puts something under the licence it names, and what takes that back.
+GRANTS = r"(?:licen[cs]ed|released|distributed|available|published|provided|offered|code|work|software|use)\s+under\b|under the terms|licen[cs]e(?:-identifier)?\s*[:=]|\b(?:see|uses?) the\b|governed by|subject to|dedicated"
+DENIED = r"\b(?:not|never|unlike|longer)\b"
+#: Words that a sentence without a grant may have beside the name.
+BESIDE = 2
 
 # Usual notices of the families, and sentences with words of licensing that are none.
 TEMPLATES: dict[str, list[str]] = {
@@ -162,8 +175,9 @@ class LicenceModel:
     temperature: float
     level: float
     templates: dict[str, list[str]]
-    held_right: float  # share of the held-out notices of a family that were given it
-    held_false: float  # share of the held-out mentions of other licences, and denials, that were given a family
+    held_right: float  # recall: share of the held-out notices of a family that were given it before others
+    held_false: float  # share of the held-out other licences, denials and mentions that were given a family
+    held_precision: float  # share of right ones among the held-out paragraphs that were given a family
 
 
 def words(text: Column) -> Column:
@@ -193,12 +207,23 @@ def grams(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return near.select(*keys, F.explode(F.array(one, two, three)).alias("g")).where("g IS NOT NULL")
 
 
-def _pairs(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, g): word pairs of each text, once; the word itself where it is the only one."""
-    runs = _runs(units, keys, words(F.col(text)))
-    alone = F.size(words(F.col(text))) == 1
-    single = units.where(alone).select(*keys, F.get(words(F.col(text)), 0).alias("g"))
-    return runs.where("b IS NOT NULL").select(*keys, F.concat_ws(" ", "a", "b").alias("g")).union(single).distinct()
+#: Names of one word.
+SINGLE = tuple(n.lower() for names in NAMES.values() for n in names if n.isalnum())
+
+
+def _pairs(units: DataFrame, keys: list[str], alone: bool = False) -> DataFrame:
+    """(keys, g): word pairs of each text, once, and the words that are names; with alone only where no other word is there."""
+    runs = _runs(units, keys, words(F.col("text")))
+    named = runs.where(F.col("a").isin(*SINGLE))
+    if alone:
+        named = named.join(runs.groupBy(*keys).count().where("count = 1"), keys, "left_semi")
+    return runs.where("b IS NOT NULL").select(*keys, F.concat_ws(" ", "a", "b").alias("g")).union(named.select(*keys, F.col("a").alias("g"))).distinct()
+
+
+def _sentences(units: DataFrame) -> DataFrame:
+    """UNIT, piece, text, grants and n_words of the sentences of each unit that don't deny."""
+    each = units.select(*UNIT, F.posexplode(F.split("text", SENTENCES)).alias("piece", "text")).where(~F.lower("text").rlike(DENIED))
+    return each.select(*UNIT, "piece", "text", F.lower("text").rlike(GRANTS).alias("grants"), F.size(words(F.col("text"))).alias("n_words"))
 
 
 def speaks(text: str) -> Column:
@@ -207,14 +232,18 @@ def speaks(text: str) -> Column:
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' other columns, paragraph (block between empty lines, from 0), line (BLOCK for the whole block) and text, for
-    every paragraph that may hold a word of licensing."""
+    """docs' other columns, paragraph (block between empty lines, from 0), line (BLOCK for the whole block), sentence
+    (WHOLE for a block or line) and text, for every paragraph that may hold a word of licensing. A sentence has line 0 in
+    a block of one line, else BLOCK, as it may lie on several."""
     rest = [c for c in docs.columns if c != text]
     blocks = docs.select(*rest, F.posexplode(F.split(text, r"\n[ \t\r\f]*\n")).alias("paragraph", "block")).where(speaks("block"))
-    whole = F.array(F.struct(F.lit(BLOCK).alias("line"), F.col("block").alias("text")))
-    lines = F.transform(F.split("block", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    units = F.when(F.size(lines) > 1, F.concat(whole, lines)).otherwise(lines)
-    made = blocks.select(*rest, "paragraph", F.explode(units).alias("u")).select(*rest, "paragraph", "u.line", "u.text")
+    unit = lambda line, sentence, x: F.struct(line.cast("int").alias("line"), sentence.cast("int").alias("sentence"), x.alias("text"))
+    lines = F.transform(F.split("block", "\n"), lambda x, i: unit(i, F.lit(WHOLE), x))
+    several = F.size(lines) > 1
+    told = F.transform(F.split("block", SENTENCES), lambda x, i: unit(F.when(several, BLOCK).otherwise(0), i, x))
+    whole = F.when(several, F.array(unit(F.lit(BLOCK), F.lit(WHOLE), F.col("block")))).otherwise(F.filter(lines, lambda u: F.lit(False)))
+    units = F.concat(whole, lines, F.when(F.size(told) > 1, told).otherwise(F.filter(told, lambda u: F.lit(False))))
+    made = blocks.select(*rest, "paragraph", F.explode(units).alias("u")).select(*rest, "paragraph", "u.line", "u.sentence", "u.text")
     return made.where(speaks("text"))
 
 
@@ -233,10 +262,11 @@ def notices(templates: dict[str, list[str]]) -> list[tuple[str, str, bool]]:
     out = [(c, v, k % HOLD == HOLD - 1) for c, ts in templates.items() for k, t in enumerate(ts) for v in variants(t)]
     for c, names in NAMES.items():
         for i, name in enumerate(names):
-            out += [(c, p.format(name), (i + k) % HOLD == HOLD - 1) for k, p in enumerate(PHRASES)]
-            out += [(UNKNOWN, p.format(name), (i + k) % HOLD == HOLD - 1) for k, p in enumerate(DENIALS)]
+            spoken = [(c, p.format(name), (i + k) % HOLD == HOLD - 1) for k, p in enumerate(PHRASES)]
+            spoken += [(UNKNOWN, p.format(name), (i + k) % HOLD == HOLD - 1) for ps in (DENIALS, MENTIONS) for k, p in enumerate(ps)]
+            out += [x for x in spoken if re.search(STEMS, x[1].lower())]  # others are passed over, as documents' are
     for i, name in enumerate(OTHERS):
-        out += [(UNKNOWN, p.format(name), i % HOLD == HOLD - 1) for p in (*PHRASES, *DENIALS)]
+        out += [(UNKNOWN, p.format(name), i % HOLD == HOLD - 1) for p in (*PHRASES, *DENIALS, *MENTIONS)]
     return out + [(NONE, s, k % HOLD == HOLD - 1) for k, s in enumerate(ORDINARY)]
 
 
@@ -276,18 +306,19 @@ def fit_licences(docs: DataFrame, text: str = "text", templates: dict[str, list[
     temperature = TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda k: got[f"t{k}"])]
     families = [k for k, c in enumerate(classes) if c not in (UNKNOWN, NONE)]
     scaled = F.transform("r", lambda v: v / temperature)
-    best = F.array_max(F.array(*[F.struct(F.get(scaled, k).alias("z"), F.lit(k).alias("k")) for k in families]))
-    tried = raw.select("label", best["k"].alias("k"), F.exp(best["z"] - _log_sum(scaled)).alias("p"))
+    best = F.array_max(F.array(*[F.struct(_against(scaled, k, unknown, none).alias("p"), F.lit(k).alias("k")) for k in families]))
+    tried = raw.select("label", best["k"].alias("k"), best["p"].alias("p"))
     over = lambda c, v: F.coalesce(F.avg(F.when(c, (F.col("p") >= v).cast("double"))), F.lit(0.0))
     shares = tried.agg(*[over(F.col("label") == unknown, v).alias(f"v{k}") for k, v in enumerate(LEVELS)]).first()
     chosen = next((k for k in range(len(LEVELS)) if shares[f"v{k}"] <= FALSE_SHARE), len(LEVELS) - 1)
     of_family = ~F.col("label").isin(none, unknown)
-    right = tried.agg(F.avg(F.when(of_family, ((F.col("k") == F.col("label")) & (F.col("p") >= LEVELS[chosen])).cast("double")))).first()[0]
+    given, hit = F.col("p") >= LEVELS[chosen], (F.col("k") == F.col("label")).cast("double")
+    right, precise = tried.agg(F.avg(F.when(of_family, hit * given.cast("double"))), F.avg(F.when(given, hit))).first()
     # Temperature and level stand; the weights are of all notices.
     model, _, vocabulary = fitted(found, listed)
     matrix = model.coefficientMatrix.toArray()
     weights = [(g, [float(v) for v in matrix[:, j]]) for j, g in enumerate(vocabulary)]
-    return LicenceModel(classes, [float(b) for b in model.interceptVector], weights, temperature, LEVELS[chosen], templates, right or 0.0, shares[f"v{chosen}"])
+    return LicenceModel(classes, [float(b) for b in model.interceptVector], weights, temperature, LEVELS[chosen], templates, right or 0.0, shares[f"v{chosen}"], precise or 0.0)
 
 
 def _log_sum(values: Column) -> Column:
@@ -295,7 +326,12 @@ def _log_sum(values: Column) -> Column:
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
 
 
-UNIT = ["doc_id", "row", "paragraph", "line"]
+def _against(logits: Column, family: int, *others: int) -> Column:
+    """The chance of one class against the others alone, so that several families of a paragraph can be likely."""
+    return 1 / reduce(lambda s, o: s + F.exp(F.get(logits, o) - F.get(logits, family)), others, F.lit(1.0))
+
+
+UNIT = ["doc_id", "row", "paragraph", "line", "sentence"]
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -303,9 +339,10 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, paragraph, line, family, confirmed, probability, similarity) for each paragraph that is likely of a
-    family (its probability reaches the model's level) or likelier of a licence than ordinary (family unknown, not
-    confirmed). paragraph counts blocks between empty lines, line the lines of a block (BLOCK: the block as a whole).
+    """(doc_id, row, paragraph, line, sentence, family, confirmed, probability, similarity) for each family that a paragraph is likely
+    of (its probability against "unknown" and "none" reaches the model's level), or once for a paragraph of no such family
+    that is likelier of a licence than ordinary (family unknown, not confirmed). paragraph counts blocks between empty lines, line the lines of a block (BLOCK: the block as a whole),
+    sentence its sentences (WHOLE: all of it).
     row is a hash of id and text, a null id is NO_ID."""
     spark = docs.sparkSession
     units = paragraphs(_keyed(docs, id, text).where(speaks("text")))
@@ -317,26 +354,37 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel, id: str = "doc_id", te
     logits = F.array(*[(F.col(f"s{c}") + F.lit(model.intercepts[c])) / F.lit(model.temperature) for c in classes])
     scored = sums.select(*UNIT, logits.alias("l")).select(*UNIT, "l", _log_sum(F.col("l")).alias("z"))
     chance = lambda c: F.exp(F.get("l", c) - F.col("z"))
-    families = [c for c in classes if model.classes[c] not in (UNKNOWN, NONE)]
-    best = F.array_max(F.array(*[F.struct(chance(c).alias("p"), F.lit(model.classes[c]).alias("family")) for c in families])).alias("b")
-    none = chance(model.classes.index(NONE)).alias("none")
-    likely = scored.select(*UNIT, best, none, chance(model.classes.index(UNKNOWN)).alias("other")).where((F.col("b.p") >= model.level) | (F.col("none") < 0.5))
-    named = F.col("b.p") >= model.level
-    likely = stored(likely.select(*UNIT, F.when(named, F.col("b.family")).otherwise(UNKNOWN).alias("family"), F.when(named, F.col("b.p")).otherwise(F.greatest("other", F.lit(0.0))).alias("probability")), "licence-likely")
-
-    texts = spark.createDataFrame([(c, i, t) for c, ts in templates_of(model).items() for i, t in enumerate(ts)], "family string, template int, text string")
-    pairs = _pairs(texts, ["family", "template"])
-    sized = F.broadcast(stored(pairs.join(pairs.groupBy("family", "template").agg(F.count("*").alias("n")), ["family", "template"]).withColumnRenamed("family", "of"), "licence-pairs"))
+    unknown, none = model.classes.index(UNKNOWN), model.classes.index(NONE)
+    families = [c for c in classes if c not in (unknown, none)]
+    each = F.array(*[F.struct(_against(F.col("l"), c, unknown, none).alias("p"), F.get("l", c).alias("l"), F.lit(model.classes[c]).alias("family")) for c in families])
+    ranked = scored.select(*UNIT, F.filter(each, lambda e: e["p"] >= model.level).alias("over"), chance(none).alias("none"), chance(unknown).alias("other"))
+    unsure = F.array(F.struct(F.col("other").alias("p"), F.lit(0.0).alias("l"), F.lit(UNKNOWN).alias("family")))
+    kept = ranked.where((F.size("over") > 0) | (F.col("none") < 0.5)).select(*UNIT, F.array_max(F.transform("over", lambda e: e["l"])).alias("most"), F.explode(F.when(F.size("over") > 0, F.col("over")).otherwise(unsure)).alias("e"))
+    likely = stored(kept.select(*UNIT, "e.family", F.col("e.p").alias("probability"), (F.col("e.l") == F.col("most")).alias("top")), "licence-likely")
+
+    listed = templates_of(model)
+    texts = spark.createDataFrame([(c, i, t, i >= len(model.templates.get(c, ()))) for c, ts in listed.items() for i, t in enumerate(ts)], "family string, template int, text string, is_name boolean")
+    pairs = _pairs(texts, ["family", "template", "is_name"], alone=True)
+    sizes = texts.select("family", "template", F.size(words(F.col("text"))).alias("length")).join(pairs.groupBy("family", "template").agg(F.count("*").alias("n")), ["family", "template"])
+    sized = stored(pairs.join(sizes, ["family", "template"]).withColumnRenamed("family", "of"), "licence-pairs")
+    notice, name = F.broadcast(sized.where("NOT is_name")), F.broadcast(sized.where("is_name"))
     wanted = likely.where(F.col("family") != UNKNOWN).select(*UNIT, "family")
     ids = stored(wanted.select("row").distinct(), "licence-rows")
     n = ids.count()
     # The likely paragraphs once more, now with their texts; few, so they are stored.
     again = paragraphs(_keyed(docs, id, text).join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "row", "left_semi"))
-    own = stored(again.join(wanted.select(*UNIT), UNIT, "left_semi").dropDuplicates(UNIT), "licence-texts")
-    shares = _pairs(own, UNIT).join(sized, "g").groupBy(*UNIT, "of", "template").agg((F.count("*") / F.first("n")).alias("s"))
-    fits = wanted.join(shares, UNIT).groupBy(*UNIT).agg(F.max(F.when(F.col("of") == F.col("family"), F.col("s"))).alias("similarity"), F.max("s").alias("nearest"))
-    out = likely.join(fits, UNIT, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    stands = (F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRMED) & (F.col("similarity") >= F.coalesce("nearest", F.lit(0.0)))
+    own = stored(again.join(wanted.select(*UNIT).distinct(), UNIT, "left_semi").dropDuplicates(UNIT), "licence-texts")
+    share = (F.count("*") / F.first("n")).alias("s")
+    whole = _pairs(own, UNIT).join(notice, "g").groupBy(*UNIT, "of", "template").agg(share).select(*UNIT, "of", "s", F.lit(0.0).alias("named"))
+    said = stored(_sentences(own), "licence-sentences")
+    by = [*UNIT, "piece", "grants", "n_words"]
+    inside = _pairs(said, by).join(name, "g").where("grants OR n_words <= length + " + str(BESIDE)).groupBy(*by, "of", "template").agg(share).select(*UNIT, "of", "s", F.col("s").alias("named"))
+    shares = whole.union(inside).groupBy(*UNIT, "of").agg(F.max("s").alias("s"), F.max("named").alias("named"))
+    mine = F.col("of") == F.col("family")
+    fits = wanted.join(shares, UNIT).groupBy(*UNIT, "family").agg(F.max(F.when(mine, F.col("s"))).alias("similarity"), F.max(F.when(mine, F.col("named"))).alias("named"), F.max("s").alias("nearest"))
+    out = likely.join(fits, [*UNIT, "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    first = F.col("top") & (F.col("similarity") >= CONFIRMED) & (F.col("similarity") >= F.coalesce("nearest", F.lit(0.0)))
+    stands = (F.col("family") != UNKNOWN) & F.coalesce(first | (F.col("named") >= 1.0), F.lit(False))
     return out.select(*UNIT, "family", stands.alias("confirmed"), "probability", "similarity")
 
 
@@ -349,14 +397,14 @@ def licence_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templa
     """One row per row of docs: doc_id, licence, families, n_paragraphs, paragraph, line, probability, similarity.
 
     Whole texts are read, by paragraphs (see scan_paragraphs). licence is the family of the confirmed paragraph of the
-    highest probability (ties: the first paragraph, a line before the whole block, the first line); unknown where a paragraph speaks of a licence
+    highest probability (ties: the first paragraph, a line before the whole block, the first line, the whole before the first sentence, the last family by name); unknown where a paragraph speaks of a licence
     that no template confirms; none otherwise, null and empty texts included. families are all confirmed ones, sorted;
     n_paragraphs counts blocks with a confirmed family, once for each of its families; paragraph, line, probability and
     similarity are of the paragraph that decides, null for none. Ids may be null or repeat: rows count by id and text.
     Other columns aren't read. An empty table gives no rows.
     """
     found = scan_paragraphs(docs, fit_licences(docs, text, templates), id, text)
-    first = F.max(F.struct("confirmed", "probability", (-F.col("paragraph")).alias("p"), (F.col("line") != BLOCK).alias("a_line"), (-F.col("line")).alias("l"), "family", "similarity")).alias("b")
+    first = F.max(F.struct("confirmed", "probability", (-F.col("paragraph")).alias("p"), (F.col("line") != BLOCK).alias("a_line"), (-F.col("line")).alias("l"), (-F.col("sentence")).alias("k"), "family", "similarity")).alias("b")
     sure = F.when(F.col("confirmed"), F.col("family"))
     per = found.groupBy("doc_id", "row").agg(first, F.array_sort(F.collect_set(sure)).alias("families"), F.countDistinct("paragraph", sure).alias("n_paragraphs"))
     per = stored(per, "licence-found")

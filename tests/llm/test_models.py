@@ -9,7 +9,7 @@ import pytest
 
 from calibrant.llm.common import table
 from calibrant.llm.decontaminate import BREAKS
-from calibrant.llm.licences import ANCHORS, STEMS, TEMPLATES, fit_licences, licence_scan, notices, templates_of
+from calibrant.llm.licences import ANCHORS, BESIDE, DENIED, GRANTS, SENTENCES, SINGLE, STEMS, TEMPLATES, fit_licences, licence_scan, notices, templates_of
 from calibrant.llm import quality as ql
 from calibrant.llm.quality import quality
 from calibrant.llm.queries import op2_toxicity, op9_quality
@@ -157,37 +157,50 @@ def test_licence_edges(spark, messy, empty, scan):
     assert licence_scan(empty).count() == 0
 
 
-NAMED = {"MIT License": "MIT", "The MIT License (MIT)": "MIT", "GPLv3": "GPL", "Apache-2.0": "Apache", "You can use this code under the MIT licence.": "MIT", "CC0 1.0 Universal": "Public-Domain", "We use the 3-clause BSD licence": "BSD", "LGPLv3": "LGPL", "Licensed under the GNU AGPL v3": "AGPL"}
+NAMED = {"MIT License": "MIT", "The MIT License (MIT)": "MIT", "GPLv3": "GPL", "Apache-2.0": "Apache", "You can use this code under the MIT licence.": "MIT", "CC0 1.0 Universal": "Public-Domain", "We use the 3-clause BSD licence": "BSD", "LGPLv3": "LGPL", "Licensed under the GNU AGPL v3": "AGPL", "Licensed under GPL.": "GPL", "Released under the LGPLv3.": "LGPL", "This work is licensed under the CC0.": "Public-Domain", "Published under AGPLv3.": "AGPL"}
+#: Names that put nothing under a licence, or under one of no family.
+MENTIONED = ["The MIT License is popular among developers.", "We chose not to use the Apache License, Version 2.0.", "A judge read the GPL aloud in March.", "WTFPL", "Released under the WTFPL."]
 OTHER = ["Boost Software License 1.0", "Eclipse Public License", "ISC License", "not licensed under the MIT License.", "It is not released under the Apache License 2.0", "Licensed under the Frobnicate License", "This file is not licensed under CC BY 4.0"]
 NOTHING = ["My driving licence expired in June.", "The committee reserved the right to change the text.", "She was granted permission to leave.", "", "license", "We have all\n\nrights reserved"]
 
 
 def test_short_names_other_licences_and_denials(spark, scan):
-    texts = [*NAMED, *OTHER, *NOTHING]
+    texts = [*NAMED, *OTHER, *NOTHING, *MENTIONED]
     got = {texts[r["doc_id"]]: r["licence"] for r in scan(frame(spark, texts))}
     assert {t: got[t] for t in NAMED} == NAMED
-    assert {got[t] for t in OTHER} == {"unknown"}
-    assert [t for t in NOTHING if got[t] not in ("none", "unknown")] == [] and sum(got[t] == "none" for t in NOTHING) >= 5
+    assert {got[t] for t in (*OTHER, *MENTIONED)} == {"unknown"}
+    assert [t for t in NOTHING if got[t] not in ("none", "unknown")] == [] and sum(got[t] == "none" for t in NOTHING) >= 5, {t: got[t] for t in NOTHING}
+
+
+def test_several_licences_of_a_paragraph(spark, scan):
+    texts = ["The code is dual licensed under MIT and Apache-2.0.", "Licensed under the GPLv3. The docs are available under the CC BY 4.0.", "Licensed under the MIT License. It is not available under the GPLv3."]
+    rows = {r["doc_id"]: r for r in scan(frame(spark, texts))}
+    assert [list(rows[i]["families"]) for i in range(3)] == [["Apache", "MIT"], ["CC-BY", "GPL"], ["MIT"]]
+    assert [rows[i]["n_paragraphs"] for i in range(3)] == [2, 2, 1]
 
 
 def test_held_out_notices(licences):
-    assert licences.held_right > 0.8 and licences.held_false <= 0.1
+    """Denials, other licences and mentions are among the held-out negatives."""
+    print(licences.held_right, licences.held_false, licences.held_precision, licences.level)
+    assert licences.held_right > 0.8 and licences.held_false <= 0.1 and licences.held_precision > 0.85
     assert sum(held for *_, held in notices(TEMPLATES)) > 200
 
 
 def test_scan_by_brute_force(spark, licences, scan):
     """The same classes by plain Python over every paragraph of the documents."""
-    docs = table(spark, "/root/testdata/sf0.001", "documents").limit(150).collect() + frame(spark, [*NAMED, *OTHER, "\n".join(NAMED), "a\n\nGPLv3\nb\n \nMIT License"]).collect()
+    docs = table(spark, "/root/testdata/sf0.001", "documents").limit(150).collect() + frame(spark, [*NAMED, *OTHER, *MENTIONED, "\n".join(NAMED), "The code is dual licensed under MIT and Apache-2.0.", "a\n\nGPLv3\nb\n \nMIT License"]).collect()
     weights, anchors = dict(licences.weights), {*ANCHORS}
     split = lambda t: [w for w in re.split(BREAKS, re.sub("licenc", "licens", re.sub("[A-Z]", lambda m: m[0].lower(), t))) if w]
-    pairs = lambda ws: {*zip(ws, ws[1:])} if len(ws) > 1 else {tuple(ws)}
-    templates = [(c, pairs(split(t))) for c, ts in templates_of(licences).items() for t in ts]
+    pairs = lambda ws: {*zip(ws, ws[1:])} | {(w,) for w in ws if w in SINGLE}
+    templates = [(c, split(t), t in licences.templates.get(c, ())) for c, ts in templates_of(licences).items() for t in ts]
+    templates = [(c, len(ws), {*zip(ws, ws[1:])} or {tuple(ws)}, notice) for c, ws, notice in templates]
     expected = {}
     for d in docs:
         sure, maybe = set(), False
         for block in re.split(r"\n[ \t\r\f]*\n", d["text"] or ""):
             lines = block.split("\n")
-            for unit in [block, *lines] if len(lines) > 1 else lines:
+            told = re.split(SENTENCES, block)
+            for unit in [block, *lines, *told]:
                 ws = split(unit)
                 if not anchors & {*ws} and not re.search(STEMS, unit.lower()):
                     continue
@@ -195,16 +208,21 @@ def test_scan_by_brute_force(spark, licences, scan):
                 if not gs:
                     continue
                 z = (np.array(licences.intercepts) + sum(np.array(weights[g]) for g in gs)) / licences.temperature
-                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-                p = dict(zip(licences.classes, p))
-                best = max((c for c in p if c not in ("unknown", "none")), key=lambda c: p[c])
-                if p[best] >= licences.level:
-                    fits = {c: max(len(pairs(ws) & t) / len(t) for k, t in templates if k == c) for c in p if c not in ("unknown", "none", "Proprietary") or c in licences.templates}
-                    if fits[best] >= 0.6 and fits[best] >= max(fits.values()) - 1e-12:
-                        sure.add(best)
-                    maybe = True
-                elif p["none"] < 0.5:
-                    maybe = True
+                z = dict(zip(licences.classes, z))
+                none = np.exp(z["none"]) / sum(np.exp(v) for v in z.values())
+                over = [c for c in z if c not in ("unknown", "none") and np.exp(z[c]) / sum(np.exp(z[k]) for k in (c, "unknown", "none")) >= licences.level]
+                maybe = maybe or bool(over) or none < 0.5
+                said = [(split(x), re.search(GRANTS, x.lower())) for x in re.split(SENTENCES, unit) if not re.search(DENIED, x.lower())]
+                whole, named = dict.fromkeys(z, 0.0), dict.fromkeys(z, 0.0)
+                for c, n, t, notice in templates:
+                    if notice:
+                        whole[c] = max(whole[c], len(pairs(ws) & t) / len(t))
+                    else:
+                        named[c] = max([named[c], *(len(pairs(x) & t) / len(t) for x, grants in said if grants or len(x) <= n + BESIDE)])
+                fits = {c: max(whole[c], named[c]) for c in z}
+                for c in over:
+                    if named[c] >= 1 or z[c] == max(z[k] for k in over) and fits[c] >= max(0.6, max(fits.values()) - 1e-12):
+                        sure.add(c)
         expected.setdefault((d["doc_id"], d["text"]), (sorted(sure), "none" if not maybe else "unknown" if not sure else None))
     df = spark.createDataFrame([(i, d["text"]) for i, d in enumerate(docs)], "doc_id bigint, text string")
     for r in scan(df):
