@@ -237,13 +237,16 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     a block of one line, else BLOCK, as it may lie on several."""
     rest = [c for c in docs.columns if c != text]
     blocks = docs.select(*rest, F.posexplode(F.split(text, r"\n[ \t\r\f]*\n")).alias("paragraph", "block")).where(speaks("block"))
-    unit = lambda line, sentence, x: F.struct(line.cast("int").alias("line"), sentence.cast("int").alias("sentence"), x.alias("text"))
-    lines = F.transform(F.split("block", "\n"), lambda x, i: unit(i, F.lit(WHOLE), x))
-    several = F.size(lines) > 1
-    told = F.transform(F.split("block", SENTENCES), lambda x, i: unit(F.when(several, BLOCK).otherwise(0), i, x))
-    whole = F.when(several, F.array(unit(F.lit(BLOCK), F.lit(WHOLE), F.col("block")))).otherwise(F.filter(lines, lambda u: F.lit(False)))
-    units = F.concat(whole, lines, F.when(F.size(told) > 1, told).otherwise(F.filter(told, lambda u: F.lit(False))))
-    made = blocks.select(*rest, "paragraph", F.explode(units).alias("u")).select(*rest, "paragraph", "u.line", "u.sentence", "u.text")
+    unit = lambda line, sentence, x: F.struct(line.alias("line"), sentence.alias("sentence"), x.alias("text"))
+    nothing = F.array().cast("array<struct<line:int,sentence:int,text:string>>")
+    parts = blocks.select(*rest, "paragraph", "block", F.split("block", "\n").alias("ls"), F.split("block", SENTENCES).alias("ts"))
+    whole = F.when(F.size("ls") > 1, F.array(unit(F.lit(BLOCK), F.lit(WHOLE), F.col("block"))))
+    lines = F.transform("ls", lambda x, i: unit(i, F.lit(WHOLE), x))
+    told = F.when(F.size("ts") > 1, F.transform("ts", lambda x, i: unit(F.lit(0), i, x)))
+    units = F.concat(F.coalesce(whole, nothing), lines, F.coalesce(told, nothing))
+    made = parts.select(*rest, "paragraph", (F.size("ls") > 1).alias("several"), F.explode(units).alias("u"))
+    line = F.when(F.col("several") & (F.col("u.sentence") != WHOLE), BLOCK).otherwise(F.col("u.line")).alias("line")
+    made = made.select(*rest, "paragraph", line, "u.sentence", "u.text")
     return made.where(speaks("text"))
 
 
