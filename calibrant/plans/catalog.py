@@ -802,6 +802,20 @@ def io_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_metadata(spark, path).select("task_name", "horizon", "num_series")
 
 
+@register("io_metadata_shapes", "SELECT event_type AS task_name, count(DISTINCT user_id) AS num_series, count(*) AS n_rows FROM events GROUP BY event_type")
+def io_metadata_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side-car files whose keys and types differ: a number or its text, a figure or an object that holds it."""
+    path = shared_path(spark, "documents")
+    tasks = ps.table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("s"), F.count("*").alias("n"))
+    name = F.col("event_type").alias("task_name")
+    plain = F.to_json(F.struct(name, F.col("s").alias("num_series"), F.col("n").alias("evaluation")))
+    deep = F.to_json(F.struct(name, F.col("s").cast("string").alias("num_series"), F.struct(F.col("n").alias("rows")).alias("evaluation")))
+    text = F.when(F.crc32(F.col("event_type").cast("binary")) % 2 == 0, deep).otherwise(plain)
+    tasks.select(F.col("event_type").alias("task"), text.alias("text")).write.mode("overwrite").partitionBy("task").text(path)
+    fields = {"task_name": (("$.task_name",), "string"), "num_series": (("$.num_series",), "bigint"), "n_rows": (("$.evaluation.rows", "$.evaluation"), "bigint")}
+    return store.read_documents(spark, path, fields, "*.txt").drop("file")
+
+
 _RESULT_SCHEMA = "task string, model string, method string, coverage double, avg_width double"
 
 

@@ -128,6 +128,15 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("test_windows > 0") if "test_windows" in rows.columns else rows
 
 
+def read_documents(spark: SparkSession, root: str, fields: dict[str, tuple[tuple[str, ...], str]], pattern: str = "*.json") -> DataFrame:
+    """A row for each JSON file under root, at any depth: file and fields, each the first of its paths that has a value of its
+    type. Files needn't agree in keys or types, as each is read as a variant: what is missing or can't be cast is null, and so
+    is everything of a file that is not JSON. No files give no rows."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root)
+    parsed = files.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    return parsed.select("file", *[F.coalesce(*[F.try_variant_get("v", p, kind) for p in paths]).alias(name) for name, (paths, kind) in fields.items()])
+
+
 def result_name(kind: str, alpha: float, score: str, cal_windows: int | None, mode: str, asymmetric: bool = False, online: bool = False) -> str:
     """A result's name holds its parameters; result_parameters reads them back."""
     parts = [kind, f"alpha{alpha:g}", slug(score), f"cal{'all' if cal_windows in (None, -1) else cal_windows}", mode]

@@ -125,3 +125,14 @@ def test_results_of_many_splits_and_of_none(spark, tmp_path):
     assert all(r["coverage"] == int(r["method"][1:]) / 1000 for r in got if r["method"] != "other")
     (tmp_path / "none").mkdir()
     assert store.read_results(spark, str(tmp_path / "none"), "method string, coverage double").count() == 0
+
+
+def test_documents_of_differing_shapes(spark, tmp_path):
+    texts = ['{"name": "a", "n": 4, "at": {"alpha": 0.1}}', '{"name": 7, "n": "5", "alpha": "0.2"}', '{"n": {"x": 1}, "at": [1]}', "not json", "[1, 2]"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "m.json").write_text(t + "\n")
+    fields = {"name": (("$.name",), "string"), "n": (("$.n",), "int"), "alpha": (("$.at.alpha", "$.alpha"), "double")}
+    got = store.read_documents(spark, str(tmp_path), fields).orderBy("file").drop("file").collect()
+    assert [tuple(r) for r in got] == [("a", 4, 0.1), ("7", 5, 0.2), (None, None, None), (None, None, None), (None, None, None)]
+    assert store.read_documents(spark, str(tmp_path), fields, "*.none").count() == 0
