@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.functions.stats import FIELDS, LEVELS, linear_percentile
+from calibrant.functions.stats import FIELDS, LEVELS, linear_percentile, once
 
 Forecast = Callable[[Column, int], Column]
 REGISTRY: dict[str, Forecast] = {}
@@ -36,9 +36,10 @@ def get(name: str) -> Forecast:
     return REGISTRY[key]
 
 
-def _grid(point: Column, errors: Column) -> Column:
-    ranked = F.array_sort(F.filter(errors, lambda e: e.isNotNull()))
-    return F.struct(*[(point + F.coalesce(linear_percentile(ranked, t), F.lit(0.0))).alias(f) for t, f in zip(LEVELS, FIELDS)])
+def _around(errors: Column) -> Column:
+    """What the quantiles add to the point forecast; the errors are made and sorted once."""
+    of = lambda ranked: F.struct(*[F.coalesce(linear_percentile(ranked, t), F.lit(0.0)).alias(f) for t, f in zip(LEVELS, FIELDS)])
+    return once(F.sort_array(F.filter(errors, lambda e: e.isNotNull())), of)
 
 
 def _lagged(past: Column, lag: int) -> Column:
@@ -47,7 +48,11 @@ def _lagged(past: Column, lag: int) -> Column:
 
 
 def _steps(horizon: int, point: Callable[[Column], Column], errors: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.struct(h.alias("h"), point(h).alias("yhat"), _grid(point(h), errors).alias("q")))
+    def of(grid: Column) -> Column:
+        each = lambda p: F.struct(*[(p + grid[f]).alias(f) for f in FIELDS])
+        return F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.struct(h.alias("h"), point(h).alias("yhat"), each(point(h)).alias("q")))
+
+    return once(_around(errors), of)
 
 
 @forecaster("last")
@@ -71,14 +76,14 @@ REGISTRY["seasonal_naive"] = seasonal(24)
 @forecaster("moving_average")
 def moving_average(past: Column, horizon: int) -> Column:
     mean = F.aggregate(past, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))) / F.nullif(F.size(past), F.lit(0))
-    return _steps(horizon, lambda h: mean, F.transform(past, lambda v: v - mean))
+    return once(mean, lambda m: _steps(horizon, lambda h: m, F.transform(past, lambda v: v - m)))
 
 
 @forecaster("drift")
 def drift(past: Column, horizon: int) -> Column:
     n = F.size(past)
     slope = (F.element_at(past, -1) - F.get(past, 0)) / F.nullif(n - 1, F.lit(0))
-    return _steps(horizon, lambda h: F.element_at(past, -1) + (h + 1) * F.coalesce(slope, F.lit(0.0)), F.transform(_lagged(past, 1), lambda d: d - slope))
+    return once(slope, lambda b: _steps(horizon, lambda h: F.element_at(past, -1) + (h + 1) * F.coalesce(b, F.lit(0.0)), F.transform(_lagged(past, 1), lambda d: d - b)))
 
 
 def clamp(q: Column, past: Column) -> Column:

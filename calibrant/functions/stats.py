@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def col(x: Column | str | float) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(float(x))
 
 
+def once(values: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f reads it: branches and lambdas share no subexpressions."""
+    return F.get(F.transform(F.array(values), f), 0)
+
+
 def finite(x: Column | str) -> Column:
     """x, or null where it is null, NaN or infinite: what every quantile leaves out."""
     x = col(x)
@@ -75,7 +82,7 @@ def weighted_quantile(values: Column, target: Column | float, decay: float, test
         c = acc["c"] + x["p"]
         return F.struct(c.alias("c"), F.coalesce(acc["q"], F.when(c >= col(target) * total, x["v"])).alias("q"))
 
-    return F.coalesce(F.aggregate(F.array_sort(pairs), start, step, lambda a: a["q"]), F.lit(INF))
+    return F.coalesce(F.aggregate(F.sort_array(pairs), start, step, lambda a: a["q"]), F.lit(INF))
 
 
 def linear_percentile(sorted_values: Column, p: Column | float) -> Column:
