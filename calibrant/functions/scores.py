@@ -150,7 +150,7 @@ def _once(values: Column, f) -> Column:
 def _knots() -> Column:
     """The grid's quantiles in ascending order; null if one is missing."""
     qs = F.array(*[F.col(f"q.{f}") for f in FIELDS])
-    return F.when(~F.exists(qs, lambda x: x.isNull()), F.array_sort(qs))
+    return F.when(~F.exists(qs, lambda x: x.isNull()), F.sort_array(qs))
 
 
 #: Slope of the mean pinball loss where so many of the knots lie below: each one passed adds 1 to the sum of levels less 1.

@@ -20,7 +20,7 @@ from calibrant.functions.stats import INF, conformal_quantile, weighted_quantile
 def split_cp(rows: DataFrame, keys: list[str], alpha: float | Column, s: str = "s", out: str = "thr", correction: bool = True) -> DataFrame:
     """One threshold per key from its calibration rows; none gives infinity. A window over the key, so that test and
     calibration rows share the shuffle."""
-    cal = F.array_sort(F.collect_list(F.when(F.col("split") == "cal", F.col(s))).over(Window.partitionBy(*keys)))
+    cal = F.sort_array(F.collect_list(F.when(F.col("split") == "cal", F.col(s))).over(Window.partitionBy(*keys)))
     return rows.withColumn(out, conformal_quantile(cal, alpha, correction)).where("split = 'test'")
 
 
@@ -40,7 +40,7 @@ def with_past(rows: DataFrame, keys: list[str], order: str, s: str, size: int |
 
 def trailing(rows: DataFrame, keys: list[str], alpha: float, size: int | None = 100, s: str = "s", order: str = "w", correction: bool = False, out: str = "thr") -> DataFrame:
     """Quantile of the scores in the last `size` rows before each (None: all of them)."""
-    return with_past(rows, keys, order, s, size).withColumn(out, conformal_quantile(F.array_sort("buf"), alpha, correction)).drop("buf").where("split = 'test'")
+    return with_past(rows, keys, order, s, size).withColumn(out, conformal_quantile(F.sort_array("buf"), alpha, correction)).drop("buf").where("split = 'test'")
 
 
 def weighted(rows: DataFrame, keys: list[str], alpha: float, size: int = 100, decay: float = 0.99, test_weight: float = 1.0, weights: tuple[float, ...] | None = None, s: str = "s", order: str = "w", out: str = "thr") -> DataFrame:
@@ -49,7 +49,7 @@ def weighted(rows: DataFrame, keys: list[str], alpha: float, size: int = 100, de
 
 
 def _sequence(rows: DataFrame, keys: list[str], order: str, fields: list[Column]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), *fields))).alias("steps"))
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), *fields))).alias("steps"))
 
 
 def _folded(keys: list[str], folded: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def aci(rows: DataFrame, keys: list[str], alpha: float, gamma: float = 0.005, si
     scores alone, so a window gives them and the fold's state is one number. For sequences of some hundreds of steps
     a key; longer ones belong in the grouped kernel (operators.kernels).
     """
-    rows = with_past(rows, keys, order, s, size).withColumn("buf", F.array_sort("buf")).where("split = 'test'")
+    rows = with_past(rows, keys, order, s, size).withColumn("buf", F.sort_array("buf")).where("split = 'test'")
     fields = [F.col(s).alias("s"), F.col("buf"), *[F.col(c) for c in carry]]
     seq = _sequence(rows, keys, order, fields)
     types = dict(rows.dtypes)
@@ -88,7 +88,7 @@ def pid(rows: DataFrame, keys: list[str], alpha: float, lr: float = 0.1, ki: flo
     when covered and rises by the rate times 1 - alpha when not; the rate follows the range of the trailing scores.
     ki adds the saturation term of the running error count.
     """
-    all_cal = F.array_sort(F.collect_list(F.when(F.col("split") == "cal", F.col(s))).over(Window.partitionBy(*keys)))
+    all_cal = F.sort_array(F.collect_list(F.when(F.col("split") == "cal", F.col(s))).over(Window.partitionBy(*keys)))
     spread = F.when(F.size("buf") > 0, F.array_max("buf") - F.array_min("buf")) if proportional else F.lit(None).cast("double")
     rows = with_past(rows.withColumn("q0", conformal_quantile(all_cal, alpha)), keys, order, s, size).withColumn("spread", spread).where("split = 'test'")
     seq = _sequence(rows, keys, order, [F.col(s).alias("s"), F.col("spread"), F.col("q0"), *[F.col(c) for c in carry]])
@@ -137,9 +137,9 @@ def single_step(rows: DataFrame, keys: list[str], alpha: float, horizon: int, on
         out = aci(flat, keys, alpha, gamma, size, s, "pos", carry=("w", "h"))
         return out.select(*keys, "w", "h", "s", "thr")
     flat = with_past(flat, keys, "pos", s, size)
-    step0 = F.array_sort(F.first(F.when(F.col("h") == 0, F.col("buf")), ignorenulls=True).over(Window.partitionBy(*keys, "w")))
-    per = flat.withColumn("buf", step0).where("split = 'test'").groupBy(*keys, "w").agg(F.first("buf").alias("buf"), F.array_sort(F.collect_list(F.struct("h", F.col(s).alias("s")))).alias("xs"))
-    seq = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("w", "buf", "xs"))).alias("steps"))
+    step0 = F.sort_array(F.first(F.when(F.col("h") == 0, F.col("buf")), ignorenulls=True).over(Window.partitionBy(*keys, "w")))
+    per = flat.withColumn("buf", step0).where("split = 'test'").groupBy(*keys, "w").agg(F.first("buf").alias("buf"), F.sort_array(F.collect_list(F.struct("h", F.col(s).alias("s")))).alias("xs"))
+    seq = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("w", "buf", "xs"))).alias("steps"))
     shape = "struct<w:int,thr:double,xs:array<struct<h:int,s:double>>>"
 
     def step(acc: Column, x: Column) -> Column:

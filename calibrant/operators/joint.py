@@ -48,7 +48,7 @@ def norm_max(panel: DataFrame, alpha: float, normalise: bool = True, sigma: Data
 
 def trajectories(panel: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, series, w, split, r): a row per trajectory, r by step."""
-    steps = F.array_sort(F.collect_list(F.struct("h", "r")))
+    steps = F.sort_array(F.collect_list(F.struct("h", "r")))
     return residuals(panel).groupBy(*by, "series", "w", "split").agg(F.transform(steps, lambda x: x["r"]).alias("r"))
 
 

@@ -637,7 +637,7 @@ _USER_ARRAYS = "SELECT CAST(user_id AS VARCHAR) AS item_id, min(ts) AS start, li
 def user_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw dataset: a row per user with all values in order."""
     ev_ = ps.table(spark, sf_dir, "events")
-    target = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
+    target = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
     return ev_.groupBy("user_id").agg(F.min("ts").alias("start"), target.alias("target")).select(F.col("user_id").cast("string").alias("item_id"), "start", F.lit("H").alias("freq"), "target")
 
 
@@ -747,7 +747,7 @@ def io_pruned_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wide(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Predictions and truth as stores have them: a row for each window and series, arrays by step, a column per level."""
-    steps = F.array_sort(F.collect_list(F.struct("h", "y", "yhat", "q")))
+    steps = F.sort_array(F.collect_list(F.struct("h", "y", "yhat", "q")))
     rows = panel.groupBy("w", F.col("series").alias("item_id")).agg(steps.alias("s"))
     of = lambda f: F.transform("s", f)
     level = lambda f: of(lambda x: x["q"][f]).alias(f"{int(f[1:]) / 100:g}")
@@ -776,7 +776,7 @@ def io_window_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each window with all its series, taken apart and imported."""
     pred, true = _wide(ps.user_panel(spark, sf_dir))
-    gather = lambda df: df.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("item_id", *[F.col(f"`{c}`") for c in df.columns if c not in ("w", "item_id")]))).alias("s"))
+    gather = lambda df: df.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("item_id", *[F.col(f"`{c}`") for c in df.columns if c not in ("w", "item_id")]))).alias("s"))
     spread = lambda df, cols: gather(df).select("w", *[F.col("s").getField(c).alias(c) for c in ["item_id", *cols]])
     levels = [c for c in pred.columns if c not in ("w", "item_id")]
     return flat(store.import_windows(store.unified_windows(spread(pred, levels)), store.unified_windows(spread(true, ["target"])), "users", "baseline", ps.USER["cal"]))

@@ -242,7 +242,7 @@ def _of_cfrnn(row: Past, alpha: float, horizon: Column | None) -> Column:
 
 
 def _of_trailing(row: Past, alpha: float, horizon: Column | None) -> Column:
-    return conformal_quantile(F.array_sort(row.past), alpha, row.option("correction", False))
+    return conformal_quantile(F.sort_array(row.past), alpha, row.option("correction", False))
 
 
 def _of_weighted(row: Past, alpha: float, horizon: Column | None) -> Column:
@@ -277,7 +277,7 @@ def _at_once(rows: DataFrame, config: EvalConfig, own: dict, by: list[str], hori
     options = {n: config.options.get(n, {}) for n in own}
     size = {n: options[n].get("size", config.window) for n in own if MARGINAL[n].sized}
     if {"SplitCP", "CFRNN"} & {*own}:
-        rows = rows.withColumn("__cal", F.array_sort(F.collect_list(F.when(F.col("split") == "cal", F.col("s"))).over(Window.partitionBy(*by))))
+        rows = rows.withColumn("__cal", F.sort_array(F.collect_list(F.when(F.col("split") == "cal", F.col("s"))).over(Window.partitionBy(*by))))
     for k in dict.fromkeys(size.values()):
         rows = cp.with_past(rows, by, "w", "s", k, f"__past_{k}")
     rows = rows.where("split = 'test'")
@@ -339,7 +339,7 @@ def run_sweep(panel: DataFrame, alphas: tuple[float, ...], scores: tuple[str, ..
     rows = jp.beside(rows, panel.groupBy(*groups).agg((F.max("h") + 1).alias("__horizon"), (F.max(F.when(cal, F.col("w"))) + 1).alias("__end")), groups)
     for c in cal_windows:
         own = cal if c == -1 else cal & (F.col("w") >= F.col("__end") - c)
-        rows = rows.withColumn(f"__cal_{c}", F.array_sort(F.collect_list(F.when(own, F.col("s"))).over(Window.partitionBy(*key))))
+        rows = rows.withColumn(f"__cal_{c}", F.sort_array(F.collect_list(F.when(own, F.col("s"))).over(Window.partitionBy(*key))))
     for w in windows:
         rows = cp.with_past(rows, key, "w", "s", w, f"__past_{w}")
     rows, made = rows.where("split = 'test'"), []
@@ -530,8 +530,8 @@ def results(panel: DataFrame, alpha: float, horizon: int, task: Column | None =
     points = {"mean": F.col("yhat"), "median": F.col("q.q50")}
     for model, p in points.items():
         s = F.abs(F.col("y") - p)
-        rows = rows.withColumn(f"cal_{model}", F.array_sort(F.collect_list(F.when(F.col("split") == "cal", s)).over(by)))
-        rows = rows.withColumn(f"past_{model}", F.array_sort(F.collect_list(s).over(by.orderBy("w").rowsBetween(-window, -1))))
+        rows = rows.withColumn(f"cal_{model}", F.sort_array(F.collect_list(F.when(F.col("split") == "cal", s)).over(by)))
+        rows = rows.withColumn(f"past_{model}", F.sort_array(F.collect_list(s).over(by.orderBy("w").rowsBetween(-window, -1))))
     rows, made = rows.where("split = 'test'"), []
     for model, p in points.items():
         around = lambda name, q: (name, p - q, p + q)  # noqa: B023, E731

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from calibrant.functions.stats import FIELDS, LEVELS, order_stat
+from calibrant.functions.stats import FIELDS, LEVELS, once, order_stat
 
 USER = {"context": 16, "horizon": 4, "cal": 5}
 HOURLY = {"context": 48, "horizon": 24, "cal": 10}
@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def baseline(values: Column) -> Column:
     """Mean and order statistics of an array of values; nulls are left out."""
-    clean = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    mean = F.aggregate(clean, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(clean), F.lit(0))
-    grid = F.struct(*[order_stat(clean, F.lit(t)).alias(f) for t, f in zip(LEVELS, FIELDS)])
-    return F.struct(F.round(mean, 6).alias("yhat"), grid.alias("q"))
+
+    def of(clean: Column) -> Column:
+        mean = F.aggregate(clean, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(clean), F.lit(0))
+        grid = F.struct(*[order_stat(clean, F.lit(t)).alias(f) for t, f in zip(LEVELS, FIELDS)])
+        return F.struct(F.round(mean, 6).alias("yhat"), grid.alias("q"))
+
+    return once(F.sort_array(F.filter(values, lambda v: v.isNotNull())), of)
 
 
 def split_of(w: Column | str, cal: int, active: int | None = None) -> Column:
@@ -42,8 +45,8 @@ def windows(steps: DataFrame, context: int, horizon: int, cal: int, active: int
     at an origin is carried to the steps after it by a window function, so no join is needed."""
     by_series = Window.partitionBy("series").orderBy("t")
     origin = (F.col("t") >= context) & ((F.col("t") - context) % horizon == 0)
-    past = F.collect_list(F.struct("y")).over(by_series.rowsBetween(1 - context, 0))
-    steps = steps.withColumn("made", F.when(origin, baseline(F.transform(past, lambda s: s["y"]))))
+    past = F.collect_list("y").over(by_series.rowsBetween(1 - context, 0))  # without nulls
+    steps = steps.withColumn("made", F.when(origin, baseline(past)))
     steps = steps.withColumn("f", F.last("made", ignorenulls=True).over(by_series.rowsBetween(Window.unboundedPreceding, -1)))
     steps = steps.withColumn("n", F.count("*").over(Window.partitionBy("series")))
     at = F.col("t") - 1 - context
@@ -53,9 +56,10 @@ def windows(steps: DataFrame, context: int, horizon: int, cal: int, active: int
 
 def user_panel(spark: SparkSession, sf_dir: str, cal: int = USER["cal"]) -> DataFrame:
     """Many short series: each user's event values in order of time."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series"), F.row_number().over(order).alias("t"), F.col("value").alias("y"), "user_id")
-    return windows(steps.drop("user_id"), USER["context"], USER["horizon"], cal)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series"), "ts", "event_id", F.col("value").alias("y"))
+    order = Window.partitionBy("series").orderBy("ts", "event_id")  # the key of windows(): one shuffle serves both
+    steps = events.select("series", F.row_number().over(order).alias("t"), "y")
+    return windows(steps, USER["context"], USER["horizon"], cal)
 
 
 def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
