@@ -22,6 +22,7 @@ from calibrant.operators import kernels as kn
 from calibrant.operators import metrics as mt
 from calibrant.operators import scales as sc
 from calibrant.operators import segments as sg
+from calibrant.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -227,6 +228,8 @@ def every_interval(panel: DataFrame, config: EvalConfig, keys: list[str], native
     horizon = None
     if "CFRNN" in names and "horizon" not in config.options.get("CFRNN", {}):
         rows, horizon = horizons(rows, panel, groups), F.col("__horizon")
+    if {*KERNELS} & {*names}:
+        rows = stored(rows, "scored")  # a pass for each kind of kernel
     own = {n: PAST[n] for n in names if n in PAST and MARGINAL[n].thresholds is PAST[n][0] and not config.asymmetric}
     parts = [*([_at_once(rows, config, own, by, horizon, native)] if own or native else []), *_by_kernels(rows, config, keys)]
     parts += [intervals(rows, config, n, by, horizon).withColumn("method", F.lit(n)) for n in names if n not in KERNELS and n not in own]
@@ -377,8 +380,8 @@ def _by_kernels(rows: DataFrame, config: EvalConfig, keys: list[str]) -> list[Da
     """Test rows with method, lo and hi for the kernel methods of config. AgACI and DtACI take any score; SPCI and
     AcMCP have two tails of their own over the residual."""
     by, alpha = [*keys, "h"], config.alpha
-    test = rows.where("split = 'test'")
     kind = Score(config.score, alpha)
+    carry = tuple(c for c in rows.columns if c not in (*by, "w", "split", "s", "s_lo", "s_up") and (c != "q" or config.score not in ("abs", "squared", "signed", "joint")))
     out = []
     if online := tuple(m for m in config.methods if m in kn.ONLINE):
         options = {m: config.options.get(m, {}) for m in online}
@@ -388,17 +391,18 @@ def _by_kernels(rows: DataFrame, config: EvalConfig, keys: list[str]) -> list[Da
             thr = kn.online(long, [*by, "tail"], alpha / 2, online, size=config.window, options=options)
             pick = lambda t: F.max(F.when(F.col("tail") == t, F.col("thr")))
             thr = thr.groupBy(*by, "w", "method").agg(pick("lo").alias("q_lo"), pick("up").alias("q_up"))
+            thr = rows.where("split = 'test'").join(thr, [*by, "w"])
         else:
-            thr = kn.online(rows, by, alpha, online, size=config.window, options=options).withColumn("q_lo", F.col("thr")).withColumn("q_up", F.col("thr"))
+            thr = kn.online(rows, by, alpha, online, size=config.window, options=options, carry=carry).withColumn("q_lo", F.col("thr")).withColumn("q_up", F.col("thr"))
         lo, hi = kind.bounds("q_lo", "q_up", config.asymmetric)
-        out.append(test.join(thr, [*by, "w"]).withColumn("lo", lo).withColumn("hi", hi))
+        out.append(thr.withColumn("lo", lo).withColumn("hi", hi))
     errors = rows.withColumn("e", F.col("y") - F.col("yhat"))
     if "SPCI" in config.methods:
-        got = kn.spci_bounds(errors, by, alpha, **{"w": config.window, **config.options.get("SPCI", {})})
-        out.append(test.join(got, [*by, "w"]).withColumn("lo", F.col("yhat") + F.col("q_lo")).withColumn("hi", F.col("yhat") + F.col("q_up")).withColumn("method", F.lit("SPCI")))
+        got = kn.spci_bounds(errors, by, alpha, carry=carry, **{"w": config.window, **config.options.get("SPCI", {})})
+        out.append(got.withColumn("lo", F.col("yhat") + F.col("q_lo")).withColumn("hi", F.col("yhat") + F.col("q_up")).withColumn("method", F.lit("SPCI")))
     if "AcMCP" in config.methods:
-        got = kn.acmcp_bounds(errors, keys, alpha, **config.options.get("AcMCP", {}))
-        out.append(test.join(got, [*by, "w"]).withColumn("lo", F.col("yhat") - F.col("q_lo")).withColumn("hi", F.col("yhat") + F.col("q_up")).withColumn("method", F.lit("AcMCP")))
+        got = kn.acmcp_bounds(errors, keys, alpha, carry=(*carry, "split"), **config.options.get("AcMCP", {})).where("split = 'test'")
+        out.append(got.withColumn("lo", F.col("yhat") - F.col("q_lo")).withColumn("hi", F.col("yhat") + F.col("q_up")).withColumn("method", F.lit("AcMCP")))
     return out
 
 

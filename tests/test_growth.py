@@ -2,10 +2,15 @@
 
 from time import perf_counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 
 from calibrant.functions import forecasters as fc
+from calibrant.operators import kernels as kn
+from calibrant.plans import catalog
 
 
 @pytest.mark.parametrize("name", ["moving_average", "drift", "last"])
@@ -16,3 +21,33 @@ def test_forecast_of_a_long_past_takes_one_walk(spark, name):
     began = perf_counter()
     rows = fc.predict(spark.range(1).select(past.alias("past")), name, 4).select("h", "yhat", "q.q10", "q.q90").collect()
     assert perf_counter() - began < 20 and len(rows) == 4 and all(r["q10"] <= r["q90"] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["spci_forest", "agaci", "dtaci", "dtaci_drawn", "adaptive_cqr_kernels", "acmcp", "run_kernels"])
+def test_kernels_take_blocks_of_keys(spark, name):
+    """A call, a frame and a batch for each of very many short keys cost more than the kernels."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_keys_over_batches_and_blocks(monkeypatch):
+    monkeypatch.setattr(kn, "BLOCK_KEYS", 3)
+    names = [k for k, n in enumerate([1, 5, 2, 9, 1, 1, 4, 3]) for _ in range(n)]
+    table = pa.table({"k": names, "v": list(range(len(names)))})
+    for size in (1, 2, 4, 100):
+        blocks = list(kn.whole_keys(iter(table.to_batches(max_chunksize=size)), 1))
+        assert [k for _, own, _ in blocks for (k,) in own] == list(range(8)) and max(len(own) for _, own, _ in blocks) == 3
+        assert pa.concat_tables(b for b, _, _ in blocks) == table
+        assert all(set(b["k"].to_pylist()[i:j]) == {k} for b, own, at in blocks for (k,), i, j in zip(own, at, at[1:]))
+
+
+def test_forests_of_many_keys_equal_one_by_one():
+    rng = np.random.default_rng(5)
+    cal = [np.round(rng.normal(size=rng.integers(0, 9)), k % 3) for k in range(24)]
+    test = [np.round(rng.normal(size=rng.integers(1, 14)), k % 3) for k in range(24)]
+    for x in test[::5]:
+        x[rng.integers(0, len(x))] = np.nan
+    for options in ({}, {"retrain": 2}, {"depth": 3, "trees": 3}):
+        many = kn.spci_many(cal, test, list(range(24)), 0.2, w=5, **options)
+        for k in range(24):
+            assert np.array_equal(many[k], kn.spci(cal[k], test[k], 0.2, w=5, seed=k, **options))
