@@ -20,7 +20,7 @@ from calibrant.operators import scales as sc
 from calibrant.operators import segments as sg
 from calibrant.plans import oracle as sql
 from calibrant.sources import panels as ps
-from calibrant.sources.shared import shared_path
+from calibrant.sources.shared import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -919,14 +919,18 @@ def _fed(scores: DataFrame, base: str, files: int = 4) -> None:
 
 
 def _stream(spark: SparkSession, sf_dir: str, gamma: float) -> DataFrame:
-    """Scores as a file stream, a micro-batch a file of windows, through the online state of each series and step; the
-    result as it was written."""
-    base = shared_path(spark, "stream")
-    scores = user_scores(spark, sf_dir).select(*KEYS, F.col("w").cast("bigint").alias("w"), "s")
-    _fed(scores, base)
-    source = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    out = online_aci(source, KEYS, ALPHA, gamma, 20, test_from=ps.USER["cal"])
-    return run_available(out, f"{base}/out", f"{base}/state").select(*KEYS, F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
+    """Scores as a file stream, a start for each of four parts of the windows, through the online state of each series and
+    step; the result as it was written. A part's files are written by many tasks, so it isn't a file, but what has come
+    since the start before."""
+    base, parts = shared_path(spark, "stream"), 4
+    scores = stored(user_scores(spark, sf_dir).select(*KEYS, F.col("w").cast("bigint").alias("w"), "s"), "scores")
+    last = scores.agg(F.max("w")).first()[0] or 0
+    for k in range(parts):
+        own = scores.where((F.col("w") > (last + 1) * k // parts - 1) & (F.col("w") <= (last + 1) * (k + 1) // parts - 1))
+        own.write.mode("append").parquet(f"{base}/in")
+        out = online_aci(spark.readStream.schema(scores.schema).parquet(f"{base}/in"), KEYS, ALPHA, gamma, 20, test_from=ps.USER["cal"])
+        made = run_available(out, f"{base}/out", f"{base}/state")
+    return made.select(*KEYS, F.col("w").cast("int").alias("w"), F.round("thr", 6).alias("thr"), F.round("alpha_t", 6).alias("alpha_t"))
 
 
 @register("stream_levels", _aci_sql(sql.scored("weekly", "abs"), ALPHA, 0.05, 20, pick="series, h, w, round(thr, 3) AS thr, round(a, 6) AS alpha_t", first=40))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from calibrant.functions import forecasters as fc
 from calibrant.operators import kernels as kn
+from calibrant.operators import segments as sg
 from calibrant.plans import catalog
+from calibrant.sources.shared import shared_path
+from calibrant.streaming.online import online_aci, run_available
 
 
 @pytest.mark.parametrize("name", ["moving_average", "drift", "last"])
@@ -51,3 +54,31 @@ def test_forests_of_many_keys_equal_one_by_one():
         many = kn.spci_many(cal, test, list(range(24)), 0.2, w=5, **options)
         for k in range(24):
             assert np.array_equal(many[k], kn.spci(cal[k], test[k], 0.2, w=5, seed=k, **options))
+
+
+@pytest.mark.parametrize("name", ["run_joint", "keyed_joint", "keyed_joint_folds", "keyed_folds", "score_asym_pair", "score_scaled_cqr", "invert_mad_scaled", "run_sweep", "past_quantiles_pooled"])
+def test_panel_is_made_once(spark, name):
+    """What is passed over several times is stored: no pass goes back to the events."""
+    assert not [f for f in catalog.QUERIES[name](spark, SF).inputFiles() if "events" in f]
+
+
+def test_rounds_do_not_grow_with_a_key(spark, monkeypatch):
+    rows = spark.range(200).select(F.lit("a").alias("series"), F.col("id").alias("w"), F.when(F.col("id") < 20, "cal").otherwise("test").alias("split"), (F.col("id") * 37 % 101).cast("double").alias("s"))
+    names, kept = [], sg.stored
+    monkeypatch.setattr(sg, "stored", lambda df, name: names.append(name) or kept(df, name))
+    short = {(r["w"], r["thr"], r["alpha_t"]) for r in sg.aci(rows, ["series"], 0.2, 0.05, 20, segment=3).collect()}
+    assert names.count("segment") <= sg.ROUNDS
+    assert short == {(r["w"], r["thr"], r["alpha_t"]) for r in sg.aci(rows, ["series"], 0.2, 0.05, 20).collect()}
+
+
+def test_stream_keeps_keys_by_bucket(spark):
+    base = shared_path(spark, "buckets")
+    scores = spark.range(400).select((F.col("id") % 40).cast("string").alias("key"), F.floor(F.col("id") / 40).alias("w"), (F.col("id") * 37 % 101).cast("double").alias("s"))
+    got = {}
+    for k in (0, 1):
+        scores.where(f"w {'>=' if k else '<'} 5").write.mode("append").parquet(f"{base}/in")
+        out = online_aci(spark.readStream.schema(scores.schema).parquet(f"{base}/in"), ["key"], 0.2, 0.05, 20, buckets=4)
+        got = {(r["key"], r["w"]): (r["thr"], r["alpha_t"]) for r in run_available(out, f"{base}/out", f"{base}/state").collect()}
+    assert 0 < spark.read.format("statestore").load(f"{base}/state").count() <= 4
+    whole = sg.aci(scores.withColumn("split", F.lit("test")), ["key"], 0.2, 0.05, 20).collect()
+    assert got == {(r["key"], r["w"]): (r["thr"], r["alpha_t"]) for r in whole}
