@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from calibrant.functions.stats import INF, conformal_rank
 from calibrant.operators.pooled import order_statistics
+from calibrant.sources.shared import stored
 
 
 def fold_count(cal_windows: int, windows: int, series: int) -> int:
@@ -36,7 +37,7 @@ def for_other_folds(rows: DataFrame, n_folds: int) -> DataFrame:
 def split_cp_folds(rows: DataFrame, alpha: float | Column, n_folds: int, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """rows (by, series, w, h, s, ..) with fold and thr: the conformal quantile of all scores of the step in other folds.
     A score counts for all folds but its own, so one order statistic by (by, fold, h) serves every fold."""
-    placed = rows.withColumn("fold", hash_fold(F.col("series"), n_folds, seed))
+    placed = stored(rows.withColumn("fold", hash_fold(F.col("series"), n_folds, seed)), "folds")
     keys = [*by, "fold", "h"]
     others = for_other_folds(placed.select(*keys, "s"), n_folds).select(*by, F.col("for_fold").alias("fold"), "h", "s")
     thr = order_statistics(others, keys, "s", {"thr": lambda n: conformal_rank(n, alpha)}).drop("n")
@@ -47,7 +48,7 @@ def fold_sequences(rows: DataFrame, n_folds: int, seed: int, size: int, by: tupl
     """For each fold the sequence of a method that looks back on `size` scores: the fold's own rows as test, in order of
     split, window and series, behind the last of the other folds' rows as calibration. Rows aren't copied for each fold:
     of the others only those last ones are, which each fold's last ones hold."""
-    placed = rows.withColumn("fold", hash_fold(F.col("series"), n_folds, seed))
+    placed = stored(rows.withColumn("fold", hash_fold(F.col("series"), n_folds, seed)), "folds")
     last = lambda *keys: F.row_number().over(Window.partitionBy(*keys, "h").orderBy(F.desc("w"), F.desc("series"))) <= size
     ends = placed.where(F.col("s").isNotNull()).withColumn("__last", last(*by, "fold")).where("__last").drop("__last")
     halo = for_other_folds(ends, n_folds).withColumn("__last", last(*by, "for_fold")).where("__last").withColumn("fold", F.col("for_fold")).drop("for_fold", "__last")

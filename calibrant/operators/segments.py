@@ -1,4 +1,4 @@
-"""Sequential calibrators over keys of any length: a key's steps are cut into segments that no task exceeds.
+"""Sequential calibrators over keys of any length: a key's steps are cut into segments.
 
 Methods whose threshold is a function of the last scores run on all segments at once, each behind a copy of the scores
 before it. Methods that learn pass their state from segment to segment: round r takes the r-th segment of every key, so
@@ -24,6 +24,8 @@ from calibrant.sources.shared import stored
 
 #: Steps of a key that one task takes at most.
 SEGMENT = 100_000
+#: Rounds of a method that learns at most: beyond so many segments of a key, these are longer.
+ROUNDS = 16
 
 
 def same(a: list[str], b: list[str]) -> Column:
@@ -252,6 +254,7 @@ def scan(rows: DataFrame, keys: list[str], method: Steps, order: list[str] | str
     lean = rows.select(*keys, "split", F.col(s).cast("double").alias("s"), (F.col(extra) if extra else F.lit(None)).cast("double").alias("__extra"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     places = [f"__c{i}" for i in range(len(order))]
     shape = ", ".join([*[f"`{k}` {types[k]}" for k in keys], *[f"`__c{i}` {types[c]}" for i, c in enumerate(columns)], "s double", "thr double", "alpha_t double", "__state binary"])
+    lean = stored(lean, "steps")
     longest = lean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
     def walked(part: DataFrame, by: list[str], keep: bool) -> DataFrame:
@@ -271,6 +274,9 @@ def scan(rows: DataFrame, keys: list[str], method: Steps, order: list[str] | str
         both = placed.withColumn("__mark", F.lit(2)).unionByName(copies).withColumn("__state", blank)
         made = walked(both, ["__segment", *keys], False).drop("__segment")
     else:
+        # Rounds follow each other, so there are only so many: keys that are longer have longer segments. A task takes its
+        # rows in Arrow batches of a sort that spills, and holds the state of one key.
+        segment = max(segment, -(-longest // ROUNDS))
         placed = stored(with_place(lean, keys, places, "__place"), "segments")
         parts, state = [], None
         for r in range(-(-longest // segment)):
