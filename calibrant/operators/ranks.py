@@ -122,6 +122,7 @@ def past_quantiles(rows: DataFrame, keys: list[str], alpha: float, s: str = "s",
     columns = list(dict.fromkeys([order, *carry]))
     types = dict(rows.dtypes)
     lean = rows.select(*keys, "split", finite(s).cast("double").alias("s"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
+    lean = stored(lean, "scores")
     placed = with_place(lean, keys, ["__c0"], "n", F.col("s").isNotNull())
     placed = placed.withColumn("block", F.floor(F.col("n") / block).cast("bigint"))
     own = [f"__k{i}" for i in range(len(keys))]
