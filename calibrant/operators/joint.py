@@ -86,19 +86,20 @@ def cafht(panel: DataFrame, alpha: float, cal_windows: int | None = None, path=a
     own path of thresholds. Choices are rows of the size of the gamma grid, for each group.
     """
     by = [*by]
-    paths = trajectories(panel.where("split != 'skip'"), tuple(by))
+    paths = stored(trajectories(panel.where("split != 'skip'"), tuple(by)), "trajectories")
     own = F.col("__windows")
-    paths = beside(paths, panel.where("split = 'cal'").groupBy(*by).agg(F.countDistinct("w").alias("__windows")), by) if cal_windows is None else paths.withColumn("__windows", F.lit(cal_windows))
+    paths = beside(paths, paths.where("split = 'cal'").groupBy(*by).agg(F.countDistinct("w").alias("__windows")), by) if cal_windows is None else paths.withColumn("__windows", F.lit(cal_windows))
     first = F.greatest(F.lit(1), F.least(F.floor(F.lit(float(cal_split)) * own), own - 1))
     grid = panel.sparkSession.createDataFrame([(g,) for g in gammas], "gamma double")
     violation = F.array_max(F.zip_with("r", "qs", lambda r, q: F.greatest(r - q, F.lit(0.0)) / F.greatest(q, F.lit(1e-8))))
     stage1 = paths.where((F.col("split") == "cal") & (F.col("w") < first)).crossJoin(F.broadcast(grid)).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
     stage1 = stage1.select(*by, "gamma", violation.alias("v"), (F.aggregate("qs", F.lit(0.0), lambda s, q: s + q) / F.size("qs")).alias("q"))
+    stage1 = stored(stage1, "tried")  # the paths are walked once
     tried = order_statistics(stage1, [*by, "gamma"], "v", {"c": lambda n: conformal_rank(n, alpha)}).join(stage1.groupBy(*by, "gamma").agg(F.avg("q").alias("mean_q")), [*by, "gamma"])
     band = tried.select(*by, "gamma", ((1 + F.col("c")) * 2 * F.col("mean_q")).alias("band"))
     best = band.groupBy(*by).agg(F.min_by("gamma", F.struct(F.round("band", 9), "gamma")).alias("gamma"))
     stage2 = beside(paths.where((F.col("split") == "cal") & (F.col("w") >= first)), best, by).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
-    eps = order_statistics(stage2.select(*by, "gamma", violation.alias("v")), [*by, "gamma"], "v", {"eps": lambda n: conformal_rank(n, alpha)}).drop("n")
+    eps = order_statistics(stored(stage2.select(*by, "gamma", violation.alias("v")), "tried"), [*by, "gamma"], "v", {"eps": lambda n: conformal_rank(n, alpha)}).drop("n")
     test = beside(paths.where("split = 'test'"), eps, by).withColumn("qs", path(F.col("r"), F.col("gamma"), alpha, q0))
     return test.select(*by, "series", "w", "gamma", "eps", F.transform("qs", lambda q: (1 + F.col("eps")) * q).alias("radii"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from calibrant.functions.scores import EPS, Score, interval_fields
 from calibrant.functions.stats import finite, safe_scale
 from calibrant.operators.pooled import medians
+from calibrant.sources.shared import stored
 
 MAD = 1.4826  # fixed value: MAD of a normal distribution times this is its standard deviation
 
@@ -40,6 +41,7 @@ def robust_scales(panel: DataFrame, alpha: float, by: list[str] | None = None) -
 
 
 def with_scales(panel: DataFrame, alpha: float, by: list[str] | None = None) -> DataFrame:
+    panel = stored(panel, "scaled")  # for the passes of the medians
     return panel.join(F.broadcast(robust_scales(panel, alpha, by)), [*(by or []), "h"])
 
 

@@ -319,7 +319,7 @@ def run_sweep(panel: DataFrame, alphas: tuple[float, ...], scores: tuple[str, ..
     if bad := {"log", "signed"} & {*scores} | (scaled if {*cal_windows} != {-1} else set()):
         raise ValueError(f"no sweep over {sorted(bad)}")
     windows, by = windows or (config.window,), [*keys, "h"]
-    rows = unique_steps(panel, [*keys])
+    panel = rows = stored(unique_steps(panel, [*keys]), "swept")
     if "diff" in scores:
         rows = sc.with_prev(rows, [*keys])
     rows = rows.select("*", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
@@ -413,7 +413,12 @@ def run_joint(panel: DataFrame, config: EvalConfig, keys: tuple[str, ...] = ("se
     if not names:
         raise ValueError("no joint method")
     groups = tuple(k for k in keys if k != "series")
-    panel = unique_steps(eligible(panel, config, [*groups]), [*keys])
+    return _run_joint(stored(unique_steps(eligible(panel, config, [*groups]), [*keys]), "joint"), config, names, keys)
+
+
+def _run_joint(panel: DataFrame, config: EvalConfig, names: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """Of a stored panel: each method passes over it several times."""
+    groups = tuple(k for k in keys if k != "series")
     parts = [jp.with_radii(panel, JOINT[n](panel, config.alpha, by=groups, **config.options.get(n, {})), groups).withColumn("method", F.lit(n)) for n in names]
     return mt.summary(mt.marks(_all(parts, [*keys]), config.alpha), [*groups, "method"])
 
@@ -437,7 +442,10 @@ def run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int = 42
 def _run_folds(panel: DataFrame, config: EvalConfig, n_folds: int, seed: int, strategy: str, keys: list[str]) -> DataFrame:
     groups = tuple(k for k in keys if k != "series")
     chosen = fd.chosen_series(panel, strategy, groups).withColumn("split", F.lit("cal"))
-    rows = horizons(sc.scored(chosen, config.score, config.alpha, keys, config.asymmetric, [*groups]), panel, [*groups])
+    rows = sc.scored(chosen, config.score, config.alpha, keys, config.asymmetric, [*groups])
+    if strategy == "all":
+        rows = panel = stored(rows, "scored")  # each method passes over them several times
+    rows = horizons(rows, panel, [*groups])
     own = rows.withColumn("fold", fd.hash_fold(F.col("series"), n_folds, seed))
     parts = [mt.native(own.withColumn("split", F.lit("test")), config.alpha).withColumn("method", F.lit("Native"))]
     kind = Score(config.score, config.alpha)
@@ -486,9 +494,13 @@ def run_joint_folds(panel: DataFrame, n_folds: int, alpha: float, methods: tuple
     """Joint methods across series: each fold's trajectories against the other folds' errors; a row for each group of keys,
     fold and method. A fold is a group of the runner, so that one plan serves all of them."""
     fold = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
-    every = unique_steps(panel, [*keys]).withColumn("__own", fd.hash_fold(F.col("series"), n_folds, seed)).withColumn("fold", fold)
+    every = stored(unique_steps(panel, [*keys]), "joint").withColumn("__own", fd.hash_fold(F.col("series"), n_folds, seed)).withColumn("fold", fold)
     every = every.withColumn("split", F.when(F.col("__own") == F.col("fold"), "test").otherwise("cal")).drop("__own")
-    return run_joint(every, EvalConfig(alpha=alpha, methods=methods, options=options or {}), (*[k for k in keys if k != "series"], "fold", "series"))
+    config = EvalConfig(alpha=alpha, methods=methods, options=options or {})
+    names = classify(config.methods)[1]
+    if not names:
+        raise ValueError("no joint method")
+    return _run_joint(every, config, names, (*[k for k in keys if k != "series"], "fold", "series"))
 
 
 def run_single_step(panel: DataFrame, config: EvalConfig, horizon: int | None = None, online: bool = True, keys: tuple[str, ...] = ("series",)) -> DataFrame:
