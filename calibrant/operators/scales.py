@@ -32,6 +32,7 @@ def robust_scales(panel: DataFrame, alpha: float, by: list[str] | None = None) -
     y, p = finite("y"), finite("yhat")
     cal = panel.where("split = 'cal'").select(*keys, F.greatest(hi - lo, F.lit(1e-8)).alias("iqr"), (y - p).alias("r"), (lo - y).alias("a"), (y - hi).alias("b"))
     mid = medians(cal, keys, {"m_iqr": F.col("iqr"), **{f"m_{c}": F.col(c) for c in ("r", "a", "b")}})
+    mid = stored(mid, "medians")  # a row per step, read by three plans
     around = cal.join(F.broadcast(mid), keys)
     dev = medians(around, keys, {f"v_{c}": F.abs(F.col(c) - F.col(f"m_{c}")) for c in ("r", "a", "b")})
     dev = mid.select(*keys, F.col("m_iqr").alias("iqr")).join(F.broadcast(dev), keys, "left").withColumns({f"d_{c}": F.col(f"v_{c}") * MAD for c in ("r", "a", "b")})

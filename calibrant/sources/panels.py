@@ -40,26 +40,27 @@ def split_of(w: Column | str, cal: int, active: int | None = None) -> Column:
     return F.when(w >= cal, "test").when(w >= cal - (cal if active is None else active), "cal").otherwise("skip")
 
 
-def windows(steps: DataFrame, context: int, horizon: int, cal: int, active: int | None = None) -> DataFrame:
-    """Panel of steps (series, t from 1 without gaps, y, which may be null). One shuffle by series: the forecast made
-    at an origin is carried to the steps after it by a window function, so no join is needed."""
-    by_series = Window.partitionBy("series").orderBy("t")
-    origin = (F.col("t") >= context) & ((F.col("t") - context) % horizon == 0)
-    past = F.collect_list("y").over(by_series.rowsBetween(1 - context, 0))  # without nulls
-    steps = steps.withColumn("made", F.when(origin, baseline(past)))
-    steps = steps.withColumn("f", F.last("made", ignorenulls=True).over(by_series.rowsBetween(Window.unboundedPreceding, -1)))
-    steps = steps.withColumn("n", F.count("*").over(Window.partitionBy("series")))
-    at = F.col("t") - 1 - context
-    panel = steps.where(F.col("t") > context).select("series", F.floor(at / horizon).cast("int").alias("w"), (at % horizon).cast("int").alias("h"), "y", "f.yhat", "f.q", "n")
-    return panel.where(context + horizon * (F.col("w") + 1) <= F.col("n")).drop("n").withColumn("split", split_of("w", cal, active))
+def windows(steps: DataFrame, context: int, horizon: int, cal: int, active: int | None = None, order: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Panel of steps (series, y, which may be null, and the columns of their order within a series). One shuffle by series
+    and one sort: a block of `horizon` steps is made at its first one, its past are the blocks before it, and a forecast
+    is made once a block, so no row carries a past of its own and no join is needed."""
+    by_series = Window.partitionBy("series").orderBy(*order)
+    at = F.row_number().over(by_series) - 1 - context
+    blocks = steps.select("series", at.alias("at"), F.collect_list(F.struct("y")).over(by_series.rowsBetween(0, horizon - 1)).alias("ys"))
+    # the first block ends with the context's first steps, and may begin before the series
+    first = F.when(F.col("at") == -context, F.slice("ys", 1, context % horizon or horizon)).otherwise(F.col("ys"))
+    blocks = blocks.where(((F.col("at") % horizon) == 0) | (F.col("at") == -context)).select("series", F.floor(F.col("at") / horizon).cast("int").alias("w"), first.alias("ys"))
+    before = Window.partitionBy("series").orderBy("w").rowsBetween(-(-(-context // horizon)), -1)
+    blocks = blocks.select("series", "w", "ys", F.flatten(F.collect_list("ys").over(before))["y"].alias("past")).where((F.col("w") >= 0) & (F.size("ys") == horizon))
+    made = blocks.select("series", "w", "ys", baseline(F.slice("past", -context, context)).alias("f"))
+    panel = made.select("series", "w", F.posexplode("ys").alias("h", "step"), "f")
+    return panel.select("series", "w", "h", F.col("step.y").alias("y"), "f.yhat", "f.q", split_of("w", cal, active).alias("split"))
 
 
 def user_panel(spark: SparkSession, sf_dir: str, cal: int = USER["cal"]) -> DataFrame:
     """Many short series: each user's event values in order of time."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series"), "ts", "event_id", F.col("value").alias("y"))
-    order = Window.partitionBy("series").orderBy("ts", "event_id")  # the key of windows(): one shuffle serves both
-    steps = events.select("series", F.row_number().over(order).alias("t"), "y")
-    return windows(steps, USER["context"], USER["horizon"], cal)
+    return windows(events, USER["context"], USER["horizon"], cal, order=("ts", "event_id"))
 
 
 def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Steps whose work has to grow with the rows, not with their square, nor with a run of the panel for each pass."""
 
+import re
 from time import perf_counter
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from calibrant.functions import forecasters as fc
 from calibrant.operators import kernels as kn
+from calibrant.operators import scales as sc
 from calibrant.operators import segments as sg
+from calibrant.operators.pooled import order_statistics
 from calibrant.plans import catalog
 from calibrant.sources.shared import shared_path
 from calibrant.streaming.online import online_aci, run_available
@@ -82,3 +85,26 @@ def test_stream_keeps_keys_by_bucket(spark):
     assert 0 < spark.read.format("statestore").load(f"{base}/state").count() <= 4
     whole = sg.aci(scores.withColumn("split", F.lit("test")), ["key"], 0.2, 0.05, 20).collect()
     assert got == {(r["key"], r["w"]): (r["thr"], r["alpha_t"]) for r in whole}
+
+
+def test_forecast_is_made_once_a_block(spark):
+    """No step gathers a past of its own: pasts are joined from blocks of the horizon's steps, after one shuffle."""
+    plan = catalog.QUERIES["panel_user"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    frames = [int(x) for x in re.findall(r"RowFrame, (-\d+), ", plan)]
+    assert frames == [-4]  # four blocks of four steps, not sixteen steps
+
+
+def test_scales_are_passes_over_stored_medians(spark, monkeypatch):
+    """The plans that read the first medians don't each make them anew."""
+    names, kept = [], sc.stored
+    monkeypatch.setattr(sc, "stored", lambda df, name: names.append(name) or kept(df, name))
+    catalog.QUERIES["score_asym_pair"](spark, SF)
+    assert names == ["scaled", "medians"]
+
+
+def test_ranks_of_one_bracket_share_its_rows(spark):
+    """Two ranks side by side don't double the rows that are counted."""
+    rows = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(997)).cast("double").alias("v"))
+    both = order_statistics(rows, [], "v", {"a": lambda n: n / 2, "b": lambda n: n / 2 + 1})
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "asked" in plan and sorted(r["v"] for r in rows.collect())[9_999:10_001] == [*both.select("a", "b").first()]
