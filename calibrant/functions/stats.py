@@ -56,15 +56,6 @@ def conformal_quantile(sorted_values: Column, alpha: Column | float, correction:
     return F.when(enough, order_stat(sorted_values, level)).otherwise(F.lit(INF))
 
 
-def guarded_quantile(sorted_values: Column, alpha: Column, q0: Column | float) -> Column:
-    """Uncorrected index ceil(n(1 - alpha)) - 1 with q0 while n < ceil(1 / alpha): the other convention, of
-    trajectory scans."""
-    n = F.size(sorted_values)
-    a = F.greatest(col(alpha), F.lit(1e-9))
-    k = F.least(F.greatest(F.ceil(n * (1 - col(alpha))).cast("int") - 1, F.lit(0)), n - 1)
-    return F.when(n < F.ceil(1 / a), col(q0)).otherwise(F.get(sorted_values, k))
-
-
 def weighted_quantile(values: Column, target: Column | float, decay: float, test_weight: float, weights: tuple[float, ...] | None = None) -> Column:
     """Quantile of values in order of age, the newest last, with weights decay ** age, or the last ones of weights (no
     weight before them): the first sorted value whose cumulative share reaches target, infinity if none does. The unseen

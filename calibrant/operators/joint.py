@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.functions.stats import conformal_rank, guarded_quantile
+from calibrant.functions.stats import conformal_rank
 from calibrant.operators.copula import radii_at, ranks, split_trajectories
 from calibrant.operators.pooled import order_statistics
 from calibrant.sources.shared import stored
@@ -52,30 +57,69 @@ def trajectories(panel: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return residuals(panel).groupBy(*by, "series", "w", "split").agg(F.transform(steps, lambda x: x["r"]).alias("r"))
 
 
-def aci_path(r: Column, gamma: Column, alpha: float, q0: float) -> Column:
-    """Thresholds along a trajectory by adaptive conformal inference, from nothing but q0."""
+def walked(walk: Callable, r: Column, gamma: Column, alpha: float, q0: float) -> Column:
+    """The paths of walk along the arrays r: those of a batch that have as many steps are walked together, step by step.
+    walk takes r (a row a trajectory, NaN where it is null), what of it is null, and gamma; it gives thresholds and which are null."""
+
+    @F.arrow_udf("array<double>")
+    def paths(r: pa.Array, gamma: pa.Array) -> pa.Array:
+        length = np.asarray(pc.fill_null(pc.list_value_length(r), 0))
+        ends = np.cumsum(length)
+        flat = r.flatten()
+        value, null = flat.to_numpy(zero_copy_only=False).astype(float), np.asarray(flat.is_null())
+        g = gamma.to_numpy(zero_copy_only=False)
+        q, unknown = np.zeros(len(value)), np.zeros(len(value), bool)
+        for n in np.unique(length[length > 0]):
+            own = np.flatnonzero(length == n)
+            at = (ends[own] - n)[:, None] + np.arange(n)
+            q[at], unknown[at] = walk(value[at], null[at], g[own], float(alpha), float(q0))
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(q, mask=unknown), mask=r.is_null())
+
+    return paths(r, gamma)
+
+
+def _over(s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """s > q in SQL's order, in which NaN is the largest."""
+    return (s > q) | (np.isnan(s) & ~np.isnan(q))
+
+
+def _aci_walk(r: np.ndarray, null: np.ndarray, gamma: np.ndarray, alpha: float, q0: float) -> tuple[np.ndarray, np.ndarray]:
+    a, q, unknown = np.full(len(r), alpha), np.empty_like(r), np.zeros(r.shape, bool)
+    for i in range(r.shape[1]):
+        k = np.clip(np.ceil(i * (1 - a)).astype(int) - 1, 0, max(i - 1, 0))
+        few = i < np.ceil(1 / np.maximum(a, 1e-9))
+        seen = np.sort(r[:, :i], axis=1) if i else np.full((len(r), 1), np.nan)  # nulls come last
+        q[:, i] = np.where(few, q0, seen[np.arange(len(r)), k])
+        unknown[:, i] = ~few & (k >= i - null[:, :i].sum(axis=1))
+        above = _over(r[:, i], q[:, i]) & ~null[:, i] & ~unknown[:, i]
+        a = np.clip(a + gamma * (alpha - above), 0.0, 1.0)
+    return q, unknown
+
+
+def _pid_walk(r: np.ndarray, null: np.ndarray, gamma: np.ndarray, alpha: float, q0: float) -> tuple[np.ndarray, np.ndarray]:
+    qt, lost, q = np.full(len(r), q0), np.zeros(len(r), bool), np.empty_like(r)
+    for i in range(r.shape[1]):
+        q[:, i] = np.where(lost, 0.0, np.maximum(qt, 0.0))  # after a past of nulls alone the tracked value is null
+        grad = np.where(~null[:, i] & ~_over(r[:, i], q[:, i] if i else qt), alpha, alpha - 1.0)
+        rate = gamma
+        if i > 1:
+            known = ~null[:, :i]
+            most = np.where(known, r[:, :i], -np.inf).max(axis=1)
+            rate = gamma * (most - np.fmin.reduce(r[:, :i], axis=1))
+            lost |= ~known.any(axis=1)
+        qt = qt - rate * grad
+    return q, np.zeros(r.shape, bool)
 
-    def step(acc: Column, s: Column) -> Column:
-        q = guarded_quantile(F.array_sort(acc["seen"]), acc["a"], q0)
-        a = F.least(F.greatest(acc["a"] + gamma * (alpha - F.when(s > q, 1.0).otherwise(0.0)), F.lit(0.0)), F.lit(1.0))
-        return F.struct(a.alias("a"), F.concat(acc["seen"], F.array(s)).alias("seen"), F.concat(acc["qs"], F.array(q)).alias("qs"))
 
-    none = F.array().cast("array<double>")
-    return F.aggregate(r, F.struct(F.lit(float(alpha)).alias("a"), none.alias("seen"), none.alias("qs")), step, lambda acc: acc["qs"])
+def aci_path(r: Column, gamma: Column, alpha: float, q0: float) -> Column:
+    """Thresholds along a trajectory by adaptive conformal inference, from nothing but q0."""
+    return walked(_aci_walk, r, gamma, alpha, q0)
 
 
 def pid_path(r: Column, gamma: Column, alpha: float, q0: float) -> Column:
     """Thresholds along a trajectory by quantile tracking; never below 0."""
-
-    def step(acc: Column, s: Column) -> Column:
-        grad = F.when(s <= acc["q"], F.lit(float(alpha))).otherwise(F.lit(alpha - 1.0))
-        rate = F.when(F.size(acc["seen"]) > 1, gamma * (F.array_max(acc["seen"]) - F.array_min(acc["seen"]))).otherwise(gamma)
-        qt = acc["qt"] - rate * grad
-        return F.struct(qt.alias("qt"), F.greatest(qt, F.lit(0.0)).alias("q"), F.concat(acc["seen"], F.array(s)).alias("seen"), F.concat(acc["qs"], F.array(F.greatest(acc["q"], F.lit(0.0)))).alias("qs"))
-
-    none = F.array().cast("array<double>")
-    start = F.struct(F.lit(float(q0)).alias("qt"), F.lit(float(q0)).alias("q"), none.alias("seen"), none.alias("qs"))
-    return F.aggregate(r, start, step, lambda acc: acc["qs"])
+    return walked(_pid_walk, r, gamma, alpha, q0)
 
 
 def cafht(panel: DataFrame, alpha: float, cal_windows: int | None = None, path=aci_path, gammas: tuple[float, ...] = GAMMAS, cal_split: float = 0.5, q0: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from oracle import SF
 from pyspark.sql import functions as F
 
 from calibrant.functions import forecasters as fc
+from calibrant.operators import joint as jp
 from calibrant.operators import kernels as kn
 from calibrant.operators import scales as sc
 from calibrant.operators import segments as sg
@@ -108,3 +109,23 @@ def test_ranks_of_one_bracket_share_its_rows(spark):
     both = order_statistics(rows, [], "v", {"a": lambda n: n / 2, "b": lambda n: n / 2 + 1})
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert "asked" in plan and sorted(r["v"] for r in rows.collect())[9_999:10_001] == [*both.select("a", "b").first()]
+
+
+@pytest.mark.parametrize("name", ["cafht_aci", "cafht_pid"])
+def test_trajectories_are_walked_by_batch(spark, name):
+    """A lambda a step of each trajectory and rate cost more than the walk."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def test_walks_of_odd_trajectories(spark):
+    """Several lengths in a batch; nulls sort last, and no array gives none."""
+    nan = float("nan")
+    rows = [[0.4, 0.3, 0.2, 0.1], [None, None, 0.3, 0.0, 9.0], [nan, 0.5], [], None, [0.2]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r array<double>").coalesce(1)
+    got = [r["q"] for r in df.select("i", jp.aci_path(F.col("r"), F.lit(0.5), 0.5, 0.1).alias("q")).orderBy("i").collect()]
+    # by hand: the level 0.5 moves by -0.25 after a score over the threshold, else by 0.25
+    assert got[0] == [0.1, 0.1, 0.1, 0.1] and got[3:] == [[], None, [0.1]]
+    assert got[1] == [0.1, 0.1, None, 0.3, 0.0] and got[2] == [0.1, 0.1]
+    pid = [r["q"] for r in df.select("i", jp.pid_path(F.col("r"), F.lit(0.5), 0.5, 0.1).alias("q")).orderBy("i").collect()]
+    assert pid[0] == pytest.approx([0.1, 0.35, 0.1, 0.125]) and pid[3:] == [[], None, [0.1]]
