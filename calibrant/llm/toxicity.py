@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrant.llm.common import arrow_map, labelled_sample
+from calibrant.llm.common import arrow_map, give_back, labelled_sample
 
 TRAIN_ROWS = 12_000
 FEATURES = 8_192
@@ -60,7 +60,7 @@ class Severity:
 
 @dataclass
 class Row:
-    """A labelled text: hashes of its features, and of its words with their counts."""
+    """A labelled text: hashes of its features, and, if it is toxic, of its words with their counts; else none."""
 
     toxic: int
     features: np.ndarray
@@ -137,15 +137,16 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, vocabulary: np.ndarr
 
 def sample_features(sample: DataFrame) -> list[Row]:
     """Features and word counts of a labelled sample, in order of ids. Texts are read on the executors; what comes to the
-    driver is hashes, SPACE a row at most."""
+    driver is hashes, SPACE a row at most. Words and counts come of toxic rows alone: grades need no others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int32())
         for batch in batches:
             made: list[list[np.ndarray]] = [[], [], []]
-            for t in batch.column("text"):
+            for t, toxic in zip(batch.column("text"), batch.column("label").to_pylist()):
                 ws = words(t.as_py())
-                at, n = np.unique(np.fromiter(map(crc32, ws), np.int64, len(ws)) & (SPACE - 1), return_counts=True)
+                own = ws if toxic else []
+                at, n = np.unique(np.fromiter(map(crc32, own), np.int64, len(own)) & (SPACE - 1), return_counts=True)
                 for out, x in zip(made, (np.fromiter(features(ws), np.int32), at, n)):
                     out.append(x.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *(pa.array(m, ints) for m in made)], names=["id", "label", "features", "words", "counts"])
@@ -157,11 +158,17 @@ def sample_features(sample: DataFrame) -> list[Row]:
 
 
 def fit_severity(sample: DataFrame, size: int = FEATURES, n_grades: int = GRADES) -> Severity:
-    """Fit on a labelled sample (id, text, label: toxic 0 or 1). Without toxic rows every score is near 0."""
-    rows = sample_features(sample)
-    found = [r.features for r in rows]
-    vocabulary, _ = association(found, np.array([r.toxic for r in rows], int), size)
-    return fit_ordinal(found, severity_grades(rows, size, n_grades), vocabulary, n_grades)
+    """Fit on a labelled sample (id, text, label: toxic 0 or 1). Without toxic rows every score is near 0. The driver gives
+    back what the sample took of its memory: later stages shouldn't carry it."""
+
+    def fit(rows: list[Row]) -> Severity:
+        found = [r.features for r in rows]
+        vocabulary, _ = association(found, np.array([r.toxic for r in rows], int), size)
+        return fit_ordinal(found, severity_grades(rows, size, n_grades), vocabulary, n_grades)
+
+    model = fit(sample_features(sample))
+    give_back()
+    return model
 
 
 def score_severity(docs: DataFrame, model: Severity, reject_at: float = REJECT_AT, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -67,6 +67,20 @@ def test_ordinal_fit_is_the_optimum_of_its_likelihood():
         assert loss(w + step[:4], np.sort(th + step[4:])) > best - 1e-4
 
 
+def test_sample_brings_words_of_toxic_rows_alone(spark):
+    """Grades are those that words of all rows give; of rows that aren't toxic none come to the driver."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 60, 40)) + " vile" * (i % 3 == 0) * (1 + i % 4), int(i % 3 == 0)) for i in range(300)]
+    got = tx.sample_features(spark.createDataFrame(rows, "id bigint, text string, label int"))
+    assert all(len(r.words) == len(r.counts) == 0 for r in got if not r.toxic)
+    whole = []
+    for _, text, label in rows:
+        ws = tx.words(text)
+        at, n = np.unique([zlib.crc32(w) & (tx.SPACE - 1) for w in ws], return_counts=True)
+        whole.append(tx.Row(label, np.array([*tx.features(ws)], np.int32), at, n))
+    assert (tx.severity_grades(got) == tx.severity_grades(whole)).all() and tx.severity_grades(got).max() > 1
+
+
 def test_severity_by_brute_force(spark, messy):
     """Scores are those of the formula over each text's words and their beginnings."""
     from zlib import crc32
