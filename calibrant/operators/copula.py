@@ -7,9 +7,12 @@ aggregate of as many numbers as there are steps, so no task holds a step's error
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import islice
 from math import sqrt
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +24,9 @@ from calibrant.sources.shared import stored
 #: The soft indicator's steepness, Adam's moments, and where logits are held.
 STEEP, BETA1, BETA2, TINY, HELD = 20.0, 0.9, 0.999, 1e-8, 6.0
 
+#: Trajectories of a block of the fit.
+BLOCK = 16_384
+
 
 def split_trajectories(errors: DataFrame, cal_split: float, by: list[str]) -> DataFrame:
     """errors (by, series, w, h, r) with base: whether the trajectory is among the first of its group."""
@@ -47,32 +53,58 @@ def radii_at(base: DataFrame, theta: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*by, "h", (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("radius"))
 
 
+def matrices(rows: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of rows (group's number, u0, u1, ..) as arrays; a missing rank is NaN."""
+    while block := [*islice(rows, BLOCK)]:
+        m = np.array(block, dtype=float)
+        yield m[:, 0].astype(np.int64), m[:, 1:]
+
+
+def slopes(theta: np.ndarray) -> Callable[[tuple[np.ndarray, np.ndarray]], Iterator[tuple[int, np.ndarray]]]:
+    """Of a block, by group: the number of its trajectories, and the sums of their soft coverage and its slope by each step of
+    theta (a row a group). A missing step is covered."""
+
+    def of(block: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        group, u = block
+        s = np.where(np.isnan(u), 1.0, 1.0 / (1.0 + np.exp(-STEEP * (theta[group] - u))))
+        p = s.prod(axis=1)
+        there, own = np.unique(group, return_inverse=True)
+        sums = [np.bincount(own, x) for x in (np.ones(len(p)), p, *(p[:, None] * STEEP * (1 - s)).T)]
+        yield from zip(there.tolist(), np.column_stack(sums))
+
+    return of
+
+
 def fit(vectors: DataFrame, by: list[str], steps: int, alpha: float, epochs: int, lr: float) -> dict[tuple, np.ndarray]:
     """Probabilities by step of each group of vectors (by, u0, u1, ..; null where a trajectory has no such step), by Adam on
-    the distance of the soft joint coverage from 1 - alpha. An epoch is one aggregate over the stored vectors, whose
-    result is a row a group; groups go through their epochs together."""
+    the distance of the soft joint coverage from 1 - alpha. The vectors are kept as blocks of numbers by the executors; an
+    epoch is one aggregate over these, whose result is a row a group (of a single group: a row a block). Groups go
+    through their epochs together."""
     spark = vectors.sparkSession
     groups = [tuple(r) for r in vectors.select(*by).distinct().collect()] if by else ([()] if not vectors.isEmpty() else [])
-    start = min(max(1.0 - alpha, 0.01), 0.99)
-    logit, m, v = ({g: np.full(steps, x) for g in groups} for x in (start, 0.0, 0.0))
-    types = ", ".join([*[f"`{k}` {t}" for k, t in vectors.dtypes if k in by], *[f"t{h} double" for h in range(steps)]])
-    inside = [F.coalesce(1.0 / (1.0 + F.exp(-STEEP * (F.col(f"t{h}") - F.col(f"u{h}")))), F.lit(1.0)) for h in range(steps)]
-    all_in = inside[0]
-    for s in inside[1:]:
-        all_in = all_in * s
-    for epoch in range(1, epochs + 1) if groups else ():
-        theta = {g: 1 / (1 + np.exp(-x)) for g, x in logit.items()}
-        small = spark.createDataFrame([(*g, *map(float, t)) for g, t in theta.items()], types)
-        both = vectors.join(F.broadcast(small), by) if by else vectors.crossJoin(F.broadcast(small))
-        sums = both.withColumns({f"s{h}": inside[h] for h in range(steps)}).withColumn("p", all_in).groupBy(*by).agg(F.avg("p").alias("p"), *[F.avg(F.col("p") * STEEP * (1 - F.col(f"s{h}"))).alias(f"g{h}") for h in range(steps)])
-        for r in sums.collect():
-            g = tuple(r[k] for k in by)
-            slope = np.sign(r["p"] - (1.0 - alpha)) * np.array([r[f"g{h}"] for h in range(steps)]) * theta[g] * (1 - theta[g])
-            m[g] = BETA1 * m[g] + (1 - BETA1) * slope
-            v[g] = BETA2 * v[g] + (1 - BETA2) * slope**2
-            moved = lr * (m[g] / (1 - BETA1**epoch)) / (np.sqrt(v[g]) / sqrt(1 - BETA2**epoch) + TINY)
-            logit[g] = np.clip(logit[g] - moved, -HELD, HELD)
-    return {g: 1 / (1 + np.exp(-x)) for g, x in logit.items()}
+    if not groups:
+        return {}
+    own = F.lit(0).alias("__group")
+    if by:
+        types = ", ".join([f"`{k}` {t}" for k, t in vectors.dtypes if k in by])
+        vectors = vectors.join(F.broadcast(spark.createDataFrame([(*g, i) for i, g in enumerate(groups)], f"{types}, __group int")), by)
+        own = F.col("__group")
+    blocks = vectors.select(own, *[f"u{h}" for h in range(steps)]).rdd.mapPartitions(matrices).persist(StorageLevel.MEMORY_AND_DISK)
+    logit, m, v = (np.full((len(groups), steps), x) for x in (min(max(1.0 - alpha, 0.01), 0.99), 0.0, 0.0))
+    for epoch in range(1, epochs + 1):
+        theta = 1 / (1 + np.exp(-logit))
+        sums = blocks.flatMap(slopes(theta))
+        total = np.zeros((len(groups), steps + 2))
+        for i, x in (sums.reduceByKey(np.add) if by else sums).collect():
+            total[i] += x
+        mean = total[:, 1:] / np.maximum(total[:, :1], 1)
+        slope = np.sign(mean[:, :1] - (1.0 - alpha)) * mean[:, 1:] * theta * (1 - theta)
+        m = BETA1 * m + (1 - BETA1) * slope
+        v = BETA2 * v + (1 - BETA2) * slope**2
+        moved = lr * (m / (1 - BETA1**epoch)) / (np.sqrt(v) / sqrt(1 - BETA2**epoch) + TINY)
+        logit = np.clip(logit - moved, -HELD, HELD)
+    blocks.unpersist()
+    return dict(zip(groups, 1 / (1 + np.exp(-logit))))
 
 
 def adam_radii(panel: DataFrame, alpha: float, by: tuple[str, ...] = (), cal_split: float = 0.6, epochs: int = 500, lr: float = 0.01) -> DataFrame:

@@ -977,7 +977,8 @@ def run_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("run_joint_all")
 def run_joint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=tuple(ev.JOINT), options={"CopulaCPTS_Adam": {"epochs": EPOCHS, "lr": RATE}}))
+    """Every joint method with the operator's own parameters: Adam goes through all of its epochs."""
+    return ev.run_joint(ps.user_panel(spark, sf_dir), ev.EvalConfig(methods=tuple(ev.JOINT)))
 
 
 @register("joint_cv", f"""WITH {sql.scored("user", "abs")}, p AS (SELECT *, {_fold_sql(5)} AS fold FROM scored),

@@ -2,10 +2,14 @@
 
 import numpy as np
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 
 from calibrant.operators import copula as cl
 from calibrant.operators import joint as jp
+from calibrant.plans import catalog
+from calibrant.plans import evaluate as ev
+from calibrant.sources import panels as ps
 
 
 def plain(scores: np.ndarray, alpha: float, epochs: int, lr: float, cal_split: float = 0.6) -> np.ndarray:
@@ -62,3 +66,27 @@ def test_bisection_of_groups(panel):
 def test_no_rows(panel):
     none = panel.where("false")
     assert cl.adam_radii(none, 0.2, epochs=2).count() == 0 and jp.copula_bisection(none, 0.2).count() == 0
+
+
+def test_a_step_that_a_trajectory_lacks_is_covered(spark):
+    """A group of three steps beside one of four has the probabilities that it has alone."""
+    rng = np.random.default_rng(3)
+    rows = [(g, *map(float, rng.random(3)), float(rng.random()) if g == "a" else None) for g in ("a", "b") for _ in range(30)]
+    vectors = spark.createDataFrame(rows, "task string, u0 double, u1 double, u2 double, u3 double")
+    both = cl.fit(vectors, ["task"], 4, 0.2, 5, 0.05)
+    alone = cl.fit(vectors.where("task = 'b'").drop("task", "u3"), [], 3, 0.2, 5, 0.05)
+    assert both["b",][:3].tolist() == pytest.approx(alone[()].tolist())
+
+
+def test_run_joint_all_fits_through_all_epochs(spark, monkeypatch):
+    monkeypatch.setattr(ev, "JOINT", {"CopulaCPTS_Adam": ev.JOINT["CopulaCPTS_Adam"]})
+    got = catalog.QUERIES["run_joint_all"](spark, SF).first()
+    errors = {s: {} for s in ("cal", "test")}
+    for r in ps.user_panel(spark, SF).select("split", "w", "series", "h", F.abs(F.col("y") - F.col("yhat")).alias("r")).collect():
+        errors[r["split"]].setdefault((r["w"], r["series"]), {})[r["h"]] = r["r"]
+    cal, test = (np.array([[t[h] for h in range(4)] for _, t in sorted(errors[s].items())]) for s in ("cal", "test"))
+    series = np.array([s for _, s in sorted(errors["test"])])
+    radii = plain(cal, catalog.ALPHA, 500, 0.01)
+    assert got["avg_width"] == pytest.approx(2 * radii.mean(), abs=1e-5)
+    assert got["coverage"] == pytest.approx(np.mean([(test[series == s] <= radii).mean() for s in set(series)]), abs=1e-5)
+    assert got["joint_coverage"] == pytest.approx((test <= radii).all(axis=1).mean(), abs=1e-5)
